@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import quality_rules
+from .language_id import op5_language_id
 from .ngram_join import op4_ngram_jaccard_join
 from .packing import op1_harmonic_packing
+from .quality_rules import op2_quality_rules
+from .secret_scan import op8_secret_scans
 from .token_counts import op6_token_counts
 
-_QUERIES = [op1_harmonic_packing, op4_ngram_jaccard_join, op6_token_counts]
+_QUERIES = [op1_harmonic_packing, op2_quality_rules, op4_ngram_jaccard_join, op5_language_id, op6_token_counts, op8_secret_scans]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,4 +22,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_quality_rules": quality_rules.ORACLE}
