@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import checkpoint, written
+from .shared import checkpoint, small_or_as_is, written
 from .wordhash import blocks, mix, shingle_sets
 
 WIDTH, PERCENT = 4, 85
@@ -160,7 +160,11 @@ def _may_link(a: str, b: str, percent: int) -> Column:
     """Bounds on the overlap from sizes, and from the places of the key's first token in either order."""
     na, nb = F.col(f"{a}.size"), F.col(f"{b}.size")
     rest = F.least(na - F.col(f"{a}.place"), nb - F.col(f"{b}.place"))
-    return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & ((100 + percent) * rest >= percent * (na + nb))
+    return _sizes_allow(na, nb, percent) & ((100 + percent) * rest >= percent * (na + nb))
+
+
+def _sizes_allow(na: Column, nb: Column, percent: int) -> Column:
+    return 100 * F.least(na, nb) >= percent * F.greatest(na, nb)
 
 
 def _maps_allow(a: str, b: str, percent: int) -> Column:
@@ -171,9 +175,9 @@ def _maps_allow(a: str, b: str, percent: int) -> Column:
 
 def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole sets link."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    ids = checkpoint(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
     # rows that share an id: a node links if any of its sets does
-    sets = written(_sets(docs.join(ids, "doc_id", "left_semi"), width))
+    sets = written(_sets(docs.join(small_or_as_is(ids), "doc_id", "left_semi"), width))
     half = pairs.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("left")), "a")
     both = half.join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("right")), "b")
     met = F.size(F.array_intersect("left", "right"))
@@ -189,30 +193,30 @@ def ngram_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT
     signs = ["sign1", "sign2", "size"]
     members = profile.where("size > 0 and doc_id is not null").select("doc_id", *signs)
     # the least document of each set stands for it
-    whole = profile.where("size > 0 and doc_id is not null").groupBy(*signs).agg(F.min_by(F.struct(F.col("doc_id").alias("id"), "keys", "places", "bits"), "doc_id").alias("lead"))
-    leads = written(whole.select(*signs, "lead.*"))
-    entry = leads.select("id", "size", F.posexplode("keys").alias("k", "key"), "places").select("key", "id", "size", F.col("places")[F.col("k")].alias("place"))
-    shared = entry.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("size", "id", "place")).alias("lead")).where("n > 1").drop("n")
-    # an id with several sets has no one bitmap
-    maps = leads.groupBy("id").agg(F.when(F.count("*") == 1, F.first("bits")).alias("bits"))
-    entries = written(entry.join(shared, "key"))
-    leading = entries.alias("x").where((F.col("id") != F.col("lead.id")) & _may_link("x", "lead", percent))
-    pairs = leading.select(F.col("lead.id").alias("a"), F.col("id").alias("b"), "size", F.col("lead.size").alias("lead_size")).distinct()
-    pairs = pairs.join(maps.select(F.col("id").alias("a"), F.col("bits").alias("lead_bits")), "a").join(maps.withColumnRenamed("id", "b"), "b")
-    pairs = pairs.select("a", "b", F.struct("size", "bits").alias("x"), F.struct(F.col("lead_size").alias("size"), F.col("lead_bits").alias("bits")).alias("y")).where(_maps_allow("x", "y", percent))
+    whole = members.groupBy(*signs).agg(F.min("doc_id").alias("id"))
+    copies = checkpoint(members.join(whole, signs).where("doc_id > id").select("doc_id", *signs))
+    leads = profile.where("size > 0 and doc_id is not null").join(small_or_as_is(copies), ["doc_id", *signs], "left_anti").withColumnRenamed("doc_id", "id")
+    entry = leads.select("id", "size", F.posexplode("keys").alias("k", "key"), "places").select("key", "id", (F.shiftleft("size", 32) + F.col("places")[F.col("k")]).alias("packed"))
+    shared = entry.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("lead")).where("n > 1").drop("n")
+    entries = written(entry.join(shared, "key").select("key", "id", "lead", F.shiftright("packed", 32).alias("size"), F.expr("packed & 4294967295").alias("place")))
+    # an id with several sets has no one bitmap, and no one size
+    maps = leads.groupBy("id").agg(F.count("*").alias("n"), F.first("bits").alias("bits"), F.first("size").alias("size")).select("id", *[F.when(F.col("n") == 1, F.col(c)).alias(c) for c in ("bits", "size")])
+    pairs = entries.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
+    pairs = pairs.join(maps.select(F.col("id").alias("a"), F.struct("size", "bits").alias("x")), "a").join(maps.select(F.col("id").alias("b"), F.struct("size", "bits").alias("y")), "b")
+    pairs = pairs.where(F.coalesce(_sizes_allow(F.col("x.size"), F.col("y.size"), percent), F.lit(True)) & _maps_allow("x", "y", percent))
     links = checkpoint(_verified(checkpoint(pairs.select("a", "b")), docs, width, percent))
     of = checkpoint(components(links))
     # only buckets that still span components, and pairs of them without the bucket's lead, are left
-    placed = entries.where("id <> lead.id").join(of, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    placed = entries.where("id <> lead").join(of, "id", "left").withColumn("component", F.coalesce("component", "id"))
     open_keys = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    still = placed.join(open_keys, "key").join(maps, "id").select("key", "id", "size", "place", "bits", "component")
+    still = placed.join(open_keys, "key").join(maps.select("id", "bits"), "id").select("key", "id", "size", "place", "bits", "component")
     x, y = still.alias("x"), still.alias("y")
     met = (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component"))
     more = x.join(y, met & _may_link("x", "y", percent) & _maps_allow("x", "y", percent)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
     more = checkpoint(_verified(checkpoint(more), docs, width, percent))
     of = components(links.union(more)) if more.take(1) else of
     # a set's component, then an id's: the least of its rows' sets
-    lead_of = leads.join(of, "id", "left").select(*signs, "id", F.coalesce("component", "id").alias("component"))
+    lead_of = whole.join(of, "id", "left").select(*signs, "id", F.coalesce("component", "id").alias("component"))
     named = members.join(lead_of, signs)
     doubled = members.groupBy("doc_id").agg(F.countDistinct(*signs).alias("n")).where("n > 1")
     if doubled.take(1):

@@ -34,6 +34,15 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+#: A side of so few rows (of a few numbers each) is broadcast; a larger one is shuffled.
+BROADCAST_ROWS = 500_000
+
+
+def small_or_as_is(rows: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """Marks rows (already materialised, and narrow) for a broadcast if they are at most ``most``."""
+    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with the value computed once a row, also where lambdas inside use it for each element."""
     return F.element_at(F.transform(F.array(value), body), 1)
