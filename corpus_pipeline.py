@@ -1,8 +1,75 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: language ID, near duplicates, secret scans, mixing and packing, each on what the stage before kept.
 
-STAGES = []
+Every stage is ``(spark, docs, sf_dir) -> DataFrame``; its result is written as
+Parquet and read again as the next stage's documents. All but the last return
+the columns of documents.
+
+- language_id drops documents in which no language is found (``und``: null texts and texts without a letter) and
+  sets ``lang`` to the language found where it is missing.
+- near_duplicates keeps, of each group of documents linked by 4-word shingles, the one with the least doc_id.
+- secret_scan replaces every secret, also inside decoded layers, and counts n_chars again.
+- mix selects documents to the target weights, each at most once, within MIX_PERCENT of the tokens.
+- pack cuts and packs the rest into training sequences, one row per piece.
+"""
+
+from __future__ import annotations
+
+import uuid
+from collections.abc import Callable
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lexmill.llm import language_id as languages
+from lexmill.llm import mixing, ngram_join, packing, secret_scan
+from lexmill.llm.shared import shared_folder, small_or_as_is, written
+
+MIX_PERCENT = 90
+
+
+def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    named = languages.with_language(docs, languages.learn(docs))
+    kept = named.where(F.col("lang_pred") != languages.UNKNOWN).withColumn("lang", F.coalesce("lang", "lang_pred"))
+    return kept.select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    grouped = ngram_join.ngram_components(docs)
+    extra = written(grouped.where("doc_id > component_id").select("doc_id").distinct())
+    return docs.join(small_or_as_is(extra), "doc_id", "left_anti").dropDuplicates(["doc_id"]).select(*docs.columns)
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return secret_scan.redact(docs).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.select(docs, max_epochs=1, percent=MIX_PERCENT)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.digest(packing.pack(docs, public_tokenizers.path("word_bpe_49k.json")))
+
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+STAGES: list[tuple[str, Stage]] = [
+    ("language_id", identify),
+    ("near_duplicates", drop_near_duplicates),
+    ("secret_scan", redact_secrets),
+    ("mix", mix),
+    ("pack", pack),
+]
+
+#: Cross-parsing and decoding have no SQL form.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    folder = f"{shared_folder(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    for name, stage in STAGES:
+        path = f"{folder}/{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs

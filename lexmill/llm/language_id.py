@@ -29,12 +29,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ROWS, TRAINED = 200, 40_000
 ALPHABET, FOLDED = 96, 16
 BLOCK, CHARS = 256, 1 << 20
 UNKNOWN = "und"
-SCHEMA = "doc_id long, lang_pred string, score double"
 
 
 @lru_cache(maxsize=1)
@@ -186,27 +186,34 @@ def learn(docs: DataFrame, rows: int = ROWS, trained: int = TRAINED) -> Model:
     return Model(samples)
 
 
-def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, text) -> doc_id, lang_pred, score: one row per row, without a shuffle."""
+def _predicted(model: Model, texts: list[str | None]) -> tuple[pa.Array, pa.Array]:
+    languages, scores, part, size = [], [], [], 0
+    for k, t in enumerate(texts):
+        part.append(t)
+        size += len(t or "")
+        if size >= CHARS or k == len(texts) - 1:
+            for out, got in zip((languages, scores), model.predict(part), strict=True):
+                out += got
+            part, size = [], 0
+    return pa.array(languages, pa.string()), pa.array(scores, pa.float64())
+
+
+def with_language(docs: DataFrame, model: Model) -> DataFrame:
+    """All columns, and lang_pred and score; without a shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            languages, scores, part, size = [], [], [], 0
-            for t in [*texts, None]:
-                if size >= CHARS:
-                    for out, got in zip((languages, scores), model.predict(part), strict=True):
-                        out += got
-                    part, size = [], 0
-                part.append(t)
-                size += len(t or "")
-            for out, got in zip((languages, scores), model.predict(part[:-1]), strict=True):
-                out += got
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(languages, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
+            found = _predicted(shared.value, batch.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns, *found], [*batch.schema.names, "lang_pred", "score"])
+
+    plain = docs.drop("lang_pred", "score")
+    return plain.mapInArrow(run, T.StructType([*plain.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+
+def identify(docs: DataFrame, model: Model) -> DataFrame:
+    """(doc_id, text) -> doc_id, lang_pred, score: one row per row."""
+    return with_language(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model).select("doc_id", "lang_pred", "score")
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -45,8 +45,9 @@ WIDTH, PERCENT = 4, 85
 SHARE, COMBINED = 0.001, 400
 #: Tokens counted at once within a task, and the least count there to report a token.
 WINDOW, REPORTED = 1 << 20, 8
-#: 64-bit words of a document's parity bitmap.
+#: 64-bit words of a document's coarse parity bitmap; (set size, words) of the fine one, where a set is over the first size.
 MAP_WORDS = 8
+FINE = ((400, 0), (4096, 32), (65536, 512), (1 << 62, 8192))
 _PAIR = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -110,15 +111,22 @@ def prefix_keys(tokens: np.ndarray, frequent: np.ndarray, percent: int, combined
     return np.concatenate(keys), np.concatenate(places)
 
 
+def parity_map(tokens: np.ndarray, words: int, shift: int) -> np.ndarray:
+    """Bit b: whether an odd number of tokens falls on it."""
+    bits = 64 * words
+    parity = np.bincount((tokens >> np.uint64(shift) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(parity.astype(np.uint8)).view(np.int64)
+
+
 def profiles(docs: DataFrame, frequent, width: int, percent: int, combined: int) -> DataFrame:
-    """doc_id, size, sign1, sign2 (of the whole set), keys, places, bits."""
+    """doc_id, size, sign1, sign2 (of the whole set), keys, places, bits, fine."""
     weights = np.uint64(0x9FB21C651E98DF25)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = frequent.value
         for batch in batches:
             for first, last, offsets, raw in blocks(batch.column("text")):
-                sizes, one, two, keys, places, bits = [], [], [], [], [], []
+                sizes, one, two, keys, places, bits, fine = [], [], [], [], [], [], []
                 for tokens in shingle_sets(offsets, raw, width):
                     sizes.append(len(tokens))
                     one.append(int(tokens.sum(dtype=np.uint64).view(np.int64)))
@@ -126,8 +134,9 @@ def profiles(docs: DataFrame, frequent, width: int, percent: int, combined: int)
                     k, p = prefix_keys(tokens, common, percent, combined)
                     keys.append(k.view(np.int64))
                     places.append(p.astype(np.int32))
-                    parity = np.bincount((tokens >> np.uint64(40) & np.uint64(64 * MAP_WORDS - 1)).astype(np.int64), minlength=64 * MAP_WORDS) & 1
-                    bits.append(np.packbits(parity.astype(np.uint8)).view(np.int64))
+                    bits.append(parity_map(tokens, MAP_WORDS, 40))
+                    words = next(w for most, w in FINE if len(tokens) <= most)
+                    fine.append(parity_map(tokens, words, 20) if words else tokens[:0].view(np.int64))
                 ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -138,11 +147,12 @@ def profiles(docs: DataFrame, frequent, width: int, percent: int, combined: int)
                         pa.ListArray.from_arrays(ends, np.concatenate(keys)),
                         pa.ListArray.from_arrays(ends, np.concatenate(places)),
                         pa.ListArray.from_arrays(np.arange(0, MAP_WORDS * len(bits) + 1, MAP_WORDS, dtype=np.int32), np.concatenate(bits)),
+                        pa.ListArray.from_arrays(np.cumsum([0, *map(len, fine)]).astype(np.int32), np.concatenate(fine)),
                     ],
-                    ["doc_id", "size", "sign1", "sign2", "keys", "places", "bits"],
+                    ["doc_id", "size", "sign1", "sign2", "keys", "places", "bits", "fine"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, size long, sign1 long, sign2 long, keys array<long>, places array<int>, bits array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, size long, sign1 long, sign2 long, keys array<long>, places array<int>, bits array<long>, fine array<long>")
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
@@ -173,6 +183,18 @@ def _maps_allow(a: str, b: str, percent: int) -> Column:
     return F.coalesce((100 + percent) * apart <= (100 - percent) * (F.col(f"{a}.size") + F.col(f"{b}.size")), F.lit(True))
 
 
+def _unpruned(pairs: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that sizes and both bitmaps leave. An id with several sets has no map and is left."""
+    sided = lambda side, name, *columns: maps.select(F.col("id").alias(side), F.struct(*columns).alias(name))
+    coarse = pairs.join(sided("a", "x", "size", "bits"), "a").join(sided("b", "y", "size", "bits"), "b")
+    left = coarse.where(F.coalesce(_sizes_allow(F.col("x.size"), F.col("y.size"), percent), F.lit(True)) & _maps_allow("x", "y", percent)).select("a", "b")
+    left = checkpoint(left)
+    both = left.join(sided("a", "x", "size", "fine"), "a").join(sided("b", "y", "size", "fine"), "b")
+    apart = F.aggregate(F.zip_with("x.fine", "y.fine", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda n, k: n + k)
+    fits = (100 + percent) * apart <= (100 - percent) * (F.col("x.size") + F.col("y.size"))
+    return both.where(F.coalesce(F.when(F.size("x.fine") == F.size("y.fine"), fits), F.lit(True))).select("a", "b")
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole sets link."""
     ids = checkpoint(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
@@ -197,23 +219,23 @@ def ngram_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT
     copies = checkpoint(members.join(whole, signs).where("doc_id > id").select("doc_id", *signs))
     leads = profile.where("size > 0 and doc_id is not null").join(small_or_as_is(copies), ["doc_id", *signs], "left_anti").withColumnRenamed("doc_id", "id")
     entry = leads.select("id", "size", F.posexplode("keys").alias("k", "key"), "places").select("key", "id", (F.shiftleft("size", 32) + F.col("places")[F.col("k")]).alias("packed"))
-    shared = entry.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("lead")).where("n > 1").drop("n")
-    entries = written(entry.join(shared, "key").select("key", "id", "lead", F.shiftright("packed", 32).alias("size"), F.expr("packed & 4294967295").alias("place")))
+    shared = entry.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("lead"), F.min_by("packed", "id").alias("lead_packed")).where("n > 1").drop("n")
+    unpacked = [F.struct(F.shiftright(c, 32).alias("size"), F.expr(f"{c} & 4294967295").alias("place")).alias(name) for c, name in (("packed", "own"), ("lead_packed", "leads"))]
+    entries = written(entry.join(shared, "key").select("key", "id", "lead", *unpacked))
     # an id with several sets has no one bitmap, and no one size
-    maps = leads.groupBy("id").agg(F.count("*").alias("n"), F.first("bits").alias("bits"), F.first("size").alias("size")).select("id", *[F.when(F.col("n") == 1, F.col(c)).alias(c) for c in ("bits", "size")])
-    pairs = entries.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
-    pairs = pairs.join(maps.select(F.col("id").alias("a"), F.struct("size", "bits").alias("x")), "a").join(maps.select(F.col("id").alias("b"), F.struct("size", "bits").alias("y")), "b")
-    pairs = pairs.where(F.coalesce(_sizes_allow(F.col("x.size"), F.col("y.size"), percent), F.lit(True)) & _maps_allow("x", "y", percent))
-    links = checkpoint(_verified(checkpoint(pairs.select("a", "b")), docs, width, percent))
+    maps = leads.groupBy("id").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("bits", "fine", "size")]).select("id", *[F.when(F.col("n") == 1, F.col(c)).alias(c) for c in ("bits", "fine", "size")])
+    pairs = entries.where((F.col("id") != F.col("lead")) & _may_link("own", "leads", percent)).select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
+    pairs = _unpruned(pairs, maps, percent)
+    links = checkpoint(_verified(checkpoint(pairs), docs, width, percent))
     of = checkpoint(components(links))
     # only buckets that still span components, and pairs of them without the bucket's lead, are left
     placed = entries.where("id <> lead").join(of, "id", "left").withColumn("component", F.coalesce("component", "id"))
     open_keys = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    still = placed.join(open_keys, "key").join(maps.select("id", "bits"), "id").select("key", "id", "size", "place", "bits", "component")
+    still = placed.join(open_keys, "key").join(maps.select("id", "bits"), "id").select("key", "id", "own.size", "own.place", "bits", "component")
     x, y = still.alias("x"), still.alias("y")
     met = (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component"))
     more = x.join(y, met & _may_link("x", "y", percent) & _maps_allow("x", "y", percent)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    more = checkpoint(_verified(checkpoint(more), docs, width, percent))
+    more = checkpoint(_verified(checkpoint(_unpruned(more, maps, percent)), docs, width, percent))
     of = components(links.union(more)) if more.take(1) else of
     # a set's component, then an id's: the least of its rows' sets
     lead_of = whole.join(of, "id", "left").select(*signs, "id", F.coalesce("component", "id").alias("component"))

@@ -6,15 +6,30 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_rules
+from . import mixing, quality_rules, url_filter
+from .fingerprints import op3_order_minhash
 from .language_id import op5_language_id
+from .mixing import op9_mix_to_weights
 from .ngram_join import op4_ngram_jaccard_join
 from .packing import op1_harmonic_packing
 from .quality_rules import op2_quality_rules
 from .secret_scan import op8_secret_scans
 from .token_counts import op6_token_counts
-
-_QUERIES = [op1_harmonic_packing, op2_quality_rules, op4_ngram_jaccard_join, op5_language_id, op6_token_counts, op8_secret_scans]
+from .toxicity import op7_toxicity
+from .url_filter import op10_url_filter
+
+_QUERIES = [
+    op1_harmonic_packing,
+    op2_quality_rules,
+    op3_order_minhash,
+    op4_ngram_jaccard_join,
+    op5_language_id,
+    op6_token_counts,
+    op7_toxicity,
+    op8_secret_scans,
+    op9_mix_to_weights,
+    op10_url_filter,
+]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,4 +37,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": quality_rules.ORACLE}
+    return {"op2_quality_rules": quality_rules.ORACLE, "op9_mix_to_weights": mixing.ORACLE, "op10_url_filter": url_filter.ORACLE}

@@ -22,6 +22,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _IS_WORD = np.ones(256, dtype=bool)
 _IS_WORD[[9, 10, 11, 12, 13, 32]] = False
+_IS_LETTER = np.array([b > 127 or chr(b).isalnum() for b in range(256)])
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -58,11 +59,14 @@ def blocks(texts: pa.Array, size: int = BLOCK_BYTES) -> Iterator[tuple[int, int,
         first = last
 
 
-def words(offsets: np.ndarray, raw: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each word, first word of each text: one more entry than texts)."""
+def words(offsets: np.ndarray, raw: np.ndarray, lower: bool = True, prefix: int = 0, letters: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each word, or of its first ``prefix`` bytes; first word of each text: one more entry than texts).
+
+    With ``letters``, words are runs of ASCII letters, digits and bytes of other characters instead.
+    """
     if len(raw) == 0:
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    inside = _IS_WORD[raw]
+    inside = (_IS_LETTER if letters else _IS_WORD)[raw]
     before = np.empty_like(inside)
     before[0] = False
     before[1:] = inside[:-1]
@@ -74,6 +78,8 @@ def words(offsets: np.ndarray, raw: np.ndarray, lower: bool = True) -> tuple[np.
     after[:-1] = inside[1:]
     after[cuts[cuts > 0] - 1] = False
     ends = np.flatnonzero(inside & ~after) + 1
+    if prefix:
+        ends = np.minimum(ends, starts + prefix)
     up, down = _power_tables(len(raw))
     sums = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum(_CODES[_LOWER[raw] if lower else raw] * up[: len(raw)], out=sums[1:])
