@@ -5,20 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-Query = Callable[[SparkSession, str], DataFrame]
 
+from .plans import row_plans
 
-def _host_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    host = F.lower(F.regexp_extract("url", r"^[A-Za-z]+://([^/?#]*)", 1))
-    return pages.groupBy(host.alias("host")).agg(F.count("*").alias("total"))
+Query = Callable[[SparkSession, str], DataFrame]
+_PLANS: dict[str, tuple[Query, str | None]] = row_plans.PLANS
 
 
 def queries() -> dict[str, Query]:
-    return {"host_stats": _host_stats}
+    return {name: run for name, (run, _) in _PLANS.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"host_stats": "SELECT lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1)) AS host, count(*) AS total FROM pages GROUP BY 1"}
+    return {name: sql for name, (_, sql) in _PLANS.items() if sql}
