@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import row_plans
+from .plans import row_plans, search_plans, table_plans
 
 Query = Callable[[SparkSession, str], DataFrame]
-_PLANS: dict[str, tuple[Query, str | None]] = row_plans.PLANS
+_PLANS: dict[str, tuple[Query, str | None]] = row_plans.PLANS | table_plans.PLANS | search_plans.PLANS
 
 
 def queries() -> dict[str, Query]:

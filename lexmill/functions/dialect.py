@@ -86,8 +86,12 @@ class DuckDialect(Dialect):
     def text(self, s: str) -> str:
         return "'" + s.replace("'", "''") + "'"
 
+    def _bounded(self, x: str, pattern: str) -> str:
+        """Its word boundaries know ASCII only: other Latin letters become an ASCII one where a pattern has boundaries."""
+        return f"regexp_replace({x}, '[À-ÖØ-öø-ɏ]', 'Z', 'g')" if r"\b" in pattern else x
+
     def matches(self, x: str, pattern: str) -> str:
-        return f"regexp_matches({x}, {self.text(pattern)})"
+        return f"regexp_matches({self._bounded(x, pattern)}, {self.text(pattern)})"
 
     def replace_all(self, x: str, pattern: str, by: str) -> str:
         for k in range(1, 6):
@@ -95,7 +99,7 @@ class DuckDialect(Dialect):
         return f"regexp_replace({x}, {self.text(pattern)}, {self.text(by)}, 'g')"
 
     def hits(self, x: str, pattern: str) -> str:
-        return f"CAST(len(regexp_extract_all({x}, {self.text(pattern)})) AS BIGINT)"
+        return f"CAST(len(regexp_extract_all({self._bounded(x, pattern)}, {self.text(pattern)})) AS BIGINT)"
 
     def array(self, items: list[str]) -> str:
         return f"[{', '.join(items)}]"
