@@ -26,14 +26,15 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return tied.union(least.select("a", F.col("m").alias("b"))).distinct()
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether each node has one edge down, to a node that has none."""
+    down = edges.groupBy("a").agg(F.count("*").alias("n"))
+    return not down.where("n > 1").union(down.join(edges.select(F.col("b").alias("a")).distinct(), "a", "left_semi")).take(1)
+
+
 def components(links: DataFrame) -> DataFrame:
     """(a, b) pairs of different ids -> (id, component): the least id of each linked node's component."""
     edges = checkpoint(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct())
-    seen = None
-    while True:
+    while not _stars(edges):
         edges = checkpoint(_small_star(_large_star(edges)))
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == seen:
-            break
-        seen = now
     return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).union(edges.select(F.col("b").alias("id"), F.col("b").alias("component"))).distinct()

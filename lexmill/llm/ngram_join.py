@@ -13,9 +13,9 @@ bounds and a bound from parity bitmaps (the sets differ in at least as many toke
 as the bitmaps differ in bits), then whole sets are compared.
 
 Equal sets are one node from the start. In each bucket all members are first
-compared to its least one only; components then join, and only pairs of a bucket
-that are still in different components, and were not compared, go on. So a
-group of near copies costs about its size, not its square, and no link between components is lost.
+compared to its least one only; members that links then tie together share a label, and only pairs of a bucket
+with different labels go on. So a group of near copies costs about its size, not its square, and
+a pair is left out only where its two documents are connected already.
 
 Shuffled are keys, not texts; sets are sent only for documents of candidate
 pairs. The frequent class is bounded: a token of it is in at least SHARE of all
@@ -219,24 +219,25 @@ def ngram_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT
     copies = checkpoint(members.join(whole, signs).where("doc_id > id").select("doc_id", *signs))
     leads = profile.where("size > 0 and doc_id is not null").join(small_or_as_is(copies), ["doc_id", *signs], "left_anti").withColumnRenamed("doc_id", "id")
     entry = leads.select("id", "size", F.posexplode("keys").alias("k", "key"), "places").select("key", "id", (F.shiftleft("size", 32) + F.col("places")[F.col("k")]).alias("packed"))
-    shared = entry.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("lead"), F.min_by("packed", "id").alias("lead_packed")).where("n > 1").drop("n")
+    shared = entry.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("lead"), F.min_by("packed", "id").alias("lead_packed")).where("n > 1")
     unpacked = [F.struct(F.shiftright(c, 32).alias("size"), F.expr(f"{c} & 4294967295").alias("place")).alias(name) for c, name in (("packed", "own"), ("lead_packed", "leads"))]
-    entries = written(entry.join(shared, "key").select("key", "id", "lead", *unpacked))
+    entries = written(entry.join(shared, "key").select("key", "n", "id", "lead", *unpacked).where("id <> lead"))
     # an id with several sets has no one bitmap, and no one size
     maps = leads.groupBy("id").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("bits", "fine", "size")]).select("id", *[F.when(F.col("n") == 1, F.col(c)).alias(c) for c in ("bits", "fine", "size")])
-    pairs = entries.where((F.col("id") != F.col("lead")) & _may_link("own", "leads", percent)).select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
+    pairs = entries.where(_may_link("own", "leads", percent)).select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
     pairs = _unpruned(pairs, maps, percent)
     links = checkpoint(_verified(checkpoint(pairs), docs, width, percent))
-    of = checkpoint(components(links))
-    # only buckets that still span components, and pairs of them without the bucket's lead, are left
-    placed = entries.where("id <> lead").join(of, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    open_keys = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    still = placed.join(open_keys, "key").join(maps.select("id", "bits"), "id").select("key", "id", "own.size", "own.place", "bits", "component")
+    # A bucket of three or more may link others than its lead. Two steps along the links found give most members of
+    # a group one label; members of one label are connected already and need no comparison.
+    near = links.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("label"))
+    label = near.join(near.select(F.col("id").alias("label"), F.col("label").alias("further")), "label", "left").select("id", F.coalesce("further", "label").alias("label"))
+    nodes = maps.select("id", "bits").join(label, "id", "left").select("id", "bits", F.coalesce("label", "id").alias("label"))
+    still = entries.where("n > 2").select("key", "id", "own.size", "own.place").join(nodes, "id")
     x, y = still.alias("x"), still.alias("y")
-    met = (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component"))
+    met = (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.label") != F.col("y.label"))
     more = x.join(y, met & _may_link("x", "y", percent) & _maps_allow("x", "y", percent)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
     more = checkpoint(_verified(checkpoint(_unpruned(more, maps, percent)), docs, width, percent))
-    of = components(links.union(more)) if more.take(1) else of
+    of = checkpoint(components(links.union(more)))
     # a set's component, then an id's: the least of its rows' sets
     lead_of = whole.join(of, "id", "left").select(*signs, "id", F.coalesce("component", "id").alias("component"))
     named = members.join(lead_of, signs)
