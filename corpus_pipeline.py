@@ -35,9 +35,14 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    grouped = ngram_join.ngram_components(docs)
+    grouped = written(ngram_join.ngram_components(docs))
     extra = written(grouped.where("doc_id > component_id").select("doc_id").distinct())
-    return docs.join(small_or_as_is(extra), "doc_id", "left_anti").dropDuplicates(["doc_id"]).select(*docs.columns)
+    kept = docs.join(small_or_as_is(extra), "doc_id", "left_anti").select(*docs.columns)
+    repeated = written(grouped.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    if not repeated.take(1):
+        return kept
+    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(once)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
