@@ -151,7 +151,7 @@ class Model:
             counts[:, :n] += moved < 0
             np.abs(moved, out=moved)
             states[:, :n] = moved
-        counts += 1
+        counts += states != np.array(self.roots, self.table.dtype)[:, None] * self.width  # a phrase that the block's end cuts
         phrases = np.stack([np.bincount(text_of, c, len(texts)) for c in counts]) if len(start) else np.zeros((len(self.languages), len(texts)))
         return phrases, sizes
 
