@@ -155,13 +155,13 @@ def words_of(d: Dialect, x: str) -> str:
 
 
 def within_window(d: Dialect, tokens: str, a: str, b: str, w: int) -> str:
-    """Q5: some places of a and b at most w apart. Places are found once; each of a looks at a slice only."""
-    window = "slice({t}, greatest(i - {w}, 1), 2 * {w} + 1 + least(i - {w} - 1, 0))" if type(d) is Dialect else "{t}[greatest(i - {w}, 1):i + {w}]"
-    near = window.format(t=tokens, w=w)
-    hit = f"array_contains({near}, '{b}')" if type(d) is Dialect else f"list_contains({near}, '{b}')"
-    own = d.item(tokens, "i").replace("(i) - 1", "CAST(i AS INT) - 1")
-    ints = f"CAST({d.size(tokens)} AS INT)"
-    return f"({d.size(tokens)} > 0 AND {d.exists(d.sequence('1', ints), 'i', f'{own} = {chr(39)}{a}{chr(39)} AND {hit}')})"
+    """Q5: some places of a and b at most w apart. The tokens are computed once, and each place of a looks at its neighbourhood only."""
+    last = f"CAST({d.size('t_')} AS INT)"
+    if type(d) is Dialect:
+        hit = f"get(t_, i - 1) = '{a}' AND array_contains(slice(t_, greatest(i - {w}, 1), i + {w} + 1 - greatest(i - {w}, 1)), '{b}')"
+    else:
+        hit = f"t_[i] = '{a}' AND list_contains(t_[greatest(i - {w}, 1):i + {w}], '{b}')"
+    return f"coalesce({d.item(d.each(d.array([tokens]), 't_', d.exists(d.sequence('1', last), 'i', hit)), '1')}, false)"
 
 
 def document_tags(d: Dialect, url: str, text: str) -> str:
