@@ -115,9 +115,6 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-_BANNER = "<!-- snapshot of {} -->"
-
-
 def export_snapshots(docs: DataFrame, domains: list[str] | None = None, limit: int | None = None) -> DataFrame:
     """(id, domain, slug, meta, html, text) of fetched legal pages that are no sitemap, robots file or asset."""
     domain, slug = U.domain_and_slug(SPARK, "url")
