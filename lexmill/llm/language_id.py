@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 
 ROWS, TRAINED = 200, 40_000
 ALPHABET, FOLDED = 96, 16
-BLOCK, CHARS = 256, 1 << 20
+BLOCK, CHARS, ROWS_AT_ONCE = 256, 1 << 19, 500
 UNKNOWN = "und"
 
 
@@ -204,8 +204,10 @@ def with_language(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = _predicted(shared.value, batch.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, *found], [*batch.schema.names, "lang_pred", "score"])
+            for a in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(a, ROWS_AT_ONCE)
+                found = _predicted(shared.value, part.column("text").to_pylist())
+                yield pa.RecordBatch.from_arrays([*part.columns, *found], [*part.schema.names, "lang_pred", "score"])
 
     plain = docs.drop("lang_pred", "score")
     return plain.mapInArrow(run, T.StructType([*plain.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))

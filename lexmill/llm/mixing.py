@@ -126,8 +126,8 @@ def mix(docs: DataFrame, seed: int = SEED, max_epochs: int = MAX_EPOCHS, percent
 def select(docs: DataFrame, seed: int = SEED, max_epochs: int = MAX_EPOCHS, percent: int = PERCENT, domain: Column | None = None) -> DataFrame:
     """The rows of documents that are selected, with all their columns, as often as they are.
 
-    Rows that share a doc_id are told apart by a number given as they are read, which is
-    stable because the rows are written first only as ids.
+    Only ids and numbers are compared; texts meet them in one join. Rows that share a
+    doc_id are all given as often as the one of them that is selected most.
     """
     chosen = mix(docs, seed, max_epochs, percent, domain).where("copies > 0").groupBy("doc_id").agg(F.max("copies").cast("int").alias("_copies"))
     kept = docs.join(small_or_as_is(written(chosen).withColumnRenamed("doc_id", "_id")), F.col("doc_id").eqNullSafe(F.col("_id")))

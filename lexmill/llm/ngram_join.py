@@ -8,8 +8,8 @@ single tokens. If none is rare, both have all their rare tokens inside the
 prefix, so in prefixes extended by one they share two frequent tokens: those are
 indexed as combinations of two (by single tokens for sets of over COMBINED
 tokens, both ways in between), which keeps widely shared passages from
-filling one bucket. Candidates pass length and position
-bounds and a bound from parity bitmaps (the sets differ in at least as many tokens
+filling one bucket. Buckets of the same members are one. Candidates pass a length
+bound and one from parity bitmaps (the sets differ in at least as many tokens
 as the bitmaps differ in bits), then whole sets are compared.
 
 Equal sets are one node from the start. In each bucket all members are first
@@ -18,8 +18,9 @@ with different labels go on. So a group of near copies costs about its size, not
 a pair is left out only where its two documents are connected already.
 
 Shuffled are keys, not texts; sets are sent only for documents of candidate
-pairs. The frequent class is bounded: a token of it is in at least SHARE of all
-documents, so it has at most (mean set size / SHARE) members.
+pairs. The frequent class is bounded: windows of documents report their common tokens, and
+a token whose reports make up half of SHARE of all documents is frequent, so there are at most
+(2 * mean set size / SHARE) of them. The class only orders tokens: which are in it changes the work, not the links.
 
 Null or wordless texts have empty sets and link with nothing. Rows that share a
 doc_id count as one node (any of their links is the id's); a null doc_id gets a
@@ -42,9 +43,9 @@ from .wordhash import blocks, mix, shingle_sets
 
 WIDTH, PERCENT = 4, 85
 #: A token in at least this share of the documents is of the frequent class; sets up to COMBINED tokens index it in twos.
-SHARE, COMBINED = 0.001, 400
+SHARE, COMBINED = 0.0003, 400
 #: Tokens counted at once within a task, and the least count there to report a token.
-WINDOW, REPORTED = 1 << 20, 8
+WINDOW, REPORTED = 1 << 21, 3
 #: 64-bit words of a document's coarse parity bitmap; (set size, words) of the fine one, where a set is over the first size.
 MAP_WORDS = 8
 FINE = ((400, 0), (4096, 32), (65536, 512), (1 << 62, 8192))
@@ -81,15 +82,15 @@ def frequent_tokens(docs: DataFrame, width: int, share: float) -> np.ndarray:
 
     counts = checkpoint(docs.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")))
     total = counts.where("token is null").agg(F.sum("n")).first()[0] or 0
-    found = counts.where(F.col("token").isNotNull() & (F.col("n") >= max(REPORTED, share * total))).select("token").toPandas()["token"]
+    found = counts.where(F.col("token").isNotNull() & (F.col("n") >= max(REPORTED, share * total / 2))).select("token").toPandas()["token"]
     return np.sort(found.to_numpy(np.int64).view(np.uint64))
 
 
-def prefix_keys(tokens: np.ndarray, frequent: np.ndarray, percent: int, combined: int) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, position of each key's first token in the order) of one sorted set."""
+def prefix_keys(tokens: np.ndarray, frequent: np.ndarray, percent: int, combined: int) -> np.ndarray:
+    """The index keys of one sorted set."""
     n = len(tokens)
     if not n:
-        return tokens, np.zeros(0, np.int64)
+        return tokens
     reach = n - -(-percent * n // 100) + 1
     if len(frequent):
         at = np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)
@@ -98,17 +99,15 @@ def prefix_keys(tokens: np.ndarray, frequent: np.ndarray, percent: int, combined
         common = np.zeros(n, bool)
     rare, often = tokens[~common], tokens[common]
     r = min(len(rare), reach)
-    keys, places = [rare[:r]], [np.arange(r)]
+    keys = [rare[:r]]
     if r < reach:
         if 100 * n >= percent * combined:
             keys.append(mix(often[: reach - r] ^ _PAIR))
-            places.append(np.arange(r, r + len(keys[-1])))
         if n <= combined:
             wide = often[: reach + 1 - r]
             a, b = np.triu_indices(len(wide), 1)
             keys.append(mix(wide[a] * _PAIR + mix(wide[b])))
-            places.append(r + a)
-    return np.concatenate(keys), np.concatenate(places)
+    return np.concatenate(keys)
 
 
 def parity_map(tokens: np.ndarray, words: int, shift: int) -> np.ndarray:
@@ -119,21 +118,19 @@ def parity_map(tokens: np.ndarray, words: int, shift: int) -> np.ndarray:
 
 
 def profiles(docs: DataFrame, frequent, width: int, percent: int, combined: int) -> DataFrame:
-    """doc_id, size, sign1, sign2 (of the whole set), keys, places, bits, fine."""
+    """doc_id, size, sign1, sign2 (of the whole set), keys, bits, fine."""
     weights = np.uint64(0x9FB21C651E98DF25)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = frequent.value
         for batch in batches:
             for first, last, offsets, raw in blocks(batch.column("text")):
-                sizes, one, two, keys, places, bits, fine = [], [], [], [], [], [], []
+                sizes, one, two, keys, bits, fine = [], [], [], [], [], []
                 for tokens in shingle_sets(offsets, raw, width):
                     sizes.append(len(tokens))
                     one.append(int(tokens.sum(dtype=np.uint64).view(np.int64)))
                     two.append(int(mix(tokens * weights).sum(dtype=np.uint64).view(np.int64)))
-                    k, p = prefix_keys(tokens, common, percent, combined)
-                    keys.append(k.view(np.int64))
-                    places.append(p.astype(np.int32))
+                    keys.append(prefix_keys(tokens, common, percent, combined).view(np.int64))
                     bits.append(parity_map(tokens, MAP_WORDS, 40))
                     words = next(w for most, w in FINE if len(tokens) <= most)
                     fine.append(parity_map(tokens, words, 20) if words else tokens[:0].view(np.int64))
@@ -145,14 +142,13 @@ def profiles(docs: DataFrame, frequent, width: int, percent: int, combined: int)
                         pa.array(one, pa.int64()),
                         pa.array(two, pa.int64()),
                         pa.ListArray.from_arrays(ends, np.concatenate(keys)),
-                        pa.ListArray.from_arrays(ends, np.concatenate(places)),
                         pa.ListArray.from_arrays(np.arange(0, MAP_WORDS * len(bits) + 1, MAP_WORDS, dtype=np.int32), np.concatenate(bits)),
                         pa.ListArray.from_arrays(np.cumsum([0, *map(len, fine)]).astype(np.int32), np.concatenate(fine)),
                     ],
-                    ["doc_id", "size", "sign1", "sign2", "keys", "places", "bits", "fine"],
+                    ["doc_id", "size", "sign1", "sign2", "keys", "bits", "fine"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, size long, sign1 long, sign2 long, keys array<long>, places array<int>, bits array<long>, fine array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, size long, sign1 long, sign2 long, keys array<long>, bits array<long>, fine array<long>")
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
@@ -166,13 +162,6 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "id long, tokens array<long>")
 
 
-def _may_link(a: str, b: str, percent: int) -> Column:
-    """Bounds on the overlap from sizes, and from the places of the key's first token in either order."""
-    na, nb = F.col(f"{a}.size"), F.col(f"{b}.size")
-    rest = F.least(na - F.col(f"{a}.place"), nb - F.col(f"{b}.place"))
-    return _sizes_allow(na, nb, percent) & ((100 + percent) * rest >= percent * (na + nb))
-
-
 def _sizes_allow(na: Column, nb: Column, percent: int) -> Column:
     return 100 * F.least(na, nb) >= percent * F.greatest(na, nb)
 
@@ -218,24 +207,25 @@ def ngram_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT
     whole = members.groupBy(*signs).agg(F.min("doc_id").alias("id"))
     copies = checkpoint(members.join(whole, signs).where("doc_id > id").select("doc_id", *signs))
     leads = profile.where("size > 0 and doc_id is not null").join(small_or_as_is(copies), ["doc_id", *signs], "left_anti").withColumnRenamed("doc_id", "id")
-    entry = leads.select("id", "size", F.posexplode("keys").alias("k", "key"), "places").select("key", "id", (F.shiftleft("size", 32) + F.col("places")[F.col("k")]).alias("packed"))
-    shared = entry.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("lead"), F.min_by("packed", "id").alias("lead_packed")).where("n > 1")
-    unpacked = [F.struct(F.shiftright(c, 32).alias("size"), F.expr(f"{c} & 4294967295").alias("place")).alias(name) for c, name in (("packed", "own"), ("lead_packed", "leads"))]
-    entries = written(entry.join(shared, "key").select("key", "n", "id", "lead", *unpacked).where("id <> lead"))
+    entry = leads.select("id", F.explode("keys").alias("key"))
+    shared = entry.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("lead"), F.bit_xor(F.xxhash64("id")).alias("members")).where("n > 1")
+    # buckets of the same members give the same pairs: one of them stays
+    kept = shared.groupBy("lead", "n", "members").agg(F.min("key").alias("key"))
+    entries = written(entry.join(kept, "key").where("id <> lead").select("key", "n", "id", "lead"))
     # an id with several sets has no one bitmap, and no one size
     maps = leads.groupBy("id").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("bits", "fine", "size")]).select("id", *[F.when(F.col("n") == 1, F.col(c)).alias(c) for c in ("bits", "fine", "size")])
-    pairs = entries.where(_may_link("own", "leads", percent)).select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
+    pairs = entries.select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
     pairs = _unpruned(pairs, maps, percent)
     links = checkpoint(_verified(checkpoint(pairs), docs, width, percent))
     # A bucket of three or more may link others than its lead. Two steps along the links found give most members of
     # a group one label; members of one label are connected already and need no comparison.
     near = links.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("label"))
     label = near.join(near.select(F.col("id").alias("label"), F.col("label").alias("further")), "label", "left").select("id", F.coalesce("further", "label").alias("label"))
-    nodes = maps.select("id", "bits").join(label, "id", "left").select("id", "bits", F.coalesce("label", "id").alias("label"))
-    still = entries.where("n > 2").select("key", "id", "own.size", "own.place").join(nodes, "id")
+    nodes = maps.select("id", "size", "bits").join(label, "id", "left").select("id", "size", "bits", F.coalesce("label", "id").alias("label"))
+    still = written(entries.where("n > 2").select("key", "id").join(nodes, "id"))
     x, y = still.alias("x"), still.alias("y")
     met = (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.label") != F.col("y.label"))
-    more = x.join(y, met & _may_link("x", "y", percent) & _maps_allow("x", "y", percent)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    more = x.join(y, met & F.coalesce(_sizes_allow(F.col("x.size"), F.col("y.size"), percent), F.lit(True)) & _maps_allow("x", "y", percent)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
     more = checkpoint(_verified(checkpoint(_unpruned(more, maps, percent)), docs, width, percent))
     of = checkpoint(components(links.union(more)))
     # a set's component, then an id's: the least of its rows' sets

@@ -192,6 +192,12 @@ _SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end
 SCHEMA = "doc_id long, base array<struct<kind:string,start:long,end:long>>, spans array<struct<kind:string,start:long,end:long>>"
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for a in range(0, batch.num_rows, rows):
+            yield batch.slice(a, rows)
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """(doc_id, text) -> doc_id, base hits, all hits; in order of start, then kind."""
 
@@ -199,7 +205,7 @@ def scan(docs: DataFrame) -> DataFrame:
         return [{"kind": KINDS[k], "start": a, "end": b} for a, k, b in spans]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             found = [all_spans(t or "") for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array([rows(b) for b, _ in found], _SPANS), pa.array([rows(s) for _, s in found], _SPANS)], ["doc_id", "base", "spans"])
 
@@ -219,7 +225,7 @@ def redact(docs: DataFrame) -> DataFrame:
     """All columns, with each hit of ``text`` replaced by REDACTED; rows and other texts stay as they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             at = batch.schema.get_field_index("text")
             texts = [t if t is None else redacted_text(t) for t in batch.column(at).to_pylist()]
             yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))

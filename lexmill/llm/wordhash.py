@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Texts are hashed in blocks of about so many bytes; only a longer single text exceeds it.
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 19
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _CODES = np.random.default_rng(20240229).integers(0, 1 << 64, 256, dtype=np.uint64)
