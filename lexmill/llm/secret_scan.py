@@ -3,7 +3,8 @@
 The base patterns (assignments, access keys, hex runs) scan the text. Then a
 worklist takes layers: percent escapes and Unicode or numeric escapes of a layer decode the whole
 layer; base64 runs decode on their own, and are decompressed (gzip, zlib, bz2, xz)
-where their bytes say so. Every new layer is scanned with the same patterns and its hits are
+where their bytes say so. No layer is dropped for what it looks like: bytes that are no
+UTF-8 are replaced and the rest counts. Every new layer is scanned with the same patterns and its hits are
 mapped back to code points of the original text: exactly through escapes, to
 the whole run for base64 and compressed layers. A layer seen before with the
 same place (a cycle, such as an archive that holds itself) is not taken again, so
@@ -44,7 +45,6 @@ _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#[xX]([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
 LAYER_BYTES = 1 << 26
-LAYER_TEXT = re.compile(r"[\t\n\r -~ -퟿-�\U00010000-\U0010ffff]*")
 Span = tuple[int, int, int]
 REDACTED = "[secret]"
 
@@ -137,17 +137,13 @@ def _inflated(raw: bytes) -> bytes | None:
     return None
 
 
-def _readable(raw: bytes) -> str | None:
-    """The text of a layer's bytes, decompressed as often as they say; None if they aren't text."""
+def _readable(raw: bytes) -> str:
+    """The text of a layer's bytes, decompressed as often as they say; bytes that are no UTF-8 are one U+FFFD each or in twos and threes."""
     seen = set()
     while (inner := _inflated(raw)) is not None and inner not in seen:
         seen.add(inner)
         raw = inner
-    try:
-        text = raw.decode()
-    except UnicodeDecodeError:
-        return None
-    return text if text and LAYER_TEXT.fullmatch(text) else None
+    return raw.decode("utf-8", "replace")
 
 
 def _base64_decoded(text: str) -> Iterator[tuple[str, int, int]]:
@@ -159,8 +155,7 @@ def _base64_decoded(text: str) -> Iterator[tuple[str, int, int]]:
             raw = base64.b64decode(run + "=" * (-len(run) % 4))
         except binascii.Error:
             continue
-        if (inner := _readable(raw)) is not None:
-            yield inner, m.start(), m.end()
+        yield _readable(raw), m.start(), m.end()
 
 
 def all_spans(text: str) -> tuple[list[Span], list[Span]]:

@@ -1,8 +1,10 @@
 """The operators against brute force, their libraries, SQL or held-out rows, and their defined results on odd rows."""
 
 import base64
+import bz2
 import gzip
 import hashlib
+import lzma
 import math
 import re
 import urllib.parse
@@ -272,6 +274,17 @@ def test_layers_are_unwrapped(wrap):
     assert SECRET not in secret_scan.redacted_text(text) and secret_scan.redacted_text(text).endswith(" tail")
 
 
+@pytest.mark.parametrize("head", ["\ufeff", "\uff0c\uff1a", "\ue000", "\ufb01", "\f", "\0", "caf\xe9 "])
+@pytest.mark.parametrize("pack", [lambda b: b, gzip.compress, zlib.compress, bz2.compress, lzma.compress])
+def test_layers_of_any_characters_are_scanned(head, pack):
+    for code in ("utf-8", "latin-1"):
+        raw = f"{head}{SECRET}\n".encode(code, "replace")
+        run = base64.b64encode(pack(raw)).decode()
+        text = f"head {run} tail"
+        assert (5, 0, 5 + len(run)) in secret_scan.all_spans(text)[1]
+        assert secret_scan.redacted_text(text) == "head [secret] tail"
+
+
 def test_secret_scan_on_odd_rows(odd, empty):
     got = secret_scan.digest(secret_scan.scan(odd)).collect()
     assert len(got) == len(ODD) and {r.n_assign for r in got if r.doc_id is None} == {1}
