@@ -10,8 +10,11 @@ the whole run for base64 and compressed layers. A layer seen before with the
 same place (a cycle, such as an archive that holds itself) is not taken again, so
 the worklist ends at a fixpoint.
 
-A decompressed layer is read up to LAYER_BYTES, which bounds a worker's memory
-against archives that expand without end.
+A compressed layer is expanded to its end, member after member, and scanned in windows of
+about WINDOW characters, so its size does not bound what is found and hardly what is held. A window
+ends where no match and no run can go on. A base64 run longer than a window is decoded
+piece by piece; only a longer stretch that mixes base64 characters and escapes, without any other
+character, is held as a whole.
 
 A null text counts as empty. Repeated rows give repeated results; an empty table
 gives none; other columns are ignored by ``scan`` and kept by ``redact``.
@@ -22,11 +25,14 @@ from __future__ import annotations
 import base64
 import binascii
 import bz2
+import codecs
+import hashlib
 import lzma
 import re
 import zlib
 from bisect import bisect_left
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -44,7 +50,14 @@ _LONG_HEX = re.compile(r"[0-9a-f]{16,}")
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#[xX]([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
-LAYER_BYTES = 1 << 26
+#: Characters (or bytes) of an expanded layer that are taken at once, bytes given to a decompressor at once, and characters
+#: before a window's end that the next one sees again where only an assignment or an escaped match can go on.
+WINDOW, FEED, AGAIN = 1 << 22, 1 << 16, 1 << 16
+_RUN = re.compile(r"[A-Za-z0-9+/_-]*")
+_SPACES = re.compile(r"\x20{2,}")
+#: Up to the last character that stands in no match; up to the last one that stands in no base64 run and no escape.
+_TO_BREAK = re.compile(r"""(?s:.*)[^A-Za-z0-9+/_.=\-"'\x20:%\\{}&#;]""")
+_TO_PAUSE = re.compile(r"""(?s:.*)[^A-Za-z0-9+/_\-%\\{}&#;]""")
 Span = tuple[int, int, int]
 REDACTED = "[secret]"
 
@@ -121,58 +134,172 @@ def _escapes_decoded(text: str) -> _Unescaped | None:
     return out
 
 
-def _inflated(raw: bytes) -> bytes | None:
-    """What a compressed layer holds, up to LAYER_BYTES; None if it isn't one."""
-    try:
-        if raw[:2] == b"\x1f\x8b":
-            return zlib.decompressobj(31).decompress(raw, LAYER_BYTES)
-        if raw[:1] == b"\x78" and len(raw) > 2 and (raw[0] << 8 | raw[1]) % 31 == 0:
-            return zlib.decompressobj().decompress(raw, LAYER_BYTES)
-        if raw[:3] == b"BZh":
-            return bz2.BZ2Decompressor().decompress(raw, LAYER_BYTES)
-        if raw[:6] == b"\xfd7zXZ\x00":
-            return lzma.LZMADecompressor().decompress(raw, LAYER_BYTES)
-    except (zlib.error, OSError, lzma.LZMAError, EOFError):
-        return None
+def _decompressor(head: bytes):
+    """A decompressor for bytes that begin like this, or None."""
+    if head[:2] == b"\x1f\x8b":
+        return zlib.decompressobj(31)
+    if head[:1] == b"\x78" and len(head) > 2 and (head[0] << 8 | head[1]) % 31 == 0:
+        return zlib.decompressobj()
+    if head[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    if head[:6] == b"\xfd7zXZ\x00":
+        return lzma.LZMADecompressor()
     return None
 
 
-def _readable(raw: bytes) -> str:
-    """The text of a layer's bytes, decompressed as often as they say; bytes that are no UTF-8 are one U+FFFD each or in twos and threes."""
-    seen = set()
-    while (inner := _inflated(raw)) is not None and inner not in seen:
-        seen.add(inner)
-        raw = inner
-    return raw.decode("utf-8", "replace")
+def _first(raw: Iterator[bytes], held: bytes, least: int) -> bytes:
+    """held, with as many pieces more as it takes to have ``least`` bytes."""
+    parts, size = [held], len(held)
+    while size < least and (more := next(raw, b"")):
+        parts.append(more)
+        size += len(more)
+    return b"".join(parts)
 
 
-def _base64_decoded(text: str) -> Iterator[tuple[str, int, int]]:
+def _members(raw: Iterator[bytes]) -> Iterator[bytes]:
+    """What compressed bytes hold, member after member; bytes that are no member, or a broken one, as they are."""
+    held = _first(raw, b"", 6)
+    while held:
+        box = _decompressor(held)
+        try:
+            while box is not None and not box.eof:
+                piece = box.decompress(held, FEED)
+                if piece:
+                    yield piece
+                if not box.eof:
+                    held = getattr(box, "unconsumed_tail", b"")
+                    if not held and len(piece) < FEED and not (held := next(raw, b"")):
+                        return  # the input ends within a member
+        except (zlib.error, OSError, lzma.LZMAError, EOFError):
+            box = None
+        if box is None:
+            yield b"\n"
+            yield held
+            yield from raw
+            return
+        held = box.unused_data.lstrip(b"\0")
+        while len(held) < 6 and (more := next(raw, b"")):
+            held = (held + more).lstrip(b"\0")
+
+
+def _pieces(raw: bytes) -> Iterator[bytes]:
+    return (raw[k : k + FEED] for k in range(0, len(raw), FEED))
+
+
+def _expanded(raw: Iterator[bytes], above: frozenset[bytes]) -> tuple[Iterator[bytes], frozenset[bytes]]:
+    """The bytes, decompressed as often as they say, and the digests of the layers opened; one of them is not opened again."""
+    head = _first(raw, b"", 6)
+    while _decompressor(head) is not None:
+        head = _first(raw, head, WINDOW)
+        name = hashlib.sha256(head).digest()
+        if name in above:
+            break
+        above |= {name}
+        raw = _members(chain(_pieces(head), raw))
+        head = _first(raw, b"", 6)
+    return chain((head,), raw), above
+
+
+def _texts(raw: Iterator[bytes]) -> Iterator[str]:
+    decoder = codecs.getincrementaldecoder("utf-8")("replace")
+    for piece in raw:
+        yield decoder.decode(piece)
+    yield decoder.decode(b"", True)
+
+
+def _kinds(raw: Iterator[bytes], above: frozenset[bytes]) -> set[int]:
+    """Kinds of the hits in a layer that is not held as a whole, and in its layers."""
+    raw, above = _expanded(raw, above)
+    texts = _texts(raw)
+    found: set[int] = set()
+    parts, size, ended = [], 0, False
+    while not ended and len(found) < len(KINDS):
+        text = next(texts, None)
+        ended = text is None
+        parts.append(text or "")
+        size += len(parts[-1])
+        if size < WINDOW and not ended:
+            continue
+        held = "".join(parts)
+        if not ended:
+            held = _SPACES.sub(" ", held)  # where a pattern has a space, it has any number
+        cut = len(held) if ended else m.end() if (m := _TO_BREAK.match(held)) else 0
+        found |= {k for _, k, _ in all_spans(held[:cut], above)[1]}
+        held = held[cut:]
+        if len(held) >= WINDOW // 2:
+            cut = m.end() if (m := _TO_PAUSE.match(held)) else 0
+            if _RUN.fullmatch(held, cut):
+                if cut:
+                    found |= {k for _, k, _ in all_spans(held[: cut + 64], above)[1]}
+                held = _long_run(held[cut:], texts, found, above)
+            elif cut > 2 * AGAIN:
+                found |= {k for _, k, _ in all_spans(held[:cut], above)[1]}
+                held = held[cut - AGAIN :]
+        # what is left is looked at again when as much has come on top
+        parts, size = [held], 0 if len(held) >= WINDOW // 2 else len(held)
+    return found
+
+
+def _long_run(text: str, texts: Iterator[str], found: set[int], above: frozenset[bytes]) -> str:
+    """Adds the kinds in a base64 run that begins with the text, and in what it holds; the run's end and what was taken after it."""
+    rest, last, ended, size = text, "", False, 0
+
+    def parts() -> Iterator[bytes]:
+        nonlocal rest, last, ended, size
+        left, more = "", text
+        while not ended and more is not None:
+            run = _RUN.match(more)[0]
+            found.update(k for _, k, _ in base_spans(last + run))
+            last = (last + run)[-64:]
+            size += len(run)
+            ended, rest = len(run) < len(more), more[len(run) :]
+            left += run.replace("-", "+").replace("_", "/")
+            whole = len(left) // 4 * 4
+            yield from _pieces(base64.b64decode(left[:whole]))
+            left = left[whole:]
+            more = None if ended else next(texts, None)
+        if len(left) > 1:
+            yield base64.b64decode(left + "=" * (-len(left) % 4))
+
+    decoded = parts()
+    inner = _kinds(decoded, above)
+    for _ in decoded:  # to the run's end, if all kinds were found before
+        pass
+    if size % 4 != 1:
+        found |= inner
+    return last + rest
+
+
+def _base64_decoded(text: str) -> Iterator[tuple[bytes, int, int]]:
     for m in _BASE64.finditer(text):
         run = m[0].rstrip("=").replace("-", "+").replace("_", "/")
         if len(run) % 4 == 1:
             continue
         try:
-            raw = base64.b64decode(run + "=" * (-len(run) % 4))
+            yield base64.b64decode(run + "=" * (-len(run) % 4)), m.start(), m.end()
         except binascii.Error:
             continue
-        yield _readable(raw), m.start(), m.end()
 
 
-def all_spans(text: str) -> tuple[list[Span], list[Span]]:
-    """(base hits, base hits and those of decoded layers)."""
+def all_spans(text: str, above: frozenset[bytes] = frozenset()) -> tuple[list[Span], list[Span]]:
+    """(base hits, base hits and those of decoded layers); above: digests of the compressed layers that hold the text."""
     base = base_spans(text)
     found = set(base)
     work: list[tuple[str, Callable[[int, int], tuple[int, int]]]] = [(text, lambda a, b: (a, b))]
-    seen = {(text, 0, len(text))}
+    seen: set[tuple[str | bytes, int, int]] = {(text, 0, len(text))}
     while work:
         layer, place = work.pop()
         inner: list[tuple[str, Callable[[int, int], tuple[int, int]]]] = []
         for out in (_percent_decoded(layer), _escapes_decoded(layer)):
             if out is not None:
                 inner.append(("".join(out.parts), lambda a, b, out=out, place=place: place(*out.place(a, b))))
-        for decoded, a, b in _base64_decoded(layer):
+        for raw, a, b in _base64_decoded(layer):
             whole = place(a, b)
-            inner.append((decoded, lambda _a, _b, whole=whole: whole))
+            if _decompressor(raw) is None:
+                inner.append((raw.decode("utf-8", "replace"), lambda _a, _b, whole=whole: whole))
+            elif (raw, *whole) not in seen:
+                seen.add((raw, *whole))
+                found |= {(whole[0], k, whole[1]) for k in _kinds(_pieces(raw), above)}
         for decoded, where in inner:
             if decoded and (key := (decoded, *where(0, len(decoded)))) not in seen:
                 seen.add(key)

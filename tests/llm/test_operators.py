@@ -285,6 +285,37 @@ def test_layers_of_any_characters_are_scanned(head, pack):
         assert secret_scan.redacted_text(text) == "head [secret] tail"
 
 
+KEY = "password=Ghijk-lmnop-qrst"
+PACKS = [gzip.compress, zlib.compress, bz2.compress, lzma.compress]
+
+
+def _kinds_in(raw):
+    run = base64.b64encode(raw).decode()
+    return {k for a, k, b in secret_scan.all_spans(f"head {run} tail")[1] if (a, b) == (5, 5 + len(run))}
+
+
+@pytest.mark.parametrize("pack", PACKS)
+def test_layers_are_scanned_to_their_end(pack, monkeypatch):
+    assert _kinds_in(pack(b"plain, line\n" * 10) + pack(b"more\n") + pack(KEY.encode())) == {0}
+    assert _kinds_in(pack(KEY[:14].encode()) + pack(KEY[14:].encode())) == {0}
+    assert _kinds_in(pack(b"one\n") + b"\0" * 8 + pack(KEY.encode())) == {0}
+    assert _kinds_in(pack(b"x") + KEY.encode()) == {0}
+    monkeypatch.setattr(secret_scan, "WINDOW", 1 << 12)
+    monkeypatch.setattr(secret_scan, "FEED", 1 << 8)
+    monkeypatch.setattr(secret_scan, "AGAIN", 1 << 9)
+    inner = base64.b64encode(pack(np.random.default_rng(3).bytes(40_000) + b"\n" + KEY.encode()))
+    for lead in (0, 1, 2, 3):
+        for filler in (b"\xe2\x82\xac, ", b"word ", b"x", b"g.", b"   ", b"\n", b"%20", b"\\x41"):
+            long = b"z" * lead + b"\n" + filler * (20_000 // len(filler))
+            assert _kinds_in(pack(long + b" " + KEY.encode() + b" " + filler * 5000)) == {0}
+        assert _kinds_in(pack(b"z" * lead + b"\npass" + b"word" + b" " * 30_000 + b"= abcdefghijklmnop\n" + b"g" * 9000)) == {0}
+        assert _kinds_in(pack(b"." * lead + inner + b" end")) == {0} == _kinds_in(pack(b"y, " * 3000 + b"." * lead + inner))
+
+
+def test_layers_over_the_old_bound_are_scanned():
+    assert _kinds_in(gzip.compress("€, line\n".encode() * (7 << 20) + KEY.encode(), 1)) == {0}
+
+
 def test_secret_scan_on_odd_rows(odd, empty):
     got = secret_scan.digest(secret_scan.scan(odd)).collect()
     assert len(got) == len(ODD) and {r.n_assign for r in got if r.doc_id is None} == {1}
