@@ -41,10 +41,21 @@ def hamming(a: str, b: str) -> Column:
     return F.bit_count(_half(a, 0).bitwiseXOR(_half(b, 0))) + F.bit_count(_half(a, 1).bitwiseXOR(_half(b, 1)))
 
 
+def simhash_classes(df: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, representative) of every row: the least key of its simhash, as in the pairs of near_duplicates.
+
+    Rows of one representative are at distance 0 of each other. Empty texts (all bits unset) stand each for itself.
+    """
+    # hashes that cannot be null and a condition after the groups: otherwise Spark computes each hash once more to filter
+    hashed = df.select(key, F.coalesce("simhash", F.lit("0" * 32)).alias("simhash"))
+    least = hashed.groupBy("simhash").agg(F.min(key).alias("_least")).withColumn("_least", F.when(F.col("simhash") != "0" * 32, F.col("_least")))
+    return hashed.join(least, "simhash", "left").select(key, F.coalesce("_least", key).alias("representative"))
+
+
 def near_duplicates(df: DataFrame, max_hamming: int = 3, key: str = "doc_id") -> DataFrame:
     """Pairs of different simhashes within max_hamming bits, as (id of the least row of each), with the rows of equal simhashes as one.
 
-    A 128-bit hash is cut into max_hamming + 1 bands; pairs within the distance
+    simhash_classes says which rows each of these ids stands for. A 128-bit hash is cut into max_hamming + 1 bands; pairs within the distance
     agree on one at least, so joining by (band, value) misses none. Empty
     texts (all bits unset) are left out: they would share every band.
     """

@@ -253,6 +253,7 @@ PLANS = {
     "simhash": (lambda s, d: N.with_simhash(s.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")).select("doc_id", "simhash"), None),
     "exact_duplicates": (lambda s, d: N.exact_duplicates(s.read.parquet(f"{d}/documents.parquet")), "SELECT md5(coalesce(text, '')) AS hash, min(doc_id) AS first_id, count(*) AS copies FROM documents GROUP BY 1 HAVING count(*) > 1"),
     "near_duplicates": (lambda s, d: N.near_duplicates(N.with_simhash(s.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")), 7), None),
+    "near_duplicate_classes": (lambda s, d: N.simhash_classes(N.with_simhash(s.read.parquet(f"{d}/documents.parquet").select("doc_id", "text"))), None),
     "host_boilerplate": (lambda s, d: N.host_boilerplate(chunks_of(s, d)), W(*TC) + f"SELECT host, sentence, count(*) AS docs FROM (SELECT DISTINCT host, doc_id, unnest({T.sentences(DUCK, 'text')}) AS sentence FROM chunks) GROUP BY 1, 2 HAVING count(*) >= 3"),
     "suppress_boilerplate": (lambda s, d: N.suppress_boilerplate(X.policy_texts(s, d), N.host_boilerplate(X.policy_texts(s, d))), W(X.TEXTS) + f", each AS (SELECT host, doc_id, s, unnest(range(1, len(s) + 1)) AS k FROM (SELECT host, doc_id, {T.sentences(DUCK, 'text')} AS s FROM texts)), b AS (SELECT host, s[k] AS x FROM each GROUP BY 1, 2 HAVING count(DISTINCT doc_id) >= 3) SELECT doc_id, string_agg(s[k], ' ' ORDER BY k) AS text FROM each WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.host = each.host AND b.x = s[k]) GROUP BY doc_id"),
 }

@@ -88,6 +88,17 @@ def test_near_duplicates(spark):
     assert [(r.a, r.b) for r in got] == [(1, 3)]
 
 
+def test_simhash_classes_hold_every_row(spark):
+    words = [f"w{k}" for k in range(400)]
+    near = " ".join([*words[:-1], "other"])
+    df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words).upper()), (3, near), (4, ""), (5, None), (6, near + "!"), (7, "alone here"), (8, "Alone, here"), (9, "no copy")], "doc_id long, text string")
+    hashed = similarity.with_simhash(df)
+    of = {r.doc_id: r.representative for r in similarity.simhash_classes(hashed).collect()}
+    assert of == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5, 6: 3, 7: 7, 8: 7, 9: 9}
+    assert {x for r in similarity.near_duplicates(hashed, 20).collect() for x in (r.a, r.b)} <= set(of.values())
+    assert similarity.simhash_classes(hashed.limit(0)).count() == 0
+
+
 def test_tiny_diff(spark):
     df = spark.createDataFrame([("a b c", "a x c"), ("a", "a"), (None, "b")], "p string, q string")
     assert [r[0] for r in df.select(H.tiny_diff("p", "q")).collect()] == ["- b + x", "", ""]
