@@ -173,11 +173,14 @@ def search_chunks(chunks: DataFrame, terms: list[str], rules: str = "", n: int =
     return chunks.join(F.broadcast(best), "chunk_id").select("chunk_id", "host", "url", snippet("text", terms, 12).alias("snippet"), F.substring("text", 1, 3000).alias("text"), F.round("rank", 6).alias("rank"))
 
 
-def hits_by_host(chunks: DataFrame, terms: list[str], cap: int = 50_000) -> DataFrame:
-    """Q8: hosts of the cap best hits."""
-    postings = postings_of(chunks, "chunk_id", terms)
-    ranks = bm25(postings, corpus_size(chunks), "chunk_id", terms).orderBy("rank", "chunk_id").limit(cap)
-    return chunks.join(ranks, "chunk_id").groupBy("host").agg(F.count("*").alias("hits"))
+def hits_by_host(chunks: DataFrame, terms: list[str], cap: int | None = None) -> DataFrame:
+    """Q8: hosts of all hits, counted in their rows; with cap, of the cap best hits only."""
+    if cap is None:
+        hits = chunks.where(F.arrays_overlap(F.expr(_words("text")), F.array(*map(F.lit, terms))))
+    else:
+        postings = postings_of(chunks, "chunk_id", terms)
+        hits = chunks.join(bm25(postings, corpus_size(chunks), "chunk_id", terms).orderBy("rank", "chunk_id").limit(cap), "chunk_id")
+    return hits.groupBy("host").agg(F.count("*").alias("hits"))
 
 
 def hybrid_rank(chunks: DataFrame, terms: list[str], vectors: DataFrame, query: list[float], alpha: float = 0.55, k: int = 20, fetch_mult: int = 5, rules: str = "") -> DataFrame:

@@ -119,6 +119,13 @@ def test_upsert_is_idempotent(spark):
     assert sorted(map(tuple, once.collect())) == sorted(map(tuple, twice.collect())) == [("a", "t", "c", "k", 1), ("z", "", "d", None, 0)]
 
 
+def test_hits_by_host_counts_all_hits(spark):
+    chunks = spark.range(50_200).select(F.concat(F.lit("c"), F.col("id").cast("string")).alias("chunk_id"), F.when(F.col("id") < 50_100, "a").otherwise("b").alias("host"), F.when(F.col("id") < 50_150, "the License, the cookie").otherwise("no licenses").alias("text"))
+    got = {r.host: r.hits for r in search.hits_by_host(chunks, ["license", "cookie"]).collect()}
+    assert got == {"a": 50_100, "b": 50}
+    assert sum(r.hits for r in search.hits_by_host(chunks, ["license", "cookie"], cap=30).collect()) == 30
+
+
 def test_snippet(spark):
     df = spark.createDataFrame([("one two three Cookie, rules five six",), ("none here",)], "text string")
     got = [r[0] for r in df.select(search.snippet("text", ["cookie", "rules"], 3)).collect()]
