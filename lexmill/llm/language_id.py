@@ -11,7 +11,8 @@ FOLDED classes. Texts are cut into blocks of BLOCK symbols that all languages
 and many texts parse in step (numpy), each block from the automaton's root.
 
 The sample is bounded: about ROWS documents of each language, chosen by a hash
-of their id, of which whole texts are taken until TRAINED symbols are reached.
+of their id, of which texts are taken until TRAINED characters are reached; of the last one
+only its first characters that still fit, so long texts count and no labelled language is left out.
 Everything else covers all rows, in one pass and without a shuffle.
 
 A null text, or one without a letter, is ``und`` with score 0, and so is every
@@ -172,14 +173,15 @@ def _remainder() -> F.Column:
 
 def learn(docs: DataFrame, rows: int = ROWS, trained: int = TRAINED) -> Model:
     """Fits on the bounded sample of labelled rows that are not held out."""
-    labelled = docs.where((_remainder() != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= trained))
+    labelled = docs.where((_remainder() != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return Model({})
     limit = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, int(min(1.0, rows / n) * (1 << 30)))])
-    drawn = labelled.select("lang", "text", "doc_id", F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 30)).alias("draw")).where(F.col("draw") < limit[F.col("lang")])
+    drawn = labelled.select("lang", F.substring("text", 1, trained).alias("text"), "doc_id", F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 30)).alias("draw")).where(F.col("draw") < limit[F.col("lang")])
     order = Window.partitionBy("lang").orderBy("draw", "doc_id", "text")
-    taken = drawn.withColumn("sum", F.sum(F.length("text")).over(order.rowsBetween(Window.unboundedPreceding, 0))).where(F.col("sum") <= trained)
+    left = trained - F.coalesce(F.sum(F.length("text")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    taken = drawn.withColumn("left", left.cast("int")).where("left > 0").withColumn("text", F.expr("substring(text, 1, left)"))
     samples: dict[str, list[str]] = {}
     for r in sorted(taken.select("lang", "draw", "doc_id", "text").collect()):
         samples.setdefault(r["lang"], []).append(r["text"])

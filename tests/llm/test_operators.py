@@ -192,6 +192,14 @@ def test_language_accuracy_and_odd_rows(spark, odd, empty):
     assert {r.lang_pred for r in language_id.identify(odd, language_id.learn(empty)).collect()} == {"und"}
 
 
+def test_languages_of_long_texts_only_are_learned(spark):
+    rows = [(k, w * 3000, lang) for k in range(12) for w, lang in (("abcabc ", "short"), ("uvwxyz ", "long"))]
+    docs = spark.createDataFrame([(2 * k + (lang == "long"), t if lang == "long" else t[:70], lang) for k, t, lang in rows], "doc_id long, text string, lang string")
+    model = language_id.learn(docs, trained=1000)
+    assert model.languages == ["long", "short"] and model.predict(["uvwxyz uvwxyz", "abcabc abcabc"])[0] == ["long", "short"]
+    assert max(model.bits) <= math.log2(1001)
+
+
 def test_automaton_phrases():
     model = language_id.Model({"a": ["abcabcabc"], "b": ["xyzxyzxyz"]})
     phrases, _ = model.parse(["abcab", "xyz abc"])
