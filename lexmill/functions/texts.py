@@ -83,11 +83,15 @@ def quick_text(d: Dialect, html: str) -> str:
 _SPLIT = "␞"
 
 
+def sentence_parts(d: Dialect, text: str) -> str:
+    """C11: an array of all parts between sentence ends, trimmed."""
+    marked = d.replace_all(f"coalesce({text}, '')", r"([.?!])\s+([A-Z0-9\"'“])", f"$1{_SPLIT}$2")
+    return d.each(d.split(marked, _SPLIT), "s", d.replace_all("s", r"^\s+|\s+$", ""))
+
+
 def sentences(d: Dialect, text: str, answers: bool = False) -> str:
     """C11: an array of sentences; menu-like ones dropped, or for answers those outside 30 to 600 characters."""
-    marked = d.replace_all(f"coalesce({text}, '')", r"([.?!])\s+([A-Z0-9\"'“])", f"$1{_SPLIT}$2")
-    parts = d.each(d.split(marked, _SPLIT), "s", d.replace_all("s", r"^\s+|\s+$", ""))
-    return d.keep(parts, "s", "length(s) BETWEEN 30 AND 600" if answers else f"s <> '' AND NOT {is_menuish(d, 's')}")
+    return d.keep(sentence_parts(d, text), "s", "length(s) BETWEEN 30 AND 600" if answers else f"s <> '' AND NOT {is_menuish(d, 's')}")
 
 
 def is_menuish(d: Dialect, s: str) -> str:

@@ -38,6 +38,17 @@ def _on_texts(columns: Columns):
     return run, X.with_(X.TEXTS) + "SELECT doc_id, " + ", ".join(f"{x} AS {c}" for c, x in columns(DUCK).items()) + " FROM texts"
 
 
+def _on_sentences(columns: Columns):
+    """Over every sentence of every whole text, with its place k."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        each = X.policy_texts(spark, sf_dir).select("doc_id", F.posexplode(F.expr(T.sentence_parts(SPARK, "text"))).alias("k", "s")).where("s <> ''")
+        return each.select("doc_id", F.col("k").cast("long").alias("k"), *[F.expr(x).alias(c) for c, x in columns(SPARK).items()])
+
+    each = f"parts AS (SELECT doc_id, {T.sentence_parts(DUCK, 'text')} AS p FROM texts), each AS (SELECT doc_id, i - 1 AS k, p[i] AS s FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM parts))"
+    return run, X.with_(X.TEXTS, each) + "SELECT doc_id, k, " + ", ".join(f"{x} AS {c}" for c, x in columns(DUCK).items()) + " FROM each WHERE s <> ''"
+
+
 _MESSY = "concat('  ', replace(url, '/', '/'), '&amp;a=1\")];, <b>x</b>')"
 _LINKS = "CASE id % 4 WHEN 0 THEN 'mailto:a@b' WHEN 1 THEN '/legal/x#top' WHEN 2 THEN 'more/y' ELSE '//cdn.example.com/z' END"
 _ROOT = "regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)), '^(www|m|blog)[.]', '')"
@@ -53,6 +64,11 @@ def _classified(d: Dialect) -> dict[str, str]:
     return {"label": label, "confidence": f"round({share}, 6)"}
 
 
+def _classified_whole(d: Dialect) -> dict[str, str]:
+    label, share = T.classify(d, "substr(text, 1, 40)", "text")
+    return {"label": label, "confidence": f"round({share}, 6)"}
+
+
 def _estimates(d: Dialect) -> dict[str, str]:
     return {how: T.token_estimate(d, "text", how) for how in ("ceil", "round", "floor")}
 
@@ -141,4 +157,9 @@ PLANS = {
     "signal_score": _on_texts(lambda d: {"score": f"round({T.signal_score(d, 'substr(text, 1, 200)')}, 6)"}),
     "tag_documents_array": _on_texts(_joined(T.document_tags, "url", "text")),
     "within_window": _on_texts(lambda d: {"near": T.within_window(d, T.words_of(d, "substr(text, 1, 600)"), "the", "of", 3)}),
+    # the same rules over whole texts, and over each of their sentences
+    "classify_whole": _on_texts(_classified_whole),
+    "within_window_whole": _on_texts(lambda d: {"near": T.within_window(d, T.words_of(d, "text"), "the", "of", 3)}),
+    "is_menuish_sentences": _on_sentences(_one("menuish", T.is_menuish, "s")),
+    "signal_score_sentences": _on_sentences(lambda d: {"score": f"round({T.signal_score(d, 's')}, 6)"}),
 }
