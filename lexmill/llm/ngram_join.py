@@ -224,7 +224,15 @@ def ngram_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT
     entries = written(entry.join(shared, "key").select("key", "n", "id", "lead", *unpacked).where("id <> lead"))
     # an id with several sets has no one bitmap, and no one size
     maps = leads.groupBy("id").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("bits", "fine", "size")]).select("id", *[F.when(F.col("n") == 1, F.col(c)).alias(c) for c in ("bits", "fine", "size")])
-    pairs = entries.where(_may_link("own", "leads", percent)).select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
+    # nor is the set that stands for it in a bucket the only one: pairs with it are left to the whole sets
+    several = checkpoint(members.groupBy("doc_id").agg(F.countDistinct(*signs).alias("n")).where("n > 1").select(F.col("doc_id").alias("lead")))
+    doubled = bool(several.take(1))
+    if doubled:
+        led = entries.join(small_or_as_is(several.withColumn("several", F.lit(True))), "lead", "left")
+        met = led.where(F.col("several").isNotNull() | _may_link("own", "leads", percent))
+    else:
+        met = entries.where(_may_link("own", "leads", percent))
+    pairs = met.select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
     pairs = _unpruned(pairs, maps, percent)
     links = checkpoint(_verified(checkpoint(pairs), docs, width, percent))
     # A bucket of three or more may link others than its lead. Two steps along the links found give most members of
@@ -241,8 +249,7 @@ def ngram_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT
     # a set's component, then an id's: the least of its rows' sets
     lead_of = whole.join(of, "id", "left").select(*signs, "id", F.coalesce("component", "id").alias("component"))
     named = members.join(lead_of, signs)
-    doubled = members.groupBy("doc_id").agg(F.countDistinct(*signs).alias("n")).where("n > 1")
-    if doubled.take(1):
+    if doubled:
         again = named.select(F.col("doc_id").alias("a"), F.col("component").alias("b")).where("a <> b")
         of = components(again.union(links).union(more)).withColumnRenamed("id", "doc_id")
         named = members.join(of, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))

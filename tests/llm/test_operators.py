@@ -172,6 +172,18 @@ def test_ngram_join_on_odd_rows(odd, empty):
     assert ngram_join.ngram_components(empty).count() == 0
 
 
+@pytest.mark.parametrize("long_first", [True, False])
+def test_ngram_join_of_ids_with_two_sets(spark, long_first):
+    docs = []
+    for k in range(0, 60, 2):
+        words = [f"s{k}x{j}" for j in range(200)]
+        both = [(k, " ".join(words)), (k, " ".join([*words, *[f"l{k}x{j}" for j in range(1800)]]))]
+        docs += [*(both[::-1] if long_first else both), (k + 1, " ".join([*words[:-1], "other"]))]
+    df = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: r.component_id for r in ngram_join.ngram_components(df).collect()}
+    assert got == {k: k // 2 * 2 for k in range(60)}
+
+
 def test_components_of_a_path(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101)], "a long, b long")
     got = {r.id: r.component for r in components.components(links).collect()}
