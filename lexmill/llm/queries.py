@@ -16,7 +16,7 @@ from .quality_rules import op2_quality_rules
 from .secret_scan import op8_secret_scans
 from .token_counts import op6_token_counts
 from .toxicity import op7_toxicity
-from .url_filter import op10_url_filter
+from .url_filter import op10_url_filter, op10_url_filter_whole
 
 _QUERIES = [
     op1_harmonic_packing,
@@ -29,6 +29,7 @@ _QUERIES = [
     op8_secret_scans,
     op9_mix_to_weights,
     op10_url_filter,
+    op10_url_filter_whole,
 ]
 
 

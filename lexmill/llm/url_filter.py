@@ -47,9 +47,9 @@ def ruled(host: Column, path: Column, rules=RULES) -> Column:
     return F.array_max(F.array(*fits)) if fits else F.lit(None).cast("struct<size:int,rule:string,verdict:string>")
 
 
-def folded(host: Column, path: Column) -> Column:
+def folded(text: Column) -> Column:
     """The text that models see: lower case, one class of digits, one of other characters."""
-    lower = F.translate(F.concat(host, path), _UPPER + "123456789", _LOWER + "0" * 9)
+    lower = F.translate(text, _UPPER + "123456789", _LOWER + "0" * 9)
     return F.concat(F.lit("^" * ORDER), F.regexp_replace(lower, r"[^a-z0/._\-]", "~"), F.lit("$"))
 
 
@@ -75,11 +75,11 @@ def scored_windows(texts: DataFrame) -> DataFrame:
     return scored.select("window", F.round((F.log("p_a") - F.log("p_r")) * UNIT).cast("long").alias("gain"))
 
 
-def judge(pages: DataFrame, rules=RULES) -> DataFrame:
-    """page_id, host, path, rule, verdict, score (in 1/UNIT nats a character) of every row."""
+def judge(pages: DataFrame, rules=RULES, whole: bool = False) -> DataFrame:
+    """page_id, host, path, rule, verdict, score (in 1/UNIT nats a character) of every row; the models see host and path, or the whole URL."""
     host, path = parts(F.col("url"))
-    split = pages.select("page_id", host.alias("host"), path.alias("path"))
-    found = split.select("*", ruled(F.col("host"), F.col("path"), rules).alias("fit"), folded(F.col("host"), F.col("path")).alias("text"))
+    split = pages.select("page_id", host.alias("host"), path.alias("path"), F.coalesce("url", F.lit("")).alias("url"))
+    found = split.select("*", ruled(F.col("host"), F.col("path"), rules).alias("fit"), folded(F.col("url") if whole else F.concat("host", "path")).alias("text")).drop("url")
     texts = written(found.groupBy("text").agg(F.count_if(F.col("fit.verdict") == "allow").alias("accepted"), F.count_if(F.col("fit.verdict") == "block").alias("rejected")))
     gains = written(scored_windows(texts))
     each = texts.select("text", F.explode(_windows(F.col("text"))).alias("window")).join(small_or_as_is(gains, WINDOWS), "window")
@@ -95,6 +95,11 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op10_url_filter_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With models of whole URLs: scheme, query and fragment too."""
+    return judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), whole=True)
+
+
 def _chance(k: int, m: str) -> str:
     return f"CASE WHEN {m}n{k} = 0 THEN p_{m} ELSE ({m}{k} + {m}t{k} * p_{m}) / ({m}n{k} + {m}t{k}) END AS p_{m}"
 

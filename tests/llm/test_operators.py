@@ -376,3 +376,14 @@ def test_urls_on_odd_rows(spark):
     assert got[5] == ("s.example.net", "/en/1", "example.net/en/", "allow") and got[6][2:] == ("example.com/de/", "block") and got[7][2:] == ("org/fr/", "allow")
     assert url_filter.judge(df.limit(0)).count() == 0
     assert {r.verdict for r in url_filter.judge(df.where("page_id < 3")).collect()} == {"allow"}
+
+
+def test_whole_urls_are_scored(spark):
+    good, bad = ([f"http://{host}.org/fr/a?{q}={k}" for k in range(20)] for host, q in (("a", "article"), ("b", "tracker")))
+    bad = [u.replace("b.org/fr/a", "b.example.com/de/a") for u in bad]
+    asked = ["http://c.edu/x?article=7", "http://c.edu/x?tracker=7", "article=7", "tracker=7"]
+    df = spark.createDataFrame(list(enumerate([*good, *bad, *asked])), "page_id long, url string")
+    got = {r.page_id: (r.verdict, r.score) for r in url_filter.judge(df, whole=True).collect()}
+    assert [got[k][0] for k in range(40, 44)] == ["allow", "block", "allow", "block"] and got[40][1] != got[41][1]
+    hostless = {r.page_id: r for r in url_filter.judge(df, whole=True).collect()}
+    assert (hostless[40].host, hostless[40].path, hostless[42].host) == ("c.edu", "/x", "")
