@@ -2,29 +2,34 @@
 
 A document's tokens are its distinct word shingles (64-bit hashes). All tokens
 are ordered: rare ones first, then the frequent class, each by hash. With
-required overlap o, two documents that link share a token within their first
-``size - o + 1`` tokens. A shared rare token there is found by an index of
-single tokens. If none is rare, both have all their rare tokens inside the
-prefix, so in prefixes extended by one they share two frequent tokens: those are
-indexed as combinations of two (by single tokens for sets of over COMBINED
-tokens, both ways in between), which keeps widely shared passages from
-filling one bucket. Candidates pass length and position
+required overlap o, two documents that link share at least m + 1 tokens within their first
+``size - o + 1 + m`` tokens. If one that stands within ``size - o + 1`` is rare, it is found by an
+index of single tokens. Otherwise both have all their rare tokens there and share none, so the
+m + 1 shared tokens are frequent ones. Tokens are dealt into m classes by their hash; of m + 1
+shared tokens two fall into one class, so only combinations of two frequent tokens of one
+class are indexed. m grows with the size (a power of two, about a third of the prefix), so a prefix of
+any length gives combinations in proportion to its length, and no frequent token is ever indexed
+alone: widely shared passages do not fill buckets. Candidates pass length and position
 bounds and a bound from parity bitmaps (the sets differ in at least as many tokens
 as the bitmaps differ in bits), then whole sets are compared.
 
 Equal sets are one node from the start. In each bucket all members are first
-compared to its least one only; members that links then tie together share a label, and only pairs of a bucket
-with different labels go on. So a group of near copies costs about its size, not its square, and
+compared to its least one only; members that links then tie together share a label. Of a bucket's
+other pairs only those of different labels go on, and they are found from the members whose label
+is not that of the least one. So a group of near copies costs about its size, not its square, and
 a pair is left out only where its two documents are connected already.
 
-Shuffled are keys, not texts; sets are sent only for documents of candidate
+Shuffled are keys, not texts, and once: buckets are runs of a sort by key. Combinations of tokens that HOT of all
+documents have may be in as many documents; they are counted first (combined before the shuffle) and then joined, so that
+adaptive execution can split a key that outgrows a partition. So it can in every other join here, as all
+sides that are not broadcast are plain shuffles. Sets are sent only for documents of candidate
 pairs. The frequent class is bounded: a token of it is in at least SHARE of all
 documents, so it has at most (mean set size / SHARE) members.
 
 Null or wordless texts have empty sets and link with nothing. Rows that share a
 doc_id count as one node (any of their links is the id's); a null doc_id gets a
 null component. Every row gives a row; an empty table gives none; other columns
-are ignored.
+are ignored. Very long texts are hashed whole, one at a time.
 """
 
 from __future__ import annotations
@@ -33,21 +38,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import checkpoint, small_or_as_is, written
+from .shared import Tables, checkpoint, small_or_as_is
 from .wordhash import blocks, mix, shingle_sets
 
 WIDTH, PERCENT = 4, 85
-#: A token in at least this share of the documents is of the frequent class; sets up to COMBINED tokens index it in twos.
-SHARE, COMBINED = 0.001, 400
+#: A token in at least SHARE of the documents is of the frequent class, and hot if it is in HOT of them.
+SHARE, HOT = 0.001, 0.01
 #: Tokens counted at once within a task, and the least count there to report a token.
 WINDOW, REPORTED = 1 << 20, 8
-#: 64-bit words of a document's coarse parity bitmap; (set size, words) of the fine one, where a set is over the first size.
-MAP_WORDS = 8
-FINE = ((400, 0), (4096, 32), (65536, 512), (1 << 62, 8192))
+#: 64-bit words of every set's coarse parity bitmap; sets over FINE tokens have a fine one too, of one or two bits a token.
+MAP_WORDS, FINE = 8, 400
 _PAIR = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -55,8 +59,8 @@ def _columns(part: pa.RecordBatch, first: int, last: int) -> pa.Array:
     return part.column("doc_id").slice(first, last - first).cast(pa.int64())
 
 
-def frequent_tokens(docs: DataFrame, width: int, share: float) -> np.ndarray:
-    """Tokens that windows of documents report as common, and that are in ``share`` of all documents by those reports."""
+def frequent_tokens(docs: DataFrame, width: int, share: float, hot: float) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens that windows of documents report as common, and that are in ``share`` of all documents by those reports; whether in ``hot``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -81,78 +85,111 @@ def frequent_tokens(docs: DataFrame, width: int, share: float) -> np.ndarray:
 
     counts = checkpoint(docs.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")))
     total = counts.where("token is null").agg(F.sum("n")).first()[0] or 0
-    found = counts.where(F.col("token").isNotNull() & (F.col("n") >= max(REPORTED, share * total))).select("token").toPandas()["token"]
-    return np.sort(found.to_numpy(np.int64).view(np.uint64))
+    found = counts.where(F.col("token").isNotNull() & (F.col("n") >= max(REPORTED, share * total))).orderBy("token").toPandas()
+    tokens = found["token"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(tokens)
+    return tokens[order], (found["n"].to_numpy(np.int64) >= hot * total)[order]
 
 
-def prefix_keys(tokens: np.ndarray, frequent: np.ndarray, percent: int, combined: int) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, position of each key's first token in the order) of one sorted set."""
+def _least_overlap(n: int, percent: int) -> int:
+    return -(-percent * n // 100)
+
+
+def classes(n: int, percent: int) -> int:
+    """Into how many classes frequent tokens are dealt for pairs whose larger set has n tokens."""
+    reach = n - _least_overlap(n, percent) + 1
+    return 1 << max(0, (reach // 2).bit_length() - 1)
+
+
+def _combined(tokens: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places of the earlier, of the later token) of all twos of one class."""
+    kind = (tokens >> np.uint64(11)) & np.uint64(parts - 1)
+    order = np.argsort(kind, kind="stable")
+    kind = kind[order]
+    first, second = [], []
+    for step in range(1, len(tokens)):
+        same = np.flatnonzero(kind[step:] == kind[:-step])
+        if not len(same):
+            break
+        first.append(order[same])
+        second.append(order[same + step])
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *first]), np.concatenate([none, *second])
+
+
+def prefix_keys(tokens: np.ndarray, frequent: np.ndarray, hot: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, places, whether the key may be hot) of one sorted set; no more tokens than ``size - place`` can be shared if a
+    pair's first meeting is by that key."""
     n = len(tokens)
     if not n:
-        return tokens, np.zeros(0, np.int64)
-    reach = n - -(-percent * n // 100) + 1
+        return tokens, np.zeros(0, np.int64), np.zeros(0, bool)
+    reach = n - _least_overlap(n, percent) + 1
     if len(frequent):
         at = np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)
         common = frequent[at] == tokens
     else:
         common = np.zeros(n, bool)
-    rare, often = tokens[~common], tokens[common]
+    rare = tokens[~common]
     r = min(len(rare), reach)
-    keys, places = [rare[:r]], [np.arange(r)]
-    if r < reach:
-        if 100 * n >= percent * combined:
-            keys.append(mix(often[: reach - r] ^ _PAIR))
-            places.append(np.arange(r, r + len(keys[-1])))
-        if n <= combined:
-            wide = often[: reach + 1 - r]
-            a, b = np.triu_indices(len(wide), 1)
-            keys.append(mix(wide[a] * _PAIR + mix(wide[b])))
-            places.append(r + a)
-    return np.concatenate(keys), np.concatenate(places)
-
-
-def parity_map(tokens: np.ndarray, words: int, shift: int) -> np.ndarray:
+    if r == reach:
+        return rare[:r], np.arange(r), np.zeros(r, bool)
+    often, very = tokens[common], hot[at[common]]
+    # the larger set of a pair says how many classes there are: this one, or one up to 100/percent of its size
+    least, most = classes(n, percent), classes(100 * n // percent, percent)
+    keys, places, hots = [rare[:r]], [np.arange(r)], [np.zeros(r, bool)]
+    parts = least
+    while parts <= most:
+        wide = often[: reach + parts - r]
+        a, b = _combined(wide, parts)
+        keys.append(mix(wide[a] * _PAIR + mix(wide[b])))
+        # up to ``parts`` shared tokens can stand before the later one of the first two that meet
+        places.append(np.maximum(0, r + b - most))
+        hots.append(very[a] & very[b])
+        parts *= 2
+    found, at = np.unique(np.concatenate(keys), return_index=True)
+    return found, np.concatenate(places)[at], np.concatenate(hots)[at]
+
+
+def parity_map(tokens: np.ndarray, words: int) -> np.ndarray:
     """Bit b: whether an odd number of tokens falls on it."""
     bits = 64 * words
-    parity = np.bincount((tokens >> np.uint64(shift) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    parity = np.bincount((tokens >> np.uint64(20) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(parity.astype(np.uint8)).view(np.int64)
 
 
-def profiles(docs: DataFrame, frequent, width: int, percent: int, combined: int) -> DataFrame:
-    """doc_id, size, sign1, sign2 (of the whole set), keys, places, bits, fine."""
+def fine_words(size: int) -> int:
+    """Words of the fine bitmap: a power of two, of one to two bits a token; none for small sets."""
+    return 1 << (-(-size // 64) - 1).bit_length() if size > FINE else 0
+
+
+def _lists(parts: list[np.ndarray], kind) -> pa.ListArray:
+    return pa.ListArray.from_arrays(np.cumsum([0, *map(len, parts)]).astype(np.int32), np.concatenate(parts).astype(kind, copy=False))
+
+
+def profiles(docs: DataFrame, frequent, width: int, percent: int) -> DataFrame:
+    """doc_id, size, sign1, sign2 (of the whole set), keys, places, hot_keys, hot_places, bits, fine."""
     weights = np.uint64(0x9FB21C651E98DF25)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common = frequent.value
+        common, hot = frequent.value
         for batch in batches:
             for first, last, offsets, raw in blocks(batch.column("text")):
-                sizes, one, two, keys, places, bits, fine = [], [], [], [], [], [], []
+                sizes, signs, lists = [], ([], []), ([], [], [], [], [], [])
                 for tokens in shingle_sets(offsets, raw, width):
                     sizes.append(len(tokens))
-                    one.append(int(tokens.sum(dtype=np.uint64).view(np.int64)))
-                    two.append(int(mix(tokens * weights).sum(dtype=np.uint64).view(np.int64)))
-                    k, p = prefix_keys(tokens, common, percent, combined)
-                    keys.append(k.view(np.int64))
-                    places.append(p.astype(np.int32))
-                    bits.append(parity_map(tokens, MAP_WORDS, 40))
-                    words = next(w for most, w in FINE if len(tokens) <= most)
-                    fine.append(parity_map(tokens, words, 20) if words else tokens[:0].view(np.int64))
-                ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
+                    signs[0].append(int(tokens.sum(dtype=np.uint64).view(np.int64)))
+                    signs[1].append(int(mix(tokens * weights).sum(dtype=np.uint64).view(np.int64)))
+                    keys, places, very = prefix_keys(tokens, common, hot, percent)
+                    keys = keys.view(np.int64)
+                    fine = parity_map(tokens, w) if (w := fine_words(len(tokens))) else tokens[:0].view(np.int64)
+                    for out, part in zip(lists, (keys[~very], places[~very], keys[very], places[very], parity_map(tokens, MAP_WORDS), fine), strict=True):
+                        out.append(part)
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        _columns(batch, first, last),
-                        pa.array(sizes, pa.int64()),
-                        pa.array(one, pa.int64()),
-                        pa.array(two, pa.int64()),
-                        pa.ListArray.from_arrays(ends, np.concatenate(keys)),
-                        pa.ListArray.from_arrays(ends, np.concatenate(places)),
-                        pa.ListArray.from_arrays(np.arange(0, MAP_WORDS * len(bits) + 1, MAP_WORDS, dtype=np.int32), np.concatenate(bits)),
-                        pa.ListArray.from_arrays(np.cumsum([0, *map(len, fine)]).astype(np.int32), np.concatenate(fine)),
-                    ],
-                    ["doc_id", "size", "sign1", "sign2", "keys", "places", "bits", "fine"],
+                    [_columns(batch, first, last), pa.array(sizes, pa.int64()), *[pa.array(s, pa.int64()) for s in signs], *[_lists(x, t) for x, t in zip(lists, (np.int64, np.int32, np.int64, np.int32, np.int64, np.int64), strict=True)]],
+                    ["doc_id", "size", "sign1", "sign2", "keys", "places", "hot_keys", "hot_places", "bits", "fine"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, size long, sign1 long, sign2 long, keys array<long>, places array<int>, bits array<long>, fine array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, size long, sign1 long, sign2 long, keys array<long>, places array<int>, hot_keys array<long>, hot_places array<int>, bits array<long>, fine array<long>")
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
@@ -160,101 +197,130 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
         for batch in batches:
             for first, last, offsets, raw in blocks(batch.column("text")):
                 tokens = [t.view(np.int64) for t in shingle_sets(offsets, raw, width)]
-                ends = np.cumsum([0, *map(len, tokens)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([_columns(batch, first, last), pa.ListArray.from_arrays(ends, np.concatenate(tokens))], ["id", "tokens"])
+                yield pa.RecordBatch.from_arrays([_columns(batch, first, last), _lists(tokens, np.int64)], ["id", "tokens"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "id long, tokens array<long>")
 
 
-def _may_link(a: str, b: str, percent: int) -> Column:
-    """Bounds on the overlap from sizes, and from the places of the key's first token in either order."""
-    na, nb = F.col(f"{a}.size"), F.col(f"{b}.size")
-    rest = F.least(na - F.col(f"{a}.place"), nb - F.col(f"{b}.place"))
-    return _sizes_allow(na, nb, percent) & ((100 + percent) * rest >= percent * (na + nb))
+def _may_link(size: Column, place: Column, other_size: Column, other_place: Column, percent: int) -> Column:
+    """Bounds on the overlap from sizes, and from the key's places."""
+    rest = F.least(size - place, other_size - other_place)
+    return (100 * F.least(size, other_size) >= percent * F.greatest(size, other_size)) & ((100 + percent) * rest >= percent * (size + other_size))
 
 
-def _sizes_allow(na: Column, nb: Column, percent: int) -> Column:
-    return 100 * F.least(na, nb) >= percent * F.greatest(na, nb)
+def _apart(x: Column, y: Column) -> Column:
+    """Bits that differ."""
+    return F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda n, k: n + k)
 
 
-def _maps_allow(a: str, b: str, percent: int) -> Column:
-    """Sets that link differ in at most (100 - percent) / (100 + percent) of their sizes' sum, and so do their bitmaps."""
-    apart = sum((F.bit_count(F.col(f"{a}.bits")[k].bitwiseXOR(F.col(f"{b}.bits")[k])) for k in range(1, MAP_WORDS)), F.bit_count(F.col(f"{a}.bits")[0].bitwiseXOR(F.col(f"{b}.bits")[0])))
-    return F.coalesce((100 + percent) * apart <= (100 - percent) * (F.col(f"{a}.size") + F.col(f"{b}.size")), F.lit(True))
+def _folded(words: Column, n: Column) -> Column:
+    """A parity bitmap of twice n words as one of n words."""
+    return F.zip_with(F.slice(words, 1, n), F.slice(words, n + 1, n), lambda p, q: p.bitwiseXOR(q))
 
 
 def _unpruned(pairs: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that sizes and both bitmaps leave. An id with several sets has no map and is left."""
-    sided = lambda side, name, *columns: maps.select(F.col("id").alias(side), F.struct(*columns).alias(name))
-    coarse = pairs.join(sided("a", "x", "size", "bits"), "a").join(sided("b", "y", "size", "bits"), "b")
-    left = coarse.where(F.coalesce(_sizes_allow(F.col("x.size"), F.col("y.size"), percent), F.lit(True)) & _maps_allow("x", "y", percent)).select("a", "b")
-    left = checkpoint(left)
-    both = left.join(sided("a", "x", "size", "fine"), "a").join(sided("b", "y", "size", "fine"), "b")
-    apart = F.aggregate(F.zip_with("x.fine", "y.fine", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda n, k: n + k)
-    fits = (100 + percent) * apart <= (100 - percent) * (F.col("x.size") + F.col("y.size"))
-    return both.where(F.coalesce(F.when(F.size("x.fine") == F.size("y.fine"), fits), F.lit(True))).select("a", "b")
-
-
-def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (a, b) that sizes and bitmaps leave: sets that link differ in at most (100 - percent) / (100 + percent) of
+    their sizes' sum, and so do their bitmaps. An id with several sets has no map and is left. First the small maps of all
+    pairs, then the fine ones of what they leave of large sets."""
+    ids = checkpoint(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
+    asked = maps.join(small_or_as_is(ids), "id", "left_semi")
+    sided = lambda side, name, *columns: asked.select(F.col("id").alias(side), F.struct(*columns).alias(name))
+    large = F.size("fine") > 0
+    both = pairs.join(sided("a", "x", "size", "bits", large.alias("large")), "a").join(sided("b", "y", "size", "bits", large.alias("large")), "b")
+    na, nb = F.col("x.size"), F.col("y.size")
+    allowed = lambda apart: F.coalesce((100 + percent) * apart <= (100 - percent) * (na + nb), F.lit(True))
+    sizes = F.coalesce(100 * F.least(na, nb) >= percent * F.greatest(na, nb), F.lit(True))
+    left = checkpoint(both.where(sizes & allowed(_apart(F.col("x.bits"), F.col("y.bits")))).select("a", "b", F.coalesce(F.col("x.large") & F.col("y.large"), F.lit(False)).alias("large")))
+    both = left.where("large").join(sided("a", "x", "size", "fine"), "a").join(sided("b", "y", "size", "fine"), "b")
+    x, y = F.col("x.fine"), F.col("y.fine")
+    apart = F.when(F.size(x) == F.size(y), _apart(x, y)).when(F.size(x) > F.size(y), _apart(_folded(x, F.size(y)), y)).otherwise(_apart(x, _folded(y, F.size(x))))
+    return left.where("not large").select("a", "b").unionByName(both.where(allowed(apart)).select("a", "b"))
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int, tables: Tables, name: str) -> DataFrame:
     """The pairs (a, b) whose whole sets link."""
     ids = checkpoint(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
     # rows that share an id: a node links if any of its sets does
-    sets = written(_sets(docs.join(small_or_as_is(ids), "doc_id", "left_semi"), width))
+    sets = tables.write(name, _sets(docs.join(small_or_as_is(ids), "doc_id", "left_semi"), width))
     half = pairs.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("left")), "a")
     both = half.join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("right")), "b")
     met = F.size(F.array_intersect("left", "right"))
-    return both.select("a", "b", met.alias("met"), (F.size("left") + F.size("right")).alias("sum")).where((100 + percent) * F.col("met") >= percent * F.col("sum")).select("a", "b").distinct()
-
-
-def ngram_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, share: float = SHARE, combined: int = COMBINED) -> DataFrame:
+    fits = both.select("a", "b", met.alias("met"), (F.size("left") + F.size("right")).alias("sum")).where((100 + percent) * F.col("met") >= percent * F.col("sum"))
+    links = checkpoint(fits.select("a", "b").distinct())
+    tables.drop(name)
+    return links
+
+
+def _buckets(leads: DataFrame) -> DataFrame:
+    """key, id, size, place, lead, lead_size, lead_place, more: every member of a bucket but its least; more: whether it has three or more."""
+    entry = lambda keys, places: leads.select("id", "size", F.posexplode(keys).alias("k", "key"), places).select("key", "id", (F.shiftleft("size", 32) + F.col(places)[F.col("k")]).alias("packed"))
+    order = Window.partitionBy("key").orderBy("id", "packed")
+    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    plain = entry("keys", "places").select("key", "id", "packed", F.first("id").over(so_far).alias("lead"), F.first("packed").over(so_far).alias("lead_packed"), ((F.row_number().over(order) > 2) | F.lead("id").over(order).isNotNull()).alias("more"))
+    hot = entry("hot_keys", "hot_places")
+    shared = checkpoint(hot.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("id", "packed")).alias("least")).where("n > 1"))
+    wide = hot.join(small_or_as_is(shared), "key").select("key", "id", "packed", F.col("least.id").alias("lead"), F.col("least.packed").alias("lead_packed"), (F.col("n") > 2).alias("more"))
+    part = lambda c: (F.shiftright(c, 32), F.col(c).bitwiseAND(F.lit((1 << 32) - 1)))
+    (size, place), (lead_size, lead_place) = part("packed"), part("lead_packed")
+    return plain.unionByName(wide).where("id <> lead").select("key", "id", size.alias("size"), place.alias("place"), "lead", lead_size.alias("lead_size"), lead_place.alias("lead_place"), "more")
+
+
+def ngram_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, share: float = SHARE, hot: float = HOT) -> DataFrame:
     """(doc_id, text) -> doc_id, n_shingles, component_id, one row per row."""
     spark = docs.sparkSession
+    tables = Tables(spark, "ngram-join")
     docs = docs.select("doc_id", "text")
-    frequent = spark.sparkContext.broadcast(frequent_tokens(docs, width, share))
-    profile = written(profiles(docs, frequent, width, percent, combined))
+    frequent = spark.sparkContext.broadcast(frequent_tokens(docs, width, share, hot))
+    profile = tables.write("profile", profiles(docs, frequent, width, percent))
+    frequent.destroy()
     signs = ["sign1", "sign2", "size"]
-    members = profile.where("size > 0 and doc_id is not null").select("doc_id", *signs)
+    every = tables.write("sizes", profile.select("doc_id", *signs))
+    members = every.where("size > 0 and doc_id is not null")
     # the least document of each set stands for it
-    whole = members.groupBy(*signs).agg(F.min("doc_id").alias("id"))
-    copies = checkpoint(members.join(whole, signs).where("doc_id > id").select("doc_id", *signs))
-    leads = profile.where("size > 0 and doc_id is not null").join(small_or_as_is(copies), ["doc_id", *signs], "left_anti").withColumnRenamed("doc_id", "id")
-    entry = leads.select("id", "size", F.posexplode("keys").alias("k", "key"), "places").select("key", "id", (F.shiftleft("size", 32) + F.col("places")[F.col("k")]).alias("packed"))
-    shared = entry.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("lead"), F.min_by("packed", "id").alias("lead_packed")).where("n > 1")
-    unpacked = [F.struct(F.shiftright(c, 32).alias("size"), F.expr(f"{c} & 4294967295").alias("place")).alias(name) for c, name in (("packed", "own"), ("lead_packed", "leads"))]
-    entries = written(entry.join(shared, "key").select("key", "n", "id", "lead", *unpacked).where("id <> lead"))
-    # an id with several sets has no one bitmap, and no one size
-    maps = leads.groupBy("id").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("bits", "fine", "size")]).select("id", *[F.when(F.col("n") == 1, F.col(c)).alias(c) for c in ("bits", "fine", "size")])
-    # nor is the set that stands for it in a bucket the only one: pairs with it are left to the whole sets
-    several = checkpoint(members.groupBy("doc_id").agg(F.countDistinct(*signs).alias("n")).where("n > 1").select(F.col("doc_id").alias("lead")))
+    twins = checkpoint(members.groupBy(*signs).agg(F.min("doc_id").alias("id"), F.count("*").alias("n")).where("n > 1").drop("n"))
+    copies = tables.write("copies", members.join(small_or_as_is(twins), signs).select("doc_id", *signs, "id"))
+    others = copies.where("doc_id > id").select("doc_id", *signs)
+    leads = profile.where("size > 0 and doc_id is not null").join(small_or_as_is(others), ["doc_id", *signs], "left_anti").withColumnRenamed("doc_id", "id")
+    entries = tables.write("entries", _buckets(leads))
+    # an id with several sets has no one bitmap, and no one size; nor is the set that stands for it in a bucket the only one:
+    # pairs with it are left to the whole sets
+    repeated = members.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    several = checkpoint(members.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.countDistinct(*signs).alias("n")).where("n > 1").select(F.col("doc_id").alias("id")))
     doubled = bool(several.take(1))
+    maps, allowed = leads.select("id", "size", "bits", "fine"), _may_link(*[F.col(c) for c in ("size", "place", "lead_size", "lead_place")], percent)
+    led = entries
     if doubled:
-        led = entries.join(small_or_as_is(several.withColumn("several", F.lit(True))), "lead", "left")
-        met = led.where(F.col("several").isNotNull() | _may_link("own", "leads", percent))
-    else:
-        met = entries.where(_may_link("own", "leads", percent))
-    pairs = met.select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
-    pairs = _unpruned(pairs, maps, percent)
-    links = checkpoint(_verified(checkpoint(pairs), docs, width, percent))
-    # A bucket of three or more may link others than its lead. Two steps along the links found give most members of
-    # a group one label; members of one label are connected already and need no comparison.
-    near = links.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("label"))
-    label = near.join(near.select(F.col("id").alias("label"), F.col("label").alias("further")), "label", "left").select("id", F.coalesce("further", "label").alias("label"))
-    nodes = maps.select("id", "bits").join(label, "id", "left").select("id", "bits", F.coalesce("label", "id").alias("label"))
-    still = entries.where("n > 2").select("key", "id", "own.size", "own.place").join(nodes, "id")
-    x, y = still.alias("x"), still.alias("y")
-    met = (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.label") != F.col("y.label"))
-    more = x.join(y, met & _may_link("x", "y", percent) & _maps_allow("x", "y", percent)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    more = checkpoint(_verified(checkpoint(_unpruned(more, maps, percent)), docs, width, percent))
+        none = [F.lit(None).cast(maps.schema[c].dataType).alias(c) for c in ("size", "bits", "fine")]
+        maps = maps.join(small_or_as_is(several), "id", "left_anti").unionByName(several.select("id", *none))
+        led = entries.join(small_or_as_is(several.select(F.col("id").alias("lead"), F.lit(True).alias("several"))), "lead", "left")
+        allowed = F.col("several").isNotNull() | allowed
+    pairs = checkpoint(led.where(allowed).select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct())
+    links = _verified(checkpoint(_unpruned(pairs, maps, percent)), docs, width, percent, tables, "sets")
+    # Two steps along the links found give most members of a group one label; members of one label are connected already.
+    near = checkpoint(links.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("label")))
+    label = checkpoint(near.join(near.select(F.col("id").alias("label"), F.col("label").alias("further")), "label", "left").select("id", F.coalesce("further", "label").alias("label")))
+    label = small_or_as_is(label)
+    named = entries.where("more").select("key", "id", "size", "place", "lead").join(label, "id", "left").join(label.select(F.col("id").alias("lead"), F.col("label").alias("lead_label")), "lead", "left")
+    named = tables.write("named", named.select("key", "id", "size", "place", F.coalesce("label", "id").alias("label"), F.coalesce("lead_label", "lead").alias("lead_label")))
+    tables.drop("entries")
+    # a pair of different labels has at least one member whose label is not the least one's
+    strays = named.where("label <> lead_label").drop("lead_label")
+    x, y = strays.alias("x"), named.alias("y")
+    met = (F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label")) & ((F.col("y.label") == F.col("y.lead_label")) | (F.col("x.id") < F.col("y.id")))
+    fits = _may_link(*[F.col(f"{side}.{c}") for side in "xy" for c in ("size", "place")], percent)
+    more = checkpoint(x.join(y, met & fits).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).where("a < b").distinct())
+    more = _verified(checkpoint(_unpruned(more, maps, percent)), docs, width, percent, tables, "more_sets")
+    tables.drop("named", "profile")
     of = checkpoint(components(links.union(more)))
     # a set's component, then an id's: the least of its rows' sets
-    lead_of = whole.join(of, "id", "left").select(*signs, "id", F.coalesce("component", "id").alias("component"))
-    named = members.join(lead_of, signs)
+    found = copies.where("doc_id > id").select("doc_id", "id").join(small_or_as_is(of), "id", "left").select("doc_id", F.coalesce("component", "id").alias("component_id"))
     if doubled:
-        again = named.select(F.col("doc_id").alias("a"), F.col("component").alias("b")).where("a <> b")
-        of = components(again.union(links).union(more)).withColumnRenamed("id", "doc_id")
-        named = members.join(of, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    found = named.select("doc_id", F.col("component").alias("component_id")).distinct()
-    return profile.select("doc_id", F.col("size").alias("n_shingles")).join(found, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+        again = copies.where("doc_id > id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
+        found = checkpoint(components(again.union(links).union(more))).select(F.col("id").alias("doc_id"), F.col("component").alias("component_id"))
+    else:
+        found = found.unionByName(of.select(F.col("id").alias("doc_id"), F.col("component").alias("component_id")))
+    found = checkpoint(found.distinct())
+    return every.select("doc_id", F.col("size").alias("n_shingles")).join(small_or_as_is(found), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,11 +12,13 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    """The folder of ``spark.checkpoint.dir``, which driver and executors share. Where it is unset, one is made in local mode (one machine) only."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder and spark.sparkContext.master.split("[")[0] == "local":
+        folder = os.path.join(tempfile.gettempdir(), "lexmill-checkpoints")
     if not folder:
-        folder = spark.sparkContext.getCheckpointDir()
-    return folder or os.path.join(tempfile.gettempdir(), "lexmill-checkpoints")
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return folder
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
@@ -34,6 +36,22 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+class Tables:
+    """Parquet tables of one job by name, which can be dropped when the next ones exist."""
+
+    def __init__(self, spark: SparkSession, job: str):
+        self.spark, self.folder = spark, f"{shared_folder(spark).rstrip('/')}/{job}-{uuid.uuid4().hex}"
+
+    def write(self, name: str, df: DataFrame) -> DataFrame:
+        df.write.parquet(f"{self.folder}/{name}")
+        return self.spark.read.parquet(f"{self.folder}/{name}")
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 #: A side of so few rows (of a few numbers each) is broadcast; a larger one is shuffled.
 BROADCAST_ROWS = 500_000
 

@@ -36,21 +36,27 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        for k, base in enumerate((_BASE, _INVERSE)):
-            steps = np.full(n, base, np.uint64)
-            steps[0] = 1
-            _powers[k] = np.cumprod(steps, dtype=np.uint64)
-    return _powers[0], _powers[1]
+    """At least n powers of the base and of its inverse; tables for a text over 2 * BLOCK_BYTES are not kept."""
+    if len(_powers[0]) >= n:
+        return _powers[0], _powers[1]
+    made = []
+    for base in (_BASE, _INVERSE):
+        steps = np.full(n, base, np.uint64)
+        steps[0] = 1
+        made.append(np.cumprod(steps, dtype=np.uint64))
+    if n <= 2 * BLOCK_BYTES:
+        _powers[:] = made
+    return made[0], made[1]
 
 
 def blocks(texts: pa.Array, size: int = BLOCK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, row after the last, offsets, bytes) of blocks of texts; a null counts as empty."""
-    texts = texts.cast(pa.large_string()).fill_null("")
+    """(first row, row after the last, offsets, bytes) of blocks of texts; a null counts as empty. Nothing is copied unless there are nulls."""
     if len(texts) == 0:
         return
+    if texts.null_count:
+        texts = texts.fill_null("")
     _, offsets, data = texts.buffers()
-    ends = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    ends = np.frombuffer(offsets, np.int64 if pa.types.is_large_string(texts.type) else np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
     raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     first = 0
     while first < len(texts):

@@ -145,8 +145,8 @@ def _brute_components(docs):
     return of
 
 
-@pytest.mark.parametrize("combined", [10, 400])
-def test_ngram_join_against_brute_force(spark, combined):
+@pytest.mark.parametrize("hot", [0.1, 1.1])
+def test_ngram_join_against_brute_force(spark, hot):
     rng = np.random.default_rng(5)
     docs, passage = [], [f"p{k}" for k in range(30)]
     for k in range(60):
@@ -160,10 +160,51 @@ def test_ngram_join_against_brute_force(spark, combined):
         docs.append((k, " ".join(body)))
     docs += [(k, " ".join(passage)) for k in (130, 131)] + [(132, "b"), (133, "B"), (134, None), (135, "")]
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    got = {r.doc_id: r.component_id for r in ngram_join.ngram_components(df, share=0.05, combined=combined).collect()}
+    got = {r.doc_id: r.component_id for r in ngram_join.ngram_components(df, share=0.05, hot=hot).collect()}
     assert got == _brute_components(docs)
 
 
+def test_ngram_join_of_long_documents_of_frequent_shingles(spark):
+    """Long texts made of a few shared passages only: every shingle is frequent, one of them is in all texts."""
+    rng = np.random.default_rng(11)
+    passages = [" ".join(f"q{k}w{j}" for j in range(60)) for k in range(40)]
+    docs = []
+    for k in range(70):
+        if k % 5 and docs:
+            parts = list(docs[-1][1])
+            for _ in range(int(rng.integers(0, 4))):
+                parts[int(rng.integers(1, len(parts)))] = passages[int(rng.integers(0, 40))]
+        else:
+            parts = [passages[0], *[passages[j] for j in rng.permutation(np.arange(1, 40))[: int(rng.integers(8, 24))]]]
+        docs.append((k, parts))
+    docs = [(k, " ".join(parts)) for k, parts in docs]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in ngram_join.ngram_components(df, share=0.01, hot=0.2).collect()}
+    want = _brute_components(docs)
+    assert got == want and 20 < len(set(want.values())) < 70
+
+
+def test_combinations_meet_in_every_linking_pair():
+    """Random pairs of sets of frequent tokens that link share a key, and a place that allows their overlap."""
+    rng = np.random.default_rng(2)
+    frequent = np.sort(rng.integers(0, 1 << 64, 6000, dtype=np.uint64))
+    hot = np.zeros(len(frequent), bool)
+    met = 0
+    for _ in range(300):
+        n = int(rng.integers(2, 3000))
+        a = np.sort(rng.choice(frequent, n, replace=False))
+        kept = a[np.sort(rng.permutation(n)[: n - int(rng.integers(0, n // 6 + 1))])]
+        b = np.unique(np.append(kept, rng.choice(frequent, int(rng.integers(0, n // 9 + 1)), replace=False)))
+        both = len(np.intersect1d(a, b))
+        if 100 * both >= 85 * (len(a) + len(b) - both):
+            met += 1
+            (ka, pa_, _), (kb, pb, _) = (ngram_join.prefix_keys(s, frequent, hot, 85) for s in (a, b))
+            _, i, j = np.intersect1d(ka, kb, return_indices=True)
+            assert len(i) and (np.minimum(len(a) - pa_[i], len(b) - pb[j]) >= both).any()
+            assert len(ka) <= 8 * n // 10 + 16
+    assert met > 100
+
+
 def test_ngram_join_on_odd_rows(odd, empty):
     got = [(r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.ngram_components(odd).collect()]
     assert len(got) == len(ODD)
@@ -172,6 +213,15 @@ def test_ngram_join_on_odd_rows(odd, empty):
     assert ngram_join.ngram_components(empty).count() == 0
 
 
+def test_parity_maps_fold():
+    tokens = np.random.default_rng(1).integers(0, 1 << 64, 5000, dtype=np.uint64)
+    small, large = ngram_join.parity_map(tokens, 64), ngram_join.parity_map(tokens, 128)
+    assert (large[:64] ^ large[64:] == small).all()
+    assert [ngram_join.fine_words(n) for n in (400, 401, 512, 513, 1024, 1025, 20_000)] == [0, 8, 8, 16, 16, 32, 512]
+    for n in range(401, 5000):  # sets that may link have maps of equal or neighbouring sizes
+        assert ngram_join.fine_words(100 * n // 85) <= 2 * ngram_join.fine_words(n)
+
+
 @pytest.mark.parametrize("long_first", [True, False])
 def test_ngram_join_of_ids_with_two_sets(spark, long_first):
     docs = []
