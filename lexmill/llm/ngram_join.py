@@ -280,7 +280,13 @@ def ngram_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT
     twins = checkpoint(members.groupBy(*signs).agg(F.min("doc_id").alias("id"), F.count("*").alias("n")).where("n > 1").drop("n"))
     copies = tables.write("copies", members.join(small_or_as_is(twins), signs).select("doc_id", *signs, "id"))
     others = copies.where("doc_id > id").select("doc_id", *signs)
-    leads = profile.where("size > 0 and doc_id is not null").join(small_or_as_is(others), ["doc_id", *signs], "left_anti").withColumnRenamed("doc_id", "id")
+    leads = profile.where("size > 0 and doc_id is not null").join(small_or_as_is(others), ["doc_id", *signs], "left_anti")
+    same = checkpoint(copies.where("doc_id = id").groupBy("doc_id", *signs).count().where("count > 1").drop("count"))
+    if same.take(1):  # rows repeated with their id
+        same = small_or_as_is(same)
+        once = leads.join(same, ["doc_id", *signs], "left_semi").dropDuplicates(["doc_id", *signs])
+        leads = leads.join(same, ["doc_id", *signs], "left_anti").unionByName(once)
+    leads = leads.withColumnRenamed("doc_id", "id")
     entries = tables.write("entries", _buckets(leads))
     # an id with several sets has no one bitmap, and no one size; nor is the set that stands for it in a bucket the only one:
     # pairs with it are left to the whole sets
@@ -291,7 +297,7 @@ def ngram_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT
     led = entries
     if doubled:
         none = [F.lit(None).cast(maps.schema[c].dataType).alias(c) for c in ("size", "bits", "fine")]
-        maps = maps.join(small_or_as_is(several), "id", "left_anti").unionByName(several.select("id", *none))
+        maps = maps.join(small_or_as_is(several), "id", "left_anti").unionByName(several.select("id", *none).distinct())
         led = entries.join(small_or_as_is(several.select(F.col("id").alias("lead"), F.lit(True).alias("several"))), "lead", "left")
         allowed = F.col("several").isNotNull() | allowed
     pairs = checkpoint(led.where(allowed).select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct())
@@ -303,12 +309,17 @@ def ngram_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT
     named = entries.where("more").select("key", "id", "size", "place", "lead").join(label, "id", "left").join(label.select(F.col("id").alias("lead"), F.col("label").alias("lead_label")), "lead", "left")
     named = tables.write("named", named.select("key", "id", "size", "place", F.coalesce("label", "id").alias("label"), F.coalesce("lead_label", "lead").alias("lead_label")))
     tables.drop("entries")
+    half = [f"bits{k}" for k in range(MAP_WORDS // 2)]
+    small = maps.select("id", *[F.col("bits")[k].bitwiseXOR(F.col("bits")[k + MAP_WORDS // 2]).alias(c) for k, c in enumerate(half)])
+    named = named.join(small, "id")
     # a pair of different labels has at least one member whose label is not the least one's
     strays = named.where("label <> lead_label").drop("lead_label")
     x, y = strays.alias("x"), named.alias("y")
     met = (F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label")) & ((F.col("y.label") == F.col("y.lead_label")) | (F.col("x.id") < F.col("y.id")))
     fits = _may_link(*[F.col(f"{side}.{c}") for side in "xy" for c in ("size", "place")], percent)
-    more = checkpoint(x.join(y, met & fits).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).where("a < b").distinct())
+    apart = sum((F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in half[1:]), F.bit_count(F.col(f"x.{half[0]}").bitwiseXOR(F.col(f"y.{half[0]}"))))
+    near = F.coalesce((100 + percent) * apart <= (100 - percent) * (F.col("x.size") + F.col("y.size")), F.lit(True))
+    more = checkpoint(x.join(y, met & fits & near).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).where("a < b").distinct())
     more = _verified(checkpoint(_unpruned(more, maps, percent)), docs, width, percent, tables, "more_sets")
     tables.drop("named", "profile")
     of = checkpoint(components(links.union(more)))

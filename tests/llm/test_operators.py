@@ -159,7 +159,7 @@ def test_ngram_join_against_brute_force(spark, hot):
             body[j] = f"e{k}"
         docs.append((k, " ".join(body)))
     docs += [(k, " ".join(passage)) for k in (130, 131)] + [(132, "b"), (133, "B"), (134, None), (135, "")]
-    df = spark.createDataFrame(docs, "doc_id long, text string")
+    df = spark.createDataFrame([*docs, *[docs[k] for k in (3, 70, 70, 134)]], "doc_id long, text string")
     got = {r.doc_id: r.component_id for r in ngram_join.ngram_components(df, share=0.05, hot=hot).collect()}
     assert got == _brute_components(docs)
 
