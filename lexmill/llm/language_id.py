@@ -200,8 +200,8 @@ def _predicted(model: Model, texts: list[str | None]) -> tuple[pa.Array, pa.Arra
     return pa.array(languages, pa.string()), pa.array(scores, pa.float64())
 
 
-def with_language(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns, and lang_pred and score; without a shuffle."""
+def with_language(docs: DataFrame, model: Model, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """All columns, and the language and its score under these names (not the table's own); without a shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,10 +209,9 @@ def with_language(docs: DataFrame, model: Model) -> DataFrame:
             for a in range(0, batch.num_rows, ROWS_AT_ONCE):
                 part = batch.slice(a, ROWS_AT_ONCE)
                 found = _predicted(shared.value, part.column("text").to_pylist())
-                yield pa.RecordBatch.from_arrays([*part.columns, *found], [*part.schema.names, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, *found], [*part.schema.names, *names])
 
-    plain = docs.drop("lang_pred", "score")
-    return plain.mapInArrow(run, T.StructType([*plain.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())]))
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:

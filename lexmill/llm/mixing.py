@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import small_or_as_is, written
+from .shared import fresh, small_or_as_is, written
 
 SEED, MAX_EPOCHS = 17, 2
 #: The budget, in hundredths of all tokens.
@@ -129,9 +129,10 @@ def select(docs: DataFrame, seed: int = SEED, max_epochs: int = MAX_EPOCHS, perc
     Only ids and numbers are compared; texts meet them in one join. Rows that share a
     doc_id are all given as often as the one of them that is selected most.
     """
-    chosen = mix(docs, seed, max_epochs, percent, domain).where("copies > 0").groupBy("doc_id").agg(F.max("copies").cast("int").alias("_copies"))
-    kept = docs.join(small_or_as_is(written(chosen).withColumnRenamed("doc_id", "_id")), F.col("doc_id").eqNullSafe(F.col("_id")))
-    return kept.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*docs.columns)
+    key, times, one = fresh(docs, "_id", "_copies", "_copy")
+    chosen = mix(docs, seed, max_epochs, percent, domain).where("copies > 0").groupBy(F.col("doc_id").alias(key)).agg(F.max("copies").cast("int").alias(times))
+    kept = docs.join(small_or_as_is(written(chosen)), F.col("doc_id").eqNullSafe(F.col(key)))
+    return kept.withColumn(one, F.explode(F.sequence(F.lit(1), times))).select(*docs.columns)
 
 
 def op9_mix_to_weights(spark: SparkSession, sf_dir: str) -> DataFrame:

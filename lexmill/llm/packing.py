@@ -2,16 +2,17 @@
 
 Token lengths are dealt into reciprocal-capacity classes: class k holds pieces
 of more than capacity/(k+1) and at most capacity/k tokens, and each of its bins
-takes exactly k pieces. A document is first cut so that its pieces fit their
-class well: whole sequences, then halves, quarters, ... down to ``capacity /
-2**cuts`` (these fill their bins without a rest), and a short tail that goes to
-its harmonic class. At the end of a worker's rows the pieces of bins that are not full are laid
+takes exactly k pieces. A document gives whole sequences first; of what is left, the most
+tokens that a class holds exactly (``capacity // k`` for the least k that fits) are cut for that class, and so on with the
+rest, so that bins of all classes fill up with little padding (fewer than k tokens each). What is at most
+``capacity // MOST`` tokens, or leaves bins of its class at most SLACK tokens of padding, goes to its class as it is. At the end of a worker's rows the pieces of bins that are not full are laid
 end to end, cut at sequence ends, and the last, unfinished sequence is cut into
 sequences whose lengths are powers of two.
 
 Nothing is shuffled: every task packs its own rows, holds at most one open bin
 per class, and numbers its sequences ``task << 40 | n``; a lost task is packed
-again from the same rows to the same result.
+again from the same rows to the same result. A very long text is read whole, as one row; the ids of words are kept
+up to CACHED_BYTES a task and then learned again.
 
 A null text counts as empty: its document is its end token alone. Repeated rows and
 repeated document ids are packed row by row; a null id stays null. An empty table gives no rows; other
@@ -21,6 +22,7 @@ columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -33,10 +35,14 @@ from . import bpe
 
 CAPACITY = 2048
 END_ID = 1
-#: Halvings before the tail: pieces of 1024, 512, ... 2048 / 2**CUTS tokens.
-CUTS = 5
-#: Words kept with their ids, per worker process.
-CACHED_WORDS = 400_000
+#: A rest of at most CAPACITY // MOST tokens is not cut any more.
+MOST = 32
+#: A rest is not cut either if its class's bins would be padded by at most so many tokens.
+SLACK = 8
+#: Bytes that a task keeps of words and their ids, about; rows that are tokenised at once.
+CACHED_BYTES, ROWS = 24 << 20, 64
+#: Bytes of two small objects of Python and their entry in a dictionary, besides their contents.
+_OBJECTS = 190
 PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 _PRE = regex.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 #: With other characters, or special strings, a word goes to the library itself.
@@ -47,7 +53,7 @@ class WordIds:
     """Ids of space-separated words as little-endian bytes; exact because no token crosses a space."""
 
     def __init__(self, path: str):
-        self.path, self.known = path, {"": b""}
+        self.path, self.known, self.held = path, {"": b""}, 0
 
     def learn(self, missing: list[str]) -> None:
         plain = missing
@@ -86,17 +92,16 @@ class WordIds:
         """Ids of each text. Only spaces and line feeds cut words here; other white space stays inside a word."""
         split = [t.replace("\n", " ").split(" ") for t in texts]
         words = set().union(*split)
-        if len(self.known) > CACHED_WORDS:
-            self.known = {"": b""}
+        if self.held > CACHED_BYTES:
+            self.known, self.held = {"": b""}, 0
         if missing := words.difference(self.known):
-            self.learn(list(missing))
+            missing = list(missing)
+            self.learn(missing)
+            self.held += sum(_OBJECTS + len(w) + len(self.known[w]) for w in missing)
         get = self.known.__getitem__
         return [b"".join(map(get, s)) for s in split]
 
 
-_stores: dict[str, WordIds] = {}
-
-
 def _binary_parts(n: int) -> list[int]:
     """n as powers of two, largest first."""
     return [1 << b for b in range(n.bit_length() - 1, -1, -1) if n >> b & 1]
@@ -105,9 +110,8 @@ def _binary_parts(n: int) -> list[int]:
 class Packer:
     """The bins of one worker. ``add`` and ``finish`` give finished pieces (a row for each, without ids)."""
 
-    def __init__(self, worker: int, capacity: int = CAPACITY, cuts: int = CUTS):
-        self.next, self.capacity = worker << 40, capacity
-        self.parts = [capacity >> k for k in range(1, cuts + 1) if capacity >> k]
+    def __init__(self, worker: int, capacity: int = CAPACITY, most: int = MOST):
+        self.next, self.capacity, self.most = worker << 40, capacity, most
         self.bins: dict[int, list[tuple]] = {}
 
     def _close(self, pieces: list[tuple]) -> Iterator[tuple]:
@@ -122,15 +126,17 @@ class Packer:
         while total - start >= self.capacity:
             yield from self._close([(doc, start, self.capacity, total, ids[4 * start : 4 * (start + self.capacity)])])
             start += self.capacity
-        for part in (*self.parts, 0):
-            length = part if part and total - start >= part else total - start if not part else 0
-            if length:
-                k = self.capacity // length
-                waiting = self.bins.setdefault(k, [])
-                waiting.append((doc, start, length, total, ids[4 * start : 4 * (start + length)]))
-                start += length
-                if len(waiting) == k:
-                    yield from self._close(self.bins.pop(k))
+        while start < total:
+            left = total - start
+            k = self.capacity // left  # the class of what is left
+            if k < self.most and k * left < self.capacity - SLACK:
+                k += 1  # and the first one that a part of it fills
+            length = min(left, self.capacity // k)
+            waiting = self.bins.setdefault(k, [])
+            waiting.append((doc, start, length, total, ids[4 * start : 4 * (start + length)]))
+            start += length
+            if len(waiting) == k:
+                yield from self._close(self.bins.pop(k))
 
     def finish(self) -> Iterator[tuple]:
         loose = [x for k in sorted(self.bins) for x in self.bins[k]]
@@ -149,14 +155,14 @@ class Packer:
                     pieces, room = [], sizes.pop(0) if sizes else 0
 
 
-def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, cuts: int = CUTS, end_id: int = END_ID) -> DataFrame:
+def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, most: int = MOST, end_id: int = END_ID) -> DataFrame:
     """(doc_id, text) -> one row per piece, with its ids (little-endian unsigned 32-bit) and place."""
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
-        packer = Packer(context.partitionId() if context else 0, capacity, cuts)
-        store = _stores.setdefault(path, WordIds(path))
+        packer = Packer(context.partitionId() if context else 0, capacity, most)
+        store = WordIds(path)
         schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "start", "length", "doc_tokens", "sequence_id", "offset")] + [("ids", pa.binary())])
 
         def table(rows: list[tuple]) -> pa.RecordBatch:
@@ -164,17 +170,18 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, cuts: int = CUTS,
 
         out: list[tuple] = []
         for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                part = batch.slice(a, 256)
+            for a in range(0, batch.num_rows, ROWS):
+                part = batch.slice(a, ROWS)
                 texts = [t or "" for t in part.column("text").to_pylist()]
                 for doc, ids in zip(part.column("doc_id").to_pylist(), store.of(texts), strict=True):
                     out += packer.add(doc, ids + end)
-                if len(out) >= 2000:
-                    yield table([(d, s, n, w, q, o, i) for d, s, n, w, q, o, i in out])
+                if len(out) >= 1000:
+                    yield table(out)
                     out = []
-        out += packer.finish()
-        if out:
+        last = packer.finish()
+        while out or (out := list(islice(last, 1000))):
             yield table(out)
+            out = []
 
     return docs.select("doc_id", "text").mapInArrow(run, PIECES)
 

@@ -52,6 +52,17 @@ class Tables:
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened where the table has such columns of its own (in any case of letters)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 #: A side of so few rows (of a few numbers each) is broadcast; a larger one is shuffled.
 BROADCAST_ROWS = 500_000
 
