@@ -1,12 +1,14 @@
 """The corpus pipeline: language ID, near duplicates, secret scans, mixing and packing, each on what the stage before kept.
 
+Other columns, whatever their names, go through the first four stages as they are. Empty tables give empty tables.
 Every stage is ``(spark, docs, sf_dir) -> DataFrame``; its result is written as
 Parquet and read again as the next stage's documents. All but the last return
 the columns of documents.
 
 - language_id drops documents in which no language is found (``und``: null texts and texts without a letter) and
   sets ``lang`` to the language found where it is missing.
-- near_duplicates keeps, of each group of documents linked by 4-word shingles, the one with the least doc_id.
+- near_duplicates keeps, of each group of documents linked by 4-word shingles, the one with the least doc_id. Rows that
+  share a doc_id, or have none, are documents of their own: they stay unless they link with another row, and go before rows with an id of their own.
 - secret_scan replaces every secret, also inside decoded layers, and counts n_chars again.
 - mix selects documents to the target weights, each at most once, within MIX_PERCENT of the tokens.
 - pack cuts and packs the rest into training sequences, one row per piece.
@@ -23,26 +25,33 @@ from pyspark.sql import functions as F
 
 from lexmill.llm import language_id as languages
 from lexmill.llm import mixing, ngram_join, packing, secret_scan
-from lexmill.llm.shared import shared_folder, small_or_as_is, written
+from lexmill.llm.shared import fresh, shared_folder, small_or_as_is, written
 
 MIX_PERCENT = 90
+#: Row numbers begin here where a doc_id is null or shared; ids are below.
+UNNUMBERED = 1 << 62
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    named = languages.with_language(docs, languages.learn(docs))
-    kept = named.where(F.col("lang_pred") != languages.UNKNOWN).withColumn("lang", F.coalesce("lang", "lang_pred"))
+    found, score = fresh(docs, "lang_pred", "score")
+    named = languages.with_language(docs, languages.learn(docs), (found, score))
+    kept = named.where(F.col(found) != languages.UNKNOWN).withColumn("lang", F.coalesce("lang", found))
     return kept.select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    grouped = written(ngram_join.ngram_components(docs))
-    extra = written(grouped.where("doc_id > component_id").select("doc_id").distinct())
-    kept = docs.join(small_or_as_is(extra), "doc_id", "left_anti").select(*docs.columns)
-    repeated = written(grouped.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"))
-    if not repeated.take(1):
-        return kept
-    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(once)
+    (row,) = fresh(docs, "_row")
+    numbered = docs.withColumn(row, F.col("doc_id").cast("long"))
+    shared = written(docs.groupBy("doc_id").count().where("doc_id is null or count > 1").select("doc_id"))
+    if shared.take(1):
+        # rows without an id of their own get a number each, above all ids; it is written, so it stays
+        same = F.col("doc_id").eqNullSafe(F.col("_shared"))
+        ids = small_or_as_is(shared.select(F.col("doc_id").alias("_shared")))
+        others = written(numbered.join(ids, same, "left_semi").withColumn(row, F.monotonically_increasing_id() + F.lit(UNNUMBERED)))
+        numbered = numbered.join(ids, same, "left_anti").unionByName(others)
+    grouped = written(ngram_join.ngram_components(numbered.select(F.col(row).alias("doc_id"), "text")))
+    extra = written(grouped.where("doc_id > component_id").select(F.col("doc_id").alias(row)).distinct())
+    return numbered.join(small_or_as_is(extra), row, "left_anti").select(*docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
