@@ -46,3 +46,18 @@ def test_stages_keep_nulls_out_and_take_empty_tables(spark):
     assert C.STAGES[4][1](spark, nothing, SF).count() == 0
     unlabelled = docs.limit(3).selectExpr("doc_id", "CAST(NULL AS STRING) AS text", "lang", "source", "n_chars")
     assert language_id.UNKNOWN == "und" and C.STAGES[0][1](spark, unlabelled, SF).count() == 0
+
+
+def test_shared_ids_and_clashing_columns(spark):
+    names = ["_id", "_copies", "_copy", "_row", "score", "lang_pred", "Lang_Pred_", "component_id", "keys"]
+    text = lambda k, n=60: " ".join(f"word{k}x{j} the" for j in range(n))
+    rows = [(1, text(1)), (1, text(2)), (2, text(1)), (3, text(3)), (3, text(3)), (None, text(4)), (None, text(4)), (5, text(5)), (6, None)]
+    docs = spark.createDataFrame([(i, t, "en", "src1", 0, *[f"own {n}" for n in names]) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in names))
+    for _, stage in C.STAGES[:2]:
+        docs = stage(spark, docs, SF)
+    kept = sorted((str(r.doc_id), r.text.split("x")[0]) for r in docs.collect())
+    assert kept == sorted([("2", "word1"), ("1", "word2"), ("3", "word3"), ("None", "word4"), ("5", "word5")])
+    for _, stage in C.STAGES[2:4]:
+        docs = stage(spark, docs, SF)
+    assert docs.columns[5:] == names and all(r[f] == f"own {f}" for r in docs.collect() for f in names)
+    assert C.STAGES[4][1](spark, docs, SF).count() > 0
