@@ -210,6 +210,7 @@ def with_language(docs: DataFrame, model: Model, names: tuple[str, str] = ("lang
                 part = batch.slice(a, ROWS_AT_ONCE)
                 found = _predicted(shared.value, part.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns, *found], [*part.schema.names, *names])
+            pa.default_memory_pool().release_unused()
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())]))
 

@@ -188,6 +188,7 @@ def profiles(docs: DataFrame, frequent, width: int, percent: int) -> DataFrame:
                     [_columns(batch, first, last), pa.array(sizes, pa.int64()), *[pa.array(s, pa.int64()) for s in signs], *[_lists(x, t) for x, t in zip(lists, (np.int64, np.int32, np.int64, np.int32, np.int64, np.int64), strict=True)]],
                     ["doc_id", "size", "sign1", "sign2", "keys", "places", "hot_keys", "hot_places", "bits", "fine"],
                 )
+            pa.default_memory_pool().release_unused()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, size long, sign1 long, sign2 long, keys array<long>, places array<int>, hot_keys array<long>, hot_places array<int>, bits array<long>, fine array<long>")
 

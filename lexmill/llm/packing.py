@@ -12,7 +12,7 @@ sequences whose lengths are powers of two.
 Nothing is shuffled: every task packs its own rows, holds at most one open bin
 per class, and numbers its sequences ``task << 40 | n``; a lost task is packed
 again from the same rows to the same result. A very long text is read whole, as one row; the ids of words are kept
-up to CACHED_BYTES a task and then learned again.
+up to CACHED_BYTES a worker process, those met last; others are learned again.
 
 A null text counts as empty: its document is its end token alone. Repeated rows and
 repeated document ids are packed row by row; a null id stays null. An empty table gives no rows; other
@@ -22,6 +22,7 @@ columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import islice
 
 import numpy as np
@@ -39,8 +40,8 @@ END_ID = 1
 MOST = 32
 #: A rest is not cut either if its class's bins would be padded by at most so many tokens.
 SLACK = 8
-#: Bytes that a task keeps of words and their ids, about; rows that are tokenised at once.
-CACHED_BYTES, ROWS = 24 << 20, 64
+#: Bytes that a worker process keeps of words and their ids, about; rows that are tokenised at once.
+CACHED_BYTES, ROWS = 32 << 20, 256
 #: Bytes of two small objects of Python and their entry in a dictionary, besides their contents.
 _OBJECTS = 190
 PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
@@ -53,7 +54,7 @@ class WordIds:
     """Ids of space-separated words as little-endian bytes; exact because no token crosses a space."""
 
     def __init__(self, path: str):
-        self.path, self.known, self.held = path, {"": b""}, 0
+        self.path, self.known, self.older, self.held = path, {"": b""}, {}, 0
 
     def learn(self, missing: list[str]) -> None:
         plain = missing
@@ -92,16 +93,23 @@ class WordIds:
         """Ids of each text. Only spaces and line feeds cut words here; other white space stays inside a word."""
         split = [t.replace("\n", " ").split(" ") for t in texts]
         words = set().union(*split)
-        if self.held > CACHED_BYTES:
-            self.known, self.held = {"": b""}, 0
+        if 2 * self.held > CACHED_BYTES:  # words met since the last time stay
+            self.known, self.older, self.held = {"": b""}, self.known, 0
         if missing := words.difference(self.known):
-            missing = list(missing)
-            self.learn(missing)
-            self.held += sum(_OBJECTS + len(w) + len(self.known[w]) for w in missing)
+            again = missing.intersection(self.older)
+            self.known.update((w, self.older[w]) for w in again)
+            if new := list(missing - again):
+                self.learn(new)
+            self.held += _OBJECTS * len(missing) + 5 * sum(map(len, missing))  # a character and at most one id for each
         get = self.known.__getitem__
         return [b"".join(map(get, s)) for s in split]
 
 
+@lru_cache(maxsize=1)
+def _store(path: str) -> WordIds:
+    return WordIds(path)
+
+
 def _binary_parts(n: int) -> list[int]:
     """n as powers of two, largest first."""
     return [1 << b for b in range(n.bit_length() - 1, -1, -1) if n >> b & 1]
@@ -162,7 +170,7 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, most: int = MOST,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         packer = Packer(context.partitionId() if context else 0, capacity, most)
-        store = WordIds(path)
+        store = _store(path)
         schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "start", "length", "doc_tokens", "sequence_id", "offset")] + [("ids", pa.binary())])
 
         def table(rows: list[tuple]) -> pa.RecordBatch:
@@ -182,6 +190,7 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, most: int = MOST,
         while out or (out := list(islice(last, 1000))):
             yield table(out)
             out = []
+        pa.default_memory_pool().release_unused()
 
     return docs.select("doc_id", "text").mapInArrow(run, PIECES)
 
