@@ -1,19 +1,22 @@
 """Operator 2, quality rules with adaptive thresholds from mergeable quantile sketches.
 
-Every document gets integer measures (rates per thousand). Per language and
-source a sketch of each measure counts values in buckets that keep five binary digits
-(relative error under 1/16). Counts of sketches add up, so partial sketches merge in any
-order and give the same result after a lost executor; small groups (under
-LEAST_DOCS documents) use their language's merged sketch, small languages the
-merged sketch of all. The fence of a measure is its upper quartile plus REACH times
-the distance between quartiles, and at least a tolerance, replacing a fixed cutoff. The fences are
-joined to the measures, and a document outside any fence is not kept.
-
-Only built-in functions run here. Repeated windows are found inside a row: by
-their hashes (64 bits), sorted with their places only where some hash repeats.
+Every document gets integer measures (rates). Per language and
+source a sketch of each measure counts values in buckets that keep DIGITS binary digits
+(relative error under 1/128). Counts of sketches add up, so partial sketches merge in any
+order and give the same result after a lost executor. Documents that fail the base rule are not counted.
+
+A group's sketch is blended with its language's as if the language gave it PRIOR more documents,
+and a language's with that of all in the same way: small groups lean on their language, large ones on
+themselves, without a step between. The fence of a measure is read off the blend: the bucket at an upper
+quantile, and ``reach`` times its distance from the median on top (LEVELS). No cutoff in a measure's own unit
+takes part. The fences are joined to the measures, and a document whose bucket is beyond any fence is not kept;
+one that is at a fence (ties too) is.
+
+Only built-in functions run. Repeated windows are found inside a row: by
+their hashes (64 bits), sorted with their places only where some hash repeats, so a very long text takes n log n.
 
 Null texts have no words, and fail the base rule. Null languages and sources are groups of their own.
-Every row gives a row; an empty table gives none; other columns are ignored.
+Every row gives a row (repeated rows too); an empty table gives none; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -25,9 +28,12 @@ from .shared import let, written
 
 WINDOW = 5
 LEAST_WORDS, MOST_REPEATED = 10, 20
-LEAST_DOCS, REACH = 100, 6
-#: The measures and how far above its median each is always let be (in its own unit).
-TOLERANCE = {"symbol_rate": 30, "line_rate": 400, "repeat_rate": 150, "word_length": 400}
+#: The measures, each with the percent of its upper quantile, and the reach beyond it in distances from the median.
+LEVELS = {"symbol_rate": (90, 6), "line_rate": (99, 1), "repeat_rate": (99, 1), "word_length": (75, 8)}
+#: Documents that a group's blend takes from the level above; parts that a document is counted in.
+PRIOR, PARTS = 200, 1024
+#: Binary digits that a bucket keeps.
+DIGITS = 8
 _SPACES = " \t\n\u000b\f\r"
 SYMBOLS = "#*$%&|<>"
 
@@ -67,47 +73,49 @@ def rates(base: DataFrame) -> DataFrame:
 
 
 def bucket(value: Column) -> Column:
-    """The least value of the sketch's bucket: the five leading binary digits."""
-    low = F.greatest(F.length(F.bin(value)) - 5, F.lit(0))
+    """The least value of the sketch's bucket: the leading binary digits."""
+    low = F.greatest(F.length(F.bin(value)) - DIGITS, F.lit(0))
     unit = F.pow(F.lit(2.0), low)
     return (F.floor(value / unit) * unit).cast("long")
 
 
 def sketches(rated: DataFrame) -> DataFrame:
-    """lang, source, measure, bucket, n."""
-    pairs = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), bucket(F.col(m)).alias("bucket")) for m in TOLERANCE]))
-    return rated.select("lang", "source", pairs.alias("x")).groupBy("lang", "source", "x.measure", "x.bucket").agg(F.count("*").alias("n"))
+    """lang, source, measure, bucket, n, of documents that pass the base rule."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), bucket(F.col(m)).alias("bucket")) for m in LEVELS]))
+    return rated.where(~F.col("base_failed")).select("lang", "source", pairs.alias("x")).groupBy("lang", "source", "x.measure", "x.bucket").agg(F.count("*").alias("n"))
 
 
-def fences(sketch: DataFrame, least_docs: int = LEAST_DOCS, reach: int = REACH) -> DataFrame:
-    """The fence of each measure for each language and source, one row per group."""
+def fences(sketch: DataFrame, groups: DataFrame, prior: int = PRIOR) -> DataFrame:
+    """The fence of each measure for each of the groups (lang, source), one row per group."""
     parts = sketch.select(F.struct("lang", "source").alias("leaf"), F.struct("lang").alias("tongue"), "measure", "bucket", "n")
-
-    def level(*keys: str) -> DataFrame:
-        group = [*keys, "measure"]
-        merged = parts.groupBy(*group, "bucket").agg(F.sum("n").alias("n"))
-        order = Window.partitionBy(*group).orderBy("bucket")
-        ranked = merged.withColumns({"below": F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)), "all": F.sum("n").over(Window.partitionBy(*group))})
-        at = lambda q: F.min(F.when(4 * F.col("below") >= q * F.col("all"), F.col("bucket")))
-        return ranked.groupBy(*group).agg(F.struct(F.max("all").alias("docs"), at(1).alias("q1"), at(2).alias("q2"), at(3).alias("q3")).alias("of_" + (keys[-1] if keys else "all")))
-
-    leaf, tongue, top = level("leaf", "tongue"), level("tongue"), level()
-    chosen = leaf.withColumnRenamed("of_tongue", "of_leaf").join(tongue, ["tongue", "measure"]).join(F.broadcast(top), "measure")
-    enough = lambda c: F.col(f"{c}.docs") >= least_docs
-    chosen = chosen.withColumn("use", F.when(enough("of_leaf"), F.col("of_leaf")).when(enough("of_tongue"), F.col("of_tongue")).otherwise(F.col("of_all")))
-    slack = F.create_map(*[F.lit(x) for pair in TOLERANCE.items() for x in pair])[F.col("measure")]
-    fence = F.greatest(F.col("use.q3") + reach * (F.col("use.q3") - F.col("use.q1")), F.col("use.q2") + slack)
-    return chosen.groupBy("leaf").agg(*[F.max(F.when(F.col("measure") == m, fence)).alias(f"{m}_fence") for m in TOLERANCE])
-
-
-def judge(docs: DataFrame, least_docs: int = LEAST_DOCS, reach: int = REACH) -> DataFrame:
+    leaves = groups.select(F.struct("lang", "source").alias("leaf"), F.struct("lang").alias("tongue")).distinct()
+
+    def blend(above: DataFrame, key: str) -> DataFrame:
+        """above: key, measure, bucket, weight of the level above, for each key -> weight of the blend."""
+        own = parts.groupBy(key, "measure", "bucket").agg(F.sum("n").alias("n"))
+        total = F.sum("weight").over(Window.partitionBy(key, "measure"))
+        return above.join(own, [key, "measure", "bucket"], "left").withColumn("total", total).withColumn("weight", PARTS * F.coalesce("n", F.lit(0)) + F.expr(f"({prior * PARTS} * weight) div greatest(total, 1L)")).drop("n", "total")
+
+    top = parts.groupBy("measure", "bucket").agg(F.sum("n").alias("weight"))
+    tongues = leaves.select("tongue").distinct().withColumn("measure", F.explode(F.array(*map(F.lit, LEVELS))))
+    leaf = blend(leaves.join(blend(tongues.join(top, "measure"), "tongue"), "tongue").drop("tongue"), "leaf")
+    order = Window.partitionBy("leaf", "measure").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = leaf.withColumns({"below": F.sum("weight").over(order), "total": F.sum("weight").over(Window.partitionBy("leaf", "measure"))})
+    setting = lambda k: F.create_map(*[F.lit(x) for m, v in LEVELS.items() for x in (m, v[k])])[F.col("measure")]
+    at = lambda percent: F.min(F.when(100 * F.col("below") >= percent * F.col("total"), F.col("bucket")))
+    ends = ranked.groupBy("leaf", "measure").agg(at(setting(0)).alias("high"), at(F.lit(50)).alias("mid"))
+    fence = F.col("high") + setting(1) * (F.col("high") - F.col("mid"))
+    return ends.groupBy("leaf").agg(*[F.max(F.when(F.col("measure") == m, fence)).alias(f"{m}_fence") for m in LEVELS])
+
+
+def judge(docs: DataFrame, prior: int = PRIOR) -> DataFrame:
     """Base columns, measures' fences and the verdict of every row."""
     rated = written(rates(measures(docs)))
-    limits = fences(sketches(rated), least_docs, reach).select(*[F.col(f"{m}_fence") for m in TOLERANCE], F.col("leaf.lang").alias("g_lang"), F.col("leaf.source").alias("g_source"))
+    limits = fences(sketches(rated), rated, prior).select(*[F.col(f"{m}_fence") for m in LEVELS], F.col("leaf.lang").alias("g_lang"), F.col("leaf.source").alias("g_source"))
     joined = rated.join(limits, F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source")), "left")
     inside = F.lit(True)
-    for m in TOLERANCE:
-        inside = inside & (F.col(m) <= F.col(f"{m}_fence"))
+    for m in LEVELS:
+        inside = inside & F.coalesce(bucket(F.col(m)) <= F.col(f"{m}_fence"), F.lit(True))
     return joined.withColumn("kept", ~F.col("base_failed") & inside)
 
 
@@ -124,11 +132,18 @@ _METRIC_SQL = {
 }
 
 
-def _level_sql(keys: str) -> str:
-    k = f"{keys}, " if keys else ""
-    return f"""SELECT {k}measure, max(total) AS docs, min(CASE WHEN 4 * below >= total THEN bucket END) AS q1, min(CASE WHEN 4 * below >= 2 * total THEN bucket END) AS q2, min(CASE WHEN 4 * below >= 3 * total THEN bucket END) AS q3
-  FROM (SELECT {k}measure, bucket, sum(n) OVER (PARTITION BY {k}measure ORDER BY bucket ROWS UNBOUNDED PRECEDING) AS below, sum(n) OVER (PARTITION BY {k}measure) AS total
-    FROM (SELECT {k}measure, bucket, sum(n) AS n FROM sketch GROUP BY {k}measure, bucket)) GROUP BY {k}measure"""
+def _bucket_sql(v: str) -> str:
+    return f"CAST(({v} >> greatest(length(bin({v})) - {DIGITS}, 0)) << greatest(length(bin({v})) - {DIGITS}, 0) AS BIGINT)"
+
+
+def _blend_sql(above: str, keys: str) -> str:
+    on = " AND ".join(f"a.{k} IS NOT DISTINCT FROM o.{k}" for k in keys.split(", "))
+    return f"""SELECT {", ".join(f"a.{k}" for k in keys.split(", "))}, a.measure, a.bucket, {PARTS} * coalesce(o.n, 0) + ({PRIOR * PARTS} * a.weight) // sum(a.weight) OVER (PARTITION BY {", ".join(f"a.{k}" for k in keys.split(", "))}, a.measure) AS weight
+  FROM ({above}) a LEFT JOIN (SELECT {keys}, measure, bucket, sum(n) AS n FROM sketch GROUP BY ALL) o ON {on} AND a.measure = o.measure AND a.bucket = o.bucket"""
+
+
+def _setting_sql(k: int) -> str:
+    return "CASE measure " + " ".join(f"WHEN '{m}' THEN {v[k]}" for m, v in LEVELS.items()) + " END"
 
 
 ORACLE = f"""
@@ -140,13 +155,14 @@ covered AS (SELECT r, sum(least({WINDOW}, coalesce(next - i, {WINDOW}))) AS n_re
 base AS (SELECT s.*, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
     CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(len(lines) AS BIGINT) AS n_lines, CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words FROM split s LEFT JOIN covered USING (r)),
 failed AS (SELECT *, (n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED} * n_words) AS base_failed, {", ".join(f"{e} AS {m}" for m, e in _METRIC_SQL.items())} FROM base),
-long AS ({" UNION ALL ".join(f"SELECT lang, source, '{m}' AS measure, {m} AS v FROM failed" for m in TOLERANCE)}),
-sketch AS (SELECT lang, source, measure, CAST((v >> greatest(length(bin(v)) - 5, 0)) << greatest(length(bin(v)) - 5, 0) AS BIGINT) AS bucket, count(*) AS n FROM long GROUP BY ALL),
-leaf AS ({_level_sql("lang, source")}), tongue AS ({_level_sql("lang")}), top AS ({_level_sql("")}),
-chosen AS (SELECT leaf.lang, leaf.source, leaf.measure, CASE WHEN leaf.docs >= {LEAST_DOCS} THEN [leaf.q1, leaf.q2, leaf.q3] WHEN tongue.docs >= {LEAST_DOCS} THEN [tongue.q1, tongue.q2, tongue.q3] ELSE [top.q1, top.q2, top.q3] END AS q
-  FROM leaf JOIN tongue ON leaf.lang IS NOT DISTINCT FROM tongue.lang AND leaf.measure = tongue.measure JOIN top ON leaf.measure = top.measure),
-fence AS (SELECT lang, source, measure, greatest(q[3] + {REACH} * (q[3] - q[1]), q[2] + CASE measure {" ".join(f"WHEN '{m}' THEN {t}" for m, t in TOLERANCE.items())} END) AS f FROM chosen),
-fences AS (SELECT lang, source, {", ".join(f"max(CASE WHEN measure = '{m}' THEN f END) AS {m}_fence" for m in TOLERANCE)} FROM fence GROUP BY lang, source)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, (NOT base_failed AND {" AND ".join(f"{m} <= {m}_fence" for m in TOLERANCE)}) AS kept
+long AS ({" UNION ALL ".join(f"SELECT lang, source, '{m}' AS measure, {m} AS v FROM failed WHERE NOT base_failed" for m in LEVELS)}),
+sketch AS (SELECT lang, source, measure, {_bucket_sql("v")} AS bucket, count(*) AS n FROM long GROUP BY ALL),
+top AS (SELECT measure, bucket, sum(n) AS weight FROM sketch GROUP BY ALL),
+tongue AS ({_blend_sql("SELECT lang, top.* FROM (SELECT DISTINCT lang FROM failed), top", "lang")}),
+leaf AS ({_blend_sql("SELECT g.lang, g.source, t.measure, t.bucket, t.weight FROM (SELECT DISTINCT lang, source FROM failed) g JOIN tongue t ON g.lang IS NOT DISTINCT FROM t.lang", "lang, source")}),
+ranked AS (SELECT *, sum(weight) OVER (PARTITION BY lang, source, measure ORDER BY bucket ROWS UNBOUNDED PRECEDING) AS below, sum(weight) OVER (PARTITION BY lang, source, measure) AS total FROM leaf),
+ends AS (SELECT lang, source, measure, min(CASE WHEN 100 * below >= {_setting_sql(0)} * total THEN bucket END) AS high, min(CASE WHEN 100 * below >= 50 * total THEN bucket END) AS mid FROM ranked GROUP BY ALL),
+fences AS (SELECT lang, source, {", ".join(f"max(CASE WHEN measure = '{m}' THEN high + {v[1]} * (high - mid) END) AS {m}_fence" for m, v in LEVELS.items())} FROM ends GROUP BY lang, source)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, (NOT base_failed AND {" AND ".join(f"coalesce({_bucket_sql(m)} <= {m}_fence, true)" for m in LEVELS)}) AS kept
 FROM failed d LEFT JOIN fences f ON d.lang IS NOT DISTINCT FROM f.lang AND d.source IS NOT DISTINCT FROM f.source
 """

@@ -99,6 +99,49 @@ def test_quality_on_odd_rows(odd, empty):
     assert quality_rules.judge(odd).count() == len(ODD) and quality_rules.judge(empty).count() == 0
 
 
+def _exact(values, percent):
+    return sorted(values)[-(-percent * len(values) // 100) - 1]
+
+
+def test_fences_are_quantiles_of_their_group(spark):
+    """A large group's fences are its own exact quantiles within the sketch's error; scaled values scale the fences, so no constant decides."""
+    rng = np.random.default_rng(4)
+    draws = {("en", "a"): rng.gamma(2, 20, 4000), ("en", "b"): rng.gamma(2, 200, 4000), ("de", "c"): rng.gamma(9, 50, 4000)}
+    for scale in (1, 7):
+        rows = [(*g, *[int(scale * v)] * 4, False) for g, values in draws.items() for v in values] + [("en", "a", *[10**6] * 4, True)] * 500
+        rated = spark.createDataFrame(rows, "lang string, source string, symbol_rate long, line_rate long, repeat_rate long, word_length long, base_failed boolean")
+        got = {(r.leaf.lang, r.leaf.source): r for r in quality_rules.fences(quality_rules.sketches(rated), rated, prior=0).collect()}
+        for g, values in draws.items():
+            whole = [int(scale * v) for v in values]
+            for m, (percent, reach) in quality_rules.LEVELS.items():
+                high, mid = _exact(whole, percent), _exact(whole, 50)
+                want = high + reach * (high - mid)
+                assert abs(got[g][f"{m}_fence"] - want) <= (1 + reach) * high / 128 + reach * mid / 128 + 1
+        assert len({r.word_length_fence for r in got.values()}) == 3
+
+
+def test_small_groups_lean_on_their_language(spark):
+    rows = [("en", "big", 100 + k % 50, False) for k in range(5000)] + [("en", "small", 900, False)] * 3 + [("fr", "none", 5, True)]
+    rated = spark.createDataFrame(rows, "lang string, source string, v long, base_failed boolean").selectExpr("lang", "source", "base_failed", *[f"v AS {m}" for m in quality_rules.LEVELS])
+    got = {r.leaf.source: r.word_length_fence for r in quality_rules.fences(quality_rules.sketches(rated), rated).collect()}
+    assert got["small"] < 900 and abs(got["small"] - got["big"]) <= 60 and got["none"] is not None
+    alone = {r.leaf.source: r.word_length_fence for r in quality_rules.fences(quality_rules.sketches(rated), rated, prior=0).collect()}
+    assert alone["small"] >= 864
+
+
+def test_quality_against_labels(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    got = quality_rules.judge(docs).join(labels, "doc_id").collect()
+    good, bad = ([r.kept for r in got if r.quality == q and not r.base_failed] for q in (1, 0))
+    assert sum(good) >= 0.98 * len(good) and sum(bad) <= 0.3 * len(bad)
+
+
+def test_quality_ignores_clashing_columns(spark):
+    names = ["words", "kept", "bucket", "n", "symbol_rate", "g_lang", "leaf", "base_failed"]
+    df = spark.createDataFrame([(1, "a b c d e f g h i j k", "en", "s", *["own"] * len(names))], "doc_id long, text string, lang string, source string, " + ", ".join(f"{n} string" for n in names))
+    assert quality_rules.judge(df).select("doc_id", "n_words", "kept").collect() == [(1, 11, True)]
+
+
 # 3
 
 
