@@ -16,7 +16,10 @@ ends where no match and no run can go on. A base64 run longer than a window is d
 piece by piece; only a longer stretch that mixes base64 characters and escapes, without any other
 character, is held as a whole.
 
-A null text counts as empty. Repeated rows give repeated results; an empty table
+Where a layer came from is kept as one flat list of places in the original text, so layers may be nested to any depth. Base64 may be wrapped in
+lines, stand behind a slash, and hold UTF-16. Very long texts are scanned whole.
+
+A null text counts as empty. Hits with equal places and kinds are one; ties in start go by kind, then by end. Repeated rows give repeated results; an empty table
 gives none; other columns are ignored by ``scan`` and kept by ``redact``.
 """
 
@@ -31,7 +34,7 @@ import lzma
 import re
 import zlib
 from bisect import bisect_left
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from itertools import chain
 
 import pyarrow as pa
@@ -50,6 +53,10 @@ _LONG_HEX = re.compile(r"[0-9a-f]{16,}")
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#[xX]([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
+#: Lines of equal length (a multiple of four) and a last, shorter one, as encoders wrap long runs.
+_WRAPPED = re.compile(r"(?:[A-Za-z0-9+/]{60}|[A-Za-z0-9+/]{64}|[A-Za-z0-9+/]{72}|[A-Za-z0-9+/]{76})(?:\r?\n[A-Za-z0-9+/]{60,76})*\r?\n[A-Za-z0-9+/]{2,76}={0,2}")
+#: A percent sign that was escaped twice or more, before two hexadecimal digits.
+_SIGNS = re.compile(r"%(?:25)+(?=25[0-9A-Fa-f]{2})")
 #: Characters (or bytes) of an expanded layer that are taken at once, bytes given to a decompressor at once, and characters
 #: before a window's end that the next one sees again where only an assignment or an escaped match can go on.
 WINDOW, FEED, AGAIN = 1 << 22, 1 << 16, 1 << 16
@@ -74,64 +81,104 @@ def base_spans(text: str) -> list[Span]:
     return sorted(found)
 
 
-class _Unescaped:
-    """A text with escapes replaced, and where each of its characters came from."""
+class _Layer:
+    """A decoded text, and where in the original text each of its parts came from (flat, however deep the layer is)."""
 
-    def __init__(self) -> None:
-        self.parts: list[str] = []
-        self.at: list[int] = []  # where each part begins, here
-        self.source: list[tuple[int, int, bool]] = []  # its place there; True: character by character
-        self.size = 0
-
-    def add(self, part: str, start: int, end: int, plain: bool) -> None:
-        if part:
-            self.parts.append(part)
-            self.at.append(self.size)
-            self.source.append((start, end, plain))
-            self.size += len(part)
+    def __init__(self, parts: list[str], at: list[int], source: list[tuple[int, int, bool]]):
+        self.text = "".join(parts)
+        self.at = at  # where each part begins, here
+        self.source = source  # its place in the original; True: character by character
 
     def place(self, start: int, end: int) -> tuple[int, int]:
-        def of(k: int) -> tuple[int, int]:
-            n = bisect_left(self.at, k + 1) - 1
-            a, b, plain = self.source[n]
-            return (a + k - self.at[n], a + k - self.at[n] + 1) if plain else (a, b)
+        return self._of(start)[0], self._of(end - 1)[1]
+
+    def _of(self, k: int) -> tuple[int, int]:
+        n = bisect_left(self.at, k + 1) - 1
+        a, b, plain = self.source[n]
+        return (a + k - self.at[n], a + k - self.at[n] + 1) if plain else (a, b)
 
-        return of(start)[0], of(end - 1)[1]
 
+class _Made:
+    """Builds a layer from parts of the one above it."""
 
-def _percent_decoded(text: str) -> _Unescaped | None:
-    out, last = _Unescaped(), 0
+    def __init__(self, above: _Layer):
+        self.above, self.part = above, 0
+        self.parts: list[str] = []
+        self.at: list[int] = []
+        self.source: list[tuple[int, int, bool]] = []
+        self.size = 0
+
+    def _add(self, part: str, source: tuple[int, int, bool]) -> None:
+        self.parts.append(part)
+        self.at.append(self.size)
+        self.source.append(source)
+        self.size += len(part)
+
+    def keep(self, start: int, end: int) -> None:
+        """Characters of the layer above as they are: its parts, cut to the range."""
+        at, source = self.above.at, self.above.source
+        while start < end:
+            while self.part + 1 < len(at) and at[self.part + 1] <= start:
+                self.part += 1
+            stop = min(end, at[self.part + 1] if self.part + 1 < len(at) else len(self.above.text))
+            a, b, plain = source[self.part]
+            shift = start - at[self.part]
+            self._add(self.above.text[start:stop], (a + shift, a + shift + stop - start, True) if plain else (a, b, False))
+            start = stop
+
+    def put(self, part: str, start: int, end: int) -> None:
+        """A decoded part in the place of a range of the layer above."""
+        a, b = self.above.place(start, end)
+        self._add(part, (a, b, False))
+
+    def done(self) -> _Layer:
+        return _Layer(self.parts, self.at, self.source)
+
+
+def _percent_decoded(layer: _Layer) -> _Layer | None:
+    """Percent escapes decoded; of an escaped percent sign (``%25``, ``%2525`` and so on) all levels at once, as the layers between hold
+    nothing but the sign of the next."""
+    text = layer.text
     if "%" not in text:
         return None
+    out, last = _Made(layer), 0
+    for m in _SIGNS.finditer(text):
+        out.keep(last, m.start())
+        out.put("%", m.start(), m.end())
+        last = m.end()
+    if last:
+        out.keep(last, len(text))
+        return out.done()
     for m in _PERCENT.finditer(text):
-        out.add(text[last : m.start()], last, m.start(), True)
+        out.keep(last, m.start())
         raw, at = bytes.fromhex(m[0].replace("%", "")), m.start()
         for c in raw.decode("utf-8", "surrogateescape"):  # bytes that are no UTF-8 stay one character each
             n = len(c.encode("utf-8", "surrogateescape"))
-            out.add(c if not "\ud800" <= c <= "\udfff" else "�", at, at + 3 * n, False)
+            out.put(c if not "\ud800" <= c <= "\udfff" else "�", at, at + 3 * n)
             at += 3 * n
         last = m.end()
     if not last:
         return None
-    out.add(text[last:], last, len(text), True)
-    return out
+    out.keep(last, len(text))
+    return out.done()
 
 
-def _escapes_decoded(text: str) -> _Unescaped | None:
+def _escapes_decoded(layer: _Layer) -> _Layer | None:
+    text = layer.text
     if "\\" not in text and "&#" not in text:
         return None
-    out, last = _Unescaped(), 0
+    out, last = _Made(layer), 0
     for m in _ESCAPE.finditer(text):
         code = int(m[6]) if m[6] else int(next(x for x in m.groups() if x), 16)
         if code > 0x10FFFF or 0xD800 <= code <= 0xDFFF:
             continue
-        out.add(text[last : m.start()], last, m.start(), True)
-        out.add(chr(code), m.start(), m.end(), False)
+        out.keep(last, m.start())
+        out.put(chr(code), m.start(), m.end())
         last = m.end()
     if not last:
         return None
-    out.add(text[last:], last, len(text), True)
-    return out
+    out.keep(last, len(text))
+    return out.done()
 
 
 def _decompressor(head: bytes):
@@ -270,43 +317,61 @@ def _long_run(text: str, texts: Iterator[str], found: set[int], above: frozenset
     return last + rest
 
 
+def _readings(raw: bytes) -> list[str]:
+    """The bytes as text: UTF-8, and UTF-16 where every second byte is mostly zero."""
+    out = [raw.decode("utf-8", "replace")]
+    for code, zeros in (("utf-16-le", raw[1::2]), ("utf-16-be", raw[::2])):
+        if len(zeros) > 8 and 2 * zeros.count(0) > len(zeros):
+            out.append(raw.decode(code, "replace"))
+    return out
+
+
 def _base64_decoded(text: str) -> Iterator[tuple[bytes, int, int]]:
     for m in _BASE64.finditer(text):
-        run = m[0].rstrip("=").replace("-", "+").replace("_", "/")
-        if len(run) % 4 == 1:
-            continue
-        try:
-            yield base64.b64decode(run + "=" * (-len(run) % 4)), m.start(), m.end()
-        except binascii.Error:
-            continue
+        run = m[0]
+        yield from _base64_run(run, m.start(), m.end())
+        # a path or a word may be glued in front of the run: behind the last slash it is a run of its own
+        if (cut := run.rfind("/")) > 0 and len(run) - cut > 20:
+            yield from _base64_run(run[cut + 1 :], m.start() + cut + 1, m.end())
+        if "/" in run and (cut := run.find("/") + 1) < len(run) - 20:
+            yield from _base64_run(run[cut:], m.start() + cut, m.end())
+    for m in _WRAPPED.finditer(text):
+        yield from _base64_run(re.sub(r"\s+", "", m[0]), m.start(), m.end())
+
+
+def _base64_run(run: str, start: int, end: int) -> Iterator[tuple[bytes, int, int]]:
+    run = run.rstrip("=").replace("-", "+").replace("_", "/")
+    if len(run) % 4 == 1:
+        return
+    try:
+        yield base64.b64decode(run + "=" * (-len(run) % 4)), start, end
+    except binascii.Error:
+        return
 
 
 def all_spans(text: str, above: frozenset[bytes] = frozenset()) -> tuple[list[Span], list[Span]]:
     """(base hits, base hits and those of decoded layers); above: digests of the compressed layers that hold the text."""
     base = base_spans(text)
     found = set(base)
-    work: list[tuple[str, Callable[[int, int], tuple[int, int]]]] = [(text, lambda a, b: (a, b))]
+    work = [_Layer([text], [0], [(0, len(text), True)])] if text else []
     seen: set[tuple[str | bytes, int, int]] = {(text, 0, len(text))}
     while work:
-        layer, place = work.pop()
-        inner: list[tuple[str, Callable[[int, int], tuple[int, int]]]] = []
-        for out in (_percent_decoded(layer), _escapes_decoded(layer)):
-            if out is not None:
-                inner.append(("".join(out.parts), lambda a, b, out=out, place=place: place(*out.place(a, b))))
-        for raw, a, b in _base64_decoded(layer):
-            whole = place(a, b)
+        layer = work.pop()
+        inner = [out for out in (_percent_decoded(layer), _escapes_decoded(layer)) if out is not None]
+        for raw, a, b in _base64_decoded(layer.text):
+            whole = layer.place(a, b)
             if _decompressor(raw) is None:
-                inner.append((raw.decode("utf-8", "replace"), lambda _a, _b, whole=whole: whole))
+                inner += [_Layer([t], [0], [(*whole, False)]) for t in _readings(raw)]
             elif (raw, *whole) not in seen:
                 seen.add((raw, *whole))
                 found |= {(whole[0], k, whole[1]) for k in _kinds(_pieces(raw), above)}
-        for decoded, where in inner:
-            if decoded and (key := (decoded, *where(0, len(decoded)))) not in seen:
+        for decoded in inner:
+            if decoded.text and (key := (decoded.text, *decoded.place(0, len(decoded.text)))) not in seen:
                 seen.add(key)
-                for start, kind, end in base_spans(decoded):
-                    a, b = where(start, end)
+                for start, kind, end in base_spans(decoded.text):
+                    a, b = decoded.place(start, end)
                     found.add((a, kind, b))
-                work.append((decoded, where))
+                work.append(decoded)
     return base, sorted(found)
 
 

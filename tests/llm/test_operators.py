@@ -429,6 +429,68 @@ def test_layers_over_the_old_bound_are_scanned():
     assert _kinds_in(gzip.compress("€, line\n".encode() * (7 << 20) + KEY.encode(), 1)) == {0}
 
 
+def test_deep_chains_end_and_map_exactly():
+    import time
+
+    deep = "%" + "25" * 1200 + "70%" + "61ssword=Ghijk-lmnop-qrst"
+    assert secret_scan.all_spans("a " + deep + " b") == ([(3, 2, 2405)], [(2, 0, 2 + len(deep)), (3, 2, 2405)])
+    began = time.process_time()
+    secret_scan.all_spans(" ".join(["%" + "25" * 1200 + "41"] * 12))
+    assert time.process_time() - began < 5
+    text = "x"
+    for _ in range(40):  # percent and numeric escapes in turn
+        text = "".join(f"&#{ord(c)};" for c in text) if len(text) < 3000 and _ % 2 else urllib.parse.quote(text, safe="")
+    secret_scan.all_spans(text)
+
+
+def test_runs_that_are_wrapped_glued_or_utf16():
+    raw = ("line of text, and more of it\n" * 9 + KEY + "\n").encode()
+    for packed in (raw, gzip.compress(raw)):
+        wrapped = base64.encodebytes(packed).decode().rstrip("\n")
+        assert any(k == 0 and (a, b) == (5, 5 + len(wrapped)) for a, k, b in secret_scan.all_spans("head " + wrapped + " tail")[1])
+    for prefix in ("data/", "a/b/c/"):
+        run = base64.b64encode(KEY.encode() * 2).decode()
+        assert any(k == 0 for _, k, _ in secret_scan.all_spans(f"see {prefix}{run} .")[1])
+    for code in ("utf-16-le", "utf-16-be"):
+        assert any(k == 0 for _, k, _ in secret_scan.all_spans(base64.b64encode(KEY.encode(code)).decode())[1])
+
+
+def _brute_layers(text, place, found, depth=0):
+    """Every decoding of every layer by plain recursion, with a place for every single character."""
+    for start, kind, end in secret_scan.base_spans(text):
+        found.add((place[start][0], kind, place[end - 1][1]))
+    if depth > 6:
+        return
+    for pattern, value in ((r"%([0-9A-Fa-f]{2})", lambda m: chr(int(m[1], 16))), (r"\\u([0-9A-Fa-f]{4})", lambda m: chr(int(m[1], 16))), (r"&#([0-9]{1,7});", lambda m: chr(int(m[1])))):
+        out, where, last = "", [], 0
+        for m in re.finditer(pattern, text):
+            out += text[last : m.start()] + value(m)
+            where += [*place[last : m.start()], (place[m.start()][0], place[m.end() - 1][1])]
+            last = m.end()
+        if last:
+            _brute_layers(out + text[last:], where + place[last:], found, depth + 1)
+    for m in re.finditer(r"[A-Za-z0-9+/_-]{20,}={0,2}", text):
+        run = m[0].rstrip("=")
+        if len(run) % 4 != 1:
+            inner = base64.b64decode(run + "=" * (-len(run) % 4)).decode("utf-8", "replace")
+            _brute_layers(inner, [(place[m.start()][0], place[m.end() - 1][1])] * len(inner), found, depth + 1)
+
+
+def test_decoded_spans_against_brute_force():
+    rng = np.random.default_rng(8)
+    wraps = [lambda s: urllib.parse.quote(s, safe=""), lambda s: "".join(f"\\u{ord(c):04x}" for c in s), lambda s: "".join(f"&#{ord(c)};" for c in s), lambda s: base64.b64encode(s.encode()).decode()]
+    secrets = [KEY, "AKIA" + "Q7" * 10, "0123456789abcdef" * 2]
+    for _ in range(60):
+        layers = rng.integers(0, 4, int(rng.integers(1, 4)))
+        s = secrets[int(rng.integers(0, 3))]
+        for w in layers:
+            s = wraps[w]("pre, " + s + " ,post" if rng.integers(0, 2) else s)
+        if len(s) < 6000:
+            text, want = f"some text {s} end", set()
+            _brute_layers(text, [(k, k + 1) for k in range(len(text))], want)
+            assert want and want <= set(secret_scan.all_spans(text)[1])
+
+
 def test_secret_scan_on_odd_rows(odd, empty):
     got = secret_scan.digest(secret_scan.scan(odd)).collect()
     assert len(got) == len(ODD) and {r.n_assign for r in got if r.doc_id is None} == {1}
