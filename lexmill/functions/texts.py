@@ -131,26 +131,39 @@ def token_estimate(d: Dialect, x: str, how: str = "ceil") -> str:
     return f"greatest(CAST(1 AS BIGINT), CAST(floor({whole[how]} / 4.0) AS BIGINT))"
 
 
-_MONTHS = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
+_MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
 
 
-def policy_date(d: Dialect, text: str) -> str:
-    """U18: 'effective:' or 'updated:' and the ISO date of the first dated phrase, by its own keyword; null without one."""
+def policy_dates(d: Dialect, text: str) -> str:
+    """U18: 'effective:' or 'updated:' and the ISO date of the first phrase of each of three forms (March 5, 2024; 5 March 2024; 2024-03-05): a sorted
+    array. Months are full names or their first three letters; dates that the calendar does not have give nothing."""
     x = f"substr(coalesce({text}, ''), 1, 12000)"
     word = r"(?i)(effective|last\s+updated|updated|last\s+modified)\s*[:-]?\s*"
-    month = lambda m: "CASE lower(substr(" + m + ", 1, 3)) " + " ".join(f"WHEN '{k.lower()}' THEN '{i + 1:02d}'" for i, k in enumerate(_MONTHS)) + " END"
+    month = lambda m: f"CASE lower({m}) " + " ".join(f"WHEN '{w}' THEN '{i + 1:02d}'" for i, k in enumerate(_MONTHS) for w in sorted({k.lower(), k[:3].lower()})) + " END"
     forms = (
         (word + r"([A-Za-z]{3,9})\s+(\d{1,2}),\s+(\d{4})", 4, 2, 3),
         (word + r"(\d{1,2})\s+([A-Za-z]{3,9})\s+(\d{4})", 4, 3, 2),
+        (word + r"(\d{4})-(\d{2})-(\d{2})", 2, 3, 4),
     )
-    out = "CASE"
+    tags = []
     for pattern, y, m, day in forms:
-        got = lambda k, pattern=pattern: d.extract(x, pattern, k)
+        got = lambda k, pattern=pattern: d.extract("m_", pattern, k)
+        number = got(m) if y == 2 else month(got(m))
+        iso = f"concat({got(y)}, '-', {number}, '-', lpad({got(day)}, 2, '0'))"
         key = f"CASE WHEN lower({got(1)}) = 'effective' THEN 'effective:' ELSE 'updated:' END"
-        out += f" WHEN {got(0)} <> '' AND {month(got(m))} IS NOT NULL THEN concat({key}, {got(y)}, '-', {month(got(m))}, '-', lpad({got(day)}, 2, '0'))"
-    iso = word + r"(\d{4}-\d{2}-\d{2})"
-    key = f"CASE WHEN lower({d.extract(x, iso, 1)}) = 'effective' THEN 'effective:' ELSE 'updated:' END"
-    return out + f" WHEN {d.extract(x, iso, 0)} <> '' THEN concat({key}, {d.extract(x, iso, 2)}) END"
+        tag = f"CASE WHEN m_ <> '' AND {number} IS NOT NULL AND try_cast({iso} AS DATE) IS NOT NULL THEN concat({key}, {iso}) END"
+        tags.append(d.item(d.each(d.array([d.extract(x, pattern, 0)]), "m_", tag), "1"))  # the long text is searched once for each form
+    return d.sorted_set(d.array(tags))
+
+
+def parse_ts(d: Dialect, raw: str) -> str:
+    """Seconds since 1970 of an ISO time with or without an offset (without: UTC), or of digits; 0 for anything else."""
+    iso = d.matches(raw, r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}([.]\d+)?)?)?(Z|[+-]\d{2}:?\d{2})?$")
+    zoned = d.matches(raw, r"(Z|[+-]\d{2}:?\d{2})$")
+    dated = d.matches(raw, r"^\d{4}-\d{2}-\d{2}$")
+    utc = f"CASE WHEN {dated} THEN concat({raw}, 'T00:00:00+00:00') WHEN {zoned} THEN {raw} ELSE concat({raw}, '+00:00') END"
+    seconds = f"unix_timestamp(try_cast({utc} AS TIMESTAMP))" if type(d) is Dialect else f"CAST(floor(epoch(try_cast({utc} AS TIMESTAMPTZ))) AS BIGINT)"
+    return f"coalesce(CASE WHEN {iso} THEN {seconds} END, CASE WHEN {d.matches(raw, '^[0-9]+$')} THEN try_cast({raw} AS BIGINT) END, 0)"
 
 
 def words_of(d: Dialect, x: str) -> str:
@@ -178,9 +191,8 @@ def document_tags(d: Dialect, url: str, text: str) -> str:
     tags += [f"CASE WHEN {d.matches(hay, p)} THEN 'surface:{t}' END" for t, p in R.SURFACES.items()]
     tags += [f"CASE WHEN {d.matches(hay, p)} THEN 'audience:{t}' END" for t, p in R.AUDIENCES.items()]
     tags += [f"CASE WHEN {d.matches(head, r'(?i)\b' + t + r'\b')} THEN 'framework:{t.lower()}' END" for t in R.FRAMEWORKS]
-    tags.append(policy_date(d, text))
     tags.append("CASE WHEN " + " OR ".join(f"contains(lower(substr(coalesce({text}, ''), 1, 4000)), '{w}')" for w in R.AUTH_WALLS) + " THEN 'auth-wall:true' END")
-    both = d.concat_lists(d.array(tags), U.locale_region_tags(d, url))
+    both = d.concat_lists(d.concat_lists(d.array(tags), policy_dates(d, text)), U.locale_region_tags(d, url))
     return d.sorted_set(d.each(both, "t", "lower(trim(t))"))
 
 

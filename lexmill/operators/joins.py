@@ -73,12 +73,14 @@ def allowed_by_policy_path(df: DataFrame, policies: DataFrame) -> DataFrame:
 
 
 def match_root(df: DataFrame, roots: DataFrame) -> DataFrame:
-    """The longest root (root) that is the host or a parent of it. The host's parents are exploded (a handful), so this is an equi-join."""
+    """The longest root (root) that is the host or a parent of it. Resolved once for each distinct host: its parents (a handful) are
+    exploded into an equi-join, and rows meet the result by host."""
     labels = F.split("_host", "[.]")
     parents = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
-    hosted = df.withColumn("_host", column(U.host_of, "url", with_port=False)).withColumn("_row", F.monotonically_increasing_id())
-    found = hosted.select("_row", F.explode(parents).alias("root")).join(roots.select("root").distinct(), "root").groupBy("_row").agg(F.max_by("root", F.length("root")).alias("root"))
-    return hosted.join(found, "_row", "left").drop("_row", "_host")
+    hosted = df.withColumn("_host", column(U.host_of, "url", with_port=False))
+    asked = hosted.select("_host").where("_host IS NOT NULL").distinct()
+    found = asked.select("_host", F.explode(parents).alias("root")).join(roots.select("root").distinct(), "root").groupBy("_host").agg(F.max_by("root", F.length("root")).alias("root"))
+    return hosted.join(found, "_host", "left").select(*df.columns, "root")
 
 
 def strict_prune(df: DataFrame, roots: DataFrame) -> DataFrame:

@@ -96,9 +96,10 @@ def apply_fetch_results(docs: DataFrame, fetches: DataFrame) -> DataFrame:
 
 
 def build_tag_dictionary(doc_tags: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """M6: (tag_id, tag) and the unique links (doc_id, tag_id). Ids number the distinct tags, a small table, in order."""
-    tags = doc_tags.select("tag").where("tag IS NOT NULL").distinct()
-    ids = tags.withColumn("tag_id", F.row_number().over(Window.orderBy("tag")).cast("long"))
+    """M6: (tag_id, tag) and the unique links (doc_id, tag_id). Ids number the distinct tags in order: they are sorted by ranges, and each range
+    goes on from the size of those before it, so no task sees all tags."""
+    tags = doc_tags.select("tag").where("tag IS NOT NULL").distinct().orderBy("tag")
+    ids = tags.rdd.map(lambda r: r["tag"]).zipWithIndex().map(lambda x: (x[1] + 1, x[0])).toDF("tag_id long, tag string")
     return ids, doc_tags.join(ids, "tag").select("doc_id", "tag_id").distinct()
 
 
@@ -113,7 +114,7 @@ def except_urls(df: DataFrame, drop: DataFrame) -> DataFrame:
     return df.join(drop.select("url").where("url IS NOT NULL").distinct(), "url", "left_anti")
 
 
-def top_per(df: DataFrame, key: str, cap: int, n: int, *order) -> DataFrame:
-    """At most cap rows per key, then the n first of all."""
+def top_per(df: DataFrame, key: str, cap: int, n: int | None, *order) -> DataFrame:
+    """At most cap rows per key, then the n first of all (None: all of them, in no order)."""
     kept = df.withColumn("_k", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("_k") <= cap).drop("_k")
-    return kept.orderBy(*order).limit(n)
+    return kept if n is None else kept.orderBy(*order).limit(n)

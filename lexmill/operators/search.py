@@ -129,9 +129,9 @@ def dedupe_canonical(hits: DataFrame) -> DataFrame:
 
 
 def minmax_normalize(df: DataFrame, name: str, out: str, invert: bool = False) -> DataFrame:
-    """(x - min) / (max - min), 0 where flat; null and NaN count as the median. Meant for a limited table: the bounds are one row."""
+    """(x - min) / (max - min), 0 where flat; null and NaN count as the median (of a sketch: within a ten-thousandth of the rows). The bounds are one row, found by partial aggregates."""
     x = F.when(F.isnan(name), None).otherwise(F.col(name))
-    bounds = df.agg(F.percentile(x, 0.5).alias("_mid"), F.min(x).alias("_lo"), F.max(x).alias("_hi"))
+    bounds = df.agg(F.percentile_approx(x, 0.5).alias("_mid"), F.min(x).alias("_lo"), F.max(x).alias("_hi"))
     v = F.coalesce(x, F.col("_mid"))
     share = F.when(F.col("_hi") > F.col("_lo"), ((F.col("_hi") - v) if invert else (v - F.col("_lo"))) / (F.col("_hi") - F.col("_lo"))).otherwise(0.0)
     return df.crossJoin(F.broadcast(bounds)).withColumn(out, share).drop("_mid", "_lo", "_hi")

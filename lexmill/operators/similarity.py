@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,10 +29,12 @@ def host_boilerplate(chunks: DataFrame, least_docs: int = 3) -> DataFrame:
 
 
 def suppress_boilerplate(chunks: DataFrame, boilerplate: DataFrame) -> DataFrame:
-    """(doc_id, text) without those sentences, in order."""
-    each = chunks.select("host", "doc_id", F.posexplode(column(T.sentences, "text")).alias("k", "sentence"))
-    kept = each.join(boilerplate.select("host", "sentence"), ["host", "sentence"], "left_anti")
-    return kept.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "sentence"))), lambda x: x["sentence"]), " ").alias("text"))
+    """(doc_id, text) of every document: its sentences in order without those of its host's boilerplate. Menu-like ones stay; a document of
+    boilerplate only, or without text, has the empty text."""
+    each = chunks.select("host", "doc_id", F.posexplode_outer(column(T.sentence_parts, "text")).alias("k", "sentence"))
+    marked = each.join(boilerplate.select("host", "sentence", F.lit(True).alias("_drop")), ["host", "sentence"], "left")
+    kept = F.collect_list(F.when(F.col("_drop").isNull() & (F.col("sentence") != ""), F.struct("k", "sentence")))
+    return marked.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(kept), lambda x: x["sentence"]), " ").alias("text"))
 
 
 def _half(c: str, k: int) -> Column:
@@ -55,14 +59,17 @@ def simhash_classes(df: DataFrame, key: str = "doc_id") -> DataFrame:
 def near_duplicates(df: DataFrame, max_hamming: int = 3, key: str = "doc_id") -> DataFrame:
     """Pairs of different simhashes within max_hamming bits, as (id of the least row of each), with the rows of equal simhashes as one.
 
-    simhash_classes says which rows each of these ids stands for. A 128-bit hash is cut into max_hamming + 1 bands; pairs within the distance
-    agree on one at least, so joining by (band, value) misses none. Empty
+    simhash_classes says which rows each of these ids stands for. A 128-bit hash is cut into bands. Up to distance 3 there are max_hamming + 1
+    of them (32 bits each at 3), of which a pair agrees on one; beyond there are max_hamming + 2, of which it agrees on two, and rows meet by twos of
+    bands, so that a bucket stays a small part of the table (24 bits or more at distance 7). No pair is missed. Empty
     texts (all bits unset) are left out: they would share every band.
     """
-    one = df.where(F.col("simhash") != "0" * 32).groupBy("simhash").agg(F.min(key).alias("id"), F.count("*").alias("rows"))
-    n = max_hamming + 1
-    digits = 32 // n
-    bands = F.explode(F.array(*[F.struct(F.lit(k).alias("band"), F.substring("simhash", k * digits + 1, digits if k < n - 1 else 32 - digits * (n - 1)).alias("value")) for k in range(n)]))
+    one = df.where(F.col("simhash") != "0" * 32).groupBy("simhash").agg(F.min(key).alias("id"))
+    n = max_hamming + (1 if max_hamming <= 3 else 2)
+    cuts = [round(32 * k / n) for k in range(n + 1)]
+    band = lambda k: F.substring("simhash", cuts[k] + 1, cuts[k + 1] - cuts[k])
+    met_by = [(k,) for k in range(n)] if max_hamming <= 3 else list(combinations(range(n), 2))
+    bands = F.explode(F.array(*[F.struct(F.lit(m).alias("band"), F.concat(*map(band, ks)).alias("value")) for m, ks in enumerate(met_by)]))
     keyed = one.select("id", "simhash", bands.alias("b")).select("id", "simhash", "b.band", "b.value")
     a, b = keyed.alias("a"), keyed.alias("b")
     met = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.value") == F.col("b.value")) & (F.col("a.id") < F.col("b.id")) & (hamming("a.simhash", "b.simhash") <= max_hamming))

@@ -59,11 +59,6 @@ def _domain_slug(d: Dialect) -> dict[str, str]:
     return {"domain": domain, "slug": slug}
 
 
-def _classified(d: Dialect) -> dict[str, str]:
-    label, share = T.classify(d, "substr(text, 1, 40)", "substr(text, 1, 400)")
-    return {"label": label, "confidence": f"round({share}, 6)"}
-
-
 def _classified_whole(d: Dialect) -> dict[str, str]:
     label, share = T.classify(d, "substr(text, 1, 40)", "text")
     return {"label": label, "confidence": f"round({share}, 6)"}
@@ -114,10 +109,8 @@ def _noise(d: Dialect) -> dict[str, str]:
 
 
 def _parsed_times(d: Dialect) -> dict[str, str]:
-    raw = "CASE id % 4 WHEN 0 THEN '2024-01-02T03:04:05Z' WHEN 1 THEN '2024-01-02T03:04:05' WHEN 2 THEN '1704164645' ELSE 'never' END"
-    seconds = "unix_timestamp(try_to_timestamp(replace({r}, 'Z', ''), \"yyyy-MM-dd'T'HH:mm:ss\"))" if type(d) is Dialect else "CAST(epoch(try_strptime(replace({r}, 'Z', ''), '%Y-%m-%dT%H:%M:%S')) AS BIGINT)"
-    digits = f"CASE WHEN {d.matches(raw, '^[0-9]+$')} THEN CAST({d.extract(raw, '^[0-9]+$')} AS BIGINT) END" if type(d) is not Dialect else f"try_cast({raw} AS BIGINT)"
-    return {"seconds": f"coalesce({seconds.format(r=raw)}, {digits}, 0)"}
+    raw = "CASE id % 6 WHEN 0 THEN '2024-01-02T03:04:05Z' WHEN 1 THEN '2024-01-02T03:04:05' WHEN 2 THEN '1704164645' WHEN 3 THEN '2024-01-02T03:04:05+00:00' WHEN 4 THEN '2024-02-30 10:00:00' ELSE 'never' END"
+    return {"seconds": T.parse_ts(d, f"({raw})")}
 
 
 PLANS = {
@@ -131,14 +124,14 @@ PLANS = {
     "infer_platform": _on_docs(_platforms),
     "infer_jurisdiction": _on_docs(_one("found", U.infer_jurisdiction, "url")),
     "infer_doc_type": _on_docs(_doc_types),
-    "classify": _on_texts(_classified),
+    "classify": _on_texts(_classified_whole),
     "tag_topics": _on_texts(_joined(T.tag_topics, "text")),
     "content_hash": _on_texts(_hashes),
     "domain_and_slug": _on_docs(_domain_slug),
     "token_estimate": _on_texts(_estimates),
     "render_flags": _on_docs(_render),
     "locale_region_tags": _on_docs(_joined(U.locale_region_tags, "url")),
-    "extract_policy_dates": _on_texts(_one("dated", T.policy_date, "text")),
+    "extract_policy_dates": _on_texts(_joined(T.policy_dates, "text")),
     "norm_platform_jurisdiction": _on_docs(_norms),
     "parse_ts": _on_docs(_parsed_times),
     "word_and_page_estimate": _on_texts(_sizes),
@@ -148,15 +141,15 @@ PLANS = {
     "is_probably_asset": _on_docs(lambda d: {"asset": U.is_probably_asset(d, "url"), "asset_no_pdf": U.is_probably_asset(d, "url", allow_pdf=False)}),
     "noise_urls": _on_docs(_noise),
     "looks_like_policy_path": _on_docs(_one("policy", U.looks_like_policy_path, "url")),
-    "is_menuish": _on_texts(_one("menuish", T.is_menuish, "substr(text, 1, 60)")),
+    "is_menuish": _on_sentences(_one("menuish", T.is_menuish, "s")),
     "link_filter": _on_docs(_filters),
     "strip_html_keep_text": _on_docs(_one("text", T.strip_html_keep_text, "body")),
     "html_to_text": _on_docs(_one("text", T.html_to_text, "body")),
     "quick_text": _on_docs(_one("text", T.quick_text, "body")),
     "to_sentences": _on_texts(lambda d: {"sentences": d.join(T.sentences(d, "text"), "\n")}),
-    "signal_score": _on_texts(lambda d: {"score": f"round({T.signal_score(d, 'substr(text, 1, 200)')}, 6)"}),
+    "signal_score": _on_sentences(lambda d: {"score": f"round({T.signal_score(d, 's')}, 6)"}),
     "tag_documents_array": _on_texts(_joined(T.document_tags, "url", "text")),
-    "within_window": _on_texts(lambda d: {"near": T.within_window(d, T.words_of(d, "substr(text, 1, 600)"), "the", "of", 3)}),
+    "within_window": _on_texts(lambda d: {"near": T.within_window(d, T.words_of(d, "text"), "the", "of", 3)}),
     # the same rules over whole texts, and over each of their sentences
     "classify_whole": _on_texts(_classified_whole),
     "within_window_whole": _on_texts(lambda d: {"near": T.within_window(d, T.words_of(d, "text"), "the", "of", 3)}),

@@ -10,6 +10,7 @@ from ..functions import urls as U
 from ..functions.dialect import DUCK, column
 from ..operators import changes as D
 from ..operators import search as Q
+from ..operators.merge import first_per
 from ..streaming import streams as ST
 from . import fixtures as X
 from .table_plans import TC, W, chunks_of
@@ -110,23 +111,40 @@ def _minmax(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.minmax_normalize(e, "value", "share").select("event_id", F.round("share", 6).alias("share"))
 
 
+def _shaped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events' file as a stream of changes."""
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    source = spark.readStream.schema(schema).parquet(sf_dir if sf_dir.endswith("/") else sf_dir + "/", pathGlobFilter="events.parquet")
+    return source.select(F.col("event_id").alias("id"), F.concat(F.lit("https://host"), F.expr("user_id % 23").cast("string"), F.lit(".example.com/u/"), F.col("user_id").cast("string")).alias("url"), F.col("ts").alias("created_at"), F.md5("event_type").alias("content_hash"), F.col("event_type").alias("kind"), F.concat(F.lit("host"), F.expr("user_id % 23").cast("string"), F.lit(".example.com")).alias("host"))
+
+
 def _streamed(spark: SparkSession, sf_dir: str, build) -> DataFrame:
     """Runs a stream over the events' file to its end and returns what it wrote."""
     from uuid import uuid4
 
     folder = f"{_folder(spark)}/stream-{uuid4().hex}"
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    source = spark.readStream.schema(schema).parquet(sf_dir if sf_dir.endswith("/") else sf_dir + "/", pathGlobFilter="events.parquet")
-    shaped = source.select(F.col("event_id").alias("id"), F.concat(F.lit("https://host"), F.expr("user_id % 23").cast("string"), F.lit(".example.com/u/"), F.col("user_id").cast("string")).alias("url"), F.col("ts").alias("created_at"), F.md5("event_type").alias("content_hash"), F.col("event_type").alias("kind"), F.concat(F.lit("host"), F.expr("user_id % 23").cast("string"), F.lit(".example.com")).alias("host"))
-    query = build(shaped).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    query = build(_shaped(spark, sf_dir)).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.parquet(f"{folder}/out")
 
 
+def _streamed_counts(spark: SparkSession, sf_dir: str, build, *keys: str) -> DataFrame:
+    """Runs a windowed count to its end in update mode, where the last windows need no later event to close, and returns the last state of each."""
+    from uuid import uuid4
+
+    folder = f"{_folder(spark)}/stream-{uuid4().hex}"
+    query = build(_shaped(spark, sf_dir)).writeStream.outputMode("update").foreachBatch(lambda rows, n: rows.withColumn("_batch", F.lit(n)).write.mode("overwrite").parquet(f"{folder}/out/batch={n}")).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return first_per(spark.read.parquet(f"{folder}/out").drop("batch"), list(keys), F.desc("_batch")).drop("_batch")
+
+
 def _folder(spark: SparkSession) -> str:
     import tempfile
 
-    return (spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()).rstrip("/")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return (folder or tempfile.gettempdir()).rstrip("/")
 
 
 _PAIRS = "pairs AS (SELECT * FROM (SELECT id, url, created_at, content_hash AS new_hash, lag(content_hash) OVER w AS prev_hash FROM revisions WINDOW w AS (PARTITION BY url ORDER BY created_at, id)) WHERE prev_hash IS NOT NULL AND prev_hash <> new_hash)"
@@ -157,7 +175,7 @@ PLANS = {
     "synthesize_answer": (lambda s, d: Q.synthesize_answer(_hybrid(s, d), " ".join(TERMS)), None),
     "stream_changes": (lambda s, d: _streamed(s, d, ST.stream_changes_grouped).select("id", "url", "prev_hash", "new_hash"), W(X.REVISIONS, _PAIRS) + "SELECT id, url, prev_hash, new_hash FROM pairs"),
     "stream_enqueue": (lambda s, d: _streamed(s, d, lambda x: ST.stream_enqueue(x, "40 days").select("url")), W(X.REVISIONS) + "SELECT DISTINCT url FROM revisions"),
-    "stream_host_activity": (lambda s, d: _streamed(s, d, lambda x: ST.stream_host_activity(x, "1 day")).select("start", "host", "fetched", "hydrated", "errors"), None),
+    "stream_host_activity": (lambda s, d: _streamed_counts(s, d, lambda x: ST.stream_host_activity(x, "1 day"), "start", "host").select("start", "host", "fetched", "hydrated", "errors"), "SELECT date_trunc('day', CAST(ts AS TIMESTAMP)) AS start, concat('host', user_id % 23, '.example.com') AS host, count(*) AS fetched, count(*) FILTER (event_type <> 'error') AS hydrated, count(*) FILTER (event_type = 'error') AS errors FROM events GROUP BY 1, 2"),
     "stream_alerts": (lambda s, d: _alerts(s, d).select("id", "url", "root"), W(X.REVISIONS) + "SELECT id, url, regexp_extract(url, '://([^/]*)', 1) AS root FROM revisions WHERE regexp_extract(url, '://([^/]*)', 1) IN ('host3.example.com', 'host7.example.com') AND url IN (SELECT url FROM revisions WHERE kind = 'error')"),
     "clean_chunk_tag": (lambda s, d: ST.stream_clean_chunk_tag(X.docs(s, d).withColumn("host", column(U.host_of, "url"))), None),
     "changes_pairs_first": (lambda s, d: D.revision_pairs(X.revisions(s, d)).groupBy("url").agg(F.count("*").alias("changes"), F.min("id").alias("first_id")), W(X.REVISIONS, _PAIRS) + "SELECT url, count(*) AS changes, min(id) AS first_id FROM pairs GROUP BY url"),

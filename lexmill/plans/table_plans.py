@@ -237,7 +237,7 @@ PLANS = {
     "recent_hydrated": (lambda s, d: A.recent_hydrated(X.docs(s, d)), W(X.DOCS) + "SELECT url, fetched_at, length(body) AS body_len FROM docs WHERE fetched_at IS NOT NULL ORDER BY fetched_at DESC, url, id LIMIT 10"),
     "recent_errors": (lambda s, d: A.recent_errors(X.docs(s, d)), W(X.DOCS) + "SELECT url, last_error, retry_count FROM docs WHERE coalesce(last_error, '') <> '' ORDER BY retry_count DESC, url, id LIMIT 10"),
     "largest_uncleaned": (lambda s, d: A.largest_uncleaned(X.docs(s, d)), W(X.DOCS) + "SELECT id, url, length(body) AS body_len FROM docs WHERE length(body) > 0 AND length(coalesce(clean_text, '')) = 0 ORDER BY 3 DESC, 1 LIMIT 20"),
-    "preview_chunks": (lambda s, d: M.top_per(chunks_of(s, d), "doc_id", 3, 1 << 30, "doc_id", "chunk_index").select("chunk_id", F.substring("text", 1, 300).alias("preview")), W(*TC) + "SELECT chunk_id, substr(text, 1, 300) AS preview FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_index) AS k FROM chunks) WHERE k <= 3"),
+    "preview_chunks": (lambda s, d: M.top_per(chunks_of(s, d), "doc_id", 3, None, "chunk_index").select("chunk_id", F.substring("text", 1, 300).alias("preview")), W(*TC) + "SELECT chunk_id, substr(text, 1, 300) AS preview FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_index) AS k FROM chunks) WHERE k <= 3"),
     "top_per_host": (lambda s, d: M.top_per(X.docs(s, d).withColumn("host", column(U.host_of, "url")).select("id", "host", "url"), "host", 2, 40, "id"), W(X.DOCS) + f"SELECT id, host, url FROM (SELECT id, {U.netloc(DUCK, 'url')} AS host, url, row_number() OVER (PARTITION BY {U.netloc(DUCK, 'url')} ORDER BY id) AS k FROM docs) WHERE k <= 2 ORDER BY id LIMIT 40"),
     # tags
     "tag_documents": (_tagged_docs, W(X.TEXTS, _TAGGED) + "SELECT doc_id, tag FROM tagged"),
@@ -255,5 +255,5 @@ PLANS = {
     "near_duplicates": (lambda s, d: N.near_duplicates(N.with_simhash(s.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")), 7), None),
     "near_duplicate_classes": (lambda s, d: N.simhash_classes(N.with_simhash(s.read.parquet(f"{d}/documents.parquet").select("doc_id", "text"))), None),
     "host_boilerplate": (lambda s, d: N.host_boilerplate(chunks_of(s, d)), W(*TC) + f"SELECT host, sentence, count(*) AS docs FROM (SELECT DISTINCT host, doc_id, unnest({T.sentences(DUCK, 'text')}) AS sentence FROM chunks) GROUP BY 1, 2 HAVING count(*) >= 3"),
-    "suppress_boilerplate": (lambda s, d: N.suppress_boilerplate(X.policy_texts(s, d), N.host_boilerplate(X.policy_texts(s, d))), W(X.TEXTS) + f", each AS (SELECT host, doc_id, s, unnest(range(1, len(s) + 1)) AS k FROM (SELECT host, doc_id, {T.sentences(DUCK, 'text')} AS s FROM texts)), b AS (SELECT host, s[k] AS x FROM each GROUP BY 1, 2 HAVING count(DISTINCT doc_id) >= 3) SELECT doc_id, string_agg(s[k], ' ' ORDER BY k) AS text FROM each WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.host = each.host AND b.x = s[k]) GROUP BY doc_id"),
+    "suppress_boilerplate": (lambda s, d: N.suppress_boilerplate(X.policy_texts(s, d), N.host_boilerplate(X.policy_texts(s, d))), W(X.TEXTS) + f", good AS (SELECT DISTINCT host, doc_id, unnest({T.sentences(DUCK, 'text')}) AS s FROM texts), b AS (SELECT host, s FROM good GROUP BY 1, 2 HAVING count(*) >= 3), each AS (SELECT host, doc_id, p[k] AS s, k FROM (SELECT host, doc_id, p, unnest(range(1, len(p) + 1)) AS k FROM (SELECT host, doc_id, {T.sentence_parts(DUCK, 'text')} AS p FROM texts))), kept AS (SELECT doc_id, string_agg(s, ' ' ORDER BY k) AS text FROM each WHERE s <> '' AND NOT EXISTS (SELECT 1 FROM b WHERE b.host = each.host AND b.s = each.s) GROUP BY doc_id) SELECT doc_id, coalesce(kept.text, '') AS text FROM (SELECT DISTINCT doc_id FROM texts) LEFT JOIN kept USING (doc_id)"),
 }

@@ -35,11 +35,52 @@ def test_normalize_is_idempotent(spark):
     assert one(spark, U.normalize_url, first) == first
 
 
-def test_policy_date(spark):
-    assert one(spark, T.policy_date, "x Effective: March 5, 2024 y") == "effective:2024-03-05"
-    assert one(spark, T.policy_date, "Last updated 2 January 2024") == "updated:2024-01-02"
-    assert one(spark, T.policy_date, "last modified: 2023-12-31") == "updated:2023-12-31"
-    assert one(spark, T.policy_date, "no date") is None
+def test_policy_dates(spark):
+    dates = lambda text: one(spark, T.policy_dates, text)
+    assert dates("x Effective: March 5, 2024 y") == ["effective:2024-03-05"]
+    assert dates("Last updated 2 Jan 2024") == ["updated:2024-01-02"]
+    assert dates("Effective: March 5, 2024. Updated: 2024-06-01.") == ["effective:2024-03-05", "updated:2024-06-01"]
+    for none in ("no date", "Updated: Marketing 5, 2024", "Updated: February 31, 2024", "effective 2024-13-01", None):
+        assert dates(none) == []
+
+
+def test_parse_ts(spark):
+    for raw, seconds in {"2024-01-02T03:04:05+00:00": 1704164645, "2024-01-02T05:04:05+02:00": 1704164645, "2024-01-02T03:04:05Z": 1704164645, "2024-01-02T03:04:05": 1704164645, "1704164645": 1704164645, "2024-01-02": 1704153600, "2024-02-30T00:00:00": 0, "never": 0, None: 0}.items():
+        assert one(spark, T.parse_ts, raw) == seconds, raw
+
+
+def test_boilerplate_keeps_every_document(spark):
+    note = "All rights are reserved by the owner of this site. "
+    df = spark.createDataFrame([("h", k, note + f"Paragraph number {k} of the document is here. Menu") for k in range(3)] + [("h", 3, note), ("h", 4, None), ("g", 5, note)], "host string, doc_id long, text string")
+    got = {r.doc_id: r.text for r in similarity.suppress_boilerplate(df, similarity.host_boilerplate(df)).collect()}
+    assert got == {**{k: f"Paragraph number {k} of the document is here. Menu" for k in range(3)}, 3: "", 4: "", 5: note.strip()}
+
+
+def test_near_duplicates_at_distance_seven_against_all_pairs(spark):
+    import random
+
+    rng = random.Random(3)
+    codes = [rng.getrandbits(128) for _ in range(40)]
+    for k in range(160):
+        code = codes[k % 40]
+        for _ in range(rng.randrange(1, 10)):
+            code ^= 1 << rng.randrange(128)
+        codes.append(code)
+    codes = list(dict.fromkeys(codes))
+    df = spark.createDataFrame([(k, f"{c:032x}") for k, c in enumerate(codes)], "doc_id long, simhash string")
+    for far in (3, 7):
+        want = {(a, b) for a in range(len(codes)) for b in range(a + 1, len(codes)) if 0 < (codes[a] ^ codes[b]).bit_count() <= far}
+        got = {(r.a, r.b) for r in similarity.near_duplicates(df, far).collect()}
+        assert want and got == want
+
+
+def test_plans_have_no_task_for_all_rows(spark):
+    tags = spark.range(100).selectExpr("id AS doc_id", "concat('t', id % 7) AS tag")
+    ids, links = merge.build_tag_dictionary(tags)
+    assert [(r.tag_id, r.tag) for r in ids.orderBy("tag_id").collect()] == [(k + 1, f"t{k}") for k in range(7)] and links.count() == 100
+    for df in (links, merge.top_per(tags, "tag", 3, None, "doc_id"), joins.match_root(spark.createDataFrame([("https://a.b.c/x",)], "url string"), spark.createDataFrame([("b.c",)], "root string"))):
+        plan = df._jdf.queryExecution().toString()
+        assert "TakeOrdered" not in plan and "monotonically_increasing_id" not in plan and "SinglePartition" not in plan
 
 
 def test_token_estimate_rounds_half_to_even(spark):
