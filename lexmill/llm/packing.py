@@ -40,8 +40,8 @@ END_ID = 1
 MOST = 32
 #: A rest is not cut either if its class's bins would be padded by at most so many tokens.
 SLACK = 8
-#: Bytes that a worker process keeps of words and their ids, about; rows that are tokenised at once.
-CACHED_BYTES, ROWS = 32 << 20, 256
+#: Bytes that a worker process keeps of words and their ids, about (less where other stages share the memory); rows that are tokenised at once.
+CACHED_BYTES, ROWS = 96 << 20, 256
 #: Bytes of two small objects of Python and their entry in a dictionary, besides their contents.
 _OBJECTS = 190
 PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
@@ -53,8 +53,8 @@ _ODD = regex.compile(r"[^\t\n\r !-~¡-įı-ɏ]|<\|")
 class WordIds:
     """Ids of space-separated words as little-endian bytes; exact because no token crosses a space."""
 
-    def __init__(self, path: str):
-        self.path, self.known, self.older, self.held = path, {"": b""}, {}, 0
+    def __init__(self, path: str, most: int = CACHED_BYTES):
+        self.path, self.known, self.older, self.held, self.most = path, {"": b""}, {}, 0, most
 
     def learn(self, missing: list[str]) -> None:
         plain = missing
@@ -93,7 +93,7 @@ class WordIds:
         """Ids of each text. Only spaces and line feeds cut words here; other white space stays inside a word."""
         split = [t.replace("\n", " ").split(" ") for t in texts]
         words = set().union(*split)
-        if 2 * self.held > CACHED_BYTES:  # words met since the last time stay
+        if 2 * self.held > self.most:  # words met since the last time stay
             self.known, self.older, self.held = {"": b""}, self.known, 0
         if missing := words.difference(self.known):
             again = missing.intersection(self.older)
@@ -106,8 +106,8 @@ class WordIds:
 
 
 @lru_cache(maxsize=1)
-def _store(path: str) -> WordIds:
-    return WordIds(path)
+def _store(path: str, most: int) -> WordIds:
+    return WordIds(path, most)
 
 
 def _binary_parts(n: int) -> list[int]:
@@ -163,14 +163,14 @@ class Packer:
                     pieces, room = [], sizes.pop(0) if sizes else 0
 
 
-def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, most: int = MOST, end_id: int = END_ID) -> DataFrame:
+def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, most: int = MOST, end_id: int = END_ID, cached: int = CACHED_BYTES) -> DataFrame:
     """(doc_id, text) -> one row per piece, with its ids (little-endian unsigned 32-bit) and place."""
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         packer = Packer(context.partitionId() if context else 0, capacity, most)
-        store = _store(path)
+        store = _store(path, cached)
         schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "start", "length", "doc_tokens", "sequence_id", "offset")] + [("ids", pa.binary())])
 
         def table(rows: list[tuple]) -> pa.RecordBatch:

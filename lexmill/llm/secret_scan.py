@@ -53,8 +53,8 @@ _LONG_HEX = re.compile(r"[0-9a-f]{16,}")
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#[xX]([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
-#: Lines of equal length (a multiple of four) and a last, shorter one, as encoders wrap long runs.
-_WRAPPED = re.compile(r"(?:[A-Za-z0-9+/]{60}|[A-Za-z0-9+/]{64}|[A-Za-z0-9+/]{72}|[A-Za-z0-9+/]{76})(?:\r?\n[A-Za-z0-9+/]{60,76})*\r?\n[A-Za-z0-9+/]{2,76}={0,2}")
+#: Lines of 60 to 76 characters and a last, shorter one, as encoders wrap long runs.
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{60,76}(?:\r?\n[A-Za-z0-9+/]{60,76})*\r?\n[A-Za-z0-9+/]{2,76}={0,2}")
 #: A percent sign that was escaped twice or more, before two hexadecimal digits.
 _SIGNS = re.compile(r"%(?:25)+(?=25[0-9A-Fa-f]{2})")
 #: Characters (or bytes) of an expanded layer that are taken at once, bytes given to a decompressor at once, and characters
@@ -327,15 +327,17 @@ def _readings(raw: bytes) -> list[str]:
 
 
 def _base64_decoded(text: str) -> Iterator[tuple[bytes, int, int]]:
+    long = False
     for m in _BASE64.finditer(text):
         run = m[0]
+        long = long or len(run) >= 60
         yield from _base64_run(run, m.start(), m.end())
         # a path or a word may be glued in front of the run: behind the last slash it is a run of its own
         if (cut := run.rfind("/")) > 0 and len(run) - cut > 20:
             yield from _base64_run(run[cut + 1 :], m.start() + cut + 1, m.end())
         if "/" in run and (cut := run.find("/") + 1) < len(run) - 20:
             yield from _base64_run(run[cut:], m.start() + cut, m.end())
-    for m in _WRAPPED.finditer(text):
+    for m in _WRAPPED.finditer(text) if long else ():
         yield from _base64_run(re.sub(r"\s+", "", m[0]), m.start(), m.end())
 
 
