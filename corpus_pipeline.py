@@ -30,6 +30,8 @@ from lexmill.llm.shared import fresh, shared_folder, small_or_as_is, written
 MIX_PERCENT = 90
 #: Row numbers begin here where a doc_id is null or shared; ids are below.
 UNNUMBERED = 1 << 62
+#: Bytes of words that a worker of the packing stage keeps; stages before it leave the heap of an executor grown.
+CACHED_BYTES = 24 << 20
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,7 +65,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.digest(packing.pack(docs, public_tokenizers.path("word_bpe_49k.json")))
+    return packing.digest(packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), cached=CACHED_BYTES))
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
