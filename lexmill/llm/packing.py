@@ -65,28 +65,32 @@ class WordIds:
                     self.known[w] = np.array(bpe.library(self.path).encode(w, add_special_tokens=False).ids, "<u4").tobytes()
         if not plain:
             return
-        index: dict[str, int] = {}
-        codes = np.array([index.setdefault(t, len(index)) for t in _PRE.findall("\n".join([*plain, ""]).lower())])
+        letters = [w for w in plain if w.isalpha()]  # these are one pre-token each
+        plain = [w for w in plain if not w.isalpha()]
+        index: dict[str, int] = {"\n": 0}
+        each = [index.setdefault(w.lower(), len(index)) for w in letters]
+        codes = np.array([index.setdefault(t, len(index)) for t in _PRE.findall("\n".join([*plain, ""]).lower())], np.int64)
         distinct = [t.encode() for t in index]
         sizes = np.fromiter(map(len, distinct), np.int64, len(distinct))
-        line = index["\n"]
-        merged = np.flatnonzero((sizes <= bpe.WIDEST) & (np.arange(len(distinct)) != line))
+        merged = np.flatnonzero((sizes <= bpe.WIDEST) & (np.arange(len(distinct)) != 0))
         ids, n = bpe.merger(self.path).encode([distinct[k] for k in merged.tolist()])
         counts = np.zeros(len(distinct), np.int64)
         counts[merged] = n
         extra = []
-        for k in np.flatnonzero(sizes > bpe.WIDEST).tolist():
+        long = np.flatnonzero(sizes > bpe.WIDEST)
+        for k in long.tolist():
             extra.append(np.array(bpe.library(self.path).encode(distinct[k].decode(), add_special_tokens=False).ids, np.uint32))
             counts[k] = len(extra[-1])
         starts = np.zeros(len(distinct), np.int64)
         starts[merged] = np.cumsum(n) - n
-        long = np.flatnonzero(sizes > bpe.WIDEST)
         starts[long] = len(ids) + np.cumsum(counts[long]) - counts[long]
-        ids = np.concatenate([ids, *extra])
+        ids = np.concatenate([ids, *extra]).astype("<u4")
+        whole, first, last = ids.tobytes(), (4 * starts).tolist(), (4 * (starts + counts)).tolist()
+        self.known.update((w, whole[first[k] : last[k]]) for w, k in zip(letters, each, strict=True))
         each = counts[codes]
         ends = np.cumsum(each)
-        data = ids[np.repeat(starts[codes] - (ends - each), each) + np.arange(ends[-1] if len(ends) else 0)].astype("<u4").tobytes()
-        cuts = (4 * ends[codes == line]).tolist()
+        data = ids[np.repeat(starts[codes] - (ends - each), each) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
+        cuts = (4 * ends[codes == 0]).tolist()
         self.known.update((w, data[a:b]) for w, a, b in zip(plain, [0, *cuts], cuts, strict=False))
 
     def of(self, texts: list[str]) -> list[bytes]:
