@@ -94,11 +94,11 @@ NOISE = (r"\.xml(\.gz)?$", r"/sitemap", r"/login", r"/recover", r"[?&]next=")
 NOISE_KEPT = ("privacy", "terms", "policy", "policies", "legal", "cookie", "safety", "children", "parents", "consent", "deletion", "retention", "ads", "target")
 BAD_LIKE = ("%/~gitbook/image%", "%/static/%", "%/assets/%", "%/images/%", "%/img/%", "%/fonts/%", "%/oembed/%", "%/embed/%", "%.png%", "%.jpg%", "%.jpeg%", "%.gif%", "%.webp%", "%.svg%", "%.ico%", "%.mp4%", "%.webm%", "%.mov%", "%.mp3%", "%.wav%", "%.ogg%", "%width=%", "%dpr=%", "%quality=%", "%token=%", "%sign=%", "%sv=%")
 SANITY_CHECKS = {
-    "hl params": "url LIKE '%youtube.com%' AND url LIKE '%?hl=%'",
-    "override_hl params": "url LIKE '%youtube.com%' AND url LIKE '%override_hl=%'",
-    "blog pages": "url LIKE '%vimeo.com/blog%'",
-    "help or legal": "url LIKE '%linkedin.com%' AND url NOT LIKE '%/legal%'",
-    "tracker params": "url LIKE '%utm_%' OR url LIKE '%fbclid%' OR url LIKE '%gclid%'",
+    "hl params": "url ILIKE '%youtube.com%' AND url ILIKE '%?hl=%'",
+    "override_hl params": "url ILIKE '%youtube.com%' AND url ILIKE '%override_hl=%'",
+    "blog pages": "url ILIKE '%vimeo.com/blog%'",
+    "help or legal": "url ILIKE '%linkedin.com%' AND url NOT ILIKE '%/legal%'",
+    "tracker params": "url ILIKE '%utm_%' OR url ILIKE '%fbclid%' OR url ILIKE '%gclid%'",
 }
 POLICY_PATH, POLICY_DOWNRANKED = r"(privacy|terms|policy|legal|guidelines)", r"(/help|/blog|/press|/news|/about)"
 POLICY_SLUGS = r"(privacy-policy|terms-of-service|terms_and_conditions|community-guidelines|legal/privacy|legal/terms)"

@@ -188,8 +188,8 @@ def is_noise(d: Dialect, u: str, extra: tuple[str, ...] = ()) -> str:
 
 
 def is_bad_url(d: Dialect, u: str) -> str:
-    """the LIKE lists."""
-    return "(" + " OR ".join(f"{u} LIKE '{p}'" for p in R.BAD_LIKE) + ")"
+    """the LIKE lists, which ignore the case of letters."""
+    return "(" + " OR ".join(f"{u} ILIKE '{p}'" for p in R.BAD_LIKE) + ")"
 
 
 def looks_like_policy_path(d: Dialect, u: str) -> str:

@@ -99,7 +99,7 @@ def purge_junk(docs: DataFrame, hosts: list[str] | None = None, like: str | None
     if hosts:
         tests.append(column(U.host_of, "url", with_port=False).isin(hosts))
     if like:
-        tests.append(F.col("url").like(like))
+        tests.append(F.col("url").ilike(like))
     if status:
         tests.append(F.coalesce(F.col("status_code").isin(status), F.lit(False)))
     if zero_clean:

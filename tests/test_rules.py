@@ -211,3 +211,7 @@ def test_report_text(spark):
 def test_unescape_and_urls(spark):
     df = spark.createDataFrame([("&eacute;&amp;", "https://a.com/x/y", "../z#t")], "s string, b string, h string")
     assert tuple(df.select(H.unescaped("s"), H.joined_url("b", "h"), F.length(H.blake2b160("s"))).first()) == ("é&", "https://a.com/z", 40)
+
+
+def test_like_lists_ignore_case(spark):
+    assert one(spark, U.is_bad_url, "https://a.com/Static/x") and one(spark, U.is_bad_url, "https://a.com/LOGO.PNG") and not one(spark, U.is_bad_url, "https://a.com/privacy")
