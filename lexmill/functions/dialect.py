@@ -12,6 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+SPACES = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())  # Unicode's, as neither engine's own classes hold them all
+
 
 class Dialect:
     """Spark SQL."""
@@ -79,6 +81,10 @@ class Dialect:
     def concat_lists(self, a: str, b: str) -> str:
         return f"concat({a}, {b})"
 
+    def strip(self, x: str) -> str:
+        """Without spaces of any kind at both ends."""
+        return f"btrim({x}, {self.text(SPACES)})"
+
 
 class DuckDialect(Dialect):
     """DuckDB's SQL."""
@@ -140,6 +146,9 @@ class DuckDialect(Dialect):
     def concat_lists(self, a: str, b: str) -> str:
         return f"list_concat({a}, {b})"
 
+    def strip(self, x: str) -> str:
+        return f"trim({x}, {self.text(SPACES)})"
+
 
 SPARK, DUCK = Dialect(), DuckDialect()
 Rule = Callable[..., str]

@@ -12,6 +12,7 @@ from urllib.parse import urldefrag, urljoin
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -22,6 +23,12 @@ def unescaped(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else html.unescape(x))
 
 
+def with_unescaped(df: DataFrame, parts: dict[str, Column]) -> DataFrame:
+    """Adds columns with every HTML entity resolved; only texts that hold one leave the JVM."""
+    raw = df.withColumns(parts)
+    return raw.withColumns({k: F.coalesce(unescaped(F.when(F.col(k).rlike("&[#A-Za-z]"), F.col(k))), F.col(k)) for k in parts})
+
+
 @F.pandas_udf(StringType())
 def joined_url(base: pd.Series, href: pd.Series) -> pd.Series:
     """U7 with ``..`` segments: absolute and without fragment."""

@@ -166,5 +166,5 @@ COVERAGE = {
 SURFACE_SEEDS = {"privacy": "/privacy", "terms": "/terms", "cookies": "/cookies", "guidelines": "/community-guidelines", "safety": "/safety", "ads": "/ads", "ip": "/copyright", "transparency": "/transparency"}
 
 # --- fixed values: entities that the expression form resolves, and mojibake pairs
-ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&mdash;", "—"), ("&ndash;", "–"), ("&hellip;", "…"), ("&rsquo;", "’"), ("&lsquo;", "‘"), ("&amp;", "&"))
+ENTITIES = (("&nbsp;", "\u00a0"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&mdash;", "—"), ("&ndash;", "–"), ("&hellip;", "…"), ("&rsquo;", "’"), ("&lsquo;", "‘"), ("&amp;", "&"))
 MOJIBAKE = (("â€™", "’"), ("â€˜", "‘"), ("â€œ", "“"), ("â€“", "–"), ("â€”", "—"), ("â€", "”"), ("Â ", ""), ("Â", ""), ("ï»¿", ""), ("¦", " "))

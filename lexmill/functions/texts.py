@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from . import rules as R
-from .dialect import Dialect
+from .dialect import SPACES, Dialect
 
 _HIDDEN = ("script", "style", "noscript", "template", "svg")
 _CHROME = ("header", "nav", "footer", "aside")
@@ -24,18 +24,46 @@ def unescape(d: Dialect, x: str) -> str:
     return x
 
 
-def _lines(d: Dialect, x: str) -> str:
-    """Trims lines, keeps one empty line at most."""
-    x = d.replace_all(x, r"[ \t\f]+", " ")
-    x = d.replace_all(x, r" ?\n ?", "\n" if type(d) is not Dialect else "\n")
-    x = d.replace_all(x, r"\n{3,}", "\n\n")
-    return d.replace_all(x, r"^[ \n]+|[ \n]+$", "")
+def _trimmed_lines(d: Dialect, x: str, most: int = 0) -> str:
+    """Trims lines (and cuts them to ``most`` characters), keeps one empty line at most."""
+    cut = f"substr({d.strip('ln')}, 1, {most})" if most else d.strip("ln")
+    x = d.join(d.each(d.split(x, "\n"), "ln", cut), "\n")
+    if most:
+        x = d.replace_all(x, r"[ \t]{2,}", " ")
+    return d.strip(d.replace_all(x, r"\n{3,}", "\n\n"))
 
 
-def _normalized(d: Dialect, x: str) -> str:
-    x = unescape(d, d.replace_all(x, r"\r\n?", "\n"))
-    x = d.replace_all(d.replace_all(x, r"(?i)<br\s*/?>", "\n"), _BLOCKS, "\n")
-    return _lines(d, d.replace_all(x, r"(?s)<[^>]+>", " "))
+# Cleaning has a part before and a part after entities are resolved: jobs resolve all of them in between, expressions the common ones.
+
+_RUNS = r"[ \t\f\x0B]+"
+
+
+def _with_newlines(d: Dialect, x: str) -> str:
+    return d.replace_all(x, r"\r\n?", "\n")
+
+
+def before_aggressive(d: Dialect, common: str) -> str:
+    """C1; all three of a text from ``clean_common``."""
+    return _with_newlines(d, _without(d, common, _CHROME))
+
+
+def before_lenient(d: Dialect, common: str) -> str:
+    return _with_newlines(d, common)
+
+
+def before_fallback(d: Dialect, common: str) -> str:
+    x = d.replace_all(_with_newlines(d, common), r"(?i)<br\s*/?>", "\n")
+    return d.replace_all(x, r"(?s)<[^>]+>", " ")
+
+
+def after_markup(d: Dialect, x: str) -> str:
+    """Runs of spaces collapse before tags go, so those that tags leave behind stay."""
+    x = d.replace_all(d.replace_all(d.replace_all(x, _RUNS, " "), r"(?i)<br\s*/?>", "\n"), _BLOCKS, "\n")
+    return _trimmed_lines(d, d.replace_all(x, r"(?s)<[^>]+>", " "))
+
+
+def after_fallback(d: Dialect, x: str) -> str:
+    return _trimmed_lines(d, d.replace_all(x, _RUNS, " "))
 
 
 def clean_common(d: Dialect, html: str) -> str:
@@ -43,34 +71,45 @@ def clean_common(d: Dialect, html: str) -> str:
 
 
 def clean_aggressive(d: Dialect, common: str) -> str:
-    """Of a text from ``clean_common``."""
-    return _normalized(d, _without(d, common, _CHROME))
+    return after_markup(d, unescape(d, before_aggressive(d, common)))
 
 
 def clean_lenient(d: Dialect, common: str) -> str:
-    return _normalized(d, common)
+    return after_markup(d, unescape(d, before_lenient(d, common)))
 
 
 def clean_fallback(d: Dialect, common: str) -> str:
-    x = d.replace_all(d.replace_all(common, r"\r\n?", "\n"), r"(?i)<br\s*/?>", "\n")
-    return _lines(d, unescape(d, d.replace_all(x, r"(?s)<[^>]+>", " ")))
+    return after_fallback(d, unescape(d, before_fallback(d, common)))
+
+
+def before_strip(d: Dialect, html: str) -> str:
+    x = _without(d, f"coalesce({html}, '')", ("script", "style", "noscript", "template"))
+    return d.replace_all(d.replace_all(x, r"\{[^{}]{200,}\}", " "), r"<[^>]+>", " ")
+
+
+def after_strip(d: Dialect, x: str) -> str:
+    return d.strip(d.replace_all(x, f"[{SPACES}]+", " "))
 
 
 def strip_html_keep_text(d: Dialect, html: str) -> str:
     """C2."""
-    x = _without(d, f"coalesce({html}, '')", ("script", "style", "noscript", "template"))
-    x = d.replace_all(d.replace_all(x, r"\{[^{}]{200,}\}", " "), r"<[^>]+>", " ")
-    return d.replace_all(d.replace_all(unescape(d, x), r"\s+", " "), r"^ +| +$", "")
+    return after_strip(d, unescape(d, before_strip(d, html)))
 
 
-def html_to_text(d: Dialect, html: str) -> str:
-    """C3."""
+def before_text(d: Dialect, html: str) -> str:
     x = _without(d, f"coalesce({html}, '')", ("script", "style", "noscript", "template", "svg", "canvas", "iframe"), "")
     x = d.replace_all(d.replace_all(x, r"(?i)<br\s*/?>", "\n"), r"(?i)</?(p|div|section|article|li|ul|ol|h1|h2|h3|h4|h5|h6|header|footer|nav|tr|table)\b[^>]*>", "\n")
-    x = unescape(d, d.replace_all(x, r"<[^>]+>", ""))
+    return d.replace_all(x, r"<[^>]+>", "")
+
+
+def after_text(d: Dialect, x: str) -> str:
     x = d.replace_all(x, "[​-‍⁠﻿]", "")
-    x = d.replace_all(d.replace_all(x, r"[ \t\r\f]*\n[ \t\r\f]*", "\n"), r"[ \t]{2,}", " ")
-    return d.replace_all(d.replace_all(x, r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
+    return _trimmed_lines(d, d.replace_all(x, "\r\n?|[\x0b\f\x1c-\x1e\x85\u2028\u2029]", "\n"), 20_000)
+
+
+def html_to_text(d: Dialect, html: str) -> str:
+    """C3."""
+    return after_text(d, unescape(d, before_text(d, html)))
 
 
 def quick_text(d: Dialect, html: str) -> str:
@@ -156,6 +195,23 @@ def policy_dates(d: Dialect, text: str) -> str:
     return d.sorted_set(d.array(tags))
 
 
+def content_hash(d: Dialect, x: str) -> str:
+    """SHA-256 in hex."""
+    return f"sha2({x}, 256)" if type(d) is Dialect else f"sha256({x})"
+
+
+def render_flags(d: Dialect, status: str, body: str, clean: str) -> dict[str, str]:
+    """U16: a page that needs rendering, one of thin text, and its share of script tags."""
+    tags, scripts = d.hits(body, "<"), d.hits(f"lower({body})", "<script")
+    return {"needs_render": f"coalesce({status} IN (401, 403, 406, 429), false) OR length({body}) < 1800", "thin": f"length({clean}) < 600", "script_ratio": f"CASE WHEN {tags} = 0 THEN 0.0 ELSE round(CAST({scripts} AS DOUBLE) / {tags}, 6) END"}
+
+
+def word_and_page_estimate(d: Dialect, x: str) -> dict[str, str]:
+    """Words between spaces, and pages of 500 of them."""
+    words = d.size(d.keep(d.split(x, " "), "w", "w <> ''"))
+    return {"words": words, "pages": f"CAST(ceil({words} / 500.0) AS BIGINT)"}
+
+
 def parse_ts(d: Dialect, raw: str) -> str:
     """Seconds since 1970 of an ISO time with or without an offset (without: UTC), or of digits; 0 for anything else."""
     iso = d.matches(raw, r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}([.]\d+)?)?)?(Z|[+-]\d{2}:?\d{2})?$")

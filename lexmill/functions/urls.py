@@ -79,11 +79,16 @@ def search_canon(d: Dialect, u: str) -> str:
 
 
 def sanitize_url(d: Dialect, u: str) -> str:
-    """Common entities resolved, cut at ``<``, trailing quotes, brackets, backslashes and punctuation gone."""
+    """Common entities resolved (``joins.sanitized_urls``: all), then ``after_entities``."""
     x = f"coalesce({u}, '')"
     for name, value in R.ENTITIES:
         x = f"replace({x}, {d.text(name)}, {d.text(value)})"
-    x = d.extract(f"trim({x})", r"^[^<]*", 0)
+    return after_entities(d, x)
+
+
+def after_entities(d: Dialect, x: str) -> str:
+    """Cut at ``<``, trailing quotes, brackets, backslashes and punctuation gone."""
+    x = d.extract(d.strip(x), r"^[^<]*", 0)
     for tail in (r"[\s'\")\]]+$", r"[\\]+$", r"[;,]+$"):
         x = d.replace_all(x, tail, "")
     return x

@@ -14,12 +14,13 @@ from ..functions import texts as T
 from ..functions.dialect import column
 
 
-def windows(text: str, max_chars: int, overlap: int, least: int, most: int = 0) -> Column:
+def windows(text: str, max_chars: int | Column, overlap: int | Column, least: int, most: int = 0) -> Column:
     """Array of pieces: starts step by max - overlap (at least 1) until a window reaches the end; short pieces go."""
-    step = max(max_chars - overlap, 1)
+    size = max_chars if isinstance(max_chars, Column) else F.lit(max_chars)
+    step = F.greatest(size - overlap, F.lit(1))
     n = F.length(text)
-    last = F.when(n <= max_chars, 0).otherwise(F.ceil((n - max_chars) / step))
-    pieces = F.transform(F.sequence(F.lit(0), last.cast("int")), lambda k: F.substring(F.col(text), k * step + 1, F.lit(max_chars)))
+    last = F.when(n <= size, 0).otherwise(F.ceil((n - size) / step))
+    pieces = F.transform(F.sequence(F.lit(0), last.cast("int")), lambda k: F.substring(F.col(text), k * step + 1, size))
     kept = F.filter(pieces, lambda p: F.length(p) >= least)
     return F.slice(kept, 1, most) if most else kept
 
@@ -29,9 +30,17 @@ def _exploded(docs: DataFrame, pieces: Column) -> DataFrame:
     return out.select("doc_id", "chunk_index", "text", F.length("text").cast("long").alias("char_len"), column(T.token_estimate, "text", how="floor").alias("token_estimate"), "url", "host")
 
 
-def chunk_sliding(docs: DataFrame, max_chars: int = 800, overlap: int = 120, least: int = 120, most: int = 0) -> DataFrame:
-    """K3."""
-    return _exploded(docs.where("length(text) > 0"), windows("text", max_chars, overlap, least, most))
+def chunk_sliding(docs: DataFrame, max_chars: int = 800, overlap: int = 120, least: int = 120, most: int = 0, sizes: dict[str, tuple[int | None, int | None]] | None = None) -> DataFrame:
+    """K3. ``sizes`` holds the (size, overlap) of hosts whose policy sets one of them."""
+    if not sizes:
+        return _exploded(docs.where("length(text) > 0"), windows("text", max_chars, overlap, least, most))
+
+    def by_host(k: int, usual: int) -> Column:
+        own = {h: v[k] for h, v in sizes.items() if v[k] is not None}
+        listed = F.create_map(*[F.lit(x) for h, v in own.items() for x in (h.lower(), v)]) if own else None
+        return F.lit(usual) if listed is None else F.coalesce(F.element_at(listed, F.lower("host")), F.lit(usual))
+
+    return _exploded(docs.where("length(text) > 0"), windows("text", by_host(0, max_chars), by_host(1, overlap), least, most))
 
 
 _BREAKS = ("\n\n", "\n", ". ", "。", "! ", "? ", "; ")
@@ -65,9 +74,9 @@ _SENTENCE = re.compile(r"(?<=[.?!])[\t ]+(?=[A-Z(])|(?<=[.?!])\n+(?=\S)")
 
 
 def structured(text: str, size: int, least: int, overlap: int) -> list[str]:
-    """K2: sentences of paragraphs of heading blocks, packed up to size; longer sentences are cut; each chunk but the first may carry the end of the one before."""
+    """K2: sentences of paragraphs of heading blocks, packed up to size; longer sentences are cut; each chunk but the first may carry the end of the one before, with what that one carries."""
     blocks: list[list[str]] = [[]]
-    for line in re.sub(r"\r\n?", "\n", text).strip().split("\n"):
+    for line in re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+\n", "\n", re.sub(r"\r\n?", "\n", text))).strip().split("\n"):
         if _HEADING.match(line) and blocks[-1]:
             blocks.append([])
         blocks[-1].append(line)
@@ -88,8 +97,8 @@ def structured(text: str, size: int, least: int, overlap: int) -> list[str]:
     packed = [re.sub(r"[ \t]+", " ", p).strip() for p in packed]
     out: list[str] = []
     for k, p in enumerate(packed):
-        merged = f"{packed[k - 1][-overlap:]} {p}" if k and overlap else p
-        out.append(merged if len(merged) <= 1.15 * size else p)
+        merged = f"{out[-1][-overlap:]} {p}".strip() if k and overlap else p
+        out.append(merged if len(merged) <= int(1.15 * size) else p)
     return [p for p in out if len(p) >= least or len(out) == 1]
 
 
@@ -112,7 +121,7 @@ def chunk_structured(docs: DataFrame, size: int = 2200, overlap: int = 250, leas
 
 
 def chunk_corpus(docs: DataFrame, existing: DataFrame, rechunk: bool = False, exclude_hosts: tuple[str, ...] = (), exclude_ids: tuple[int, ...] = (), **options) -> DataFrame:
-    """K4: existing chunks with those of documents that have none (or, with rechunk, all chunks anew)."""
+    """K4: existing chunks with those of documents that have none (or, with rechunk, all chunks anew); options, also per-host ``sizes``, go to ``chunk_sliding``."""
     todo = docs
     for h in exclude_hosts:
         todo = todo.where(~F.contains("host", F.lit(h.lower())))

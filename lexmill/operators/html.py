@@ -20,19 +20,32 @@ def smart_clean(docs: DataFrame, min_chars: int = 120, big_html: int = 5000, mod
     if mode == "salvage":
         docs = docs.where("length(coalesce(clean_text, '')) = 0")
     common = docs.withColumn("_common", column(T.clean_common, "coalesce(body, '')"))
-    both = common.withColumns({"_a": column(T.clean_aggressive, "_common"), "_l": column(T.clean_lenient, "_common")})
-    strategy = F.when(F.length("_a") >= min_chars, "aggressive").when(F.length("_l") >= min_chars, "lenient").when(F.length(F.coalesce("body", F.lit(""))) >= big_html, "fallback").otherwise("best-effort")
+    big = F.length(F.coalesce("body", F.lit(""))) >= big_html
+    raw = H.with_unescaped(common, {"_a": column(T.before_aggressive, "_common"), "_l": column(T.before_lenient, "_common"), "_f": F.when(big, column(T.before_fallback, "_common"))})
+    both = raw.withColumns({"_a": column(T.after_markup, "_a"), "_l": column(T.after_markup, "_l"), "_f": column(T.after_fallback, "_f")})
+    strategy = F.when(F.length("_a") >= min_chars, "aggressive").when(F.length("_l") >= min_chars, "lenient").when(big, "fallback").otherwise("best-effort")
     marked = both.withColumn("strategy", strategy)
     best = F.when(F.length("_l") > F.length("_a"), F.col("_l")).otherwise(F.col("_a"))
-    text = F.when(F.col("strategy") == "aggressive", F.col("_a")).when(F.col("strategy") == "lenient", F.col("_l")).when(F.col("strategy") == "fallback", column(T.clean_fallback, "_common")).otherwise(best)
-    return marked.withColumn("clean_text", text).drop("_common", "_a", "_l")
+    text = F.when(F.col("strategy") == "aggressive", F.col("_a")).when(F.col("strategy") == "lenient", F.col("_l")).when(F.col("strategy") == "fallback", F.col("_f")).otherwise(best)
+    return marked.withColumn("clean_text", text).drop("_common", "_a", "_l", "_f")
+
+
+def strip_html_keep_text(docs: DataFrame, html: str = "body", out: str = "text") -> DataFrame:
+    """Adds the text of a page in one line."""
+    return H.with_unescaped(docs, {out: column(T.before_strip, html)}).withColumn(out, column(T.after_strip, out))
+
+
+def html_to_text(docs: DataFrame, html: str = "body", out: str = "text") -> DataFrame:
+    """Adds the text of a page in lines of at most 20,000 characters."""
+    return H.with_unescaped(docs, {out: column(T.before_text, html)}).withColumn(out, column(T.after_text, out))
 
 
 def pick_text(docs: DataFrame) -> DataFrame:
-    """Adds text and source."""
+    """Adds text and source. Pages are read only where no clean text exists."""
     clean = F.trim(F.coalesce("clean_text", F.lit("")))
     has_body = F.trim(F.coalesce("body", F.lit(""))) != ""
-    return docs.withColumns({"source": F.when(clean != "", "clean").when(has_body, "body-fallback").otherwise("none"), "text": F.when(clean != "", clean).when(has_body, column(T.html_to_text, "body")).otherwise("")})
+    read = html_to_text(docs.withColumn("_page", F.when((clean == "") & has_body, F.col("body"))), "_page", "_text")
+    return read.withColumns({"source": F.when(clean != "", "clean").when(has_body, "body-fallback").otherwise("none"), "text": F.when(clean != "", clean).when(has_body, F.col("_text")).otherwise("")}).drop("_page", "_text")
 
 
 def _per_page(docs: DataFrame, schema: str, types: list[pa.DataType], names: list[str], value) -> DataFrame:
@@ -74,7 +87,9 @@ def normalize_documents(docs: DataFrame) -> DataFrame:
 def extract_links(docs: DataFrame, cap: int = 50, synthetic: bool = True) -> DataFrame:
     """(page_url, link, position): anchors resolved, kept if they look like policy pages, then the well-known paths; each link once per page, at most cap."""
     href = F.expr(SPARK.extract_all("coalesce(body, '')", r"""(?i)<a\b[^>]*?href=["']([^"']*)["']""", 1))
-    own = docs.select("url", F.posexplode(href).alias("k", "href")).select("url", "k", column(U.resolve_link, "url", "href").alias("link"))
+    dotted = F.col("href").rlike(r"(^\s*|/)[.]{1,2}(/|$|[?#])")  # only these leave the JVM
+    link = F.coalesce(H.joined_url(F.when(dotted, F.col("url")), F.when(dotted, F.col("href"))), column(U.resolve_link, "url", "href"))
+    own = docs.select("url", F.posexplode(href).alias("k", "href")).select("url", "k", link.alias("link"))
     found = own.where("link IS NOT NULL").where(column(U.link_filter, "link", kind="keywords"))
     if synthetic:
         site = F.concat(column(U.scheme, "url"), F.lit("://"), column(U.netloc, "url"))

@@ -5,11 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import helpers as H
 from ..functions import rules as R
 from ..functions import urls as U
 from ..functions.dialect import SPARK, column
 
 
+def sanitized_urls(df: DataFrame, url: str = "url", out: str = "clean") -> DataFrame:
+    """Adds the URL with every entity resolved and its tail cleaned."""
+    return H.with_unescaped(df, {out: F.coalesce(F.col(url), F.lit(""))}).withColumn(out, column(U.after_entities, out))
+
+
+def keep_urls(df: DataFrame, url: str, root: str, out: str = "keep") -> DataFrame:
+    """adds whether the sieve keeps a URL: one with a web scheme, sanitised, found from a root host."""
+    clean = sanitized_urls(df, url, "_clean")
+    web = F.coalesce(F.col(url).rlike("(?i)^https?://"), F.lit(False))
+    return clean.withColumn(out, web & column(U.keep_url, "_clean", root)).drop("_clean")
+
+
 def hits_with_documents(hits: DataFrame, docs: DataFrame, key: str = "url") -> DataFrame:
     """J1."""
     return hits.join(docs, key)

@@ -72,7 +72,8 @@ def collapse_queue(queue: DataFrame) -> DataFrame:
 
 
 def apply_fetch_results(docs: DataFrame, fetches: DataFrame) -> DataFrame:
-    """M5: fetches (url, code, new_body, rendered, asset, at) set the documents' state."""
+    """M5: fetches (url, code, new_body, rendered, asset, at) set the documents' state. An empty body of code 200 is stored, but the queue goes on waiting;
+    a page that was rendered after a 429 or 503 keeps that as its last error."""
     j = docs.join(fetches, "url", "left")
     code, body = F.col("code"), F.coalesce("new_body", F.lit(""))
     rendered = F.coalesce("rendered", F.lit(False))
@@ -90,8 +91,8 @@ def apply_fetch_results(docs: DataFrame, fetches: DataFrame) -> DataFrame:
         F.when(moved, "").otherwise(F.col("clean_text")).alias("clean_text"),
         F.when(moved, F.col("_hash")).otherwise(F.col("content_hash")).alias("content_hash"),
         (F.col("retry_count") + F.when((o == "skipped-asset") | (moved & (o != "fetched")), 1).otherwise(0)).cast("long").alias("retry_count"),
-        F.when(o == "skipped-asset", "skipped-asset").when(o.isin("network-error", "http-429", "http-503"), o).when(moved | (o == "not-modified"), F.lit(None)).otherwise(F.col("last_error")).alias("last_error"),
-        F.when(o.isin("skipped-asset", "not-modified", "unchanged", "fetched"), "hydrated").alias("queue_status"),
+        F.when(o == "skipped-asset", "skipped-asset").when(o.isin("network-error", "http-429", "http-503"), o).when((o == "fetched") & code.isin(429, 503), F.concat(F.lit("http-"), code)).when(moved | (o == "not-modified"), F.lit(None)).otherwise(F.col("last_error")).alias("last_error"),
+        F.when(o.isin("skipped-asset", "not-modified", "unchanged") | ((o == "fetched") & (body != "")), "hydrated").alias("queue_status"),
     )
 
 

@@ -64,9 +64,9 @@ def host_stats(docs: DataFrame, grand_total: bool = True) -> DataFrame:
 
 
 def url_param_stats(docs: DataFrame) -> DataFrame:
-    """A5."""
+    """A5. Trackers are found as LIKE finds them: in either case."""
     u = F.col("url")
-    return docs.groupBy(host().alias("host")).agg(_n(u.contains("?hl=")).alias("hl"), _n(u.contains("override_hl=")).alias("override_hl"), _n(u.contains("utm_") | u.contains("fbclid=") | u.contains("gclid=")).alias("trackers"))
+    return docs.groupBy(host().alias("host")).agg(_n(u.contains("?hl=")).alias("hl"), _n(u.contains("override_hl=")).alias("override_hl"), _n(u.ilike("%utm_%") | u.ilike("%fbclid=%") | u.ilike("%gclid=%")).alias("trackers"))
 
 
 def _host_facts(docs: DataFrame) -> DataFrame:
@@ -119,8 +119,8 @@ def coverage_check(docs: DataFrame, strict: bool = False) -> DataFrame:
     """Hosts by surfaces; have = some URL names the surface (or, unless strict, any policy or legal page); else the URL to try."""
     surfaces = list(R.SURFACE_SEEDS)
     u = F.col("url")
-    any_page = F.lit(False) if strict else u.contains("policy") | u.contains("legal")
-    flags = docs.groupBy(host().alias("host")).agg(F.min(F.concat(column(U.scheme, "url"), F.lit("://"), host())).alias("root"), *[F.max((u.contains(s) | any_page).cast("int")).alias(s) for s in surfaces])
+    any_page = F.lit(False) if strict else u.ilike("%policy%") | u.ilike("%legal%")
+    flags = docs.groupBy(host().alias("host")).agg(F.min(F.concat(column(U.scheme, "url"), F.lit("://"), host())).alias("root"), *[F.max((u.ilike(f"%{s}%") | any_page).cast("int")).alias(s) for s in surfaces])
     each = flags.select("host", "root", F.explode(F.array(*[F.struct(F.lit(s).alias("surface"), F.col(s).alias("have"), F.lit(p).alias("path")) for s, p in R.SURFACE_SEEDS.items()])).alias("x"))
     return each.select("host", "x.surface", "x.have", F.when(F.col("x.have") == 0, F.concat("root", "x.path")).alias("seed"))
 

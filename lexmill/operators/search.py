@@ -12,18 +12,22 @@ from .merge import first_per, top_per
 
 
 def build_index(texts: DataFrame, key: str, text: str = "text", stem: bool = False) -> DataFrame:
-    """Q1: postings (key, term, tf, positions, doc_len).
+    """Q1: postings (key, term, tf, positions, doc_len) of texts whose key is unique.
 
-    Terms are grouped within their row before anything is shuffled, so a stop-word
-    costs one row per document. With ``stem``, terms go through ``helpers.stemmed``.
+    A row's (term, place) pairs are sorted in the row, and each run of a term becomes one row, so nothing is shuffled.
+    With ``stem``, terms go through ``helpers.stemmed`` and those of a stem are grouped.
     """
+    if not stem:
+        pairs = texts.select(key, F.expr(f"array_sort(transform({_words(text)}, (t, i) -> struct(t, i AS i)))").alias("p"))
+        runs = pairs.withColumn("b", F.expr("filter(sequence(0, size(p)), k -> k = 0 OR k = size(p) OR p[k].t <> p[k - 1].t)"))
+        each = runs.select(key, F.size("p").cast("long").alias("doc_len"), F.explode(F.expr("CASE WHEN size(p) = 0 THEN array() ELSE transform(sequence(0, size(b) - 2), j -> slice(p, b[j] + 1, b[j + 1] - b[j])) END")).alias("run"))
+        return each.select(key, F.expr("run[0].t").alias("term"), F.size("run").cast("long").alias("tf"), F.col("run.i").alias("positions"), "doc_len")
+    from ..functions.helpers import stemmed
+
     tokens = texts.select(key, F.expr(f"transform({_words(text)}, (t, i) -> struct(t, i AS i))").alias("tokens"))
     each = tokens.select(key, F.size("tokens").cast("long").alias("doc_len"), F.explode("tokens").alias("x")).select(key, "doc_len", F.col("x.t").alias("term"), F.col("x.i").alias("i"))
-    if stem:
-        from ..functions.helpers import stemmed
-
-        stems = each.select("term").distinct().withColumn("_stem", stemmed("term"))
-        each = each.join(stems, "term").withColumn("term", F.col("_stem")).drop("_stem")
+    stems = each.select("term").distinct().withColumn("_stem", stemmed("term"))
+    each = each.join(stems, "term").withColumn("term", F.col("_stem")).drop("_stem")
     return each.groupBy(key, "term").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("i")).alias("positions"), F.max("doc_len").alias("doc_len"))
 
 
@@ -151,25 +155,25 @@ def cosine_topk(vectors: DataFrame, query: list[float], k: int, key: str = "vec_
 
 
 def search_documents(docs: DataFrame, terms: list[str], platform: str = "", jurisdiction: str = "", n: int = 25) -> DataFrame:
-    """Q6: all terms, filters, the best of each canonical URL, title and jurisdiction fallbacks, snippet."""
+    """Q6: all terms, filters, the best of each canonical URL, title and jurisdiction fallbacks, snippet. Ranks are those of the whole index; filters come after."""
+    postings = postings_of(docs, "id", terms, "clean_text")
+    ranks = bm25(postings, corpus_size(docs, "clean_text"), "id", terms).join(match(postings, "id", all_=terms), "id")
     if platform:
         wanted = platform.strip().lower().removeprefix("www.").removesuffix(".com")
         docs = docs.where(column(U.norm_platform, U.host_of(SPARK, "url")) == wanted)
     if jurisdiction:
         docs = docs.where(column(U.norm_jurisdiction, "jurisdiction") == jurisdiction.strip().lower())
-    postings = postings_of(docs, "id", terms, "clean_text")
-    ranks = bm25(postings, corpus_size(docs, "clean_text"), "id", terms).join(match(postings, "id", all_=terms), "id")
     best = dedupe_canonical(docs.join(ranks, "id")).orderBy("rank", "url").limit(n)
     shown = F.coalesce(F.nullif(snippet("clean_text", terms, 24), F.lit("")), F.nullif("title", F.lit("")), F.col("url"))
     return best.select("id", F.coalesce("doc_type", F.lit("")).alias("doc_type"), "url", F.coalesce(F.nullif("title", F.lit("")), "url").alias("title"), F.coalesce(F.nullif(F.trim("jurisdiction"), F.lit("")), F.lit("global")).alias("jurisdiction"), shown.alias("snippet"), F.round("rank", 6).alias("rank"))
 
 
 def search_chunks(chunks: DataFrame, terms: list[str], rules: str = "", n: int = 50) -> DataFrame:
-    """Q7: chunks with all terms that pass the proximity rules, then the n best; the first 3000 characters."""
-    kept = near(chunks, rules) if rules else chunks
-    postings = postings_of(kept, "chunk_id", terms)
+    """Q7: chunks with all terms, ranked over all chunks; those that pass the proximity rules, then the n best; the first 3000 characters."""
+    postings = postings_of(chunks, "chunk_id", terms)
     ranks = bm25(postings, corpus_size(chunks), "chunk_id", terms).join(match(postings, "chunk_id", all_=terms), "chunk_id")
-    best = ranks.orderBy("rank", "chunk_id").limit(n)
+    kept = ranks.join(near(chunks, rules).select("chunk_id"), "chunk_id", "left_semi") if rules else ranks
+    best = kept.orderBy("rank", "chunk_id").limit(n)
     return chunks.join(F.broadcast(best), "chunk_id").select("chunk_id", "host", "url", snippet("text", terms, 12).alias("snippet"), F.substring("text", 1, 3000).alias("text"), F.round("rank", 6).alias("rank"))
 
 

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import texts as T
 from ..functions import urls as U
 from ..functions.dialect import DUCK, SPARK, Dialect
+from ..operators import html as H
+from ..operators import joins as J
 from . import fixtures as X
 
 Columns = Callable[[Dialect], dict[str, str]]
@@ -31,6 +33,11 @@ def _on_docs(columns: Columns, where: str | None = None):
     return run, X.with_(X.DOCS) + "SELECT * FROM (SELECT id, " + ", ".join(f"{x} AS {c}" for c, x in columns(DUCK).items()) + " FROM docs)" + (f" WHERE {where}" if where else "")
 
 
+def _by_job(job: Callable[[DataFrame], DataFrame], columns: Columns):
+    """A job that resolves all entities, and the SQL of its rule, which resolves the common ones."""
+    return lambda spark, sf_dir: job(X.docs(spark, sf_dir)), _on_docs(columns)[1]
+
+
 def _on_texts(columns: Columns):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return X.policy_texts(spark, sf_dir).select("doc_id", *[F.expr(x).alias(c) for c, x in columns(SPARK).items()])
@@ -69,19 +76,7 @@ def _estimates(d: Dialect) -> dict[str, str]:
 
 
 def _hashes(d: Dialect) -> dict[str, str]:
-    sha = "sha2(text, 256)" if type(d) is Dialect else "sha256(text)"
-    return {"sha256": sha, "md5": "md5(text)"}
-
-
-def _render(d: Dialect) -> dict[str, str]:
-    tags = d.hits("body", "<")
-    scripts = d.hits("lower(body)", "<script")
-    return {"needs_render": "coalesce(status_code IN (401, 403, 406, 429), false) OR length(body) < 1800", "thin": "length(clean_text) < 600", "script_ratio": f"CASE WHEN {tags} = 0 THEN 0.0 ELSE round(CAST({scripts} AS DOUBLE) / {tags}, 6) END"}
-
-
-def _sizes(d: Dialect) -> dict[str, str]:
-    words = d.size(d.keep(d.split("text", " "), "w", "w <> ''"))
-    return {"words": words, "pages": f"CAST(ceil({words} / 500.0) AS BIGINT)"}
+    return {"sha256": T.content_hash(d, "text"), "md5": "md5(text)"}
 
 
 def _norms(d: Dialect) -> dict[str, str]:
@@ -118,7 +113,7 @@ PLANS = {
     "normalize_url": _on_docs(_one("normal", U.normalize_url, "concat(upper(substr(url, 1, 4)), substr(url, 5))")),
     "canonical_page_url": _on_docs(_one("canonical", U.canonical_page_url, "url")),
     "search_canon": _on_docs(_one("canon", U.search_canon, "url")),
-    "sanitize_url": _on_docs(_one("clean", U.sanitize_url, _MESSY)),
+    "sanitize_url": _by_job(lambda df: J.sanitized_urls(df.withColumn("url", F.expr(_MESSY))).select("id", "clean"), _one("clean", U.sanitize_url, _MESSY)),
     "host_of": _on_docs(_hosts),
     "resolve_link": _on_docs(_one("link", U.resolve_link, "url", _LINKS)),
     "infer_platform": _on_docs(_platforms),
@@ -129,22 +124,22 @@ PLANS = {
     "content_hash": _on_texts(_hashes),
     "domain_and_slug": _on_docs(_domain_slug),
     "token_estimate": _on_texts(_estimates),
-    "render_flags": _on_docs(_render),
+    "render_flags": _on_docs(lambda d: T.render_flags(d, "status_code", "body", "clean_text")),
     "locale_region_tags": _on_docs(_joined(U.locale_region_tags, "url")),
     "extract_policy_dates": _on_texts(_joined(T.policy_dates, "text")),
     "norm_platform_jurisdiction": _on_docs(_norms),
     "parse_ts": _on_docs(_parsed_times),
-    "word_and_page_estimate": _on_texts(_sizes),
+    "word_and_page_estimate": _on_texts(lambda d: T.word_and_page_estimate(d, "text")),
     "looks_like_legal": _on_docs(_one("legal", U.looks_like_legal, "url")),
     "is_legal_url": _on_docs(_one("legal", U.is_legal_url, "url")),
-    "keep_url": _on_docs(_one("keep", U.keep_url, "url", _ROOT)),
+    "keep_url": _by_job(lambda df: J.keep_urls(df.withColumn("root", F.expr(_ROOT)), "url", "root").select("id", "keep"), _one("keep", U.keep_url, "url", _ROOT)),
     "is_probably_asset": _on_docs(lambda d: {"asset": U.is_probably_asset(d, "url"), "asset_no_pdf": U.is_probably_asset(d, "url", allow_pdf=False)}),
     "noise_urls": _on_docs(_noise),
     "looks_like_policy_path": _on_docs(_one("policy", U.looks_like_policy_path, "url")),
     "is_menuish": _on_sentences(_one("menuish", T.is_menuish, "s")),
     "link_filter": _on_docs(_filters),
-    "strip_html_keep_text": _on_docs(_one("text", T.strip_html_keep_text, "body")),
-    "html_to_text": _on_docs(_one("text", T.html_to_text, "body")),
+    "strip_html_keep_text": _by_job(lambda df: H.strip_html_keep_text(df).select("id", "text"), _one("text", T.strip_html_keep_text, "body")),
+    "html_to_text": _by_job(lambda df: H.html_to_text(df).select("id", "text"), _one("text", T.html_to_text, "body")),
     "quick_text": _on_docs(_one("text", T.quick_text, "body")),
     "to_sentences": _on_texts(lambda d: {"sentences": d.join(T.sentences(d, "text"), "\n")}),
     "signal_score": _on_sentences(lambda d: {"score": f"round({T.signal_score(d, 's')}, 6)"}),

@@ -96,8 +96,8 @@ def _search_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.search_documents(X.docs(spark, sf_dir), BOTH, jurisdiction=" EU").select("id", "doc_type", "url", "title", "jurisdiction", "rank")
 
 
-_SEARCH_DOCS = f"""{W(X.DOCS)}, d AS (SELECT * FROM docs WHERE trim(lower(coalesce(jurisdiction, ''))) = 'eu'), {_bm25_sql("id", "d", "clean_text", BOTH)},
-hits AS (SELECT d.*, rank, {U.search_canon(DUCK, "url")} AS canon FROM d JOIN ranks USING (id) WHERE id IN (SELECT id FROM w WHERE list_contains(w, 'the') AND list_contains(w, 'of')))
+_SEARCH_DOCS = f"""{W(X.DOCS)}, {_bm25_sql("id", "docs", "clean_text", BOTH)},
+hits AS (SELECT d.*, rank, {U.search_canon(DUCK, "url")} AS canon FROM docs d JOIN ranks USING (id) WHERE trim(lower(coalesce(jurisdiction, ''))) = 'eu' AND id IN (SELECT id FROM w WHERE list_contains(w, 'the') AND list_contains(w, 'of')))
 SELECT id, coalesce(doc_type, '') AS doc_type, url, coalesce(nullif(title, ''), url) AS title, coalesce(nullif(trim(jurisdiction), ''), 'global') AS jurisdiction, round(rank, 6) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY canon ORDER BY rank, url) AS k FROM hits) WHERE k = 1 ORDER BY rank, url LIMIT 25"""
 
 
@@ -167,7 +167,7 @@ PLANS = {
     "dedupe_canonical": (_ranked_docs, W(X.DOCS) + f"SELECT id, url, rank, canon FROM (SELECT *, row_number() OVER (PARTITION BY canon ORDER BY rank, url) AS k FROM (SELECT id, url, -length(body) AS rank, {U.search_canon(DUCK, 'url')} AS canon FROM docs)) WHERE k = 1"),
     "minmax_normalize": (_minmax, "SELECT event_id, round(CASE WHEN hi > lo THEN (value - lo) / (hi - lo) ELSE 0 END, 6) AS share FROM events, (SELECT min(value) AS lo, max(value) AS hi FROM events)"),
     "search_documents": (_search_documents, _SEARCH_DOCS),
-    "search_chunks": (lambda s, d: Q.search_chunks(chunks_of(s, d), BOTH, "the:of:2").select("chunk_id", "host", "url", "text", "rank"), W(*TC) + f", near AS (SELECT * FROM chunks WHERE {T.within_window(DUCK, T.words_of(DUCK, 'text'), 'the', 'of', 2)}), {_bm25_sql('chunk_id', 'near', 'text', BOTH, 'chunks')} SELECT chunk_id, host, url, substr(text, 1, 3000) AS text, round(rank, 6) AS rank FROM near JOIN ranks USING (chunk_id) ORDER BY ranks.rank, chunk_id LIMIT 50"),
+    "search_chunks": (lambda s, d: Q.search_chunks(chunks_of(s, d), BOTH, "the:of:2").select("chunk_id", "host", "url", "text", "rank"), W(*TC) + f", near AS (SELECT * FROM chunks WHERE {T.within_window(DUCK, T.words_of(DUCK, 'text'), 'the', 'of', 2)}), {_bm25_sql('chunk_id', 'chunks', 'text', BOTH)} SELECT chunk_id, host, url, substr(text, 1, 3000) AS text, round(rank, 6) AS rank FROM near JOIN ranks USING (chunk_id) ORDER BY ranks.rank, chunk_id LIMIT 50"),
     "hits_by_host": (lambda s, d: Q.hits_by_host(chunks_of(s, d), ["license", "cookie"]), W(*TC) + f", {_bm25_sql('chunk_id', 'chunks', 'text', ['license', 'cookie'])} SELECT host, count(*) AS hits FROM chunks JOIN ranks USING (chunk_id) GROUP BY host"),
     "hybrid_rank": (lambda s, d: _hybrid(s, d).select("place", "chunk_id", "url", "score"), _HYBRID + " SELECT row_number() OVER (ORDER BY score DESC, chunk_id) AS place, chunk_id, url, score FROM scored ORDER BY score DESC, chunk_id LIMIT 20"),
     "cosine_topk": (lambda s, d: Q.cosine_topk(s.read.parquet(f"{d}/embeddings.parquet"), _vector(s, d), 25).select("vec_id", F.round("score", 6).alias("score")), W(_QUERY_VECTOR) + f"SELECT vec_id, round({_COSINE}, 6) AS score FROM embeddings, qv ORDER BY {_COSINE} DESC, vec_id LIMIT 25"),

@@ -101,8 +101,8 @@ e AS (SELECT *, CASE WHEN r AND (code IN (0, 401, 403, 406, 429) OR length(nb) >
 o AS (SELECT *, CASE WHEN code IS NULL AND NOT a THEN 'none' WHEN a THEN 'skipped-asset' WHEN code = 304 THEN 'not-modified' WHEN eff = 200 AND nh = content_hash THEN 'unchanged' WHEN eff = 200 THEN 'fetched' WHEN code = 0 THEN 'network-error' WHEN code IN (429, 503) THEN concat('http-', code) ELSE 'bad-status' END AS outcome FROM h),
 m AS (SELECT *, outcome IN ('fetched', 'network-error', 'http-429', 'http-503', 'bad-status') AS moved FROM o)
 SELECT id, url, outcome, CASE WHEN outcome = 'skipped-asset' THEN 0 WHEN outcome = 'not-modified' THEN 304 WHEN moved THEN eff ELSE status_code END AS status_code, CASE WHEN outcome = 'fetched' THEN nb WHEN moved THEN '' ELSE body END AS body, CASE WHEN moved THEN '' ELSE clean_text END AS clean_text, CASE WHEN moved THEN nh ELSE content_hash END AS content_hash,
-retry_count + CASE WHEN outcome = 'skipped-asset' OR (moved AND outcome <> 'fetched') THEN 1 ELSE 0 END AS retry_count, CASE WHEN outcome = 'skipped-asset' THEN 'skipped-asset' WHEN outcome IN ('network-error', 'http-429', 'http-503') THEN outcome WHEN moved OR outcome = 'not-modified' THEN NULL ELSE last_error END AS last_error,
-CASE WHEN outcome IN ('skipped-asset', 'not-modified', 'unchanged', 'fetched') THEN 'hydrated' END AS queue_status FROM m"""
+retry_count + CASE WHEN outcome = 'skipped-asset' OR (moved AND outcome <> 'fetched') THEN 1 ELSE 0 END AS retry_count, CASE WHEN outcome = 'skipped-asset' THEN 'skipped-asset' WHEN outcome IN ('network-error', 'http-429', 'http-503') THEN outcome WHEN outcome = 'fetched' AND code IN (429, 503) THEN concat('http-', code) WHEN moved OR outcome = 'not-modified' THEN NULL ELSE last_error END AS last_error,
+CASE WHEN outcome IN ('skipped-asset', 'not-modified', 'unchanged') OR (outcome = 'fetched' AND nb <> '') THEN 'hydrated' END AS queue_status FROM m"""
 
 _STATS_SQL = "count(*) AS total_docs, count(*) FILTER (status_code IN (200, 304)) AS ok_docs, count(*) FILTER (status_code IS NULL OR status_code NOT IN (200, 304)) AS bad_docs, count(*) FILTER (render_mode = 'render') AS render_docs, count(*) FILTER (length(coalesce(body, '')) = 0) AS zero_body_docs, count(*) FILTER (length(coalesce(clean_text, '')) = 0) AS zero_clean_docs, count(*) FILTER (coalesce(last_error, '') <> '') AS errors"
 _PARAMS_SQL = "count(*) FILTER (contains(url, '?hl=')) AS hl, count(*) FILTER (contains(url, 'override_hl=')) AS override_hl, count(*) FILTER (contains(url, 'utm_') OR contains(url, 'fbclid=') OR contains(url, 'gclid=')) AS trackers"

@@ -76,12 +76,14 @@ def stream_host_activity(events: DataFrame, width: str = "1 hour", slide: str |
     return events.withColumn("created_at", F.col("created_at").cast("timestamp")).withWatermark("created_at", late).groupBy(span.alias("w"), "host").agg(F.count("*").alias("fetched"), F.count_if(F.col("kind") != "error").alias("hydrated"), F.count_if(F.col("kind") == "error").alias("errors")).select(F.col("w.start").alias("start"), "host", "fetched", "hydrated", "errors")
 
 
-def stream_alerts(changes: DataFrame, watched: DataFrame, tagged: DataFrame, tags: list[str]) -> DataFrame:
-    """ST4: changes of watched hosts with a watched tag: stream-static joins. The host's parents are exploded, as in the batch form, and at most one watched host is met per parent."""
+def stream_alerts(changes: DataFrame, watched: DataFrame, tagged: DataFrame, tags: list[str], hours: int | None = None) -> DataFrame:
+    """ST4: with ``hours``, only those at most so old when their batch is read: changes of watched hosts with a watched tag: stream-static joins. The host's parents are exploded, as in the batch form, and at most one watched host is met per parent."""
     urls = tagged.where(F.col("tag").isin(tags)).select("url").distinct()
     labels = F.split(F.regexp_extract("url", "^[a-z]+://([^/:?#]*)", 1), "[.]")
     parents = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
     hosts = watched.select(F.col("host").alias("root")).distinct()
+    if hours is not None:
+        changes = changes.where(F.col("created_at").cast("timestamp") >= F.current_timestamp() - F.make_dt_interval(hours=F.lit(hours)))
     return changes.join(urls, "url", "left_semi").withColumn("root", F.explode(parents)).join(hosts, "root")
 
 

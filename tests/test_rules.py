@@ -9,7 +9,7 @@ from lexmill.functions import helpers as H
 from lexmill.functions import texts as T
 from lexmill.functions import urls as U
 from lexmill.functions.dialect import column
-from lexmill.operators import changes, chunking, html, joins, merge, search, similarity
+from lexmill.operators import changes, chunking, html, joins, merge, quality, search, similarity
 from lexmill.sources import io
 
 
@@ -215,3 +215,76 @@ def test_unescape_and_urls(spark):
 
 def test_like_lists_ignore_case(spark):
     assert one(spark, U.is_bad_url, "https://a.com/Static/x") and one(spark, U.is_bad_url, "https://a.com/LOGO.PNG") and not one(spark, U.is_bad_url, "https://a.com/privacy")
+
+
+def test_cleaners_resolve_every_entity(spark):
+    page = "<p>caf&eacute; &#8217;x&#x27;&nbsp;</p><p>a  &amp;lt; b</p>"
+    df = spark.createDataFrame([(1, page, ""), (2, None, None), (3, "<p>plain</p>", "")], "id long, body string, clean_text string")
+    assert [r.clean_text for r in html.smart_clean(df).orderBy("id").collect()] == ["café ’x'\n\na &lt; b", "", "plain"]
+    assert [r.text for r in html.strip_html_keep_text(df).orderBy("id").collect()] == ["café ’x' a &lt; b", "", "plain"]
+    assert [r.text for r in html.pick_text(df).orderBy("id").collect()] == ["café ’x'\n\na &lt; b", "", "plain"]
+
+
+def test_spaces_left_by_tags_stay(spark):
+    df = spark.createDataFrame([(1, "<p>one<b> </b>two \t three</p>", "")], "id long, body string, clean_text string")
+    assert html.smart_clean(df).first().clean_text == "one   two three"
+
+
+def test_fallback_cleaner(spark):
+    df = spark.createDataFrame([(1, "<i></i>" * 900 + "&eacute; short", "")], "id long, body string, clean_text string")
+    r = html.smart_clean(df).first()
+    assert (r.strategy, r.clean_text) == ("fallback", "é short")
+
+
+def test_sieve_sanitises_first(spark):
+    df = spark.createDataFrame([("https://a.com/privacy&quot;)", "a.com"), ("https://a.com/privacy<b>x.png", "a.com"), (" https://a.com/privacy", "a.com"), (None, "a.com"), ("https://b.com/privacy", "a.com")], "url string, root string")
+    assert [r.keep for r in joins.keep_urls(df, "url", "root").collect()] == [True, True, False, False, False]
+    assert joins.sanitized_urls(df).first().clean == "https://a.com/privacy"
+
+
+def test_links_with_dots(spark):
+    page = "<a href='../privacy'>a</a><a href='./terms#x'>b</a><a href='/policy/../legal'>c</a><a href='tos'>d</a>"
+    df = spark.createDataFrame([("https://a.com/x/y/z", page)], "url string, body string")
+    assert [r.link for r in html.extract_links(df, synthetic=False).orderBy("position").collect()] == ["https://a.com/x/privacy", "https://a.com/x/y/terms", "https://a.com/legal"]
+
+
+def test_like_reports_ignore_case(spark):
+    df = spark.createDataFrame([("https://a.com/Privacy?UTM_source=1",), ("https://a.com/x?GCLID=2",), ("https://b.com/Policy",)], "url string")
+    assert {r.host: r.trackers for r in quality.url_param_stats(df).collect()} == {"a.com": 2, "b.com": 0}
+    have = {(r.host, r.surface): r.have for r in quality.coverage_check(df).collect()}
+    assert have["a.com", "privacy"] == 1 and have["a.com", "terms"] == 0 and have["b.com", "terms"] == 1
+
+
+def test_fetches_without_body_stay_queued(spark):
+    docs = spark.createDataFrame([(k, f"u{k}", 0, "old", "", "h", 0, "e") for k in range(4)], "id long, url string, status_code int, body string, clean_text string, content_hash string, retry_count long, last_error string")
+    fetches = spark.createDataFrame([("u0", 200, "", False, False), ("u1", 429, "page", True, False), ("u2", 200, "page", False, False)], "url string, code int, new_body string, rendered boolean, asset boolean")
+    got = {r.url: (r.outcome, r.status_code, r.last_error, r.queue_status) for r in merge.apply_fetch_results(docs, fetches).collect()}
+    assert got == {"u0": ("fetched", 200, None, None), "u1": ("fetched", 200, "http-429", "hydrated"), "u2": ("fetched", 200, None, "hydrated"), "u3": ("none", 0, "e", None)}
+
+
+def test_overlaps_of_structured_chunks_chain():
+    text = "Aaaa bbbb. Cccc. Dddd eeee ffff."
+    assert chunking.structured(text, 18, 1, 8) == ["Aaaa bbbb. Cccc.", "Dddd eeee ffff."]
+    assert chunking.structured("One. Two. Six.", 6, 1, 2) == ["One.", "Two.", "Six."]
+    assert chunking.structured("Ab. Cd. Ef.", 7, 1, 4) == ["Ab. Cd.", "Cd. Ef."]
+    assert chunking.structured("Abcdefghijklmnop. Xy. Bcdefghijklmnopq.", 20, 1, 5) == ["Abcdefghijklmnop.", "mnop. Xy.", ". Xy. Bcdefghijklmnopq."]
+
+
+def test_chunk_sizes_by_host(spark):
+    df = spark.createDataFrame([(1, "u", "a.com", "x" * 1000), (2, "u", "B.com", "x" * 1000)], "doc_id long, url string, host string, text string")
+    got = sorted((r.doc_id, r.chunk_index, r.char_len) for r in chunking.chunk_sliding(df, sizes={"b.com": (500, None), "c.com": (None, 9)}).collect())
+    assert got == [(1, 0, 800), (1, 1, 320), (2, 0, 500), (2, 1, 500), (2, 2, 240)]
+
+
+def test_ranks_are_of_the_whole_index(spark):
+    rows = [(k, f"https://h/{k}", "t", "privacy", "EU" if k < 2 else "us", "the privacy rules " + "word " * k) for k in range(6)] + [(9, "https://h/9", "t", "x", "us", "other text")]
+    docs = spark.createDataFrame(rows, "id long, url string, title string, doc_type string, jurisdiction string, clean_text string")
+    ranks = lambda **o: {r.id: r["rank"] for r in search.search_documents(docs, ["privacy"], **o).collect()}
+    assert ranks(jurisdiction="eu") == {k: v for k, v in ranks().items() if k < 2}
+
+
+def test_index_has_no_shuffle(spark):
+    df = spark.createDataFrame([(1, "The cat, the dog"), (2, ""), (3, None), (4, "x")], "doc_id long, text string")
+    got = search.build_index(df, "doc_id")
+    assert sorted(map(tuple, got.collect())) == [(1, "cat", 1, [1], 4), (1, "dog", 1, [3], 4), (1, "the", 2, [0, 2], 4), (4, "x", 1, [0], 1)]
+    assert "Exchange" not in got._jdf.queryExecution().toString()
