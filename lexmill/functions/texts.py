@@ -176,7 +176,8 @@ _MONTHS = ("January", "February", "March", "April", "May", "June", "July", "Augu
 def policy_dates(d: Dialect, text: str) -> str:
     """U18: 'effective:' or 'updated:' and the ISO date of the first phrase of each of three forms (March 5, 2024; 5 March 2024; 2024-03-05): a sorted
     array. Months are full names or their first three letters; dates that the calendar does not have give nothing."""
-    x = f"substr(coalesce({text}, ''), 1, 12000)"
+    head = f"substr(coalesce({text}, ''), 1, 12000)"
+    named = d.exists(d.array([f"lower({head})"]), "l_", "contains(l_, 'effective') OR contains(l_, 'updated') OR contains(l_, 'modified')")
     word = r"(?i)(effective|last\s+updated|updated|last\s+modified)\s*[:-]?\s*"
     month = lambda m: f"CASE lower({m}) " + " ".join(f"WHEN '{w}' THEN '{i + 1:02d}'" for i, k in enumerate(_MONTHS) for w in sorted({k.lower(), k[:3].lower()})) + " END"
     forms = (
@@ -191,8 +192,9 @@ def policy_dates(d: Dialect, text: str) -> str:
         iso = f"concat({got(y)}, '-', {number}, '-', lpad({got(day)}, 2, '0'))"
         key = f"CASE WHEN lower({got(1)}) = 'effective' THEN 'effective:' ELSE 'updated:' END"
         tag = f"CASE WHEN m_ <> '' AND {number} IS NOT NULL AND try_cast({iso} AS DATE) IS NOT NULL THEN concat({key}, {iso}) END"
-        tags.append(d.item(d.each(d.array([d.extract(x, pattern, 0)]), "m_", tag), "1"))  # the long text is searched once for each form
-    return d.sorted_set(d.array(tags))
+        tags.append(d.item(d.each(d.array([d.extract("x_", pattern, 0)]), "m_", tag), "1"))  # the long text is searched once for each form
+    once = d.item(d.each(d.array([f"CASE WHEN {named} THEN {head} ELSE '' END"]), "x_", d.array(tags)), "1")  # and only if it has one of the words
+    return d.sorted_set(once)
 
 
 def content_hash(d: Dialect, x: str) -> str:
