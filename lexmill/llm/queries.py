@@ -14,6 +14,7 @@ from .ngram_join import op4_ngram_jaccard_join
 from .packing import op1_harmonic_packing
 from .quality_rules import op2_quality_rules
 from .secret_scan import op8_secret_scans
+from .sentence_pieces import op13_sentence_pieces
 from .token_counts import op6_token_counts
 from .toxicity import op7_toxicity
 from .url_filter import op10_url_filter, op10_url_filter_whole
@@ -30,6 +31,7 @@ _QUERIES = [
     op9_mix_to_weights,
     op10_url_filter,
     op10_url_filter_whole,
+    op13_sentence_pieces,
 ]
 
 
