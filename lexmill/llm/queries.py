@@ -12,6 +12,7 @@ from .language_id import op5_language_id
 from .mixing import op9_mix_to_weights
 from .ngram_join import op4_ngram_jaccard_join
 from .packing import op1_harmonic_packing
+from .periodic_runs import op12_periodic_runs
 from .quality_rules import op2_quality_rules
 from .secret_scan import op8_secret_scans
 from .sentence_pieces import op13_sentence_pieces
@@ -31,6 +32,7 @@ _QUERIES = [
     op9_mix_to_weights,
     op10_url_filter,
     op10_url_filter_whole,
+    op12_periodic_runs,
     op13_sentence_pieces,
 ]
 
