@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, quality_rules, url_filter
+from . import collocations, mixing, quality_rules, url_filter
+from .collocations import op11_collocations
 from .fingerprints import op3_order_minhash
 from .language_id import op5_language_id
 from .mixing import op9_mix_to_weights
@@ -32,6 +33,7 @@ _QUERIES = [
     op9_mix_to_weights,
     op10_url_filter,
     op10_url_filter_whole,
+    op11_collocations,
     op12_periodic_runs,
     op13_sentence_pieces,
 ]
@@ -42,4 +44,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": quality_rules.ORACLE, "op9_mix_to_weights": mixing.ORACLE, "op10_url_filter": url_filter.ORACLE}
+    return {"op2_quality_rules": quality_rules.ORACLE, "op9_mix_to_weights": mixing.ORACLE, "op10_url_filter": url_filter.ORACLE, "op11_collocations": collocations.ORACLE}
