@@ -6,8 +6,8 @@ import hashlib
 import html
 import re
 from collections import Counter
-from difflib import ndiff, unified_diff
-from html.parser import HTMLParser
+from collections.abc import Iterator
+from difflib import SequenceMatcher, ndiff, unified_diff
 from urllib.parse import urldefrag, urljoin
 
 import numpy as np
@@ -16,6 +16,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from . import markup
+from . import rules as R
+from .stemmer import stem
+
 
 @F.pandas_udf(StringType())
 def unescaped(s: pd.Series) -> pd.Series:
@@ -58,17 +62,45 @@ def simhash(s: pd.Series) -> pd.Series:
     return s.map(lambda x: simhash_of(x or ""))
 
 
-@F.pandas_udf(StringType())
-def tiny_diff(a: pd.Series, b: pd.Series) -> pd.Series:
-    """D3: added and removed tokens, at most 280 characters."""
+#: Longer texts are compared in windows of so many tokens.
+WINDOW = 200
+
+
+def _changed_tokens(x: list[str], y: list[str]) -> Iterator[str]:
+    """What ``ndiff`` marks as added or removed, as it is asked for. Of longer texts equal stretches are skipped, and windows that begin at a change are compared up to the last place where they meet again."""
+    if max(len(x), len(y)) <= WINDOW:
+        yield from (t for t in ndiff(x, y) if t[:2] in ("+ ", "- "))
+        return
+    i = j = 0
+    while i < len(x) or j < len(y):
+        while i < len(x) and j < len(y) and x[i] == y[j]:
+            i, j = i + 1, j + 1
+        a, b = x[i : i + WINDOW], y[j : j + WINDOW]
+        if i + WINDOW < len(x) or j + WINDOW < len(y):
+            meet = [m for m in SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks() if m.size]
+            if meet:
+                a, b = a[: meet[-1].a + meet[-1].size], b[: meet[-1].b + meet[-1].size]
+        yield from (t for t in ndiff(a, b) if t[:2] in ("+ ", "- "))
+        i, j = i + len(a), j + len(b)
+
+
+def tiny_diff_of(x: str | None, y: str | None, most: int = 280) -> str:
+    x, y = (x or "").split(), (y or "").split()
+    if not x or not y or x == y:
+        return ""
+    out, size = [], 0
+    for t in _changed_tokens(x, y):
+        out.append(t)
+        size += len(t) + 1
+        if size > most + 1:
+            break
+    return " ".join(out)[:most]
 
-    def one(x: str | None, y: str | None) -> str:
-        x, y = (x or "").split(), (y or "").split()
-        if not x or not y or x == y:
-            return ""
-        return " ".join(t for t in ndiff(x, y) if t[:2] in ("+ ", "- "))[:280]
 
-    return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)])
+@F.pandas_udf(StringType())
+def tiny_diff(a: pd.Series, b: pd.Series) -> pd.Series:
+    """D3: added and removed tokens, at most 280 characters; nothing is compared beyond them."""
+    return pd.Series([tiny_diff_of(x, y) for x, y in zip(a, b, strict=True)])
 
 
 @F.pandas_udf(StringType())
@@ -77,109 +109,12 @@ def line_diff(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(["\n".join(unified_diff((x or "").splitlines(), (y or "").splitlines(), "old", "new", lineterm="")) for x, y in zip(a, b, strict=True)])
 
 
-_VOWELS = re.compile(r"[aeiouy]")
-
-
-def _stem(w: str) -> str:
-    """A light suffix stemmer: plurals, -ed, -ing and common endings, where a vowel is left in front."""
-    for ending, by in (("sses", "ss"), ("ies", "i"), ("ational", "ate"), ("ization", "ize"), ("fulness", "ful"), ("ousness", "ous"), ("iveness", "ive")):
-        if w.endswith(ending) and len(w) > len(ending) + 1:
-            return w[: -len(ending)] + by
-    for ending in ("ing", "ed"):
-        if w.endswith(ending) and _VOWELS.search(w[: -len(ending)]):
-            w = w[: -len(ending)]
-            if w.endswith(("at", "bl", "iz")):
-                return w + "e"
-            return w[:-1] if len(w) > 2 and w[-1] == w[-2] and w[-1] not in "lsz" else w
-    return w[:-1] if w.endswith("s") and not w.endswith("ss") and len(w) > 3 else w
+@F.pandas_udf(StringType())
+def stemmed(s: pd.Series) -> pd.Series:
+    return s.map(stem)
 
 
 @F.pandas_udf(StringType())
-def stemmed(s: pd.Series) -> pd.Series:
-    return s.map(_stem)
-
-
-class _Reader(HTMLParser):
-    """Visible text by element: (tag, id attribute, words) for the wanted tags, and all visible text."""
-
-    def __init__(self, wanted: frozenset[str], hidden: frozenset[str]):
-        super().__init__(convert_charrefs=True)
-        self.wanted, self.hidden = wanted, hidden
-        self.depth, self.title, self.in_title, self.og = 0, "", False, ""
-        self.open: list[tuple[str, str, list[str]]] = []
-        self.found: list[tuple[str, str, list[str]]] = []
-        self.all: list[str] = []
-
-    def handle_starttag(self, tag, attrs):
-        at = dict(attrs)
-        if tag in self.hidden:
-            self.depth += 1
-        elif tag == "title":
-            self.in_title = True
-        elif tag == "meta" and at.get("property") == "og:title":
-            self.og = at.get("content") or ""
-        elif tag in self.wanted and not self.depth:
-            item = (tag, at.get("id") or "", [])
-            self.open.append(item)
-            self.found.append(item)
-
-    def handle_endtag(self, tag):
-        if tag in self.hidden:
-            self.depth = max(0, self.depth - 1)
-        elif tag == "title":
-            self.in_title = False
-        elif any(x[0] == tag for x in self.open):
-            while self.open and self.open.pop()[0] != tag:
-                pass
-
-    def handle_data(self, data):
-        if self.in_title:
-            self.title += data
-        elif not self.depth and data.strip():
-            text = " ".join(data.split())
-            self.all.append(text)
-            for x in self.open:
-                x[2].append(text)
-
-
-def _read(page: str, wanted: tuple[str, ...], hidden: tuple[str, ...]) -> _Reader:
-    r = _Reader(frozenset(wanted), frozenset(hidden))
-    r.feed(page or "")
-    r.close()
-    return r
-
-
-_HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
-
-
-def main_text_of(page: str) -> str:
-    """Title, top headings and paragraphs, one a line."""
-    r = _read(page, ("h1", "h2", "h3", "p"), ("script", "style", "nav", "footer", "header", "noscript"))
-    return "\n".join(x for x in [r.title.strip(), *(" ".join(t) for _, _, t in r.found)] if x)
-
-
-def title_body_of(page: str) -> tuple[str, str]:
-    """The title (else og:title), and the longest text of main, article or one of 50 sections; else all."""
-    r = _read(page, ("main", "article", "section", "div"), ("script", "style", "noscript"))
-    first = [x for x in r.found if x[0] in ("main", "article")] + [x for x in r.found if x[0] in ("section", "div")][:50]
-    body = max((" ".join(t) for _, _, t in first), key=len, default="")
-    return " ".join((r.title or r.og).split()), body or " ".join(r.all)
-
-
-def sections_of(page: str) -> list[dict]:
-    """Sections opened by headings, with the text of paragraphs and list items."""
-    r = _read(page, (*_HEADINGS, "p", "li"), ("script", "style", "noscript"))
-    out, now = [], {"title": "(intro)", "text": [], "anchors": []}
-    for tag, anchor, parts in r.found:
-        text = " ".join(parts)
-        if tag in _HEADINGS:
-            if now["text"]:
-                out.append(now)
-            now = {"title": text or "(untitled)", "text": [], "anchors": [anchor] if anchor else []}
-        elif text:
-            now["text"].append(text)
-    if now["text"]:
-        out.append(now)
-    if not out and r.all:
-        out = [{"title": "(document)", "text": r.all, "anchors": []}]
-    return [{**s, "text": "\n".join(s["text"])} for s in out]
+def without_blobs(s: pd.Series) -> pd.Series:
+    """Object blobs of user interfaces, nested to any depth, cut out."""
+    return s.map(lambda x: None if x is None else markup.without_blobs(x, R.BLOB_KEYS))

@@ -168,3 +168,7 @@ SURFACE_SEEDS = {"privacy": "/privacy", "terms": "/terms", "cookies": "/cookies"
 # --- fixed values: entities that the expression form resolves, and mojibake pairs
 ENTITIES = (("&nbsp;", "\u00a0"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&mdash;", "—"), ("&ndash;", "–"), ("&hellip;", "…"), ("&rsquo;", "’"), ("&lsquo;", "‘"), ("&amp;", "&"))
 MOJIBAKE = (("â€™", "’"), ("â€˜", "‘"), ("â€œ", "“"), ("â€“", "–"), ("â€”", "—"), ("â€", "”"), ("Â ", ""), ("Â", ""), ("ï»¿", ""), ("¦", " "))
+#: Further repairs: an apostrophe, a dash, and what is left of both (patterns with Unicode classes).
+GARBLED = ((r"([A-Za-z])ãs\b", "$1’s"), (r"([A-Za-z])âs\b", "$1’s"), (r"(\w)á\s", "$1 — "), (r"\sá(\w)", " — $1"), ("á", ""))
+#: Object blobs with one of these names are user interface, in this order.
+BLOB_KEYS = ("className", "children", "props")

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import helpers as H
+from ..functions import markup as M
 from ..functions import rules as R
 from ..functions import texts as T
 from ..functions import urls as U
@@ -60,12 +61,12 @@ def _per_page(docs: DataFrame, schema: str, types: list[pa.DataType], names: lis
 
 def extract_main_text(docs: DataFrame) -> DataFrame:
     """C5."""
-    return _per_page(docs, "id long, main_text string", [pa.string()], ["main_text"], lambda x: (H.main_text_of(x),))
+    return _per_page(docs, "id long, main_text string", [pa.string()], ["main_text"], lambda x: (M.main_text_of(x),))
 
 
 def extract_title_body(docs: DataFrame) -> DataFrame:
     """C6."""
-    return _per_page(docs, "id long, page_title string, page_body string", [pa.string(), pa.string()], ["page_title", "page_body"], H.title_body_of)
+    return _per_page(docs, "id long, page_title string, page_body string", [pa.string(), pa.string()], ["page_title", "page_body"], M.title_body_of)
 
 
 _SECTION = pa.struct([("title", pa.string()), ("text", pa.string()), ("anchors", pa.list_(pa.string()))])
@@ -73,15 +74,29 @@ _SECTION = pa.struct([("title", pa.string()), ("text", pa.string()), ("anchors",
 
 def html_to_sections(docs: DataFrame) -> DataFrame:
     """One array of sections per page."""
-    return _per_page(docs, "id long, sections array<struct<title:string,text:string,anchors:array<string>>>", [pa.list_(_SECTION)], ["sections"], lambda x: (H.sections_of(x),))
+    return _per_page(docs, "id long, sections array<struct<title:string,text:string,anchors:array<string>>>", [pa.list_(_SECTION)], ["sections"], lambda x: (M.sections_of(x),))
 
 
 def normalize_documents(docs: DataFrame) -> DataFrame:
-    """Nested records of sections, topics and hash; jurisdiction defaults to global."""
+    """Nested records of sections, topics and hash; jurisdiction defaults to global, the version is that of the fetch (or of now)."""
     parsed = html_to_sections(docs)
     blob = F.array_join(F.transform("sections", lambda s: F.concat(F.lit("# "), s["title"], F.lit("\n"), s["text"])), "\n\n")
-    joined = docs.select("id", "url", "doc_type", "jurisdiction", F.col("title").alias("source_name")).join(parsed.withColumn("_blob", blob), "id")
-    return joined.select("id", "url", "source_name", F.coalesce("doc_type", F.lit("other")).alias("doc_type"), F.coalesce(F.nullif(F.trim("jurisdiction"), F.lit("")), F.lit("global")).alias("jurisdiction"), "sections", column(T.tag_topics, "_blob").alias("topics"), F.array().cast("array<string>").alias("penalties"), H.blake2b160("_blob").alias("hash"))
+    fetched = F.coalesce(*([F.col("fetched_at").cast("timestamp")] if "fetched_at" in docs.columns else []), F.current_timestamp())
+    joined = docs.select("id", "url", "doc_type", "jurisdiction", F.col("title").alias("source_name"), F.date_format(fetched, "yyyy-MM-dd'T'HH:mm:ss").alias("version_date")).join(parsed.withColumn("_blob", blob), "id")
+    return joined.select(
+        "id",
+        "url",
+        "source_name",
+        F.coalesce("doc_type", F.lit("other")).alias("doc_type"),
+        F.coalesce(F.nullif(F.trim("jurisdiction"), F.lit("")), F.lit("global")).alias("jurisdiction"),
+        F.lit(None).cast("string").alias("effective_date"),
+        "version_date",
+        "sections",
+        column(T.tag_topics, "_blob").alias("topics"),
+        F.array().cast("array<string>").alias("penalties"),
+        F.lit("").alias("appeals"),
+        H.blake2b160("_blob").alias("hash"),
+    )
 
 
 def extract_links(docs: DataFrame, cap: int = 50, synthetic: bool = True) -> DataFrame:
@@ -101,15 +116,26 @@ def extract_links(docs: DataFrame, cap: int = 50, synthetic: bool = True) -> Dat
 
 
 def sanitize_report_text(text: str):
-    """Control characters, escaped JSON text, mojibake, object blobs and trailing brackets out; blank and doubled lines collapse."""
-    x = F.regexp_replace(F.regexp_replace(F.col(text), "\r", "\n"), r"[\p{Cc}\p{Cf}&&[^\n\t]]", "")
-    x = F.regexp_replace(F.regexp_replace(F.regexp_replace(x, r"\\[nr]", "\n"), r"\\t", " "), r'\\"', '"')
+    """Control characters, escaped JSON text, mojibake, object blobs of any depth, arrays and trailing brackets out; blank and doubled lines collapse. Only texts with braces leave the JVM."""
+    x = F.regexp_replace(F.regexp_replace(F.col(text), "\r", "\n"), r"[\p{C}&&[^\n\t]]", "")
+    escaped = F.regexp_replace(F.regexp_replace(F.regexp_replace(x, r"\\[nr]", "\n"), r"\\t", " "), r'\\"', '"')
+    x = F.when(x.rlike(r'\\["nt]'), F.regexp_replace(escaped, r"\\\\(?!`)", r"\\")).otherwise(x)
     for bad, good in R.MOJIBAKE:
         x = F.replace(x, F.lit(bad), F.lit(good))
-    for _ in range(3):  # blobs nest a few levels deep
-        x = F.regexp_replace(x, r"\{[^{}]*(className|children|props)[^{}]*\}", "")
-    x = F.regexp_replace(F.regexp_replace(x, r'"\{[^{}]*\}"', ""), r'["\\]{3,}', "")
-    junk = lambda ln: F.trim(F.regexp_replace(F.regexp_replace(ln, r"[\s,;:]*[\])}]+[\"“”'’]*[,;:]*\s*$", ""), r"^\s*[\[({]+[\"“”'’]*\s*", ""))
-    lines = F.transform(F.split(x, "\n"), lambda ln: F.when(ln.rlike(r"^\s*\[\^\d+\]:"), F.trim(ln)).otherwise(junk(ln)))
-    once = F.element_at(F.transform(F.array(lines), lambda a: F.filter(a, lambda ln, k: (ln == "") | F.coalesce(F.get(a, k - 1) != ln, F.lit(True)))), 1)
-    return F.regexp_replace(F.regexp_replace(F.array_join(once, "\n"), r"[ \t]{2,}", " "), r"\n{3,}", "\n\n")
+    for bad, good in R.GARBLED:
+        x = F.regexp_replace(x, "(?U)" + bad, good)
+    braces = F.when(x.contains("{") & x.contains("}"), x)
+    x = F.coalesce(H.without_blobs(braces), x)
+    for junk in (r'"\{[^{}]*\}"', r'\[\s*"\$"[^\]\n]*\]', r'"children"\s*:\s*\[[^\]]*\]', r"(?md)^\s*[{}]\s*$", r'["\\]{3,}'):
+        x = F.regexp_replace(x, junk, "")
+    ends = ((r"[\s,;:]*[\])}]+[\"“”'’]*[,;:]*\s*$", ""), (r"[\"“”'’]+[,;:]*\s*$", ""), (r"^\s*[\[({]+[\"“”'’]*\s*", ""))
+
+    def line(ln: Column) -> Column:
+        cut = ln
+        for junk, by in ends:
+            cut = F.regexp_replace(cut, junk, by)
+        return F.trim(F.when(ln.rlike(r"^\s*\[\^\d+\]:\s*."), ln).otherwise(cut))
+
+    whole = F.array_join(F.transform(F.split(x, "\n"), line), "\n")
+    lines = F.split(F.regexp_replace(F.regexp_replace(whole, r"[ \t]{2,}", " "), r"\n{3,}", "\n\n"), "\n")
+    return F.array_join(F.element_at(F.transform(F.array(lines), lambda a: F.filter(a, lambda ln, k: (F.trim(ln) == "") | F.coalesce(F.trim(F.get(a, k - 1)) != F.trim(ln), F.lit(True)))), 1), "\n")

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexmill.functions import helpers as H
+from lexmill.functions import markup
 from lexmill.functions import texts as T
 from lexmill.functions import urls as U
 from lexmill.functions.dialect import column
@@ -94,9 +95,9 @@ def test_long_script_block(spark):
 
 def test_sections():
     page = "<h2 id='a'>Terms</h2><p>One</p><li>Two</li><h3></h3><p>Three</p><script>no</script>"
-    assert H.sections_of(page) == [{"title": "Terms", "text": "One\nTwo", "anchors": ["a"]}, {"title": "(untitled)", "text": "Three", "anchors": []}]
-    assert H.sections_of("<div>only</div>")[0]["title"] == "(document)"
-    assert H.sections_of("") == []
+    assert markup.sections_of(page) == [{"title": "Terms", "text": "One\nTwo", "anchors": ["a"]}, {"title": "(untitled)", "text": "Three", "anchors": []}]
+    assert markup.sections_of("<div>only</div>")[0]["title"] == "(document)"
+    assert markup.sections_of("") == []
 
 
 def test_greedy_chunks_progress():
