@@ -12,6 +12,7 @@ from pyspark.sql.types import ArrayType, StringType
 
 from ..functions import texts as T
 from ..functions.dialect import column
+from .joins import with_policy
 
 
 def windows(text: str, max_chars: int | Column, overlap: int | Column, least: int, most: int = 0) -> Column:
@@ -43,6 +44,13 @@ def chunk_sliding(docs: DataFrame, max_chars: int = 800, overlap: int = 120, lea
     return _exploded(docs.where("length(text) > 0"), windows("text", by_host(0, max_chars), by_host(1, overlap), least, most))
 
 
+def chunk_by_policy(docs: DataFrame, policies: DataFrame, max_chars: int = 800, overlap: int = 120, least: int = 120, most: int = 0) -> DataFrame:
+    """K3 with the size and overlap of each URL's policy (J6), where it sets them."""
+    hosted = with_policy(docs.where("length(text) > 0"), policies)
+    sized = hosted.withColumns({"_size": F.coalesce("policy.chunking.size", F.lit(max_chars)), "_overlap": F.coalesce("policy.chunking.overlap", F.lit(overlap))})
+    return _exploded(sized, windows("text", F.col("_size"), F.col("_overlap"), least, most))
+
+
 _BREAKS = ("\n\n", "\n", ". ", "。", "! ", "? ", "; ")
 
 
@@ -120,13 +128,14 @@ def chunk_structured(docs: DataFrame, size: int = 2200, overlap: int = 250, leas
     return _exploded(docs.where("length(text) > 0"), _by(structured, size, least, overlap)("text"))
 
 
-def chunk_corpus(docs: DataFrame, existing: DataFrame, rechunk: bool = False, exclude_hosts: tuple[str, ...] = (), exclude_ids: tuple[int, ...] = (), **options) -> DataFrame:
-    """K4: existing chunks with those of documents that have none (or, with rechunk, all chunks anew); options, also per-host ``sizes``, go to ``chunk_sliding``."""
+def chunk_corpus(docs: DataFrame, existing: DataFrame, rechunk: bool = False, exclude_hosts: tuple[str, ...] = (), exclude_ids: tuple[int, ...] = (), policies: DataFrame | None = None, **options) -> DataFrame:
+    """K4: existing chunks with those of documents that have none (or, with rechunk, all chunks anew), cut as ``policies`` say; other options, also per-host ``sizes``, go to ``chunk_sliding``."""
+    cut = (lambda d: chunk_sliding(d, **options)) if policies is None else (lambda d: chunk_by_policy(d, policies, **options))
     todo = docs
     for h in exclude_hosts:
         todo = todo.where(~F.contains("host", F.lit(h.lower())))
     if exclude_ids:
         todo = todo.where(~F.col("doc_id").isin(list(exclude_ids)))
     if not rechunk:
-        return existing.unionByName(chunk_sliding(todo.join(existing.select("doc_id").distinct(), "doc_id", "left_anti"), **options))
-    return existing.join(todo.select("doc_id"), "doc_id", "left_anti").unionByName(chunk_sliding(todo, **options))
+        return existing.unionByName(cut(todo.join(existing.select("doc_id").distinct(), "doc_id", "left_anti")))
+    return existing.join(todo.select("doc_id"), "doc_id", "left_anti").unionByName(cut(todo))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import helpers as H
 from ..functions import rules as R
+from ..functions import texts as T
 from ..functions import urls as U
 from ..functions.dialect import SPARK, column
 
@@ -85,6 +86,18 @@ def allowed_by_policy_path(df: DataFrame, policies: DataFrame) -> DataFrame:
     return joined.withColumn("allowed", allow & ~F.coalesce(deny, F.lit(False))).drop("_path")
 
 
+def render_by_policy(docs: DataFrame, policies: DataFrame, statuses: tuple[int, ...] = (401, 403, 406, 429), min_html: int = 1800) -> DataFrame:
+    """U16 with J6: adds needs_render. A policy's statuses stand in for the usual ones; a page that passes is asked for its policy's least length, or else its greatest share of script tags."""
+    status = F.col("status_code")
+    own = F.col("policy.hydration.render_on_status")
+    asked = F.when(F.size(F.coalesce(own, F.array().cast("array<int>"))) > 0, F.array_contains(own, status)).otherwise(status.isin(*statuses))
+    length = F.length(F.coalesce("body", F.lit("")))
+    thin, over = F.coalesce(F.col("policy.hydration.thin_html_min_text_chars"), F.lit(0)), F.col("policy.hydration.script_ratio_over")
+    share = F.expr(T.render_flags(SPARK, "status_code", "coalesce(body, '')", "''")["script_ratio"])
+    by_policy = F.when(thin > 0, (length < thin) | F.coalesce(share > over, F.lit(False))).otherwise(F.coalesce(share > over, F.lit(False)))
+    return with_policy(docs, policies).withColumn("needs_render", F.coalesce(asked, F.lit(False)) | (length < min_html) | by_policy)
+
+
 def match_root(df: DataFrame, roots: DataFrame) -> DataFrame:
     """The longest root (root) that is the host or a parent of it. Resolved once for each distinct host: its parents (a handful) are
     exploded into an equi-join, and rows meet the result by host."""

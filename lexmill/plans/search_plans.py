@@ -10,6 +10,7 @@ from ..functions import urls as U
 from ..functions.dialect import DUCK, column
 from ..operators import changes as D
 from ..operators import search as Q
+from ..operators import stored as I
 from ..operators.merge import first_per
 from ..streaming import streams as ST
 from . import fixtures as X
@@ -40,10 +41,27 @@ def _bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.bm25(Q.postings_of(t, "doc_id", TERMS), Q.corpus_size(t), "doc_id", TERMS).select("doc_id", F.round("rank", 6).alias("rank"))
 
 
+_MATCHES = {"both": {"all_": BOTH}, "some": {"any_": ["cookie", "license"]}, "without": {"all_": ["the"], "none": ["cookie"]}, "phrase": {"phrase": ["you", "have", "the", "right"]}, "prefix": {"prefix": "cook"}}
+
+
 def _match(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = Q.build_index(_texts(spark, sf_dir), "doc_id")
-    flags = {"both": {"all_": BOTH}, "some": {"any_": ["cookie", "license"]}, "without": {"all_": ["the"], "none": ["cookie"]}, "phrase": {"phrase": ["you", "have", "the", "right"]}, "prefix": {"prefix": "cook"}}
-    out = [Q.match(p, "doc_id", **o).select(F.lit(k).alias("rule"), "doc_id") for k, o in flags.items()]
+    out = [Q.match(p, "doc_id", **o).select(F.lit(k).alias("rule"), "doc_id") for k, o in _MATCHES.items()]
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3]).unionByName(out[4])
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> str:
+    """Writes the index of the texts and gives its folder."""
+    from uuid import uuid4
+
+    path = f"{_folder(spark)}/index-{uuid4().hex}"
+    I.write_index(_texts(spark, sf_dir), path, "doc_id", buckets=16)
+    return path
+
+
+def _stored_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _stored(spark, sf_dir)
+    out = [I.stored_match(spark, path, "doc_id", **o).select(F.lit(k).alias("rule"), "doc_id") for k, o in _MATCHES.items()]
     return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3]).unionByName(out[4])
 
 
@@ -157,11 +175,24 @@ def _alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _streamed(spark, sf_dir, lambda s: ST.stream_alerts(s.select("id", "url", "created_at"), watched, tagged, ["error"]))
 
 
+def _value_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    before = {k: spark.conf.get(k, None) for k in ST.ROCKSDB}
+    for k, v in ST.ROCKSDB.items():
+        spark.conf.set(k, v)
+    try:
+        return _streamed(spark, sf_dir, ST.stream_changes)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 PLANS = {
     "build_index": (lambda s, d: Q.build_index(_texts(s, d), "doc_id").select("doc_id", "term", "tf", "doc_len", F.array_join(F.slice("positions", 1, 5), ",").alias("first_positions")), W(X.TEXTS, _TOKENS, _POSTINGS) + "SELECT doc_id, term, tf, doc_len, array_to_string(positions[1:5], ',') AS first_positions FROM postings"),
     "build_index_stemmed": (lambda s, d: Q.build_index(_texts(s, d), "doc_id", stem=True).groupBy("term").agg(F.sum("tf").alias("tf")), None),
     "match": (_match, _MATCH_SQL),
     "bm25": (_bm25, W(X.TEXTS, _bm25_sql("doc_id", "texts", "text", TERMS)) + "SELECT doc_id, round(rank, 6) AS rank FROM ranks"),
+    "stored_match": (_stored_match, _MATCH_SQL),
+    "stored_bm25": (lambda s, d: I.stored_bm25(s, _stored(s, d), "doc_id", TERMS).select("doc_id", F.round("rank", 6).alias("rank")), W(X.TEXTS, _bm25_sql("doc_id", "texts", "text", TERMS)) + "SELECT doc_id, round(rank, 6) AS rank FROM ranks"),
     "snippet": (lambda s, d: _texts(s, d).select("doc_id", Q.snippet("text", ["the", "cookie", "account"], 10).alias("snippet")), None),
     "proximity": (lambda s, d: Q.near(chunks_of(s, d), "the:of:2,and:the:4").select("chunk_id"), W(*TC) + f"SELECT chunk_id FROM chunks WHERE {T.within_window(DUCK, T.words_of(DUCK, 'text'), 'the', 'of', 2)} AND {T.within_window(DUCK, T.words_of(DUCK, 'text'), 'and', 'the', 4)}"),
     "dedupe_canonical": (_ranked_docs, W(X.DOCS) + f"SELECT id, url, rank, canon FROM (SELECT *, row_number() OVER (PARTITION BY canon ORDER BY rank, url) AS k FROM (SELECT id, url, -length(body) AS rank, {U.search_canon(DUCK, 'url')} AS canon FROM docs)) WHERE k = 1"),
@@ -174,6 +205,7 @@ PLANS = {
     "answer_sentences": (_answers, _ANSWER_SQL + " SELECT place, sentence, url, score, cite FROM placed JOIN cites USING (url)"),
     "synthesize_answer": (lambda s, d: Q.synthesize_answer(_hybrid(s, d), " ".join(TERMS)), None),
     "stream_changes": (lambda s, d: _streamed(s, d, ST.stream_changes_grouped).select("id", "url", "prev_hash", "new_hash"), W(X.REVISIONS, _PAIRS) + "SELECT id, url, prev_hash, new_hash FROM pairs"),
+    "stream_changes_state": (lambda s, d: _value_state(s, d).select("id", "url", "prev_hash", "new_hash"), W(X.REVISIONS, _PAIRS) + "SELECT id, url, prev_hash, new_hash FROM pairs"),
     "stream_enqueue": (lambda s, d: _streamed(s, d, lambda x: ST.stream_enqueue(x, "40 days").select("url")), W(X.REVISIONS) + "SELECT DISTINCT url FROM revisions"),
     "stream_host_activity": (lambda s, d: _streamed_counts(s, d, lambda x: ST.stream_host_activity(x, "1 day"), "start", "host").select("start", "host", "fetched", "hydrated", "errors"), "SELECT date_trunc('day', CAST(ts AS TIMESTAMP)) AS start, concat('host', user_id % 23, '.example.com') AS host, count(*) AS fetched, count(*) FILTER (event_type <> 'error') AS hydrated, count(*) FILTER (event_type = 'error') AS errors FROM events GROUP BY 1, 2"),
     "stream_alerts": (lambda s, d: _alerts(s, d).select("id", "url", "root"), W(X.REVISIONS) + "SELECT id, url, regexp_extract(url, '://([^/]*)', 1) AS root FROM revisions WHERE regexp_extract(url, '://([^/]*)', 1) IN ('host3.example.com', 'host7.example.com') AND url IN (SELECT url FROM revisions WHERE kind = 'error')"),

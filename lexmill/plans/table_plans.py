@@ -35,9 +35,10 @@ chunks AS (SELECT doc_id, i - 1 AS chunk_index, p[i] AS text, length(p[i]) AS ch
 TC = (X.TEXTS, CHUNKS)
 
 POLICIES = [
-    {"host": "default", "normalization": {"strip_params": ["utm_*"]}},
-    {"host": "example.com", "aliases": ["www.example.com", "thther.example.org"], "normalization": {"query_param_drops": ["ref", "pa*"], "path_deny_regexes": ["^/blog/", "login"], "path_allow_prefixes": []}, "tagging": {"add": ["Surface:Vendor"], "team": ["trust"]}},
-    {"host": "src1.example.com", "normalization": {"collapse_www": False, "drop_fragments": False, "path_allow_prefixes": ["/privacy", "/legal"]}, "tagging": {"add": ["audience:Advertisers"]}},
+    {"host": "default", "normalization": {"strip_params": ["utm_*"]}, "hydration": {"render_if": {"script_ratio_over": 0.2}}},
+    {"host": "example.com", "aliases": ["www.example.com", "thther.example.org"], "normalization": {"query_param_drops": ["ref", "pa*"], "path_deny_regexes": ["^/blog/", "login"], "path_allow_prefixes": []}, "tagging": {"add": ["Surface:Vendor"], "team": ["trust"]}, "hydration": {"render_on_status": [404], "render_if": {"thin_html_min_text_chars": 2600}, "headers": {"Accept": "text/html"}}},
+    {"host": "src1.example.com", "normalization": {"collapse_www": False, "drop_fragments": False, "path_allow_prefixes": ["/privacy", "/legal"]}, "tagging": {"add": ["audience:Advertisers"]}, "chunking": {"size": 500, "overlap": 50}},
+    {"host": "src2.example.com", "aliases": ["src3.example.com"], "chunking": {"size": 300}},
     {"host": "m.ththth.example.net", "normalization": {"path_allow_prefixes": ["/privacy", "/legal", "/static"], "drop_fragments": False}},
 ]
 
@@ -48,7 +49,7 @@ def policies_of(spark: SparkSession) -> DataFrame:
 
 def _policy_sql() -> str:
     lit = lambda v: "true" if v is True else "false" if v is False else DUCK.text(v) if isinstance(v, str) else "CAST([" + ", ".join(DUCK.text(x) for x in v) + "] AS VARCHAR[])"
-    rows = ", ".join("(" + ", ".join(map(lit, r)) + ")" for r in S.policy_rows(POLICIES))
+    rows = ", ".join("(" + ", ".join(map(lit, r[:9])) + ")" for r in S.policy_rows(POLICIES))
     return f"policies(phost, aliases, collapse_www, strip_ports, drop_fragments, strip_params, allow_prefixes, deny_patterns, add_tags) AS (VALUES {rows}), named AS (SELECT *, unnest(list_distinct(list_concat([phost], aliases))) AS alias FROM policies WHERE phost <> 'default')"
 
 
@@ -57,6 +58,23 @@ def _with_policy_sql(table: str, columns: str = "*") -> str:
     return f"hosted AS (SELECT d.*, {', '.join(f'CASE WHEN n.phost IS NOT NULL THEN n.{c} ELSE z.{c} END AS {c}' for c in fields)} FROM {table} d LEFT JOIN named n ON {U.host_of(DUCK, 'd.url', with_port=False)} = n.alias CROSS JOIN (SELECT * FROM policies WHERE phost = 'default') z)"
 
 
+def _knobs_sql() -> str:
+    """What policies set for rendering and chunks."""
+    null = lambda v: "NULL" if v is None else str(v)
+    rows = []
+    for r in POLICIES:
+        h, k = r.get("hydration") or {}, r.get("chunking") or {}
+        when = h.get("render_if") or {}
+        rows.append(f"('{r['host']}', CAST({h.get('render_on_status') or []} AS INTEGER[]), CAST({null(when.get('thin_html_min_text_chars'))} AS INTEGER), CAST({null(when.get('script_ratio_over'))} AS DOUBLE), CAST({null(k.get('size'))} AS INTEGER), CAST({null(k.get('overlap'))} AS INTEGER))")
+    return f"knobs(phost, statuses, thin, over, size, overlap) AS (VALUES {', '.join(rows)})"
+
+
+_RENDERED = f"""SELECT id, coalesce(CASE WHEN len(statuses) > 0 THEN list_contains(statuses, status_code) ELSE status_code IN (401, 403, 406, 429) END, false) OR length(coalesce(body, '')) < 1800 OR (coalesce(thin, 0) > 0 AND length(coalesce(body, '')) < thin)
+OR coalesce({T.render_flags(DUCK, 'status_code', "coalesce(body, '')", "''")['script_ratio']} > over, false) AS needs_render FROM hosted JOIN knobs USING (phost)"""
+_POLICY_CHUNKS = """, sized AS (SELECT doc_id, url, host, text, coalesce(size, 800) AS z, greatest(coalesce(size, 800) - coalesce(overlap, 120), 1) AS step FROM hosted JOIN knobs USING (phost) WHERE length(text) > 0),
+cut AS (SELECT doc_id, url, host, list_filter(list_transform(range(0, CASE WHEN length(text) <= z THEN 1 ELSE CAST(ceil((length(text) - z) / CAST(step AS DOUBLE)) AS BIGINT) + 1 END), lambda k: substr(text, k * step + 1, z)), lambda p: length(p) >= 120) AS p FROM sized)
+SELECT doc_id, i - 1 AS chunk_index, p[i] AS text, length(p[i]) AS char_len, greatest(1, length(p[i]) // 4) AS token_estimate, url, host FROM (SELECT *, unnest(range(1, len(p) + 1)) AS i FROM cut)"""
+
 ROOTS = ("example.com", "example.net", "www.thther.example.org", "example.org", "src1.example.com")
 
 
@@ -195,6 +213,8 @@ PLANS = {
     "chunk_greedy": (lambda s, d: K.chunk_greedy(X.policy_texts(s, d)), None),
     "chunk_structured": (lambda s, d: K.chunk_structured(X.policy_texts(s, d)), None),
     "chunk_corpus": (lambda s, d: K.chunk_corpus(X.policy_texts(s, d), chunks_of(s, d).drop("chunk_id").where("doc_id % 3 = 0"), exclude_hosts=("src1",), exclude_ids=(4, 8)), W(*TC) + "SELECT doc_id, chunk_index, text, char_len, token_estimate, url, host FROM chunks WHERE doc_id % 3 = 0 OR (NOT contains(host, 'src1') AND doc_id NOT IN (4, 8))"),
+    "chunk_by_policy": (lambda s, d: K.chunk_by_policy(X.policy_texts(s, d), policies_of(s)), W(X.TEXTS, _policy_sql(), _with_policy_sql("texts"), _knobs_sql()).rstrip() + _POLICY_CHUNKS),
+    "render_by_policy": (lambda s, d: J.render_by_policy(X.docs(s, d), policies_of(s)).select("id", "needs_render"), W(X.DOCS, _policy_sql(), _with_policy_sql("docs"), _knobs_sql()) + _RENDERED),
     # joins
     "hits_with_documents": (lambda s, d: J.hits_with_documents(X.queue(s, d), X.docs(s, d)).select("queue_id", "id", "url"), W(X.DOCS, X.QUEUE) + "SELECT queue_id, id, url FROM queue JOIN docs USING (url)"),
     "docs_with_queue": (lambda s, d: J.docs_with_queue(X.docs(s, d), X.queue(s, d)).select("id", "url", "q_status"), W(X.DOCS, X.QUEUE) + "SELECT id, d.url, q.status AS q_status FROM docs d LEFT JOIN queue q ON d.url = q.url"),
@@ -230,6 +250,7 @@ PLANS = {
     "coverage_matrix": (lambda s, d: A.coverage_matrix(X.docs(s, d)), W(X.DOCS) + f", m AS (SELECT {BARE} AS domain, {', '.join(f'max(CASE WHEN {DUCK.matches(chr(117) + chr(114) + chr(108), p)} THEN 1 ELSE 0 END) AS {c}' for c, p in R.COVERAGE.items())}, count(*) AS total_urls FROM docs GROUP BY 1) SELECT *, array_to_string(list_filter([{', '.join(f'CASE WHEN {c} = 0 THEN {DUCK.text(c)} END' for c in R.COVERAGE)}], lambda x: x IS NOT NULL), ',') AS missing, CAST({' + '.join(f'(1 - {c})' for c in R.COVERAGE)} AS BIGINT) AS n_missing FROM m"),
     "hydration_summary": (lambda s, d: A.hydration_summary(X.docs(s, d)), W(X.DOCS) + f", r AS (SELECT {HOST} AS host, length(clean_text) AS c, {DUCK.size(DUCK.keep(DUCK.split('clean_text', ' '), 'w', chr(119) + ' <> ' + chr(39) * 2))} AS w FROM docs) SELECT CASE WHEN grouping(host) = 1 THEN 'TOTAL' ELSE host END AS host, count(*) AS docs, CAST(sum(c) AS BIGINT) AS chars, CAST(sum(w) AS BIGINT) AS words, CAST(sum(c) // count(*) AS BIGINT) AS avg_chars, CAST(ceil(sum(w) / 500.0) AS BIGINT) AS pages FROM r GROUP BY ROLLUP (host)"),
     "chunk_stats": (lambda s, d: A.chunk_stats(X.policy_texts(s, d), chunks_of(s, d)), W(*TC) + ", per AS (SELECT doc_id, count(*) AS n, sum(char_len) AS c FROM chunks GROUP BY 1) SELECT host, count(*) AS docs, count(n) AS docs_chunked, CAST(coalesce(sum(n), 0) AS BIGINT) AS chunks, CAST(coalesce(sum(c) // sum(n), 0) AS BIGINT) AS avg_chars, count(*) FILTER (n IS NULL) AS lacking FROM texts LEFT JOIN per USING (doc_id) GROUP BY host"),
+    "chunk_sketch_stats": (lambda s, d: A.merged_chunk_stats(A.chunk_sketches(chunks_of(s, d).withColumn("day", F.col("doc_id") % 7), "day")), W(*TC) + "SELECT host, count(DISTINCT doc_id) AS docs_chunked, count(*) AS chunks FROM chunks GROUP BY 1"),
     "clean_summary": (lambda s, d: A.clean_summary(H.smart_clean(X.docs(s, d))), _SMART + " SELECT strategy, count(*) AS processed, count(*) FILTER (length(clean_text) > 0) AS updated, count(*) FILTER (length(clean_text) = 0) AS empty FROM cleaned GROUP BY 1"),
     "policy_report": (lambda s, d: A.policy_report(X.docs(s, d)), W(X.DOCS) + f"SELECT policy_host, render_mode, status, count(*) AS docs FROM (SELECT {HOST} AS policy_host, render_mode, coalesce(CAST(status_code AS VARCHAR), 'none') AS status FROM docs) GROUP BY GROUPING SETS ((policy_host), (render_mode), (policy_host, status))"),
     "term_smoke": (lambda s, d: A.term_smoke(X.policy_texts(s, d), list(_WATCH)), W(X.TEXTS) + " UNION ALL ".join(f"SELECT '{t}' AS term, count(*) FILTER (list_contains({T.words_of(DUCK, 'text')}, '{t}')) AS token_docs, count(*) FILTER (contains(lower(text), '{t}')) AS substring_docs FROM texts" for t in _WATCH)),

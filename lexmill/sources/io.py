@@ -17,12 +17,20 @@ def load_pages(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).select(F.col("page_id").alias("id"), "url", F.col("html").alias("body"))
 
 
-def load_table(spark: SparkSession, url: str, table: str, column_: str | None = None, bounds: tuple[int, int] | None = None, parts: int = 8) -> DataFrame:
-    """The same from a database, read in parts of a numeric column."""
-    reader = spark.read.format("jdbc").option("url", url).option("dbtable", table)
-    if column_ and bounds:
-        reader = reader.option("partitionColumn", column_).option("lowerBound", bounds[0]).option("upperBound", bounds[1]).option("numPartitions", parts)
-    return reader.load()
+def load_table(spark: SparkSession, url: str, table: str, column_: str | None = None, bounds: tuple[int, int] | None = None, parts: int = 8, **options: str) -> DataFrame:
+    """The same from a database, read in parts of a numeric column by as many tasks; filters and columns are pushed into the database.
+
+    Without bounds the least and the greatest value are asked for first (one row). They only set the strides: rows outside them, and those
+    without a value, are read too. Other options (driver, user, fetchsize) go to the reader.
+    """
+    reader = spark.read.format("jdbc").option("url", url).options(**options)
+    if column_:
+        if bounds is None:
+            row = reader.option("query", f"SELECT MIN({column_}) AS lo, MAX({column_}) AS hi FROM {table}").load().first()
+            bounds = (int(row[0] or 0), int(row[1] or 0))
+        reader = spark.read.format("jdbc").option("url", url).options(**options)
+        reader = reader.option("partitionColumn", column_).option("lowerBound", bounds[0]).option("upperBound", bounds[1] + 1).option("numPartitions", parts)
+    return reader.option("dbtable", table).load()
 
 
 def load_seeds(spark: SparkSession, path: str, keys: list[str] | None = None) -> DataFrame:
@@ -53,7 +61,18 @@ def load_labels(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("header", True).csv(path)
 
 
-POLICY = T.StructType([T.StructField("host", T.StringType()), T.StructField("aliases", T.ArrayType(T.StringType())), T.StructField("collapse_www", T.BooleanType()), T.StructField("strip_ports", T.BooleanType()), T.StructField("drop_fragments", T.BooleanType()), T.StructField("strip_params", T.ArrayType(T.StringType())), T.StructField("allow_prefixes", T.ArrayType(T.StringType())), T.StructField("deny_patterns", T.ArrayType(T.StringType())), T.StructField("add_tags", T.ArrayType(T.StringType()))])
+_HYDRATION = "struct<render_on_status:array<int>,thin_html_min_text_chars:int,script_ratio_over:double,timeout_s:int,render_timeout_s:int,headers:map<string,string>>"
+#: The whole record of a policy: the normalised lists first, then the nested parts as their files have them (null where a file is silent).
+POLICY = (
+    "host string, aliases array<string>, collapse_www boolean, strip_ports boolean, drop_fragments boolean, strip_params array<string>, allow_prefixes array<string>, deny_patterns array<string>, add_tags array<string>, "
+    f"hydration {_HYDRATION}, cleaning struct<remove_selectors:array<string>,keep_main_like:array<string>>, chunking struct<size:int,overlap:int>, "
+    "discovery struct<static_max:int,dyn_max:int,include_hosts:array<string>,sitemap_hints:array<string>>, backoff struct<base_seconds:double,jitter_seconds:double,on_429_multiplier:double>, "
+    "tagging map<string,array<string>>, version string"
+)
+
+
+def _number(value, kind: type):
+    return None if value is None else kind(value)
 
 
 def policy_rows(records: list[dict]) -> list[tuple]:
@@ -62,7 +81,28 @@ def policy_rows(records: list[dict]) -> list[tuple]:
     for r in records:
         n, tags = r.get("normalization") or {}, r.get("tagging") or {}
         extra = [f"policy.{k}:{v}" for k, vs in tags.items() if k != "add" and isinstance(vs, list) for v in vs]
-        out.append((r["host"], r.get("aliases") or [], bool(n.get("collapse_www", True)), bool(n.get("default_port_strip", True)), bool(n.get("drop_fragments", True)), n.get("strip_params") or n.get("query_param_drops") or [], n.get("path_allow_prefixes") or [p.lstrip("^") for p in n.get("path_allow_regexes") or []], n.get("path_deny_regexes") or [], [*(tags.get("add") or []), *extra]))
+        h, c, k, d, b = (r.get(part) or {} for part in ("hydration", "cleaning", "chunking", "discovery", "backoff"))
+        when = h.get("render_if") or {}
+        out.append(
+            (
+                r["host"],
+                r.get("aliases") or [],
+                bool(n.get("collapse_www", True)),
+                bool(n.get("default_port_strip", True)),
+                bool(n.get("drop_fragments", True)),
+                n.get("strip_params") or n.get("query_param_drops") or [],
+                n.get("path_allow_prefixes") or [p.lstrip("^") for p in n.get("path_allow_regexes") or []],
+                n.get("path_deny_regexes") or [],
+                [*(tags.get("add") or []), *extra],
+                ([int(x) for x in h.get("render_on_status") or []], _number(when.get("thin_html_min_text_chars"), int), _number(when.get("script_ratio_over"), float), _number(h.get("timeout_s"), int), _number(h.get("render_timeout_s"), int), {str(a): str(v) for a, v in (h.get("headers") or {}).items()}),
+                (c.get("remove_selectors") or [], c.get("keep_main_like") or []),
+                (_number(k.get("size"), int), _number(k.get("overlap"), int)),
+                (_number(d.get("static_max"), int), _number(d.get("dyn_max"), int), d.get("include_hosts") or [], d.get("sitemap_hints") or []),
+                (float(b.get("base_seconds", 0.3)), float(b.get("jitter_seconds", 0.0)), float(b.get("on_429_multiplier", 2.0))),
+                {a: [str(v) for v in vs] for a, vs in tags.items() if isinstance(vs, list)},
+                str(r.get("version") or "2025-08-31"),
+            )
+        )
     return out
 
 
@@ -127,6 +167,10 @@ def export_snapshots(docs: DataFrame, domains: list[str] | None = None, limit: i
     return out.orderBy("id").limit(limit) if limit else out
 
 
-def write_snapshots(snapshots: DataFrame, path: str) -> None:
-    """By domain, in files of bounded row counts."""
-    snapshots.repartition("domain").write.mode("overwrite").option("maxRecordsPerFile", 50_000).partitionBy("domain").parquet(path)
+def write_snapshots(snapshots: DataFrame, path: str, rows_per_file: int = 50_000) -> None:
+    """In folders by domain, replacing the domains that come; others stay. Domains are counted first, and one of more rows than a file takes is dealt to as many tasks as it fills files."""
+    counts = snapshots.groupBy("domain").count().where(F.col("count") > rows_per_file).select(F.col("domain").alias("_d"), F.ceil(F.col("count") / rows_per_file).alias("_files"))
+    few = counts.limit(100_001).count() <= 100_000
+    salted = snapshots.join(F.broadcast(counts) if few else counts, F.col("domain").eqNullSafe(F.col("_d")), "left").withColumn("_salt", F.pmod(F.xxhash64("id"), F.coalesce("_files", F.lit(1))))
+    dealt = salted.repartition("domain", "_salt").select(*snapshots.columns)
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", rows_per_file).partitionBy("domain").parquet(path)
