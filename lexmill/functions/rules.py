@@ -172,3 +172,5 @@ MOJIBAKE = (("â€™", "’"), ("â€˜", "‘"), ("â€œ", "“"), ("â€
 GARBLED = ((r"([A-Za-z])ãs\b", "$1’s"), (r"([A-Za-z])âs\b", "$1’s"), (r"(\w)á\s", "$1 — "), (r"\sá(\w)", " — $1"), ("á", ""))
 #: Object blobs with one of these names are user interface, in this order.
 BLOB_KEYS = ("className", "children", "props")
+#: An absolute URL anywhere in a page.
+ABSOLUTE_URL = r"""https?://[^\s"'>)\\<]+"""

@@ -229,6 +229,20 @@ def words_of(d: Dialect, x: str) -> str:
     return d.extract_all(f"lower(coalesce({x}, ''))", r"[\p{L}\p{N}_]+")
 
 
+def plain_words_of(d: Dialect, x: str) -> str:
+    """An array of lower-case words of ASCII letters, digits and apostrophes."""
+    return d.extract_all(f"lower(coalesce({x}, ''))", "[A-Za-z0-9']+")
+
+
+def human_size(d: Dialect, chars: str) -> str:
+    """Characters as ``1,234 KB``, or ``1.5 MB`` from one megabyte on."""
+    mb, kb = f"(coalesce({chars}, 0) / 1048576.0D)", f"(coalesce({chars}, 0) / 1024.0D)"
+    if type(d) is Dialect:
+        return f"CASE WHEN {mb} >= 1 THEN concat(format_number({mb}, 1), ' MB') ELSE concat(format_number({kb}, 0), ' KB') END"
+    mb, kb = (f"(coalesce({chars}, 0) / CAST({n} AS DOUBLE))" for n in (1048576, 1024))
+    return f"CASE WHEN {mb} >= 1 THEN format('{{:,.1f}} MB', {mb}) ELSE format('{{:,.0f}} KB', {kb}) END"
+
+
 def within_window(d: Dialect, tokens: str, a: str, b: str, w: int) -> str:
     """Q5: some places of a and b at most w apart. The tokens are computed once, and each place of a looks at its neighbourhood only."""
     last = f"CAST({d.size('t_')} AS INT)"

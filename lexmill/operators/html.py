@@ -14,6 +14,7 @@ from ..functions import rules as R
 from ..functions import texts as T
 from ..functions import urls as U
 from ..functions.dialect import SPARK, column
+from .joins import keep_urls, sanitized_urls
 
 
 def smart_clean(docs: DataFrame, min_chars: int = 120, big_html: int = 5000, mode: str = "full") -> DataFrame:
@@ -115,6 +116,16 @@ def extract_links(docs: DataFrame, cap: int = 50, synthetic: bool = True) -> Dat
     return once.withColumn("position", order).where(F.col("position") <= cap).select(F.col("url").alias("page_url"), "link", "position")
 
 
+def extract_raw_links(docs: DataFrame, cap: int = 0) -> DataFrame:
+    """(page_url, link, position) of the absolute URLs that stand anywhere in a page, sanitised and kept by F3 for the page's host; each link once a page, in the order of first appearance."""
+    raw = F.expr(SPARK.extract_all("coalesce(body, '')", R.ABSOLUTE_URL, 0))
+    found = docs.select(F.col("url").alias("page_url"), column(U.host_of, "url").alias("root"), F.posexplode(raw).alias("k", "url"))
+    kept = keep_urls(sanitized_urls(found).select("page_url", "root", "k", F.col("clean").alias("url")), "url", "root").where("keep")
+    once = kept.groupBy("page_url", F.col("url").alias("link")).agg(F.min("k").alias("k"))
+    placed = once.withColumn("position", F.row_number().over(Window.partitionBy("page_url").orderBy("k", "link"))).drop("k")
+    return placed.where(F.col("position") <= cap) if cap else placed
+
+
 def sanitize_report_text(text: str):
     """Control characters, escaped JSON text, mojibake, object blobs of any depth, arrays and trailing brackets out; blank and doubled lines collapse. Only texts with braces leave the JVM."""
     x = F.regexp_replace(F.regexp_replace(F.col(text), "\r", "\n"), r"[\p{C}&&[^\n\t]]", "")

@@ -92,6 +92,26 @@ def bm25(postings: DataFrame, size: DataFrame, key: str, terms: list[str], k1: f
     return joined.groupBy(key).agg((-F.sum(part)).alias("rank"))
 
 
+def ranked(texts: DataFrame, terms: list[str], text: str = "text", all_: bool = False, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """Q3 with Q2, row by row: the texts with any (or all) of the terms, with their rank among all texts.
+
+    One pass counts documents, lengths and the documents of each term; another scores each text from its own counts. Nothing is shuffled,
+    and a row keeps its columns, so that the best are taken without reading the texts again. For terms known beforehand, as in every search here.
+    """
+    terms = list(dict.fromkeys(terms))
+    tokens = texts.withColumn("_w", F.expr(_words(text)))
+    stats = tokens.agg(F.count("*").alias("_docs"), F.avg(F.size("_w")).alias("_avg"), F.array(*[F.count_if(F.array_contains("_w", t)) for t in terms]).alias("_df"))
+    tf = F.transform(F.array(*map(F.lit, terms)), lambda t: F.size(F.filter("_w", lambda x: x == t)))
+    counted = tokens.withColumns({"_tf": tf, "_len": F.size("_w")}).drop("_w").where(F.forall("_tf", lambda x: x > 0) if all_ else F.exists("_tf", lambda x: x > 0))
+
+    def part(x: Column, df: Column) -> Column:
+        idf = F.log((F.col("_docs") - df + 0.5) / (df + 0.5) + 1)
+        return F.when(x > 0, idf * x * (k1 + 1) / (x + k1 * (1 - b + b * F.col("_len") / F.col("_avg")))).otherwise(0.0)
+
+    score = F.aggregate(F.zip_with("_tf", "_df", part), F.lit(0.0), lambda total, x: total + x)
+    return counted.crossJoin(F.broadcast(stats)).withColumn("rank", -score).drop("_tf", "_len", "_docs", "_avg", "_df")  # one row
+
+
 def snippet(text: str, terms: list[str], n: int = 10, open_: str = "[", close: str = "]", ellipsis: str = " … ") -> Column:
     """Q4: the first window of n space-separated tokens with the most query terms, those marked; else the first 280 characters."""
     listed = F.array(*[F.lit(t) for t in terms])
@@ -120,10 +140,11 @@ def parse_near(rules: str) -> list[tuple[str, str, int]]:
     return out
 
 
-def near(df: DataFrame, rules: str, text: str = "text") -> DataFrame:
-    """Q5: rows for which every rule holds."""
+def near(df: DataFrame, rules: str, text: str = "text", plain: bool = False) -> DataFrame:
+    """Q5: rows for which every rule holds; with ``plain``, words are runs of ASCII letters, digits and apostrophes."""
+    words = T.plain_words_of(SPARK, text) if plain else _words(text)
     for a, b, w in parse_near(rules):
-        df = df.where(column(T.within_window, _words(text), a=a, b=b, w=w))
+        df = df.where(column(T.within_window, words, a=a.replace("'", "\\'"), b=b.replace("'", "\\'"), w=w))
     return df
 
 
@@ -156,25 +177,22 @@ def cosine_topk(vectors: DataFrame, query: list[float], k: int, key: str = "vec_
 
 def search_documents(docs: DataFrame, terms: list[str], platform: str = "", jurisdiction: str = "", n: int = 25) -> DataFrame:
     """Q6: all terms, filters, the best of each canonical URL, title and jurisdiction fallbacks, snippet. Ranks are those of the whole index; filters come after."""
-    postings = postings_of(docs, "id", terms, "clean_text")
-    ranks = bm25(postings, corpus_size(docs, "clean_text"), "id", terms).join(match(postings, "id", all_=terms), "id")
+    docs = ranked(docs, terms, "clean_text", all_=True)
     if platform:
         wanted = platform.strip().lower().removeprefix("www.").removesuffix(".com")
         docs = docs.where(column(U.norm_platform, U.host_of(SPARK, "url")) == wanted)
     if jurisdiction:
         docs = docs.where(column(U.norm_jurisdiction, "jurisdiction") == jurisdiction.strip().lower())
-    best = dedupe_canonical(docs.join(ranks, "id")).orderBy("rank", "url").limit(n)
+    best = dedupe_canonical(docs).orderBy("rank", "url").limit(n)
     shown = F.coalesce(F.nullif(snippet("clean_text", terms, 24), F.lit("")), F.nullif("title", F.lit("")), F.col("url"))
     return best.select("id", F.coalesce("doc_type", F.lit("")).alias("doc_type"), "url", F.coalesce(F.nullif("title", F.lit("")), "url").alias("title"), F.coalesce(F.nullif(F.trim("jurisdiction"), F.lit("")), F.lit("global")).alias("jurisdiction"), shown.alias("snippet"), F.round("rank", 6).alias("rank"))
 
 
 def search_chunks(chunks: DataFrame, terms: list[str], rules: str = "", n: int = 50) -> DataFrame:
     """Q7: chunks with all terms, ranked over all chunks; those that pass the proximity rules, then the n best; the first 3000 characters."""
-    postings = postings_of(chunks, "chunk_id", terms)
-    ranks = bm25(postings, corpus_size(chunks), "chunk_id", terms).join(match(postings, "chunk_id", all_=terms), "chunk_id")
-    kept = ranks.join(near(chunks, rules).select("chunk_id"), "chunk_id", "left_semi") if rules else ranks
-    best = kept.orderBy("rank", "chunk_id").limit(n)
-    return chunks.join(F.broadcast(best), "chunk_id").select("chunk_id", "host", "url", snippet("text", terms, 12).alias("snippet"), F.substring("text", 1, 3000).alias("text"), F.round("rank", 6).alias("rank"))
+    hits = ranked(chunks, terms, all_=True)
+    best = (near(hits, rules) if rules else hits).orderBy("rank", "chunk_id").limit(n)
+    return best.select("chunk_id", "host", "url", snippet("text", terms, 12).alias("snippet"), F.substring("text", 1, 3000).alias("text"), F.round("rank", 6).alias("rank"))
 
 
 def hits_by_host(chunks: DataFrame, terms: list[str], cap: int | None = None) -> DataFrame:
@@ -182,18 +200,16 @@ def hits_by_host(chunks: DataFrame, terms: list[str], cap: int | None = None) ->
     if cap is None:
         hits = chunks.where(F.arrays_overlap(F.expr(_words("text")), F.array(*map(F.lit, terms))))
     else:
-        postings = postings_of(chunks, "chunk_id", terms)
-        hits = chunks.join(bm25(postings, corpus_size(chunks), "chunk_id", terms).orderBy("rank", "chunk_id").limit(cap), "chunk_id")
+        hits = ranked(chunks, terms).orderBy("rank", "chunk_id").limit(cap)
     return hits.groupBy("host").agg(F.count("*").alias("hits"))
 
 
 def hybrid_rank(chunks: DataFrame, terms: list[str], vectors: DataFrame, query: list[float], alpha: float = 0.55, k: int = 20, fetch_mult: int = 5, rules: str = "") -> DataFrame:
-    """Q9: k * fetch_mult hits by rank, proximity, then alpha * text + (1 - alpha) * cosine, both scaled to 0..1."""
-    postings = postings_of(chunks, "chunk_id", terms)
-    ranks = bm25(postings, corpus_size(chunks), "chunk_id", terms).orderBy("rank", "chunk_id").limit(k * fetch_mult)
-    hits = chunks.join(F.broadcast(ranks), "chunk_id")
+    """Q9: k * fetch_mult hits by rank, proximity, then alpha * text + (1 - alpha) * cosine, both scaled to 0..1. The hits (that many rows) are kept, as their bounds and ranks are asked for more than once; if their executor goes they are computed again."""
+    hits = ranked(chunks, terms).orderBy("rank", "chunk_id").limit(k * fetch_mult)
     hits = near(hits, rules) if rules else hits
-    scored = hits.join(vectors.select(F.col("vec_id").alias("_v"), cosine("embedding", query).alias("sim")), F.col("vec_key") == F.col("_v"), "left").select("chunk_id", "url", "host", "text", "rank", F.coalesce("sim", F.lit(0.0)).alias("sim"))
+    similar = vectors.select(F.col("vec_id").alias("_v"), cosine("embedding", query).alias("sim"))
+    scored = similar.join(F.broadcast(hits), F.col("vec_key") == F.col("_v"), "right").select("chunk_id", "url", "host", "text", "rank", F.coalesce("sim", F.lit(0.0)).alias("sim")).persist()
     both = minmax_normalize(minmax_normalize(scored, "rank", "text_share", invert=True), "sim", "sim_share")
     final = both.withColumn("score", F.round(alpha * F.col("text_share") + (1 - alpha) * F.col("sim_share"), 6))
     top = final.orderBy(F.desc("score"), "chunk_id").limit(k)

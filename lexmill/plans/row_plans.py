@@ -129,6 +129,7 @@ PLANS = {
     "extract_policy_dates": _on_texts(_joined(T.policy_dates, "text")),
     "norm_platform_jurisdiction": _on_docs(_norms),
     "parse_ts": _on_docs(_parsed_times),
+    "human_size": _on_texts(lambda d: {"size": T.human_size(d, "length(text)"), "large": T.human_size(d, "length(text) * 4099")}),
     "word_and_page_estimate": _on_texts(lambda d: T.word_and_page_estimate(d, "text")),
     "looks_like_legal": _on_docs(_one("legal", U.looks_like_legal, "url")),
     "is_legal_url": _on_docs(_one("legal", U.is_legal_url, "url")),

@@ -195,6 +195,7 @@ PLANS = {
     "stored_bm25": (lambda s, d: I.stored_bm25(s, _stored(s, d), "doc_id", TERMS).select("doc_id", F.round("rank", 6).alias("rank")), W(X.TEXTS, _bm25_sql("doc_id", "texts", "text", TERMS)) + "SELECT doc_id, round(rank, 6) AS rank FROM ranks"),
     "snippet": (lambda s, d: _texts(s, d).select("doc_id", Q.snippet("text", ["the", "cookie", "account"], 10).alias("snippet")), None),
     "proximity": (lambda s, d: Q.near(chunks_of(s, d), "the:of:2,and:the:4").select("chunk_id"), W(*TC) + f"SELECT chunk_id FROM chunks WHERE {T.within_window(DUCK, T.words_of(DUCK, 'text'), 'the', 'of', 2)} AND {T.within_window(DUCK, T.words_of(DUCK, 'text'), 'and', 'the', 4)}"),
+    "proximity_plain": (lambda s, d: Q.near(chunks_of(s, d), "the:of:2,and:the:4", plain=True).select("chunk_id"), W(*TC) + f"SELECT chunk_id FROM chunks WHERE {T.within_window(DUCK, T.plain_words_of(DUCK, 'text'), 'the', 'of', 2)} AND {T.within_window(DUCK, T.plain_words_of(DUCK, 'text'), 'and', 'the', 4)}"),
     "dedupe_canonical": (_ranked_docs, W(X.DOCS) + f"SELECT id, url, rank, canon FROM (SELECT *, row_number() OVER (PARTITION BY canon ORDER BY rank, url) AS k FROM (SELECT id, url, -length(body) AS rank, {U.search_canon(DUCK, 'url')} AS canon FROM docs)) WHERE k = 1"),
     "minmax_normalize": (_minmax, "SELECT event_id, round(CASE WHEN hi > lo THEN (value - lo) / (hi - lo) ELSE 0 END, 6) AS share FROM events, (SELECT min(value) AS lo, max(value) AS hi FROM events)"),
     "search_documents": (_search_documents, _SEARCH_DOCS),

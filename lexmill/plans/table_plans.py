@@ -168,6 +168,10 @@ _LINKS_SQL = W(X.DOCS) + f"""SELECT page_url, link, position FROM (SELECT url AS
   SELECT url, k, link FROM (SELECT url, i - 1 AS k, {U.resolve_link(DUCK, 'url', 'hrefs[i]')} AS link FROM (SELECT url, hrefs, unnest(range(1, len(hrefs) + 1)) AS i FROM (SELECT url, regexp_extract_all(coalesce(body, ''), '(?i)<a\\b[^>]*?href=["'']([^"'']*)["'']', 1) AS hrefs FROM docs))) WHERE link IS NOT NULL AND {U.link_filter(DUCK, 'link')}
   UNION ALL SELECT url, 1000000 + i - 1 AS k, concat({U.scheme(DUCK, 'url')}, '://', {U.netloc(DUCK, 'url')}, paths[i]) AS link FROM (SELECT url, [{", ".join(DUCK.text(p) for p in R.LIKELY_PATHS)}] AS paths, unnest(range(1, {len(R.LIKELY_PATHS) + 1})) AS i FROM docs)) GROUP BY url, link)) WHERE position <= 50"""
 
+_RAW_LINKS_SQL = W(X.DOCS) + f"""SELECT page_url, link, row_number() OVER (PARTITION BY page_url ORDER BY k, link) AS position FROM (SELECT page_url, link, min(k) AS k FROM (
+  SELECT page_url, root, k, {U.sanitize_url(DUCK, 'raw')} AS link FROM (SELECT page_url, root, found[i] AS raw, i AS k FROM (SELECT *, unnest(range(1, len(found) + 1)) AS i FROM (SELECT url AS page_url, {U.host_of(DUCK, 'url')} AS root, regexp_extract_all(coalesce(body, ''), {DUCK.text(R.ABSOLUTE_URL)}) AS found FROM docs))))
+  WHERE regexp_matches(link, '(?i)^https?://') AND {U.keep_url(DUCK, 'link', 'root')} GROUP BY page_url, link)"""
+
 _SMART = f"""{W(X.DOCS)}, common AS (SELECT id, body, {T.clean_common(DUCK, "coalesce(body, '')")} AS c FROM docs), both_ AS (SELECT *, {T.clean_aggressive(DUCK, 'c')} AS a, {T.clean_lenient(DUCK, 'c')} AS l FROM common),
 marked AS (SELECT *, CASE WHEN length(a) >= 120 THEN 'aggressive' WHEN length(l) >= 120 THEN 'lenient' WHEN length(coalesce(body, '')) >= 5000 THEN 'fallback' ELSE 'best-effort' END AS strategy FROM both_),
 cleaned AS (SELECT id, strategy, CASE strategy WHEN 'aggressive' THEN a WHEN 'lenient' THEN l WHEN 'fallback' THEN {T.clean_fallback(DUCK, 'c')} ELSE CASE WHEN length(l) > length(a) THEN l ELSE a END END AS clean_text FROM marked)"""
@@ -208,6 +212,7 @@ PLANS = {
     "normalize_documents": (lambda s, d: H.normalize_documents(X.docs(s, d)).select("id", "url", "source_name", "doc_type", "jurisdiction", F.size("sections").alias("n_sections"), F.array_join("topics", "|").alias("topics"), "hash"), None),
     "sanitize_report_text": (lambda s, d: X.policy_texts(s, d).select("doc_id", H.sanitize_report_text("text").alias("text")), None),
     "extract_links": (lambda s, d: H.extract_links(X.docs(s, d)), _LINKS_SQL),
+    "extract_raw_links": (lambda s, d: H.extract_raw_links(X.docs(s, d)), _RAW_LINKS_SQL),
     # chunks
     "chunk_sliding": (chunks_of, W(*TC) + "SELECT * FROM chunks"),
     "chunk_greedy": (lambda s, d: K.chunk_greedy(X.policy_texts(s, d)), None),
@@ -231,6 +236,7 @@ PLANS = {
     "upsert_overwrite": (_two(lambda t, n: M.upsert_overwrite(t.select("url", "title", "body", "content_hash"), n.select("url", "title", "body", "content_hash"), "url", ["body", "content_hash"])), W(X.DOCS, NEW, UNIQUE) + "SELECT coalesce(t.url, n.url) AS url, CASE WHEN t.url IS NULL THEN n.title ELSE t.title END AS title, CASE WHEN n.url IS NULL THEN t.body ELSE n.body END AS body, CASE WHEN n.url IS NULL THEN t.content_hash ELSE n.content_hash END AS content_hash FROM target t FULL JOIN fresh n ON t.url = n.url"),
     "upsert_with_revision": (_two(lambda t, n: M.upsert_with_revision(t.withColumn("revisions", F.col("retry_count")), n)), W(X.DOCS, NEW, UNIQUE) + "SELECT coalesce(t.url, n.url) AS url, coalesce(n.title, t.title, '') AS title, CASE WHEN n.url IS NULL THEN t.body ELSE n.body END AS body, CASE WHEN n.url IS NULL THEN t.content_hash ELSE n.content_hash END AS content_hash, coalesce(t.retry_count, 0) + CASE WHEN t.content_hash <> n.content_hash THEN 1 ELSE 0 END AS revisions FROM target t FULL JOIN fresh n ON t.url = n.url"),
     "canonicalize_merge": (lambda s, d: M.canonicalize_merge(_canonical(s, d)).select("id", "url", "body"), W(X.DOCS, CANON, WINNERS) + "SELECT id, canonical_url AS url, body FROM won WHERE k = 1"),
+    "canonicalize_by_policy": (lambda s, d: M.canonicalize_merge(J.normalized_by_policy(X.docs(s, d), policies_of(s)).drop("policy")).select("id", "url", "body"), W(X.DOCS, _policy_sql(), _with_policy_sql("docs"), f"canon AS (SELECT *, {U.policy_url(DUCK, 'url', 'collapse_www', 'strip_ports', 'drop_fragments', 'strip_params')} AS canonical_url FROM hosted)", WINNERS) + "SELECT id, canonical_url AS url, body FROM won WHERE k = 1"),
     "pick_winner": (lambda s, d: M.canonical_winners(_canonical(s, d)), W(X.DOCS, CANON, WINNERS) + "SELECT canonical_url, id, url, members FROM won WHERE k = 1"),
     "merge_report": (lambda s, d: M.merge_report(_canonical(s, d)), W(X.DOCS, CANON, WINNERS) + "SELECT count(*) AS groups, count(*) FILTER (url <> canonical_url) AS updated, CAST(sum(members - 1) AS BIGINT) AS deleted, (SELECT count(*) FROM canon) AS docs, (SELECT count(*) FROM canon WHERE url <> canonical_url) AS changed FROM won WHERE k = 1"),
     "collapse_queue": (lambda s, d: M.collapse_queue(_queue_canon(s, d)), W(X.DOCS, X.QUEUE) + "SELECT concat('https://site/', CAST(queue_id // 4 AS VARCHAR)) AS url, CASE WHEN max(CASE WHEN status = 'hydrated' THEN 1 ELSE 0 END) = 1 THEN 'hydrated' ELSE coalesce(min_by(status, queue_id) FILTER (coalesce(status, '') <> ''), 'queued') END AS status FROM queue GROUP BY 1"),

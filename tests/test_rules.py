@@ -289,3 +289,39 @@ def test_index_has_no_shuffle(spark):
     got = search.build_index(df, "doc_id")
     assert sorted(map(tuple, got.collect())) == [(1, "cat", 1, [1], 4), (1, "dog", 1, [3], 4), (1, "the", 2, [0, 2], 4), (4, "x", 1, [0], 1)]
     assert "Exchange" not in got._jdf.queryExecution().toString()
+
+
+def test_plain_words_and_sizes(spark):
+    df = spark.createDataFrame([(1, "Don't stop_now or stop"), (2, "don stop")], "id long, text string")
+    assert [r.id for r in search.near(df, "don't:now:2", plain=True).collect()] == [1]
+    assert [r.id for r in search.near(df, "stop:now:1", plain=True).collect()] == [1] and not search.near(df, "stop:now:1").collect()
+    sizes = spark.createDataFrame([(n,) for n in (None, 0, 512, 1536, 2048, 1 << 20, 1234567890)], "n long")
+    assert [r[0] for r in sizes.select(column(T.human_size, "n")).collect()] == ["0 KB", "0 KB", "0 KB", "2 KB", "2 KB", "1.0 MB", "1,177.4 MB"]
+
+
+def test_raw_links_of_a_page(spark):
+    page = 'see https://a.com/privacy-policy), "http://a.com/terms?x=1" <a href=https://a.com/privacy-policy>x</a> https://b.com/privacy ftp://a.com/legal https://a.com/logo.png'
+    df = spark.createDataFrame([("https://a.com/x", page), ("https://c.com", None)], "url string, body string")
+    assert [r.link for r in html.extract_raw_links(df).orderBy("position").collect()] == ["https://a.com/privacy-policy", "http://a.com/terms?x=1"]
+    assert [r.position for r in html.extract_raw_links(df, 1).collect()] == [1]
+
+
+def test_row_wise_ranks_equal_those_of_postings(spark):
+    rows = [(k, " ".join(["the"] * (k % 4) + ["cookie"] * (k % 3) + ["x"] * (k % 5))) for k in range(40)] + [(40, None), (41, "")]
+    df = spark.createDataFrame(rows, "id long, text string")
+    direct = search.bm25(search.postings_of(df, "id", ["the", "cookie"]), search.corpus_size(df), "id", ["the", "cookie"])
+    got = {r.id: r.rank for r in search.ranked(df, ["the", "cookie", "the"]).collect()}
+    assert got == pytest.approx({r.id: r["rank"] for r in direct.collect()})
+    both = {r.id for r in search.ranked(df, ["the", "cookie"], all_=True).collect()}
+    assert both == {r.id for r in search.match(search.build_index(df, "id"), "id", all_=["the", "cookie"]).collect()}
+
+
+def test_simhash_of_a_fixed_text():
+    import hashlib
+
+    text = "The quick brown fox jumps"
+    votes = [0] * 128
+    for gram in ("the quick brown", "quick brown fox", "brown fox jumps"):
+        bits = int.from_bytes(hashlib.blake2b(gram.encode(), digest_size=16).digest(), "big")
+        votes = [v + (1 if bits >> (127 - k) & 1 else -1) for k, v in enumerate(votes)]
+    assert H.simhash_of(text) == f"{sum(1 << (127 - k) for k, v in enumerate(votes) if v >= 0):032x}"
