@@ -7,7 +7,6 @@ from .dialect import SPACES, Dialect
 
 _HIDDEN = ("script", "style", "noscript", "template", "svg")
 _CHROME = ("header", "nav", "footer", "aside")
-_BLOCKS = r"(?is)</?(?:p|div|section|article|li|ul|ol|dl|dt|dd|table|thead|tbody|tfoot|tr|td|th|pre|blockquote|main|h[1-6])[^>]*>"
 
 
 def _without(d: Dialect, x: str, tags: tuple[str, ...], by: str = " ") -> str:
@@ -58,7 +57,7 @@ def before_fallback(d: Dialect, common: str) -> str:
 
 def after_markup(d: Dialect, x: str) -> str:
     """Runs of spaces collapse before tags go, so those that tags leave behind stay."""
-    x = d.replace_all(d.replace_all(d.replace_all(x, _RUNS, " "), r"(?i)<br\s*/?>", "\n"), _BLOCKS, "\n")
+    x = d.replace_all(d.replace_all(d.replace_all(x, _RUNS, " "), r"(?i)<br\s*/?>", "\n"), R.BLOCK_TAGS, "\n")
     return _trimmed_lines(d, d.replace_all(x, r"(?s)<[^>]+>", " "))
 
 

@@ -6,25 +6,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import helpers as H
+from ..functions import rules as R
 from .joins import match_root
 
-_ROLES = {
-    "url": ("url", r"url|link|href"),
-    "prev_hash": ("prev_hash", r"(prev|old|before).*hash|hash.*(prev|old|before)"),
-    "new_hash": ("new_hash", r"(new|curr|after).*hash|hash.*(new|curr|after)|content_hash"),
-    "prev_text": ("prev_text", r"(prev|old|before).*(text|body)"),
-    "new_text": ("new_text", r"(new|curr|after).*(text|body)"),
-    "changed_at": ("created_at", r"(changed|created|observed|fetched)_at|(^|_)(ts|time|date)$"),
-    "change_kind": ("kind", r"kind|reason|type"),
-}
-
 
 def resolve_columns(df: DataFrame) -> DataFrame:
     """Renames columns by role: a preferred name first, then a pattern; hashes at last from two columns that contain 'hash'. Raises without url and both hashes."""
     import re
 
     left, found = list(df.columns), {}
-    for role, (preferred, pattern) in _ROLES.items():
+    for role, (preferred, pattern) in R.COLUMN_ROLES.items():
         named = [c for c in left if c.lower() in (role, preferred)] or sorted(c for c in left if re.search(pattern, c, re.I))
         if named:
             found[role] = named[0]

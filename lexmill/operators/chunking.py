@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
+from ..functions import rules as R
 from ..functions import texts as T
 from ..functions.dialect import column
 from .joins import with_policy
@@ -51,9 +52,6 @@ def chunk_by_policy(docs: DataFrame, policies: DataFrame, max_chars: int = 800,
     return _exploded(sized, windows("text", F.col("_size"), F.col("_overlap"), least, most))
 
 
-_BREAKS = ("\n\n", "\n", ". ", "。", "! ", "? ", "; ")
-
-
 def greedy(text: str, size: int, least: int, overlap: int) -> list[str]:
     """K1: each window ends at its last break of the best kind; the next begins ``overlap`` before its end, but always later than this one."""
     out: list[str] = []
@@ -61,7 +59,7 @@ def greedy(text: str, size: int, least: int, overlap: int) -> list[str]:
     while at < n:
         end = min(at + size, n)
         if end - at >= least:
-            for mark in _BREAKS:
+            for mark in R.BREAKS:
                 found = text.rfind(mark, at + least, end)
                 if found >= 0:
                     end = found + (len(mark) if mark.strip() else 0)
@@ -77,8 +75,8 @@ def greedy(text: str, size: int, least: int, overlap: int) -> list[str]:
     return out
 
 
-_HEADING = re.compile(r"^\s*(?:#{1,6}\s+|[0-9]{1,2}\.|[IVX]{1,5}\.|(?:Appendix|Section|Article|Privacy Policy|Terms(?: of Service)?)\b)", re.I)
-_SENTENCE = re.compile(r"(?<=[.?!])[\t ]+(?=[A-Z(])|(?<=[.?!])\n+(?=\S)")
+_HEADING = re.compile(R.HEADING, re.I)
+_SENTENCE = re.compile(R.SENTENCE_END)
 
 
 def structured(text: str, size: int, least: int, overlap: int) -> list[str]:

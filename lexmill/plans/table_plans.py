@@ -123,7 +123,7 @@ retry_count + CASE WHEN outcome = 'skipped-asset' OR (moved AND outcome <> 'fetc
 CASE WHEN outcome IN ('skipped-asset', 'not-modified', 'unchanged') OR (outcome = 'fetched' AND nb <> '') THEN 'hydrated' END AS queue_status FROM m"""
 
 _STATS_SQL = "count(*) AS total_docs, count(*) FILTER (status_code IN (200, 304)) AS ok_docs, count(*) FILTER (status_code IS NULL OR status_code NOT IN (200, 304)) AS bad_docs, count(*) FILTER (render_mode = 'render') AS render_docs, count(*) FILTER (length(coalesce(body, '')) = 0) AS zero_body_docs, count(*) FILTER (length(coalesce(clean_text, '')) = 0) AS zero_clean_docs, count(*) FILTER (coalesce(last_error, '') <> '') AS errors"
-_PARAMS_SQL = "count(*) FILTER (contains(url, '?hl=')) AS hl, count(*) FILTER (contains(url, 'override_hl=')) AS override_hl, count(*) FILTER (contains(url, 'utm_') OR contains(url, 'fbclid=') OR contains(url, 'gclid=')) AS trackers"
+_PARAMS_SQL = "count(*) FILTER (contains(url, '?hl=')) AS hl, count(*) FILTER (contains(url, 'override_hl=')) AS override_hl, count(*) FILTER (url ILIKE '%utm_%' OR url ILIKE '%fbclid=%' OR url ILIKE '%gclid=%') AS trackers"
 _FACTS = f"facts AS (SELECT {HOST} AS host, {_STATS_SQL}, {_PARAMS_SQL} FROM docs GROUP BY 1)"
 _TAGGED = "tagged AS (SELECT DISTINCT doc_id, unnest(" + T.document_tags(DUCK, "url", "text") + ") AS tag FROM texts)"
 _CHUNK_TAGS = "chunk_tags AS (" + " UNION ALL ".join(f"SELECT chunk_id, '{t}' AS tag, CAST({hits} AS DOUBLE) AS score FROM chunks WHERE {hits} >= 1" for t, hits in T.chunk_tags(DUCK, "text")) + ")"
@@ -230,7 +230,7 @@ PLANS = {
     "counts_by_seed": (lambda s, d: J.counts_by_seed(X.docs(s, d), X.queue(s, d).where("queue_id % 3 = 0").select("url").union(s.createDataFrame([("https://none.example/",)], "url string"))), W(X.DOCS, X.QUEUE) + f", seeds AS (SELECT DISTINCT {BARE} AS domain FROM (SELECT url FROM queue WHERE queue_id % 3 = 0 UNION ALL SELECT 'https://none.example/')), n AS (SELECT {BARE} AS domain, count(*) AS n FROM docs GROUP BY 1) SELECT domain, coalesce(n, 0) AS count FROM seeds LEFT JOIN n USING (domain)"),
     "search_by_tag": (lambda s, d: J.search_by_tag(G.tag_chunks(chunks_of(s, d)), chunks_of(s, d), "data_transfer"), W(*TC, _CHUNK_TAGS) + "SELECT chunk_id, score, substr(text, 1, 260) AS preview FROM chunk_tags JOIN chunks USING (chunk_id) WHERE tag = 'data_transfer'"),
     "alert_changes": (_alerts, W(X.REVISIONS, _PAIRS) + f"SELECT id, url, regexp_extract(url, '://([^/]*)', 1) AS root FROM pairs WHERE created_at >= TIMESTAMP '{_NOW}' - INTERVAL 240 HOURS AND regexp_extract(url, '://([^/]*)', 1) IN ('host3.example.com', 'host7.example.com') AND url IN (SELECT url FROM revisions WHERE kind IN ('error', 'purchase'))"),
-    "coverage_check": (lambda s, d: A.coverage_check(X.docs(s, d)), W(X.DOCS) + " UNION ALL ".join(f"SELECT host, '{k}' AS surface, have, CASE WHEN have = 0 THEN concat(root, '{p}') END AS seed FROM (SELECT {HOST} AS host, min(concat({U.scheme(DUCK, 'url')}, '://', {HOST})) AS root, max(CASE WHEN contains(url, '{k}') OR contains(url, 'policy') OR contains(url, 'legal') THEN 1 ELSE 0 END) AS have FROM docs GROUP BY 1)" for k, p in R.SURFACE_SEEDS.items())),
+    "coverage_check": (lambda s, d: A.coverage_check(X.docs(s, d)), W(X.DOCS) + " UNION ALL ".join(f"SELECT host, '{k}' AS surface, have, CASE WHEN have = 0 THEN concat(root, '{p}') END AS seed FROM (SELECT {HOST} AS host, min(concat({U.scheme(DUCK, 'url')}, '://', {HOST})) AS root, max(CASE WHEN url ILIKE '%{k}%' OR url ILIKE '%policy%' OR url ILIKE '%legal%' THEN 1 ELSE 0 END) AS have FROM docs GROUP BY 1)" for k, p in R.SURFACE_SEEDS.items())),
     # merges
     "insert_ignore": (_two(lambda t, n: M.insert_ignore(t.select("id", "url", "title"), n.select("id", "url", "title"), "url", "id")), W(X.DOCS, NEW, UNIQUE) + "SELECT id, url, title FROM target UNION ALL SELECT id, url, title FROM fresh WHERE url NOT IN (SELECT url FROM target)"),
     "upsert_overwrite": (_two(lambda t, n: M.upsert_overwrite(t.select("url", "title", "body", "content_hash"), n.select("url", "title", "body", "content_hash"), "url", ["body", "content_hash"])), W(X.DOCS, NEW, UNIQUE) + "SELECT coalesce(t.url, n.url) AS url, CASE WHEN t.url IS NULL THEN n.title ELSE t.title END AS title, CASE WHEN n.url IS NULL THEN t.body ELSE n.body END AS body, CASE WHEN n.url IS NULL THEN t.content_hash ELSE n.content_hash END AS content_hash FROM target t FULL JOIN fresh n ON t.url = n.url"),
