@@ -168,8 +168,10 @@ _LINKS_SQL = W(X.DOCS) + f"""SELECT page_url, link, position FROM (SELECT url AS
   SELECT url, k, link FROM (SELECT url, i - 1 AS k, {U.resolve_link(DUCK, 'url', 'hrefs[i]')} AS link FROM (SELECT url, hrefs, unnest(range(1, len(hrefs) + 1)) AS i FROM (SELECT url, regexp_extract_all(coalesce(body, ''), '(?i)<a\\b[^>]*?href=["'']([^"'']*)["'']', 1) AS hrefs FROM docs))) WHERE link IS NOT NULL AND {U.link_filter(DUCK, 'link')}
   UNION ALL SELECT url, 1000000 + i - 1 AS k, concat({U.scheme(DUCK, 'url')}, '://', {U.netloc(DUCK, 'url')}, paths[i]) AS link FROM (SELECT url, [{", ".join(DUCK.text(p) for p in R.LIKELY_PATHS)}] AS paths, unnest(range(1, {len(R.LIKELY_PATHS) + 1})) AS i FROM docs)) GROUP BY url, link)) WHERE position <= 50"""
 
+#: Pages that name their own URL and one of another host.
+_NAMED = "concat(coalesce(body, ''), ' see ', url, ' (or ', url, '), not https://elsewhere.example/privacy')"
 _RAW_LINKS_SQL = W(X.DOCS) + f"""SELECT page_url, link, row_number() OVER (PARTITION BY page_url ORDER BY k, link) AS position FROM (SELECT page_url, link, min(k) AS k FROM (
-  SELECT page_url, root, k, {U.sanitize_url(DUCK, 'raw')} AS link FROM (SELECT page_url, root, found[i] AS raw, i AS k FROM (SELECT *, unnest(range(1, len(found) + 1)) AS i FROM (SELECT url AS page_url, {U.host_of(DUCK, 'url')} AS root, regexp_extract_all(coalesce(body, ''), {DUCK.text(R.ABSOLUTE_URL)}) AS found FROM docs))))
+  SELECT page_url, root, k, {U.sanitize_url(DUCK, 'raw')} AS link FROM (SELECT page_url, root, found[i] AS raw, i AS k FROM (SELECT *, unnest(range(1, len(found) + 1)) AS i FROM (SELECT url AS page_url, {U.host_of(DUCK, 'url')} AS root, regexp_extract_all({_NAMED}, {DUCK.text(R.ABSOLUTE_URL)}) AS found FROM docs))))
   WHERE regexp_matches(link, '(?i)^https?://') AND {U.keep_url(DUCK, 'link', 'root')} GROUP BY page_url, link)"""
 
 _SMART = f"""{W(X.DOCS)}, common AS (SELECT id, body, {T.clean_common(DUCK, "coalesce(body, '')")} AS c FROM docs), both_ AS (SELECT *, {T.clean_aggressive(DUCK, 'c')} AS a, {T.clean_lenient(DUCK, 'c')} AS l FROM common),
@@ -212,7 +214,7 @@ PLANS = {
     "normalize_documents": (lambda s, d: H.normalize_documents(X.docs(s, d)).select("id", "url", "source_name", "doc_type", "jurisdiction", F.size("sections").alias("n_sections"), F.array_join("topics", "|").alias("topics"), "hash"), None),
     "sanitize_report_text": (lambda s, d: X.policy_texts(s, d).select("doc_id", H.sanitize_report_text("text").alias("text")), None),
     "extract_links": (lambda s, d: H.extract_links(X.docs(s, d)), _LINKS_SQL),
-    "extract_raw_links": (lambda s, d: H.extract_raw_links(X.docs(s, d)), _RAW_LINKS_SQL),
+    "extract_raw_links": (lambda s, d: H.extract_raw_links(X.docs(s, d).withColumn("body", F.expr(_NAMED))), _RAW_LINKS_SQL),
     # chunks
     "chunk_sliding": (chunks_of, W(*TC) + "SELECT * FROM chunks"),
     "chunk_greedy": (lambda s, d: K.chunk_greedy(X.policy_texts(s, d)), None),
