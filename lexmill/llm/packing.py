@@ -100,9 +100,9 @@ class WordIds:
         if 2 * self.held > self.most:  # words met since the last time stay
             self.known, self.older, self.held = {"": b""}, self.known, 0
         if missing := words.difference(self.known):
-            again = missing.intersection(self.older)
+            again = [w for w in missing if w in self.older]  # in time of the missing ones, not of all that are kept
             self.known.update((w, self.older[w]) for w in again)
-            if new := list(missing - again):
+            if new := list(missing.difference(again)):
                 self.learn(new)
             self.held += _OBJECTS * len(missing) + 5 * sum(map(len, missing))  # a character and at most one id for each
         get = self.known.__getitem__
