@@ -7,8 +7,10 @@ order and give the same result after a lost executor. Documents that fail the ba
 
 A group's sketch is blended with its language's as if the language gave it PRIOR more documents,
 and a language's with that of all in the same way: small groups lean on their language, large ones on
-themselves, without a step between. The fence of a measure is read off the blend: the bucket at an upper
-quantile, and ``reach`` times its distance from the median on top (LEVELS). No cutoff in a measure's own unit
+themselves, without a step between. Many documents have none of what a measure counts (no symbol, no equal line), so
+the zeros are kept apart: from the values above zero come an upper quantile and ``reach`` times its distance from their
+median (LEVELS), and the fence is that sum times the share of documents above zero. Where few show the measure at all, little
+of it is odd; where all do, the fence is the plain one; in between it moves with the share, without a step. No cutoff in a measure's own unit
 takes part. The fences are joined to the measures, and a document whose bucket is beyond any fence is not kept;
 one that is at a fence (ties too) is.
 
@@ -28,8 +30,8 @@ from .shared import let, written
 
 WINDOW = 5
 LEAST_WORDS, MOST_REPEATED = 10, 20
-#: The measures, each with the percent of its upper quantile, and the reach beyond it in distances from the median.
-LEVELS = {"symbol_rate": (90, 6), "line_rate": (99, 1), "repeat_rate": (99, 1), "word_length": (75, 8)}
+#: The measures, each with the percent of its upper quantile above zero, and the reach beyond it in distances from the median.
+LEVELS = {"symbol_rate": (90, 1), "line_rate": (99, 32), "repeat_rate": (99, 16), "word_length": (75, 8)}
 #: Documents that a group's blend takes from the level above; parts that a document is counted in.
 PRIOR, PARTS = 200, 1024
 #: Binary digits that a bucket keeps.
@@ -99,12 +101,15 @@ def fences(sketch: DataFrame, groups: DataFrame, prior: int = PRIOR) -> DataFram
     top = parts.groupBy("measure", "bucket").agg(F.sum("n").alias("weight"))
     tongues = leaves.select("tongue").distinct().withColumn("measure", F.explode(F.array(*map(F.lit, LEVELS))))
     leaf = blend(leaves.join(blend(tongues.join(top, "measure"), "tongue"), "tongue").drop("tongue"), "leaf")
-    order = Window.partitionBy("leaf", "measure").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = leaf.withColumns({"below": F.sum("weight").over(order), "total": F.sum("weight").over(Window.partitionBy("leaf", "measure"))})
+    whole = Window.partitionBy("leaf", "measure")
+    order = whole.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
+    told = leaf.withColumn("of_all", F.sum("weight").over(whole)).where("bucket > 0")
+    ranked = told.withColumns({"below": F.sum("weight").over(order), "total": F.sum("weight").over(whole)})
     setting = lambda k: F.create_map(*[F.lit(x) for m, v in LEVELS.items() for x in (m, v[k])])[F.col("measure")]
     at = lambda percent: F.min(F.when(100 * F.col("below") >= percent * F.col("total"), F.col("bucket")))
-    ends = ranked.groupBy("leaf", "measure").agg(at(setting(0)).alias("high"), at(F.lit(50)).alias("mid"))
-    fence = F.col("high") + setting(1) * (F.col("high") - F.col("mid"))
+    ends = ranked.groupBy("leaf", "measure").agg(at(setting(0)).alias("high"), at(F.lit(50)).alias("mid"), F.max("total").alias("told"), F.max("of_all").alias("of_all"))
+    plain = F.col("high") + setting(1) * (F.col("high") - F.col("mid"))
+    fence = F.call_function("div", F.col("told") * plain, F.greatest("of_all", F.lit(1)))
     return ends.groupBy("leaf").agg(*[F.max(F.when(F.col("measure") == m, fence)).alias(f"{m}_fence") for m in LEVELS])
 
 
@@ -160,9 +165,10 @@ sketch AS (SELECT lang, source, measure, {_bucket_sql("v")} AS bucket, count(*)
 top AS (SELECT measure, bucket, sum(n) AS weight FROM sketch GROUP BY ALL),
 tongue AS ({_blend_sql("SELECT lang, top.* FROM (SELECT DISTINCT lang FROM failed), top", "lang")}),
 leaf AS ({_blend_sql("SELECT g.lang, g.source, t.measure, t.bucket, t.weight FROM (SELECT DISTINCT lang, source FROM failed) g JOIN tongue t ON g.lang IS NOT DISTINCT FROM t.lang", "lang, source")}),
-ranked AS (SELECT *, sum(weight) OVER (PARTITION BY lang, source, measure ORDER BY bucket ROWS UNBOUNDED PRECEDING) AS below, sum(weight) OVER (PARTITION BY lang, source, measure) AS total FROM leaf),
-ends AS (SELECT lang, source, measure, min(CASE WHEN 100 * below >= {_setting_sql(0)} * total THEN bucket END) AS high, min(CASE WHEN 100 * below >= 50 * total THEN bucket END) AS mid FROM ranked GROUP BY ALL),
-fences AS (SELECT lang, source, {", ".join(f"max(CASE WHEN measure = '{m}' THEN high + {v[1]} * (high - mid) END) AS {m}_fence" for m, v in LEVELS.items())} FROM ends GROUP BY lang, source)
+told AS (SELECT * FROM (SELECT *, sum(weight) OVER (PARTITION BY lang, source, measure) AS of_all FROM leaf) WHERE bucket > 0),
+ranked AS (SELECT *, sum(weight) OVER (PARTITION BY lang, source, measure ORDER BY bucket ROWS UNBOUNDED PRECEDING) AS below, sum(weight) OVER (PARTITION BY lang, source, measure) AS total FROM told),
+ends AS (SELECT lang, source, measure, min(CASE WHEN 100 * below >= {_setting_sql(0)} * total THEN bucket END) AS high, min(CASE WHEN 100 * below >= 50 * total THEN bucket END) AS mid, max(total) AS told, max(of_all) AS of_all FROM ranked GROUP BY ALL),
+fences AS (SELECT lang, source, {", ".join(f"max(CASE WHEN measure = '{m}' THEN (told * (high + {v[1]} * (high - mid))) // greatest(of_all, 1) END) AS {m}_fence" for m, v in LEVELS.items())} FROM ends GROUP BY lang, source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, (NOT base_failed AND {" AND ".join(f"coalesce({_bucket_sql(m)} <= {m}_fence, true)" for m in LEVELS)}) AS kept
 FROM failed d LEFT JOIN fences f ON d.lang IS NOT DISTINCT FROM f.lang AND d.source IS NOT DISTINCT FROM f.source
 """

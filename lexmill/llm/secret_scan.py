@@ -3,7 +3,7 @@
 The base patterns (assignments, access keys, hex runs) scan the text. Then a
 worklist takes layers: percent escapes and Unicode or numeric escapes of a layer decode the whole
 layer; base64 runs decode on their own, and are decompressed (gzip, zlib, bz2, xz)
-where their bytes say so. No layer is dropped for what it looks like: bytes that are no
+where their bytes say so; so are compressed bytes that stand in the text escaped. No layer is dropped for what it looks like: bytes that are no
 UTF-8 are replaced and the rest counts. Every new layer is scanned with the same patterns and its hits are
 mapped back to code points of the original text: exactly through escapes, to
 the whole run for base64 and compressed layers. A layer seen before with the
@@ -17,7 +17,8 @@ piece by piece; only a longer stretch that mixes base64 characters and escapes,
 character, is held as a whole.
 
 Where a layer came from is kept as one flat list of places in the original text, so layers may be nested to any depth. Base64 may be wrapped in
-lines, stand behind a slash, and hold UTF-16. Very long texts are scanned whole.
+lines of 16 characters or more (indented, or with written-out line ends), stand behind a slash, and hold UTF-16, as may compressed layers that begin
+with it. Unicode escapes may have their backslash repeated. Very long texts are scanned whole.
 
 A null text counts as empty. Hits with equal places and kinds are one; ties in start go by kind, then by end. Repeated rows give repeated results; an empty table
 gives none; other columns are ignored by ``scan`` and kept by ``redact``.
@@ -51,16 +52,24 @@ LEAST = {"assign": 12, "access": 18, "hex": 16}
 #: A hex run of the least length: the search that HEX and the length amount to, without short matches.
 _LONG_HEX = re.compile(r"[0-9a-f]{16,}")
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-_ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#[xX]([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
+_ESCAPE = re.compile(r"\\+u\{([0-9A-Fa-f]{1,6})\}|\\+u([0-9A-Fa-f]{4})|\\+U([0-9A-Fa-f]{8})|\\+x([0-9A-Fa-f]{2})|&#[xX]([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
-#: Lines of 60 to 76 characters and a last, shorter one, as encoders wrap long runs.
-_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{60,76}(?:\r?\n[A-Za-z0-9+/]{60,76})*\r?\n[A-Za-z0-9+/]{2,76}={0,2}")
+#: Lines of 16 characters or more and a last one, as encoders wrap long runs: the whole lines (1), and the last one (2). Line ends may be written out.
+_WRAPPED = re.compile(r"(?:(?<![A-Za-z0-9+/])(?!(?<=\\)[nr])|(?<=\\n))([A-Za-z0-9+/]{16,}+(?:(?:\r?\n[ \t]*|(?:\\r)?\\n)[A-Za-z0-9+/]{16,}+)*)(?:\r?\n[ \t]*|(?:\\r)?\\n)([A-Za-z0-9+/]{2,}={0,2})")
+_LINE_END = re.compile(r"\s+|(?:\\r)?\\n")
+#: Bytes written as escapes among plain characters, as in URLs and in literals, and how compressed ones begin there.
+_URL_BYTES = re.compile(r"%[0-9A-Fa-f]{2}|[^%\s\"'<>\x80-\U0010ffff]")
+_LITERAL_BYTES = re.compile(r"\\(?:x|u00)[0-9A-Fa-f]{2}|\\[abfnrtv'\"\\]|[^\\\r\n\x80-\U0010ffff]")
+_URL_HEAD = re.compile(r"%1[Ff]%8[Bb]|(?:%78|x)%(?:01|5[Ee]|9[Cc]|[Dd][Aa])|(?:%42|B)(?:%5[Aa]|Z)(?:%68|h)(?:%3)?[1-9]|%[Ff][Dd](?:%37|7)(?:%7[Aa]|z)")
+_LITERAL_HEAD = re.compile(r"@1[Ff]@8[Bb]|(?:@78|x)(?:\^|@(?:01|5[Ee]|9[Cc]|[Dd][Aa]))|(?:@42|B)(?:@5[Aa]|Z)(?:@68|h)(?:@3)?[1-9]|@[Ff][Dd](?:@37|7)(?:@7[Aa]|z)".replace("@", r"\\(?:x|u00)"))
+_LITERAL = {"a": 7, "b": 8, "f": 12, "n": 10, "r": 13, "t": 9, "v": 11, "'": 39, '"': 34, "\\": 92}
 #: A percent sign that was escaped twice or more, before two hexadecimal digits.
 _SIGNS = re.compile(r"%(?:25)+(?=25[0-9A-Fa-f]{2})")
 #: Characters (or bytes) of an expanded layer that are taken at once, bytes given to a decompressor at once, and characters
 #: before a window's end that the next one sees again where only an assignment or an escaped match can go on.
 WINDOW, FEED, AGAIN = 1 << 22, 1 << 16, 1 << 16
 _RUN = re.compile(r"[A-Za-z0-9+/_-]*")
+_JOINT = re.compile(rf"%([0-9A-Fa-f]{{2}})|{_ESCAPE.pattern}")
 _SPACES = re.compile(r"\x20{2,}")
 #: Up to the last character that stands in no match; up to the last one that stands in no base64 run and no escape.
 _TO_BREAK = re.compile(r"""(?s:.*)[^A-Za-z0-9+/_.=\-"'\x20:%\\{}&#;]""")
@@ -247,9 +256,15 @@ def _expanded(raw: Iterator[bytes], above: frozenset[bytes]) -> tuple[Iterator[b
     return chain((head,), raw), above
 
 
+def _wide(raw: bytes) -> list[str]:
+    """The UTF-16 forms that bytes look like: every second one is mostly zero."""
+    return [code for code, zeros in (("utf-16-le", raw[1::2]), ("utf-16-be", raw[::2])) if len(zeros) > 8 and 2 * zeros.count(0) > len(zeros)]
+
+
 def _texts(raw: Iterator[bytes]) -> Iterator[str]:
-    decoder = codecs.getincrementaldecoder("utf-8")("replace")
-    for piece in raw:
+    head = _first(raw, b"", 1024)
+    decoder = codecs.getincrementaldecoder((_wide(head) or ["utf-8"])[0])("replace")
+    for piece in chain((head,), raw):
         yield decoder.decode(piece)
     yield decoder.decode(b"", True)
 
@@ -287,6 +302,16 @@ def _kinds(raw: Iterator[bytes], above: frozenset[bytes]) -> set[int]:
     return found
 
 
+def _joint(text: str) -> tuple[str, int] | None:
+    """The base64 character that the text begins with as an escape, and the length of the escape."""
+    m = _JOINT.match(text)
+    if not m:
+        return None
+    code = int(m[7]) if m[7] else int(next(x for x in m.groups() if x), 16)
+    char = chr(code) if code < 128 else ""
+    return (char, m.end()) if char and _RUN.fullmatch(char) else None
+
+
 def _long_run(text: str, texts: Iterator[str], found: set[int], above: frozenset[bytes]) -> str:
     """Adds the kinds in a base64 run that begins with the text, and in what it holds; the run's end and what was taken after it."""
     rest, last, ended, size = text, "", False, 0
@@ -300,11 +325,19 @@ def _long_run(text: str, texts: Iterator[str], found: set[int], above: frozenset
             last = (last + run)[-64:]
             size += len(run)
             ended, rest = len(run) < len(more), more[len(run) :]
+            if ended:
+                while len(rest) < 16 and (text_after := next(texts, None)) is not None:
+                    rest += text_after
+                if joint := _joint(rest):  # an escaped character of the run: the run goes on behind it
+                    run += joint[0]
+                    last = (last + joint[0])[-64:]
+                    size += 1
+                    ended, rest = False, rest[joint[1] :]
             left += run.replace("-", "+").replace("_", "/")
             whole = len(left) // 4 * 4
             yield from _pieces(base64.b64decode(left[:whole]))
             left = left[whole:]
-            more = None if ended else next(texts, None)
+            more = None if ended else rest or next(texts, None)
         if len(left) > 1:
             yield base64.b64decode(left + "=" * (-len(left) % 4))
 
@@ -319,26 +352,69 @@ def _long_run(text: str, texts: Iterator[str], found: set[int], above: frozenset
 
 def _readings(raw: bytes) -> list[str]:
     """The bytes as text: UTF-8, and UTF-16 where every second byte is mostly zero."""
-    out = [raw.decode("utf-8", "replace")]
-    for code, zeros in (("utf-16-le", raw[1::2]), ("utf-16-be", raw[::2])):
-        if len(zeros) > 8 and 2 * zeros.count(0) > len(zeros):
-            out.append(raw.decode(code, "replace"))
-    return out
+    return [raw.decode(code, "replace") for code in ("utf-8", *_wide(raw))]
+
+
+def _byte(token: str) -> int:
+    if len(token) == 1:
+        return ord(token)
+    return _LITERAL[token[1]] if len(token) == 2 else int(token[-2:], 16)
+
+
+def _packed(text: str, at: int, token: re.Pattern, plus: int) -> tuple[bytes, int]:
+    """The compressed members whose escaped bytes begin at a place, and where they end; to the last byte that is one where a member does not end."""
+    raw, ends, done, fed, size, box = bytearray(), [], 0, 0, 64, None
+    while True:
+        while len(raw) < fed + size and (t := token.match(text, at)):
+            at = t.end()
+            raw.append(plus if t[0] == "+" else _byte(t[0]))
+            ends.append(at)
+        if box is None and (box := _decompressor(bytes(raw[done : done + 6]))) is None:
+            return bytes(raw[:done]), ends[done - 1] if done else 0
+        data, ended = bytes(raw[fed:]), len(raw) < fed + size
+        fed, size = len(raw), min(4 * size, FEED)
+        try:
+            while not box.eof and (data or ended):
+                out = box.decompress(data, FEED)
+                data = getattr(box, "unconsumed_tail", b"")
+                if not data and len(out) < FEED:
+                    break
+        except (zlib.error, OSError, lzma.LZMAError, EOFError):
+            return bytes(raw[:done]), ends[done - 1] if done else 0
+        if box.eof:
+            done = fed = len(raw) - len(box.unused_data)
+            box = None
+        elif ended:
+            return bytes(raw), ends[-1]
+
+
+def _escaped_packed(text: str) -> Iterator[tuple[bytes, int, int]]:
+    """Compressed bytes that stand in the text as escapes, with their place."""
+    for mark, head, token, plus in (("%", _URL_HEAD, _URL_BYTES, 32), ("\\", _LITERAL_HEAD, _LITERAL_BYTES, 43)):
+        m = head.search(text) if mark in text else None
+        while m:
+            raw, end = _packed(text, m.start(), token, plus)
+            if raw:
+                yield raw, m.start(), end
+            m = head.search(text, max(end, m.end()))
 
 
 def _base64_decoded(text: str) -> Iterator[tuple[bytes, int, int]]:
-    long = False
     for m in _BASE64.finditer(text):
         run = m[0]
-        long = long or len(run) >= 60
         yield from _base64_run(run, m.start(), m.end())
         # a path or a word may be glued in front of the run: behind the last slash it is a run of its own
         if (cut := run.rfind("/")) > 0 and len(run) - cut > 20:
             yield from _base64_run(run[cut + 1 :], m.start() + cut + 1, m.end())
         if "/" in run and (cut := run.find("/") + 1) < len(run) - 20:
             yield from _base64_run(run[cut:], m.start() + cut, m.end())
-    for m in _WRAPPED.finditer(text) if long else ():
-        yield from _base64_run(re.sub(r"\s+", "", m[0]), m.start(), m.end())
+    for m in _WRAPPED.finditer(text):
+        lines, end = _LINE_END.sub("", m[1]), m.end()
+        # a last line that does not fill the fours is a word after the run
+        run = lines + m[2]
+        if len(run) % 4 and len(lines) % 4 == 0 and len(lines) >= 20:
+            run, end = lines, m.end(1)
+        yield from _base64_run(run, m.start(), end)
 
 
 def _base64_run(run: str, start: int, end: int) -> Iterator[tuple[bytes, int, int]]:
@@ -360,7 +436,7 @@ def all_spans(text: str, above: frozenset[bytes] = frozenset()) -> tuple[list[Sp
     while work:
         layer = work.pop()
         inner = [out for out in (_percent_decoded(layer), _escapes_decoded(layer)) if out is not None]
-        for raw, a, b in _base64_decoded(layer.text):
+        for raw, a, b in chain(_base64_decoded(layer.text), _escaped_packed(layer.text)):
             whole = layer.place(a, b)
             if _decompressor(raw) is None:
                 inner += [_Layer([t], [0], [(*whole, False)]) for t in _readings(raw)]

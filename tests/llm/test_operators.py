@@ -114,12 +114,28 @@ def test_fences_are_quantiles_of_their_group(spark):
         for g, values in draws.items():
             whole = [int(scale * v) for v in values]
             for m, (percent, reach) in quality_rules.LEVELS.items():
-                high, mid = _exact(whole, percent), _exact(whole, 50)
-                want = high + reach * (high - mid)
+                told = [v for v in whole if v]
+                high, mid = _exact(told, percent), _exact(told, 50)
+                want = (high + reach * (high - mid)) * len(told) / len(whole)
                 assert abs(got[g][f"{m}_fence"] - want) <= (1 + reach) * high / 128 + reach * mid / 128 + 1
         assert len({r.word_length_fence for r in got.values()}) == 3
 
 
+def test_fences_move_smoothly_with_the_share_of_zeros(spark):
+    """Groups in which 8 to 12 % of documents have symbols at all get neighbouring fences, none of them zero; so do those with nearly all."""
+    rows = [("en", f"s{p}", 20 + k % 100 if k % 1000 < 10 * p else 0, False) for p in (8, 9, 11, 12, 98, 99, 100) for k in range(4000)]
+    rated = spark.createDataFrame(rows, "lang string, source string, v long, base_failed boolean").selectExpr("lang", "source", "base_failed", *[f"v AS {m}" for m in quality_rules.LEVELS])
+    got = {int(r.leaf.source[1:]): r.symbol_rate_fence for r in quality_rules.fences(quality_rules.sketches(rated), rated, prior=0).collect()}
+    whole = got[100]
+    assert all(abs(f - whole * p / 100) <= 0.02 * whole for p, f in got.items()) and min(got.values()) > 0
+    assert got[8] < got[9] < got[11] < got[12] and got[98] <= got[99] <= got[100]
+
+
+def test_measures_that_no_document_shows_drop_none(spark):
+    df = spark.createDataFrame([(k, f"a b c d e f g h i j k l{k}", "en", "s") for k in range(50)], "doc_id long, text string, lang string, source string")
+    assert {r.kept for r in quality_rules.judge(df).collect()} == {True}
+
+
 def test_small_groups_lean_on_their_language(spark):
     rows = [("en", "big", 100 + k % 50, False) for k in range(5000)] + [("en", "small", 900, False)] * 3 + [("fr", "none", 5, True)]
     rated = spark.createDataFrame(rows, "lang string, source string, v long, base_failed boolean").selectExpr("lang", "source", "base_failed", *[f"v AS {m}" for m in quality_rules.LEVELS])
@@ -425,6 +441,52 @@ def test_layers_are_scanned_to_their_end(pack, monkeypatch):
         assert _kinds_in(pack(b"." * lead + inner + b" end")) == {0} == _kinds_in(pack(b"y, " * 3000 + b"." * lead + inner))
 
 
+@pytest.mark.parametrize("pack", PACKS)
+def test_compressed_bytes_behind_escapes(pack):
+    raw = pack(b"some words, " * 30 + KEY.encode()) + pack(b"more")
+    literal = repr(raw)[2:-1]
+    for run in (urllib.parse.quote(raw), urllib.parse.quote(raw, safe=""), urllib.parse.quote_plus(raw), "".join(f"%{c:02x}" for c in raw), literal, "".join(f"\\x{c:02X}" for c in raw), "".join(f"\\u00{c:02x}" for c in raw)):
+        for tail in (" tail", "' tail", ""):
+            assert (5, 0, 5 + len(run)) in secret_scan.all_spans("head " + run + tail)[1]
+            assert secret_scan.redacted_text("head " + run + tail) == "head [secret]" + tail
+    assert secret_scan.all_spans("\\ " + "x^2 + x^3 y " * 50_000) == ([], [])
+
+
+def test_base64_wrapped_at_any_width():
+    for text in (KEY, KEY + " and more words than one line of it can hold, up to a third line or fourth"):
+        for raw in (text.encode(), gzip.compress(text.encode()), text.encode() * 9):
+            plain = base64.b64encode(raw).decode()
+            for width in (16, 20, 40, 50, 64, 75, 76):
+                if len(plain) <= width + 2:
+                    continue
+                for sep in ("\n", "\r\n", "\n    ", "\n\t", "\\n", "\\r\\n"):
+                    run = sep.join(plain[k : k + width] for k in range(0, len(plain), width))
+                    for lead in ("head ", "head" + sep.strip(" \t"), 'head "'):
+                        found = secret_scan.all_spans(lead + run + ' " tail')[1]
+                        assert any(k == 0 and (a, b) == (len(lead), len(lead) + len(run)) for a, k, b in found), (width, sep, lead)
+
+
+def test_wide_text_in_compressed_layers_and_repeated_backslashes():
+    for code in ("utf-16-le", "utf-16-be", "utf-16"):
+        for pack in PACKS:
+            assert _kinds_in(pack(("some words " * 900 + KEY).encode(code))) == {0}
+    for n in (1, 2, 3, 4, 8):
+        run = "".join("\\" * n + f"u{ord(c):04x}" for c in KEY)
+        assert secret_scan.all_spans("see " + run + " .")[1] == [(4, 0, 4 + len(run))]
+
+
+@pytest.mark.parametrize("escape", ["%{0:02x}", "\\u{0:04x}", "\\x{0:02x}", "&#{0};", "&#x{0:x};"])
+def test_runs_go_on_behind_an_escape_at_any_length(escape, monkeypatch):
+    monkeypatch.setattr(secret_scan, "WINDOW", 1 << 12)
+    monkeypatch.setattr(secret_scan, "FEED", 1 << 8)
+    rng = np.random.default_rng(8)
+    for before in (999, 3000, 5001, 9000, 30_000):
+        run = base64.b64encode(rng.bytes(before) + b" " + KEY.encode() + b" " + rng.bytes(300)).decode()
+        at = len(run) - 420
+        for first in ("", ". "):
+            assert _kinds_in(gzip.compress((first + run[:at] + escape.format(ord(run[at])) + run[at + 1 :] + " end").encode())) == {0}
+
+
 def test_layers_over_the_old_bound_are_scanned():
     assert _kinds_in(gzip.compress("€, line\n".encode() * (7 << 20) + KEY.encode(), 1)) == {0}
 
