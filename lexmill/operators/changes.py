@@ -58,7 +58,7 @@ def detect_changes(revs: DataFrame, n: int = 50) -> DataFrame:
 
 def change_records(pairs: DataFrame) -> DataFrame:
     """Url, old and new text -> a unified diff, and whether the change is material (any changed line)."""
-    return pairs.withColumn("diff", H.line_diff("prev_text", "new_text")).withColumn("material_changes", F.col("diff").rlike(r"(?m)^[+-](?![+-])"))
+    return pairs.withColumn("diff", H.line_diff("prev_text", "new_text")).withColumn("material_changes", F.col("diff") != "")
 
 
 def changes_since(revs: DataFrame, now: str, interval: str, n: int = 50) -> DataFrame:

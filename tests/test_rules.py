@@ -1,6 +1,8 @@
 """Hand-made cases of rules and helpers."""
 
+import hashlib
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -123,6 +125,24 @@ def test_simhash():
     assert len(H.simhash_of("word")) == 32
 
 
+@pytest.mark.parametrize("text", ["word", "one two three four", "a b c a b c a b c", "The terms, as of 2024: privacy_policy and more. " * 7, "é", "!!"])
+def test_simhash_is_the_vote_of_its_grams(text):
+    """N1 bit by bit, with whole numbers: a bit is set if at least as many grams (with repeats) have it as have not."""
+    words = re.findall(r"[A-Za-z0-9_]+", text.lower())
+    grams = [" ".join(words[k : k + 3]) for k in range(max(1, len(words) - 2))]
+    hashes = [int.from_bytes(hashlib.blake2b(g.encode(), digest_size=16).digest(), "big") for g in grams]
+    want = sum(1 << b for b in range(128) if 2 * sum(h >> b & 1 for h in hashes) >= len(hashes))
+    assert H.simhash_of(text) == f"{want:032x}"
+
+
+def test_line_diffs(spark):
+    """Diffs written out by hand; a removed list item or rule of dashes is a change too."""
+    cases = [("a\nb\nc", "a\nx\nc", "--- old\n+++ new\n@@ -1,3 +1,3 @@\n a\n-b\n+x\n c"), ("same\n", "same\n", ""), ("- item\nend", "end", "--- old\n+++ new\n@@ -1,2 +1 @@\n-- item\n end"), ("end", "end\n+ more", "--- old\n+++ new\n@@ -1 +1,2 @@\n end\n++ more"), (None, "new", "--- old\n+++ new\n@@ -0,0 +1 @@\n+new"), (None, "", ""), ("a\n\nb", "a\nb", "--- old\n+++ new\n@@ -1,3 +1,2 @@\n a\n-\n b")]
+    df = spark.createDataFrame([(str(k), a, b) for k, (a, b, _) in enumerate(cases)], "url string, prev_text string, new_text string")
+    got = {int(r.url): (r.diff, r.material_changes) for r in changes.change_records(df).collect()}
+    assert got == {k: (d, d != "") for k, (_, _, d) in enumerate(cases)}
+
+
 def test_near_duplicates(spark):
     words = [f"w{k}" for k in range(400)]
     df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words)), (3, " ".join([*words[:-1], "other"])), (4, ""), (5, "")], "doc_id long, text string")
