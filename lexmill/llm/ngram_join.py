@@ -23,8 +23,8 @@ Shuffled are keys, not texts, and once: buckets are runs of a sort by key. Combi
 documents have may be in as many documents; they are counted first (combined before the shuffle) and then joined, so that
 adaptive execution can split a key that outgrows a partition. So it can in every other join here, as all
 sides that are not broadcast are plain shuffles. Sets are sent only for documents of candidate
-pairs. The frequent class is bounded: a token of it is in at least SHARE of all
-documents, so it has at most (mean set size / SHARE) members.
+pairs. Frequent is a share of all documents, whatever their length: tasks count in a bounded sketch and report by share. The
+class is bounded: its tokens are in at least 3/4 of SHARE of all documents, and there are at most MOST of them.
 
 Null or wordless texts have empty sets and link with nothing. Rows that share a
 doc_id count as one node (any of their links is the id's); a null doc_id gets a
@@ -38,6 +38,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -48,8 +49,10 @@ from .wordhash import blocks, mix, shingle_sets
 WIDTH, PERCENT = 4, 85
 #: A token in at least SHARE of the documents is of the frequent class, and hot if it is in HOT of them.
 SHARE, HOT = 0.001, 0.01
-#: Tokens counted at once within a task, and the least count there to report a token.
-WINDOW, REPORTED = 1 << 20, 8
+#: Tokens that a task counts at once, counters it holds, and rows it reports at once.
+WINDOW, COUNTERS, ROWS = 1 << 20, 1 << 20, 1 << 16
+#: A token in fewer than LEAST documents is never frequent (its bucket is small anyway); at most MOST tokens are. Counts under FEW of small tasks are drawn.
+LEAST, MOST, FEW = 8, 1 << 22, 4
 #: 64-bit words of every set's coarse parity bitmap; sets over FINE tokens have a fine one too, of one or two bits a token.
 MAP_WORDS, FINE = 8, 400
 _PAIR = np.uint64(0xD6E8FEB86659FD93)
@@ -59,33 +62,71 @@ def _columns(part: pa.RecordBatch, first: int, last: int) -> pa.Array:
     return part.column("doc_id").slice(first, last - first).cast(pa.int64())
 
 
-def frequent_tokens(docs: DataFrame, width: int, share: float, hot: float) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens that windows of documents report as common, and that are in ``share`` of all documents by those reports; whether in ``hot``."""
+class Common:
+    """Counts of the most common tokens of a task in bounded memory (Misra and Gries): at most ``counters`` of them, each short by
+    at most ``error``, which is at most the tokens seen by ``counters``."""
+
+    def __init__(self, counters: int = COUNTERS):
+        self.counters, self.error = counters, 0
+        self.tokens, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def add(self, sets: list[np.ndarray]) -> None:
+        new, n = np.unique(np.concatenate(sets), return_counts=True)
+        tokens, counts = np.concatenate((self.tokens, new)), np.concatenate((self.counts, n))
+        if not len(tokens):
+            return
+        order = np.argsort(tokens, kind="stable")  # two sorted runs: one merge
+        tokens, counts = tokens[order], counts[order]
+        first = np.flatnonzero(np.append(True, tokens[1:] != tokens[:-1]))
+        tokens, counts = tokens[first], np.add.reduceat(counts, first)
+        if len(tokens) > self.counters:
+            cut = int(np.partition(counts, len(counts) - self.counters - 1)[len(counts) - self.counters - 1])
+            self.error += cut
+            tokens, counts = tokens[counts > cut], counts[counts > cut] - cut
+        self.tokens, self.counts = tokens, counts
+
+    def reported(self, least: float, salt: int) -> tuple[np.ndarray, np.ndarray]:
+        """(tokens, counts) of the tokens that may be in ``least`` documents. Where that is under FEW, counts under FEW are drawn by a hash
+        in proportion and count as FEW: right on average, and close for every token of many documents."""
+        if least >= FEW:
+            kept = self.counts + self.error >= least
+            return self.tokens[kept], self.counts[kept]
+        drawn = (mix(self.tokens ^ mix(np.array([salt], np.uint64))) % np.uint64(FEW)).astype(np.int64) < self.counts
+        return self.tokens[drawn], np.maximum(self.counts[drawn], FEW)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        size = n_docs = 0
 
-        def report() -> pa.RecordBatch:
-            tokens, counts = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            many = counts >= max(REPORTED, int(share * n_docs))
-            return pa.RecordBatch.from_arrays([pa.array(np.append(tokens[many].view(np.int64), 0), mask=np.append(np.zeros(many.sum(), bool), True)), pa.array(np.append(counts[many], n_docs).astype(np.int64))], ["token", "n"])
+def frequent_tokens(docs: DataFrame, width: int, share: float, hot: float) -> tuple[np.ndarray, np.ndarray]:
+    """The frequent class, sorted, and whether each is hot. Tasks report what may be in a quarter of ``share`` of their documents; of these
+    tokens those are taken whose sums reach three quarters of it. So every token of ``share`` of all documents is found, where the mean set has up to
+    COUNTERS * share / 4 tokens (beyond: every one of 3/4 of share + mean / COUNTERS), and none that is in less than three quarters.
+    ``share`` is raised where it would let more than MOST tokens pass: they are sent to every task."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common, held = Common(), []
+        size = waiting = n_docs = 0
         for batch in batches:
             for _, _, offsets, raw in blocks(batch.column("text")):
                 for tokens in shingle_sets(offsets, raw, width):
                     n_docs += 1
-                    size += len(tokens)
+                    waiting += len(tokens)
                     held.append(tokens)
-                if size >= WINDOW:
-                    yield report()
-                    held, size, n_docs = [], 0, 0
-        if n_docs:
-            yield report()
-
-    counts = checkpoint(docs.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")))
-    total = counts.where("token is null").agg(F.sum("n")).first()[0] or 0
-    found = counts.where(F.col("token").isNotNull() & (F.col("n") >= max(REPORTED, share * total))).orderBy("token").toPandas()
+                    if waiting >= WINDOW:
+                        common.add(held)
+                        size, waiting, held = size + waiting, 0, []
+        if held:
+            common.add(held)
+        tokens, counts = common.reported(share * n_docs / 4, TaskContext.get().partitionId())
+        for a in range(0, len(tokens), ROWS):
+            part = slice(a, a + ROWS)
+            none = np.zeros(len(tokens[part]), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(tokens[part].view(np.int64)), pa.array(counts[part]), pa.array(none)], ["token", "n", "size"])
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([n_docs], pa.int64()), pa.array([size + waiting], pa.int64())], ["token", "n", "size"])
+
+    counts = checkpoint(docs.select("text").mapInArrow(run, "token long, n long, size long").groupBy("token").agg(F.sum("n").alias("n"), F.sum("size").alias("size")))
+    of_all = counts.where("token is null").agg(F.sum("n").alias("n"), F.sum("size").alias("size")).first()
+    total, size = of_all["n"] or 0, of_all["size"] or 0
+    least = max(LEAST, 0.75 * share * total, size / MOST)  # tokens in that many documents are at most size / least
+    found = counts.where(F.col("token").isNotNull() & (F.col("n") >= least)).orderBy("token").toPandas()
     tokens = found["token"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(tokens)
     return tokens[order], (found["n"].to_numpy(np.int64) >= hot * total)[order]
