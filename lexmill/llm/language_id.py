@@ -8,7 +8,8 @@ to bits per symbol (phrases times log2 of the reference length, by the text's sy
 Letters are lower-cased; every run of other characters is one space. Only
 letters of the sample have symbols of their own, at most ALPHABET of them; others share
 FOLDED classes. Texts are cut into blocks of BLOCK symbols that all languages
-and many texts parse in step (numpy), each block from the automaton's root.
+and many texts parse in step (numpy). Blocks are parsed again until each begins in the state in which the one
+before ends, so phrases cross blocks and are those of one parse of the whole text.
 
 The sample is bounded: about ROWS documents of each language, chosen by a hash
 of their id, of which texts are taken until TRAINED characters are reached; of the last one
@@ -126,6 +127,17 @@ class Model:
             self.kinds = kinds
         return self.kinds[points]
 
+    def _run(self, padded: np.ndarray, start: np.ndarray, size: np.ndarray, entered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(states, phrases ended) of each language after blocks of falling sizes, from the states in which they are entered."""
+        states, counts = entered, np.zeros(entered.shape, np.int32)
+        for step in range(int(size[0])):
+            n = int(np.searchsorted(-size, -step, side="left"))  # blocks of more than ``step`` symbols
+            moved = self.table.take(states[:, :n] + padded[start[:n] + step])
+            counts[:, :n] += moved < 0
+            np.abs(moved, out=moved)
+            states[:, :n] = moved
+        return states, counts
+
     def parse(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(phrases of each language and text, symbols of each text)."""
         lowered = [t.lower() for t in texts]
@@ -143,16 +155,25 @@ class Model:
         start, size = first[text_of] + k * BLOCK, np.minimum(BLOCK, sizes[text_of] - k * BLOCK)
         order = np.argsort(-size, kind="stable")
         start, size, text_of = start[order], size[order], text_of[order]
+        # A block begins in the state in which the one before ends. All are first parsed from the root; those whose true first state is another are
+        # parsed again, until none is: phrases soon meet whatever they began with, so few blocks go on after the second turn.
+        roots = np.array(self.roots, self.table.dtype)[:, None] * self.width
         counts = np.zeros((len(self.languages), len(start)), np.int32)
-        states = np.repeat(np.array(self.roots, self.table.dtype)[:, None] * self.width, len(start), axis=1)
+        entered = np.repeat(roots, len(start), axis=1)
+        left = entered.copy()
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))  # of the blocks in text order
+        follows = place[np.flatnonzero(k > 0)]
+        before = place[np.flatnonzero(k > 0) - 1]
         padded = np.concatenate((symbols, np.zeros(1, symbols.dtype)))
-        for step in range(int(size[0]) if len(size) else 0):
-            n = int(np.searchsorted(-size, -step, side="left"))  # blocks of more than ``step`` symbols
-            moved = self.table.take(states[:, :n] + padded[start[:n] + step])
-            counts[:, :n] += moved < 0
-            np.abs(moved, out=moved)
-            states[:, :n] = moved
-        counts += states != np.array(self.roots, self.table.dtype)[:, None] * self.width  # a phrase that the block's end cuts
+        todo = np.arange(len(start))
+        while len(todo):
+            left[:, todo], counts[:, todo] = self._run(padded, start[todo], size[todo], entered[:, todo])
+            late = (entered[:, follows] != left[:, before]).any(axis=0)
+            entered[:, follows[late]] = left[:, before[late]]
+            todo = np.sort(follows[late])
+        last = place[np.flatnonzero(np.append(k[1:] == 0, True))] if len(k) else place
+        counts[:, last] += left[:, last] != roots  # a phrase that the text's end cuts
         phrases = np.stack([np.bincount(text_of, c, len(texts)) for c in counts]) if len(start) else np.zeros((len(self.languages), len(texts)))
         return phrases, sizes
 
