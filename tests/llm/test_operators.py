@@ -12,7 +12,9 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from lexmill.llm import bpe, components, fingerprints, language_id, mixing, ngram_join, packing, quality_rules, queries, secret_scan, token_counts, toxicity, url_filter
 from tests.llm import brute_fingerprints
@@ -243,6 +245,37 @@ def test_ngram_join_of_long_documents_of_frequent_shingles(spark):
     assert got == want and 20 < len(set(want.values())) < 70
 
 
+def test_frequent_tokens_go_by_their_share(spark):
+    """A passage of 2.9 % of very long documents is found, and one of 2 in 5,000 short ones is not, however the rows are dealt."""
+    passage = [f"p{j}" for j in range(30)]
+    rows = [(k, k, 5000) for k in range(630)]
+    words = F.transform(F.sequence(F.lit(1), F.col("n")), lambda j: F.concat(F.lit("w"), F.col("doc_id"), F.lit("x"), j))
+    shared = F.when(F.col("doc_id") % 35 == 0, F.array(*map(F.lit, passage))).otherwise(F.array())
+    for parts in (1, 8):
+        docs = spark.createDataFrame(rows, "doc_id long, k long, n int").repartition(parts).select("doc_id", F.array_join(F.concat(words, shared), " ").alias("text"))
+        tokens, hot = ngram_join.frequent_tokens(docs, 4, ngram_join.SHARE, ngram_join.HOT)
+        want = next(iter(ngram_join.shingle_sets(*next(ngram_join.blocks(pa.array([" ".join(passage)])))[2:], 4)))
+        assert np.isin(want, tokens).sum() >= 0.9 * len(want) and len(tokens) <= len(want) + 20, parts
+    short = spark.range(20_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("a b c d w"), F.col("id"), F.lit(" x y "), (F.col("id") / 10).cast("int")).alias("text"))
+    tokens, _ = ngram_join.frequent_tokens(short, 4, 0.001, 0.01)
+    assert len(tokens) == 1
+
+
+def test_common_tokens_of_a_task_in_bounded_memory():
+    rng = np.random.default_rng(9)
+    for counters in (4, 50, 2000):
+        common, exact, seen = ngram_join.Common(counters), {}, 0
+        for _ in range(30):
+            sets = [np.unique((rng.pareto(0.7, int(rng.integers(0, 200))) * 5).astype(np.uint64)) for _ in range(5)]
+            common.add(sets)
+            for t in np.concatenate(sets).tolist():
+                exact[t] = exact.get(t, 0) + 1
+                seen += 1
+        got = dict(zip(common.tokens.tolist(), common.counts.tolist(), strict=True))
+        assert len(got) <= counters and common.error <= seen / counters
+        assert all(n - common.error <= got.get(t, 0) <= n for t, n in exact.items())
+
+
 def test_combinations_meet_in_every_linking_pair():
     """Random pairs of sets of frequent tokens that link share a key, and a place that allows their overlap."""
     rng = np.random.default_rng(2)
@@ -328,6 +361,44 @@ def test_automaton_phrases():
     assert model.predict(["abc", "zxy", None, "12"])[0] == ["a", "b", "und", "und"]
 
 
+def _brute_phrases(model, samples, text):
+    """Longest matches one after the other, as strings of symbols; the symbol that ends a match begins the next if the automaton knows it."""
+    symbols = []
+    for c in model.symbols(language_id._points(text)).tolist():
+        if c or (symbols and symbols[-1]):
+            symbols.append(c)
+    phrases, now = 0, []
+    known = [0]
+    for sample in samples:
+        part = []
+        for c in model.symbols(language_id._points(sample)).tolist():
+            if c or (part and part[-1]):
+                part.append(c)
+        known += [*part, 0]
+    known = "".join(map(chr, known[1:]))
+    for c in symbols:
+        if "".join(map(chr, [*now, c])) in known:
+            now.append(c)
+        else:
+            phrases += 1
+            now = [c] if chr(c) in known else []
+    return phrases + bool(now)
+
+
+def test_phrases_of_long_texts_against_plain_search():
+    """Phrases cross blocks: equal to longest matches found by searching the sample, for texts of many blocks."""
+    rng = np.random.default_rng(4)
+    draw = lambda n, letters: "".join(rng.choice(list(letters), n))
+    samples = {"a": [draw(400, "ab "), draw(50, "abc")], "b": [draw(300, "cd e")]}
+    model = language_id.Model(samples)
+    # the second repeats a long piece of a sample, so a match goes on over several blocks
+    texts = [draw(3000, "abcde 9"), (samples["a"][0] * 4)[:1500], "", draw(language_id.BLOCK, "ab"), draw(language_id.BLOCK + 1, "ab "), "b" * 1500, "zz"]
+    phrases, sizes = model.parse(texts)
+    for k, language in enumerate(model.languages):
+        assert phrases[k].tolist() == [_brute_phrases(model, samples[language], t) for t in texts]
+    assert (model.parse(texts[::-1])[0] == phrases[:, ::-1]).all() and sizes[2] == 0
+
+
 # 6
 
 
@@ -342,6 +413,23 @@ def test_token_counts_equal_the_library(odd, empty):
     assert got == sorted(want) and token_counts.count_tokens(empty, path).count() == 0
 
 
+@pytest.mark.parametrize("cached", [0, 1 << 26])
+def test_token_counts_of_texts_with_odd_characters(monkeypatch, cached):
+    """Only pieces with characters of which the splitters differ go to the library; counts are its own."""
+    monkeypatch.setattr(token_counts, "CACHED", cached)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, counter = bpe.library(path), token_counts.Counter(token_counts.proven(path))
+    rng = np.random.default_rng(6)
+    parts = ["It’s", "don't", "we'll", "“quoted”", " ", "  ", "\n", "\t", "\u00a0", "\u2003", "\u3000", "\u200b", "\x1c", "\x85", "\u2028", "слово", "東京都", "٣٤", "½", "e\u0301", "\u058b", "\u2c2f", "\ua7dc", "😀", "\U0001f1e6", "12", "a", "…", "—", "<|endoftext|>", "x" * 70, "é" * 40, "\0"]
+    texts = ["".join(rng.choice(parts, int(rng.integers(1, 25)))) for _ in range(3000)] + [" ".join(rng.choice(parts, 12)) for _ in range(1000)]
+    want = [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+    sent = []
+    monkeypatch.setattr(counter, "by_library", lambda t: sent.append(t) or len(library.encode(t, add_special_tokens=False).ids))
+    assert [n for k in range(0, len(texts), 100) for n in counter.of(texts[k : k + 100])] == want
+    del sent[:]
+    assert counter.of(["“It’s fine,” they said — in Київ and 東京."]) == [len(library.encode("“It’s fine,” they said — in Київ and 東京.").ids)] and not sent
+
+
 def test_whole_tokens_are_proven():
     path = public_tokenizers.path("byte_bpe_50k.json")
     whole = sorted(token_counts.whole_tokens(path))
