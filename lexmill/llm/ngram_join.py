@@ -48,9 +48,9 @@ from .wordhash import blocks, mix, shingle_sets
 
 WIDTH, PERCENT = 4, 85
 #: A token in at least SHARE of the documents is of the frequent class, and hot if it is in HOT of them.
-SHARE, HOT = 0.001, 0.01
+SHARE, HOT = 0.002, 0.01
 #: Tokens that a task counts at once, counters it holds, and rows it reports at once.
-WINDOW, COUNTERS, ROWS = 1 << 20, 1 << 20, 1 << 16
+WINDOW, COUNTERS, ROWS = 1 << 18, 1 << 20, 1 << 16
 #: A token in fewer than LEAST documents is never frequent (its bucket is small anyway); at most MOST tokens are. Counts under FEW of small tasks are drawn.
 LEAST, MOST, FEW = 8, 1 << 22, 4
 #: 64-bit words of every set's coarse parity bitmap; sets over FINE tokens have a fine one too, of one or two bits a token.
@@ -68,22 +68,24 @@ class Common:
 
     def __init__(self, counters: int = COUNTERS):
         self.counters, self.error = counters, 0
-        self.tokens, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.tokens, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int32)
 
     def add(self, sets: list[np.ndarray]) -> None:
         new, n = np.unique(np.concatenate(sets), return_counts=True)
-        tokens, counts = np.concatenate((self.tokens, new)), np.concatenate((self.counts, n))
-        if not len(tokens):
+        if not len(new):
             return
-        order = np.argsort(tokens, kind="stable")  # two sorted runs: one merge
-        tokens, counts = tokens[order], counts[order]
-        first = np.flatnonzero(np.append(True, tokens[1:] != tokens[:-1]))
-        tokens, counts = tokens[first], np.add.reduceat(counts, first)
-        if len(tokens) > self.counters:
-            cut = int(np.partition(counts, len(counts) - self.counters - 1)[len(counts) - self.counters - 1])
-            self.error += cut
-            tokens, counts = tokens[counts > cut], counts[counts > cut] - cut
-        self.tokens, self.counts = tokens, counts
+        n = n.astype(np.int32)
+        at = np.searchsorted(self.tokens, new)
+        held = np.zeros(len(new), bool)
+        if len(self.tokens):
+            held = self.tokens[np.minimum(at, len(self.tokens) - 1)] == new
+        self.counts[at[held]] += n[held]
+        self.tokens, self.counts = np.insert(self.tokens, at[~held], new[~held]), np.insert(self.counts, at[~held], n[~held])
+        if (over := len(self.tokens) - self.counters) > 0:
+            cut = np.partition(self.counts, over - 1)[over - 1]
+            self.error += int(cut)
+            kept = self.counts > cut
+            self.tokens, self.counts = self.tokens[kept], self.counts[kept] - cut
 
     def reported(self, least: float, salt: int) -> tuple[np.ndarray, np.ndarray]:
         """(tokens, counts) of the tokens that may be in ``least`` documents. Where that is under FEW, counts under FEW are drawn by a hash
@@ -119,7 +121,7 @@ def frequent_tokens(docs: DataFrame, width: int, share: float, hot: float) -> tu
         for a in range(0, len(tokens), ROWS):
             part = slice(a, a + ROWS)
             none = np.zeros(len(tokens[part]), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(tokens[part].view(np.int64)), pa.array(counts[part]), pa.array(none)], ["token", "n", "size"])
+            yield pa.RecordBatch.from_arrays([pa.array(tokens[part].view(np.int64)), pa.array(counts[part].astype(np.int64)), pa.array(none)], ["token", "n", "size"])
         yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([n_docs], pa.int64()), pa.array([size + waiting], pa.int64())], ["token", "n", "size"])
 
     counts = checkpoint(docs.select("text").mapInArrow(run, "token long, n long, size long").groupBy("token").agg(F.sum("n").alias("n"), F.sum("size").alias("size")))
