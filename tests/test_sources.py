@@ -78,3 +78,12 @@ def test_merged_sketches_are_near_the_exact_counts(spark):
     exact = {r.host: r for r in chunks.groupBy("host").agg(F.countDistinct("doc_id").alias("docs"), F.count("*").alias("chunks")).collect()}
     for h, r in exact.items():
         assert abs(got[h].docs_chunked - r.docs) < 4 * 0.013 * r.docs and got[h].chunks == r.chunks
+
+
+def test_merged_counts_are_exact(spark):
+    """Also where documents lie in several days and parts, and keys are null."""
+    chunks = spark.range(60_000).select(F.when(F.col("id") % 20_000 != 7, F.col("id") % 20_000).alias("doc_id"), F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("host"), (F.col("id") % 5).alias("day"))
+    counts = quality.chunk_counts(chunks, "day")
+    again = counts.where("day < 2").unionByName(counts.where("day >= 2"))
+    exact = sorted(tuple(r) for r in chunks.groupBy("host").agg(F.countDistinct("doc_id"), F.count("*")).collect())
+    assert sorted(tuple(r) for r in quality.merged_chunk_counts(again).collect()) == exact
