@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
@@ -13,6 +13,7 @@ from pyspark.sql.types import ArrayType, StringType
 from ..functions import rules as R
 from ..functions import texts as T
 from ..functions.dialect import column
+from ..functions.helpers import few_at_once
 from .joins import with_policy
 
 
@@ -109,9 +110,9 @@ def structured(text: str, size: int, least: int, overlap: int) -> list[str]:
 
 
 def _by(split: Callable[[str, int, int, int], list[str]], size: int, least: int, overlap: int):
-    @F.pandas_udf(ArrayType(StringType()))
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: split(x or "", size, least, overlap))
+    @F.arrow_udf(ArrayType(StringType()))
+    def run(s: pa.Array) -> pa.Array:
+        return few_at_once(s, lambda x: split(x or "", size, least, overlap), pa.list_(pa.string()))
 
     return run
 
