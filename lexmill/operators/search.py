@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,24 +13,25 @@ from ..functions.dialect import SPARK, column
 from .merge import first_per, top_per
 
 
-def build_index(texts: DataFrame, key: str, text: str = "text", stem: bool = False) -> DataFrame:
+def build_index(texts: DataFrame, key: str, text: str = "text", stem: bool = False, only: Callable[[Column], Column] | None = None) -> DataFrame:
     """Q1: postings (key, term, tf, positions, doc_len) of texts whose key is unique.
 
     A row's (term, place) pairs are sorted in the row, and each run of a term becomes one row, so nothing is shuffled.
-    With ``stem``, terms go through ``helpers.stemmed`` and those of a stem are grouped.
+    With ``stem``, words are stemmed first, in the row. With ``only``, a test of a term, other terms are left out before the sort.
     """
-    if not stem:
-        pairs = texts.select(key, F.expr(f"array_sort(transform({_words(text)}, (t, i) -> struct(t, i AS i)))").alias("p"))
-        runs = pairs.withColumn("b", F.expr("filter(sequence(0, size(p)), k -> k = 0 OR k = size(p) OR p[k].t <> p[k - 1].t)"))
-        each = runs.select(key, F.size("p").cast("long").alias("doc_len"), F.explode(F.expr("CASE WHEN size(p) = 0 THEN array() ELSE transform(sequence(0, size(b) - 2), j -> slice(p, b[j] + 1, b[j + 1] - b[j])) END")).alias("run"))
-        return each.select(key, F.expr("run[0].t").alias("term"), F.size("run").cast("long").alias("tf"), F.col("run.i").alias("positions"), "doc_len")
-    from ..functions.helpers import stemmed
+    words = F.expr(_words(text))
+    if stem:
+        from ..functions.helpers import stemmed_each
 
-    tokens = texts.select(key, F.expr(f"transform({_words(text)}, (t, i) -> struct(t, i AS i))").alias("tokens"))
-    each = tokens.select(key, F.size("tokens").cast("long").alias("doc_len"), F.explode("tokens").alias("x")).select(key, "doc_len", F.col("x.t").alias("term"), F.col("x.i").alias("i"))
-    stems = each.select("term").distinct().withColumn("_stem", stemmed("term"))
-    each = each.join(stems, "term").withColumn("term", F.col("_stem")).drop("_stem")
-    return each.groupBy(key, "term").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("i")).alias("positions"), F.max("doc_len").alias("doc_len"))
+        words = stemmed_each(words)
+    pairs = F.transform("w", lambda t, i: F.struct(t.alias("t"), i.alias("i")))
+    if only is not None:
+        pairs = F.filter(pairs, lambda x: only(x["t"]))
+    # sort_array compares natively; array_sort calls a lambda for each comparison
+    sorted_ = texts.select(key, words.alias("w")).select(key, F.size("w").cast("long").alias("doc_len"), F.sort_array(pairs).alias("p"))
+    runs = sorted_.withColumn("b", F.expr("filter(sequence(0, size(p)), k -> k = 0 OR k = size(p) OR p[k].t <> p[k - 1].t)"))
+    each = runs.select(key, "doc_len", F.explode(F.expr("CASE WHEN size(p) = 0 THEN array() ELSE transform(sequence(0, size(b) - 2), j -> slice(p, b[j] + 1, b[j + 1] - b[j])) END")).alias("run"))
+    return each.select(key, F.expr("run[0].t").alias("term"), F.size("run").cast("long").alias("tf"), F.col("run.i").alias("positions"), "doc_len")
 
 
 def _words(text: str) -> str:
@@ -117,17 +120,25 @@ def snippet(text: str, terms: list[str], n: int = 10, open_: str = "[", close: s
     listed = F.array(*[F.lit(t) for t in terms])
     tokens = F.split(F.coalesce(F.col(text), F.lit("")), " ")
     bare = lambda t: F.regexp_replace(F.lower(t), r"[^\p{L}\p{N}_]", "")
-    flags = F.transform(tokens, lambda t: F.array_contains(listed, bare(t)).cast("int"))
+    # all tokens are made bare at once, as spaces stay
+    plain = F.split(F.regexp_replace(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N}_ ]", ""), " ")
+    places = F.filter(F.transform(plain, lambda t, i: F.when(F.array_contains(listed, t), i)), lambda i: i.isNotNull())
+
+    def fragment(at: Column) -> Column:
+        """The first of the best windows begins the text or ends at a query term, so only those are counted: at most n terms each."""
+
+        def ending(place: Column, j: Column) -> Column:
+            start = F.greatest(place - (n - 1), F.lit(0))
+            met = F.filter(F.slice(at, F.greatest(j - (n - 2), F.lit(1)), F.least(j + 1, F.lit(n))), lambda v: v >= start)
+            return F.struct(F.size(met).alias("s"), (-start).alias("i"))
 
-    def fragment(f: Column) -> Column:
-        scored = F.transform(f, lambda x, i: F.struct(F.aggregate(F.slice(f, i + 1, n), F.lit(0), lambda a, v: a + v).alias("s"), (-i).alias("i")))
-        best = F.array_max(scored)
+        best = F.array_max(F.transform(at, ending))
         start = -best["i"]
         shown = F.transform(F.slice(tokens, start + 1, n), lambda t: F.when(F.array_contains(listed, bare(t)), F.concat(F.lit(open_), t, F.lit(close))).otherwise(t))
         body = F.concat(F.when(start > 0, ellipsis).otherwise(""), F.array_join(shown, " "), F.when(start + n < F.size(tokens), ellipsis).otherwise(""))
         return F.when(best["s"] > 0, body).otherwise(F.substring(F.coalesce(F.col(text), F.lit("")), 1, 280))
 
-    return F.element_at(F.transform(F.array(flags), fragment), 1)
+    return F.element_at(F.transform(F.array(places), fragment), 1)
 
 
 def parse_near(rules: str) -> list[tuple[str, str, int]]:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import texts as T
 from ..functions import urls as U
 from ..functions.dialect import DUCK, column
+from ..llm.shared import written
 from ..operators import changes as D
 from ..operators import search as Q
 from ..operators import stored as I
@@ -45,7 +48,11 @@ _MATCHES = {"both": {"all_": BOTH}, "some": {"any_": ["cookie", "license"]}, "wi
 
 
 def _match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = Q.build_index(_texts(spark, sf_dir), "doc_id")
+    """The postings that the rules ask for are built once, and each rule reads them."""
+    terms = sorted({t for o in _MATCHES.values() for k in ("all_", "any_", "none", "phrase") for t in o.get(k, ())})
+    prefixes = [o["prefix"] for o in _MATCHES.values() if "prefix" in o]
+    wanted = lambda t: reduce(lambda a, p: a | t.startswith(p), prefixes, t.isin(terms))
+    p = written(Q.build_index(_texts(spark, sf_dir), "doc_id", only=wanted))
     out = [Q.match(p, "doc_id", **o).select(F.lit(k).alias("rule"), "doc_id") for k, o in _MATCHES.items()]
     return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3]).unionByName(out[4])
 
